@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import mixing, packing, sharding
+from . import katz, kneser, langid, linedup, minhash, mixing, packing, rules, sharding, topk
 
 
 def tokenizer_path() -> str:
@@ -16,6 +16,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_embeddings(read_table(spark, sf_dir, "embeddings"), 5, 50)
+
+
+def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(read_table(spark, sf_dir, "documents"), 10)
+
+
+def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
 def op5_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -25,13 +41,37 @@ def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), [1.0] * 40)
 
 
+def op7_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op8_line_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_chars", "text")
+
+
+def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85).drop("text_key")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(read_table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_water_filling_mix, op6_rendezvous_shards, op10_best_fit_packing)}
+    found = (
+        op1_block_top_k,
+        op2_kneser_ney_quality,
+        op3_katz_scores,
+        op4_divergence_rules,
+        op5_water_filling_mix,
+        op6_rendezvous_shards,
+        op7_rank_order_language,
+        op8_line_run_dedup,
+        op9_minhash_near_duplicates,
+        op10_best_fit_packing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_water_filling_mix": mixing.oracle_sql(), "op6_rendezvous_shards": sharding.ORACLE_SQL}
+    return {"op1_block_top_k": topk.ORACLE_SQL, "op5_water_filling_mix": mixing.oracle_sql(), "op6_rendezvous_shards": sharding.ORACLE_SQL}

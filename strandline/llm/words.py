@@ -12,7 +12,7 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Entries a worker's word cache may hold before it starts anew.
-CACHE_LIMIT = 300_000
+CACHE_LIMIT = 400_000
 
 
 def words_of(text: Column) -> Column:
