@@ -74,4 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_block_top_k": topk.ORACLE_SQL, "op5_water_filling_mix": mixing.oracle_sql(), "op6_rendezvous_shards": sharding.ORACLE_SQL}
+    return {
+        "op1_block_top_k": topk.ORACLE_SQL,
+        "op4_divergence_rules": rules.oracle_sql(),
+        "op5_water_filling_mix": mixing.oracle_sql(),
+        "op6_rendezvous_shards": sharding.ORACLE_SQL,
+    }

@@ -100,13 +100,14 @@ def _half(p: str, q: str) -> str:
     return f"(CASE WHEN {p} > 0 THEN 0.5D * {p} * log2(2.0D * {p} / ({p} + {q})) ELSE 0.0D END + CASE WHEN {q} > 0 THEN 0.5D * {q} * log2(2.0D * {q} / ({p} + {q})) ELSE 0.0D END)"
 
 
-def judge(docs: DataFrame, key: str = "doc_id", carry: tuple[str, ...] = (), max_class_distance: float = 0.2, max_word_distance: float = 0.5, min_words: int = 50, min_test_words: int = 100, min_test_chars: int = 200) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", carry: tuple[str, ...] = (), max_class_distance: float = 0.27, word_distance_floor: float = 0.1, word_distance_noise: float = 2.0, min_words: int = 50, min_test_words: int = 80, min_test_chars: int = 300) -> DataFrame:
     """Verdict for every row: key, counts, base_failed, class_distance, word_distance, kept.
 
     A document is rejected if it has under `min_words` words, if more than half of its words lie in
     repeated 3-word windows, or if its histogram of character classes (texts of `min_test_chars`
     characters or more) or of common words (`min_test_words` words or more) is further from its
-    language's in Jensen-Shannon distance (base 2, so 0 to 1) than allowed. The references are the
+    language's in Jensen-Shannon distance (base 2, so 0 to 1) than allowed: `max_class_distance`, and
+    word_distance_floor + word_distance_noise / sqrt(n_words), as a short text's histogram is noisy. The references are the
     pooled histograms of all texts of that language that pass the first two rules; a language
     without any has none and the distances are null, which rejects nothing. Null texts have no
     words; a null lang is a language of its own; repeated rows are judged alike.
@@ -122,6 +123,65 @@ def judge(docs: DataFrame, key: str = "doc_id", carry: tuple[str, ...] = (), max
     df = df.withColumn("_q_rest", F.expr("greatest(0.0D, 1.0D - _q_all)"))
     df = df.withColumn("_js_w", F.expr(f"aggregate(_seen, 0.0D, (a, z) -> a + {_half('z.p', 'z.q')}) + 0.5D * (_q_all - aggregate(_seen, 0.0D, (a, z) -> a + z.q)) + {_half('_p_rest', '_q_rest')}"))
     df = df.withColumn("class_distance", F.sqrt(F.greatest(F.col("_js_c"), F.lit(0.0)))).withColumn("word_distance", F.sqrt(F.greatest(F.col("_js_w"), F.lit(0.0))))
-    strange = ((F.col("_total") >= min_test_words) & (F.col("word_distance") > max_word_distance)) | ((chars >= min_test_chars) & (F.col("class_distance") > max_class_distance))
+    strange = ((F.col("_total") >= min_test_words) & (F.col("word_distance") > F.lit(word_distance_floor) + F.lit(word_distance_noise) / F.sqrt("_total"))) | ((chars >= min_test_chars) & (F.col("class_distance") > max_class_distance))
     kept = ~F.col("base_failed") & ~F.coalesce(strange, F.lit(False))
     return df.select(F.col("_key").alias(key), *[F.col(f"_x_{c}").alias(c) for c in carry], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", kept.alias("kept"))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that `judge` keeps, with all their columns."""
+    names = docs.columns
+    rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], F.col("doc_id").alias("_doc"), F.xxhash64("text", "lang").alias("_hash"))
+    judged = judge(docs.select("doc_id", "text", "lang", F.xxhash64("text", "lang").alias("hash")), carry=("hash",))
+    out = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h")).distinct()
+    left = rows.join(out, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_anti")
+    return left.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def oracle_sql(documents: str = "documents") -> str:
+    """DuckDB: the same counts, references, distances and verdicts with the production parameters."""
+    word = r"[^\x20\x09-\x0D]"
+    listed = "[" + ", ".join(f"'{w}'" for w in COMMON_WORDS) + "]"
+
+    def number(pattern: str) -> str:
+        return f"length(text) - length(regexp_replace(text, '{pattern}', '', 'g'))"
+
+    def js(p: str, q: str) -> str:
+        return f"sum(CASE WHEN {p} > 0 THEN 0.5 * {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN 0.5 * {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END)"
+
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM {documents}),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+dup AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM dup) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, lang, len(w) AS n_words, length(text) AS chars, coalesce(rep.n, 0) AS n_repeat_words,
+         len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')))
+           - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')))) AS n_dup_lines,
+         {number('[a-z]')} AS c1, {number('[A-Z]')} AS c2, {number('[0-9]')} AS c3, {number(r'[\x20\x09-\x0D]')} AS c4,
+         {number('[#*$%&|<>]')} AS c5, {number(r'[^\x00-\x7F]')} AS c6
+  FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id),
+b AS (SELECT *, chars - c1 - c2 - c3 - c4 - c5 - c6 AS c7, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+cl AS (SELECT doc_id, lang, base_failed, unnest(range(1, 8)) AS bin, unnest([c1, c2, c3, c4, c5, c6, c7]) AS n, greatest(chars, 1) AS total FROM b),
+rc AS (SELECT lang, bin, sum(n) / greatest(sum(sum(n)) OVER (PARTITION BY lang), 1) AS q FROM cl WHERE NOT base_failed GROUP BY lang, bin),
+jc AS (SELECT doc_id, {js('p', 'q')} AS js FROM (SELECT doc_id, cl.n / cl.total AS p, q FROM cl JOIN rc ON cl.lang IS NOT DISTINCT FROM rc.lang AND cl.bin = rc.bin) GROUP BY doc_id),
+cw AS (
+  SELECT doc_id, bin, count(*) AS n
+  FROM (SELECT doc_id, list_position({listed}, translate(unnest(w), '{UPPER}', '{LOWER}')) AS bin FROM d) WHERE bin > 0 GROUP BY doc_id, bin),
+lw AS (SELECT lang, sum(n_words) AS total FROM b WHERE NOT base_failed GROUP BY lang),
+bins AS (SELECT lang, greatest(total, 1) AS total, unnest(range(1, {len(COMMON_WORDS) + 1})) AS bin FROM lw),
+rw AS (
+  SELECT bins.lang, bins.bin, coalesce(sum(x.n), 0) / any_value(bins.total) AS q
+  FROM bins LEFT JOIN (SELECT lang, bin, n FROM cw JOIN b USING (doc_id) WHERE NOT base_failed) x
+    ON bins.lang IS NOT DISTINCT FROM x.lang AND bins.bin = x.bin GROUP BY bins.lang, bins.bin),
+pq AS (
+  SELECT b.doc_id, rw.bin, coalesce(cw.n, 0) / greatest(b.n_words, 1) AS p, q
+  FROM b JOIN rw ON b.lang IS NOT DISTINCT FROM rw.lang LEFT JOIN cw ON cw.doc_id = b.doc_id AND cw.bin = rw.bin),
+al AS (SELECT * FROM pq UNION ALL SELECT doc_id, 0, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM pq GROUP BY doc_id),
+jw AS (SELECT doc_id, {js('p', 'q')} AS js FROM al GROUP BY doc_id)
+SELECT b.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(chars - c4 AS BIGINT) AS word_chars, CAST(c5 AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce((n_words >= 80 AND sqrt(greatest(jw.js, 0)) > 0.1 + 2.0 / sqrt(n_words))
+         OR (chars >= 300 AND sqrt(greatest(jc.js, 0)) > 0.27), false) AS kept
+FROM b LEFT JOIN jc ON b.doc_id = jc.doc_id LEFT JOIN jw ON b.doc_id = jw.doc_id
+"""
