@@ -185,3 +185,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     alone = F.col("node").isNull()
     out = table.join(named, "node", "left").withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component the row of its least doc_id.
+
+    Of several rows with that doc_id the one with the least text hash stays, once. Components
+    whose doc_ids are all null keep one row for each distinct text hash.
+    """
+    near = near_duplicates(docs, percent).where("kept")
+    chosen = near.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("text_key")).alias("t")).agg(F.min("text_key").alias("_key")).select(F.col("component_id").alias("_id"), "_key")
+    names = docs.columns
+    rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_text_key"))
+    chosen = materialize(chosen, "chosen")
+    left = rows.join(chosen, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    keys = docs.select(F.col("doc_id").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("t"))
+    if not keys.groupBy("d", "t").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["_doc", "_text_key"])
+    return left.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
