@@ -24,8 +24,11 @@ def letters(text: str) -> str:
 
 
 def grams(text: str, orders: tuple[int, ...] = (1, 2, 3)) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text's letters as numbers, and their counts; a lone space is none."""
-    code = np.frombuffer(letters(text).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    """Distinct n-grams of a text's letters as numbers, and their counts; a lone space is none, nor has a text without letters any."""
+    padded = letters(text)
+    if padded.isspace():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    code = np.frombuffer(padded.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
     out = []
     for n in orders:
         if len(code) < n:
