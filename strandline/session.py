@@ -43,7 +43,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet under the shared scratch folder and read it back (cuts lineage)."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/strandline-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strandline_path = path
     return out
