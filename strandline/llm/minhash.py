@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialize, prepare
+from ..session import materialize, prepare
 from .components import connected_components
 from .words import WordIds, hashed_words, mix, text_bytes
 
@@ -126,6 +126,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b")
 
 
+def possible_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes of one bucket and different components (key, node, root) that could be similar enough.
+
+    A node can share only those shingles that another node in question has as well. With m the smaller
+    such number of the two, the similarity is at most m / (n_a + n_b - m): edited copies whose
+    edits are their own fail this without being compared.
+    """
+    nodes = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", F.explode("shingles").alias("shingle"))
+    common = nodes.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("shingle")
+    shared = materialize(nodes.join(common, "shingle").groupBy("node", "n").agg(F.count("*").alias("s")).where(F.col("s") * 100 >= F.col("n") * percent), "shared")
+    known = members.join(shared, "node")
+    one = known.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
+    two = known.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
+    least = F.least("s_a", "s_b")
+    near = (F.col("root_a") < F.col("root_b")) & (least * 100 >= (F.col("n_a") + F.col("n_b") - least) * percent)
+    return one.join(two, (one["key"] == two["key"]) & near).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32, rows: int = 6, seed: int = 11) -> DataFrame:
     """Every row with its component: doc_id, text_key, n_shingles, component_id, kept.
 
@@ -134,14 +152,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     that document. Texts without words have an empty set and stand alone. Null doc_ids never become
     a component_id unless all of a component's are null. Rows of one doc_id are ordinary rows.
 
-    Equal sets are one node from the start. Nodes that share a band's key meet in a bucket, and each
-    round compares a bucket's least remaining node (its pivot) with the others of other components,
-    so a bucket of copies costs its size, not its square. A bucket is done when its nodes are in one
-    component. Once the pairs left across components are few against the members, all are compared.
-    So every pair that shares a bucket is linked, connected otherwise, or compared. With 32 bands of 6
-    a pair of similarity 0.85 shares no bucket with probability 3e-7, one of 0.8 with 6e-5.
+    Equal sets are one node from the start. Nodes that share a band's key meet in a bucket. First each
+    bucket's pivot, the node with the most company over all its buckets (of edited copies mostly the
+    original), is compared with the others, so a bucket of copies costs its size, not its square, and a
+    bucket within one component is done. In the others every pair of different components is compared
+    that `possible_pairs` cannot rule out. So every pair that shares a bucket is linked, connected
+    otherwise, or shown to be too unlike. With 32 bands of 6 a pair of similarity 0.85 shares no
+    bucket with probability 3e-7, one of 0.8 with 6e-5.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     table = materialize(band_keys(base, bands, rows, width, seed), "bands")
     met = table.where("node is not null").select("node", F.explode("bands").alias("key")).distinct()
@@ -153,31 +172,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     sets = materialize(full_sets(texts, bands, rows, width, seed), "sets")
     sets = sets.dropDuplicates(["node"]) if sets.groupBy("node").count().where("count > 1").limit(1).count() else sets
 
-    links = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
-    while True:
-        labelled = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        parts = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("node").alias("lo"))
-        open_keys = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min("lo").alias("pivot"), F.count("*").alias("c")).where("c > 1")
-        rest = materialize(labelled.join(open_keys.select("key", "pivot", "n", "squares"), "key"), "open")
-        count, pairs_left = rest.agg(F.count("*"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / (2 * F.col("n")))).first()
-        if not count:
-            break
-        last = pairs_left <= 2 * count
-        if last:
-            other = rest.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            pairs = rest.select("key", F.col("node").alias("a"), "root").join(other, "key").where("root < root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            first = rest.where("node = pivot").select("key", F.col("root").alias("root_p"))
-            pairs = rest.where("node <> pivot").join(first, "key").where("root <> root_p").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        found = materialize(verified(pairs.distinct(), sets, percent), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = connected_components(links)
-        if last:
-            break
-        discard(members)
-        members = materialize(rest.where("node <> pivot").select("key", "node"), "members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    degree = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("degree"))
+    pivots = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
+    stars = members.join(pivots, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = materialize(verified(stars, sets, percent), "links")
+    roots = materialize(connected_components(links), "roots")
+
+    labelled = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    unlike = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    rest = materialize(labelled.join(unlike, "key"), "open")
+    if not rest.isEmpty():
+        again = materialize(verified(possible_pairs(rest, sets, percent), sets, percent), "links")
+        if not again.isEmpty():
+            roots = connected_components(links.unionByName(again))
 
     classes = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of_root = classes.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -7,47 +7,112 @@ import os
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, prepare
 from .numbering import number_within
-from .words import CACHE_LIMIT, text_bytes
+from .words import text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "p_length long, p_first long, p_until long, p_per_bin long, p_sequence long, p_offset long"
+#: Words whose ids a worker keeps (some 200 bytes each), and marks that are a pre-token after letters.
+CACHE_WORDS, MARKS = 700_000, ".,;:!?"
+#: Bytes of text whose new words are encoded together.
+BLOCK_BYTES = 4 << 20
 #: One tokenizer and one word cache for each tokenizer file in a worker process.
 _LOADED: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
+    """(tokenizer, which ids close a pre-token or None, cache of words)."""
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        closes = None
+        if suffix:
+            vocab = tokenizer.get_vocab()
+            closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            closes[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        _LOADED[path] = (tokenizer, closes, {})
     return _LOADED[path]
 
 
+def _ids_of(tokenizer, words: list[str]) -> list[bytes]:
+    return [np.array(got.ids, dtype="<u4").tobytes() for got in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def _encode_stems(tokenizer, closes: np.ndarray, stems: list[bytes]) -> list[bytes]:
+    """Ids of words of letters alone: each is one pre-token, so one call encodes them all and the
+    closing ids part them. Should the parts not add up (a letter whose lower case is not one), they
+    are encoded one by one."""
+    ids = np.array(tokenizer.encode_batch_fast([b" ".join(stems).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+    ends = 4 * (np.flatnonzero(closes[ids]) + 1)
+    if len(ends) != len(stems) or (len(ends) and ends[-1] != 4 * len(ids)):
+        return _ids_of(tokenizer, [s.decode() for s in stems])
+    raw, out, start = ids.tobytes(), [], 0
+    for end in ends.tolist():
+        out.append(raw[start:end])
+        start = end
+    return out
+
+
+def _learn(words: set[bytes], tokenizer, closes, cache: dict) -> None:
+    """Put the ids of `words` into the cache; A-Z and one closing mark are told from the rest of a word."""
+    plain, made, others = [], [], []
+    for word in words:
+        text = word.decode()
+        if closes is None:
+            others.append(word)
+        elif text.isalpha():
+            low = word.lower()
+            if low == word:
+                plain.append(word)
+            else:
+                made.append((word, low, b""))
+        elif text[-1] in MARKS and text[:-1].isalpha():
+            made.append((word, word[:-1].lower(), word[-1:]))
+        else:
+            others.append(word)
+    plain.extend({stem for _, stem, _ in made}.difference(cache, plain))
+    if plain:
+        cache.update(zip(plain, _encode_stems(tokenizer, closes, plain), strict=True))
+    others.extend(m for m in (m.encode() for m in MARKS) if m not in cache and m not in words)
+    cache.update(zip(others, _ids_of(tokenizer, [w.decode() for w in others]), strict=True))
+    for word, stem, tail in made:
+        cache[word] = cache[stem] + cache[tail] if tail else cache[stem]
+
+
 def encode_texts(texts: list[bytes], path: str, end_id: int) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each text, then `end_id`.
 
-    The tokenizer drops white space before its merges, so a text's ids are the ids of its words in
-    turn; each distinct word is encoded once for as long as the cache keeps it.
+    The tokenizer drops white space and splits letters from punctuation before its merges, so a text's
+    ids are the ids of its words in turn; a distinct word is encoded once for as long as the cache
+    keeps it.
     """
-    tokenizer, cache = _tokenizer(path)
+    tokenizer, closes, cache = _tokenizer(path)
     end = end_id.to_bytes(4, "little")
-    for text in texts:
-        words = text.split()
-        new = list(set(words).difference(cache))
+    at = 0
+    while at < len(texts):
+        part, size = [], 0
+        while at < len(texts) and (not part or size < BLOCK_BYTES):
+            part.append(texts[at].split())
+            size += len(texts[at])
+            at += 1
+        needed = set().union(*part)
+        new = needed.difference(cache)
+        if len(cache) + len(new) > CACHE_WORDS:
+            cache.clear()
+            new = needed
         if new:
-            if len(cache) + len(new) > CACHE_LIMIT:
-                cache.clear()
-                new = list(set(words))
-            for word, got in zip(new, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                cache[word] = b"".join(i.to_bytes(4, "little") for i in got.ids)
-        yield b"".join(map(cache.__getitem__, words)) + end
+            _learn(new, tokenizer, closes, cache)
+        for words in part:
+            yield b"".join(map(cache.__getitem__, words)) + end
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
