@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, prepare
@@ -111,37 +111,55 @@ def full_sets(docs: DataFrame, bands: int, rows: int, width: int, seed: int) ->
     return docs.mapInArrow(run, "node long, n long, signature array<int>, shingles array<long>")
 
 
+def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("sig_a"), F.col("shingles").alias("set_a"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("sig_b"), F.col("shingles").alias("set_b"))
+    return pairs.join(two, "b").join(one, "a")
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their full sets (n_a, n_b) and of what they share (both)."""
+    return _both(pairs, sets).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("both"))
+
+
+def similar(percent: int) -> Column:
+    """100 * intersection >= percent * union."""
+    return F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union.
+    """The pairs (a, b) whose full sets are similar enough.
 
     Set sizes are compared first, then the signatures' agreement, which may fall 0.25 below the
     threshold (over six standard deviations for 192 hashes) before a pair is set aside.
     """
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("sig_a"), F.col("shingles").alias("set_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("sig_b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(two, "b").join(one, "a").where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
+    both = _both(pairs, sets).where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
     agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
     both = both.where(agree * 100 >= F.size("sig_a") * (percent - 25))
     shared = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("both"))
-    return shared.where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b")
+    return shared.where(similar(percent)).select("a", "b")
 
 
-def possible_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): nodes of one bucket and different components (key, node, root) that could be similar enough.
+def possible_pairs(members: DataFrame, sets: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes of one bucket and different components (key, node, root, far) that could be similar enough.
 
-    A node can share only those shingles that another node in question has as well. With m the smaller
-    such number of the two, the similarity is at most m / (n_a + n_b - m): edited copies whose
-    edits are their own fail this without being compared.
+    far is a node's Jaccard distance to the bucket's pivot, to which all were compared. The distance is a
+    metric, so two nodes are at least as far apart as their distances to the pivot differ. And a node can
+    share only those shingles that another node in question has as well: with m the smaller such number of
+    the two, the similarity is at most m / (n_a + n_b - m). Many edited copies fail one or the other without
+    being compared. A pair that shares several buckets is made in the first of its bands (node, bands) alone.
     """
     nodes = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", F.explode("shingles").alias("shingle"))
     common = nodes.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("shingle")
     shared = materialize(nodes.join(common, "shingle").groupBy("node", "n").agg(F.count("*").alias("s")).where(F.col("s") * 100 >= F.col("n") * percent), "shared")
-    known = members.join(shared, "node")
-    one = known.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
-    two = known.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
+    known = members.join(shared, "node").join(bands, "node")
+    one = known.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("far").alias("far_a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("bands").alias("bands_a"))
+    two = known.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("far").alias("far_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("bands").alias("bands_b"))
     least = F.least("s_a", "s_b")
-    near = (F.col("root_a") < F.col("root_b")) & (least * 100 >= (F.col("n_a") + F.col("n_b") - least) * percent)
-    return one.join(two, (one["key"] == two["key"]) & near).select("a", "b").distinct()
+    apart = F.abs(F.col("far_a") - F.col("far_b")) <= 1 - percent / 100 + 1e-9
+    near = (F.col("root_a") < F.col("root_b")) & apart & (least * 100 >= (F.col("n_a") + F.col("n_b") - least) * percent)
+    common = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    return one.join(two, (one["key"] == two["key"]) & near & (F.element_at(common, 1) == one["key"])).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32, rows: int = 6, seed: int = 11) -> DataFrame:
@@ -176,14 +194,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     degree = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("degree"))
     pivots = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
     stars = members.join(pivots, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(verified(stars, sets, percent), "links")
+    stars = materialize(compared(stars, sets), "stars")
+    links = stars.where(similar(percent)).select("a", "b")
     roots = materialize(connected_components(links), "roots")
 
     labelled = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     unlike = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = materialize(labelled.join(unlike, "key"), "open")
+    to_pivot = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("far"))
+    # The pivots themselves have been compared with everyone.
+    rest = materialize(labelled.join(unlike, "key").join(pivots, "key").where("node <> pivot").join(to_pivot, ["pivot", "node"]).select("key", "node", "root", "far"), "open")
     if not rest.isEmpty():
-        again = materialize(verified(possible_pairs(rest, sets, percent), sets, percent), "links")
+        keys = table.join(rest.select("node").distinct(), "node", "left_semi").select("node", "bands").dropDuplicates(["node"])
+        again = materialize(verified(possible_pairs(rest, sets, materialize(keys, "keys"), percent), sets, percent), "links")
         if not again.isEmpty():
             roots = connected_components(links.unionByName(again))
 
