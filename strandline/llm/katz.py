@@ -25,9 +25,11 @@ TOP, LARGE = 5, 0.1
 START, END = np.int64(-3), np.int64(-5)
 #: Words of texts whose postings a task sorts together, and postings a bucket should hold.
 BATCH_WORDS, BUCKET_POSTINGS, LEAST_BUCKETS = 1_500_000, 1_500_000, 96
+#: Texts in such a batch, so that a document's number in it fits two bytes.
+BATCH_DOCS = 32_000
 _IDS = WordIds()
 
-POSTINGS = "bucket int, base long, words array<long>, pairs array<int>, histories array<long>, holders array<int>, docs array<int>, counts array<int>, ids array<long>"
+POSTINGS = "bucket int, base long, words array<long>, pairs array<int>, histories array<long>, holders array<int>, docs array<smallint>, counts array<int>, ids array<long>"
 PARTS = "kind int, id long, doc_id long, held_out boolean, n long, c array<long>, x array<double>"
 
 
@@ -43,7 +45,7 @@ def _batches(batches, size: int):
             held.append(h)
             words.append(hashed_words(text, _IDS))
             total += len(words[-1]) + 1
-            if total >= size:
+            if total >= size or len(ids) >= BATCH_DOCS:
                 yield first, ids, np.array(held, dtype=bool), words
                 first, ids, held, words, total = None, [], [], [], 0
     if ids:
@@ -123,7 +125,7 @@ def _deal(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                     (np.diff(np.append(word, len(pair))), pa.int32()),
                     (bh[pair], pa.int64()),
                     (np.diff(np.append(pair, hi - lo)), pa.int32()),
-                    (doc[lo:hi], pa.int32()),
+                    (doc[lo:hi], pa.int16()),
                     (n[lo:hi], pa.int32()),
                 ]
                 # One block of each batch also carries its documents' ids; the held-out ones are marked by a second list.
