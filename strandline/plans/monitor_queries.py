@@ -1 +1,188 @@
-"""Queries."""
+"""Queries of the monitoring and batching operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import sequence as S
+from ..operators import batches, monitor
+from . import fixtures as X
+from .registry import query
+
+W = "WINDOW w AS (PARTITION BY run_id, stage ORDER BY step DESC)"
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER w AS r FROM ({X.LOGS}) {W})
+  SELECT run_id, stage, (max(metric) FILTER (WHERE r = 1) - max(metric) FILTER (WHERE r = 2)) / nullif(max(id) FILTER (WHERE r = 1) - max(id) FILTER (WHERE r = 2), 0) AS rate FROM r WHERE r <= 2 GROUP BY ALL""")
+def run_throughput(spark, d):
+    return monitor.throughput(X.logs(spark, d), "metric", "id")
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER w AS r FROM ({X.LOGS}) {W})
+  SELECT run_id, stage, count(*) >= 4 AND arg_min(metric, r) > arg_max(metric, r) AS rising FROM r WHERE r <= 4 GROUP BY ALL""")
+def rising_tail(spark, d):
+    return monitor.rising_tail(X.logs(spark, d), "metric")
+
+
+@query(f"""WITH r AS (SELECT *, count(*) OVER (PARTITION BY run_id, stage) AS t FROM ({X.LOGS})), h AS (SELECT run_id, stage, count(*) AS n, avg(metric) FILTER (WHERE step <= t // 2) AS first, avg(metric) FILTER (WHERE step > t // 2) AS second FROM r GROUP BY ALL)
+  SELECT *, second > 1.05 * first AS worse FROM h WHERE n >= 6""")
+def loss_trend(spark, d):
+    return monitor.loss_trend(X.logs(spark, d), "metric")
+
+
+@query(f"""WITH m AS (SELECT *, max(step) OVER (PARTITION BY run_id, stage) AS t FROM ({X.LOGS})), g AS (SELECT run_id, stage, max(metric) FILTER (WHERE step = t) AS last, avg(metric) FILTER (WHERE step < t) + 5 * stddev_pop(metric) FILTER (WHERE step < t) AS "limit", count(*) AS n FROM m GROUP BY ALL)
+  SELECT run_id, stage, last, "limit", last > "limit" AS spike FROM g WHERE n > 1""")
+def loss_spike(spark, d):
+    return monitor.loss_spike(X.logs(spark, d), "metric")
+
+
+BAD = f"SELECT *, CASE WHEN id % 97 = 5 THEN CAST('nan' AS DOUBLE) WHEN id % 131 = 7 THEN CAST('inf' AS DOUBLE) ELSE metric END AS loss FROM ({X.LOGS})"
+
+
+@query(f"SELECT run_id, stage, 'loss' AS metric, count(*) AS rows, min(step) AS first_step, 'CRIT' AS severity FROM ({BAD}) WHERE NOT isfinite(loss) GROUP BY run_id, stage")
+def nonfinite_metrics(spark, d):
+    f = X.logs(spark, d).withColumn("loss", F.when(F.col("id") % 97 == 5, float("nan")).when(F.col("id") % 131 == 7, float("inf")).otherwise(F.col("metric")))
+    return monitor.check_finite(f.drop("metric"), ["loss"])
+
+
+FL = f"SELECT *, metric / 100 AS loop_acc, CASE WHEN stage <> 'click' THEN metric / 100 - (run_id % 3) * 0.004 END AS loop_major FROM ({X.LOGS})"
+
+
+@query(f"""WITH g AS (SELECT run_id, stage, 'loop' AS name, count(loop_acc) AS readings, max(loop_acc - loop_major) AS best_gap, count(loop_major) AS f FROM ({FL}) GROUP BY ALL),
+  s AS (SELECT run_id, stage, name, readings, best_gap, CASE WHEN f = 0 THEN 'WARN' WHEN readings >= 3 AND best_gap < 0.005 THEN 'CRIT' END AS severity FROM g) SELECT * FROM s WHERE severity IS NOT NULL""")
+def accuracy_floors(spark, d):
+    f = X.logs(spark, d).withColumn("loop_acc", F.col("metric") / 100)
+    f = f.withColumn("loop_major", F.when(F.col("stage") != "click", F.col("loop_acc") - F.col("run_id") % 3 * F.lit(0.004)))
+    return monitor.check_floors(f, ["loop"])
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER w AS r FROM ({X.LOGS}) {W}) SELECT run_id, stage, max(metric) AS best, max(metric) <= 1.15 / 0.02 AS at_chance FROM r WHERE r <= 3 GROUP BY ALL""")
+def macro_at_chance(spark, d):
+    t = monitor.at_chance(X.logs(spark, d), "metric", 50)
+    return t.withColumn("at_chance", F.col("best") <= F.lit(1.15) / F.lit(0.02))
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER w AS r FROM ({X.LOGS}) {W}) SELECT run_id, stage, metric AS last, metric < 5 AS dead FROM r WHERE r = 1""")
+def dead_regression(spark, d):
+    return monitor.dead_regression(X.logs(spark, d), "metric", 5.0)
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER w AS r FROM ({X.LOGS}) {W}) SELECT run_id, stage, count(*) AS n, max(metric - 60) AS best, count(*) >= 3 AND max(metric - 60) <= 0 AS no_lift FROM r WHERE r <= 5 GROUP BY ALL""")
+def no_lift(spark, d):
+    return monitor.no_lift(X.logs(spark, d).withColumn("lift", F.col("metric") - 60), "lift")
+
+
+@query(f"""SELECT stage, unnest(['metric', 'other']) AS metric FROM (SELECT stage, count(metric) AS a, max(step) AS m FROM ({X.LOGS}) GROUP BY stage) WHERE m >= 2 AND a = 0 UNION ALL SELECT stage, 'other' FROM ({X.LOGS}) GROUP BY stage HAVING max(step) >= 2""")
+def never_written(spark, d):
+    f = X.logs(spark, d).withColumn("other", F.lit(None).cast("double"))
+    return monitor.never_written(f, ["metric", "other"], F.col("step") >= 2)
+
+
+@query(f"""WITH l AS ({X.LOGS}), n AS (SELECT max(ts) AS t FROM l) SELECT run_id, stage, max(ts) AS last_ts, epoch(any_value(t)) - epoch(max(ts)) > 86400 * 10 AS silent FROM l, n GROUP BY run_id, stage""")
+def liveness(spark, d):
+    f = X.logs(spark, d)
+    return monitor.liveness(f, F.lit(f.agg(F.max("ts")).first()[0]), 14400)
+
+
+@query(f"""WITH l AS ({X.LOGS}), b AS (SELECT run_id, stage, max(step) AS s, min(ts) AS t FROM l WHERE step <= 2 GROUP BY ALL), n AS (SELECT run_id, stage, max(step) AS step, max(ts) AS ts FROM l GROUP BY ALL)
+  SELECT run_id, stage, step = s AND epoch(ts) - epoch(t) >= 1200 AS stalled FROM n JOIN b USING (run_id, stage)""")
+def counter_stalled(spark, d):
+    f = X.logs(spark, d)
+    before = f.where("step <= 2").groupBy("run_id", "stage").agg(F.max("step").alias("step"), F.min("ts").alias("ts"))
+    return monitor.stalled(f, before)
+
+
+@query(f"SELECT stage, count(DISTINCT run_id % 4) AS a, count(DISTINCT length(stage)) AS b, CASE WHEN count(DISTINCT run_id % 4) > 1 OR count(DISTINCT length(stage)) > 1 THEN 'ALERT' ELSE 'OK' END AS severity FROM ({X.LOGS}) GROUP BY stage")
+def series_consistency(spark, d):
+    return monitor.series_consistency(X.logs(spark, d).withColumn("a", F.col("run_id") % 4).withColumn("b", F.length("stage")), ["a", "b"])
+
+
+@query(f"SELECT run_id, stage, step, round(avg(metric) OVER (PARTITION BY run_id, stage ORDER BY step RANGE BETWEEN 9 PRECEDING AND CURRENT ROW), 8) AS mean FROM ({X.LOGS})")
+def trailing_mean(spark, d):
+    return monitor.trailing_mean(X.logs(spark, d), "metric", 10).withColumn("mean", F.round("mean", 8))
+
+
+RUNS = f"SELECT stage, run_id, max(ts) AS ts, CASE WHEN run_id % 2 = 0 THEN 0 ELSE count(*) END AS rows FROM ({X.LOGS}) GROUP BY stage, run_id"
+
+
+@query(f"SELECT stage, arg_max(run_id, ts) FILTER (WHERE rows > 0) AS run_id, arg_max(run_id, ts) IS DISTINCT FROM arg_max(run_id, ts) FILTER (WHERE rows > 0) AS newest_is_empty FROM ({RUNS}) GROUP BY stage")
+def newest_nonempty_run(spark, d):
+    r = X.logs(spark, d).groupBy("stage", "run_id").agg(F.max("ts").alias("ts"), F.count("*").alias("n"))
+    return monitor.newest_nonempty(r.withColumn("rows", F.when(F.col("run_id") % 2 == 0, 0).otherwise(F.col("n"))))
+
+
+FIND = f"SELECT 'run ' || run_id || ' of ' || stage AS detail, CASE WHEN metric > 90 THEN 'CRIT' ELSE 'WARN' END AS severity FROM ({X.LOGS}) WHERE metric > 80"
+
+
+def findings(spark, d):
+    f = X.logs(spark, d).where("metric > 80")
+    return f.select(F.concat(F.lit("run "), "run_id", F.lit(" of "), "stage").alias("detail"), F.when(F.col("metric") > 90, "CRIT").otherwise("WARN").alias("severity"))
+
+
+@query(f"SELECT severity, count(*) AS n FROM ({FIND}) GROUP BY severity")
+def report_severity(spark, d):
+    return monitor.report_severity(findings(spark, d))
+
+
+@query(f"""SELECT detail, CASE WHEN contains(detail, 'click') OR contains(detail, 'run 1') THEN 'INFO' ELSE severity END AS severity, CASE WHEN contains(detail, 'click') THEN 'noisy' WHEN contains(detail, 'run 1') THEN 'old' END AS why FROM ({FIND})""")
+def acknowledged_findings(spark, d):
+    known = spark.createDataFrame([("click", "noisy"), ("run 1", "old")], "part string, why string")
+    return monitor.acknowledge(findings(spark, d), known)
+
+
+@query(f"""SELECT stage, 'metric' AS metric, count(*) AS rows, count(metric) AS known, avg(CAST(metric <> 0 AS DOUBLE)) AS nonzero, round(avg(metric), 8) AS mean, round(stddev_pop(metric), 8) AS sd, min(metric) = max(metric) AS constant, count_if(metric <= -6) AS tail FROM ({X.LOGS}) GROUP BY stage""")
+def column_liveness(spark, d):
+    t = monitor.column_liveness(X.logs(spark, d), ["metric"], ["stage"])
+    return t.withColumns({"mean": F.round("mean", 8), "sd": F.round("sd", 8)})
+
+
+@query(f"SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, stage, count(*) AS n, round(avg(metric), 8) AS mean FROM ({X.LOGS}) GROUP BY ALL")
+def windowed_rollup(spark, d):
+    return monitor.rollup_windows(X.logs(spark, d), "6 hours").withColumn("mean", F.round("mean", 8))
+
+
+@query(f"""WITH l AS (SELECT run_id, ts, id, CASE WHEN ts - lag(ts) OVER w <= INTERVAL '3 days' THEN 0 ELSE 1 END AS new FROM ({X.LOGS}) WINDOW w AS (PARTITION BY run_id ORDER BY ts, id)),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY run_id ORDER BY ts, id) AS k FROM l) SELECT run_id, min(ts) AS start, count(*) AS n FROM s GROUP BY run_id, k""")
+def run_sessions(spark, d):
+    return monitor.sessions(X.logs(spark, d), "3 days")
+
+
+# --- batches
+
+LEN = f"SELECT id, chunk, length(sequence) AS length FROM ({X.SEQ})"
+
+
+def sized(spark, d):
+    return X.seq(spark, d).select("id", "chunk", F.length("sequence").alias("length"))
+
+
+@query()
+def length_sorted_batches(spark, d):
+    """Batches of a token budget over lengths in order; parts are ranges of length."""
+    return batches.report(batches.pack_ranges(sized(spark, d), F.floor(F.col("length") / 2048), ["length", "id"], 24576, 256, 64))
+
+
+@query()
+def arrival_order_batches(spark, d):
+    """The baseline: the same budget in arrival order; parts are ranges of 100,000 ids."""
+    return batches.report(batches.pack_ranges(sized(spark, d), F.floor(F.col("id") / 100_000), ["id"], 24576, 256))
+
+
+@query()
+def length_bucket_batches(spark, d):
+    """Geometric buckets, shuffled by hash inside each, cut by the running greatest length. A bucket is dealt into parts of some 20,000 ids."""
+    bounds = batches.bucket_bounds(65536)
+    f = sized(spark, d).withColumn("h", F.xxhash64("id")).withColumn("b", batches.bucket_of(F.col("length"), bounds))
+    return batches.report(batches.pack_ranges(f, F.col("b") * 100_000 + F.floor(F.col("id") / 20_000), ["h", "id"], 24576, 256))
+
+
+@query(f"WITH b AS (SELECT chunk, (row_number() OVER (PARTITION BY chunk ORDER BY id) - 1) // 16 AS batch, length FROM ({LEN})) SELECT chunk, batch, count(*) AS rows, CAST(sum(length) AS BIGINT) AS tokens FROM b GROUP BY ALL")
+def single_group_batches(spark, d):
+    b = batches.single_group_batches(sized(spark, d), "chunk", ["id"], F.lit(16))
+    return b.groupBy("chunk", "batch").agg(F.count("*").alias("rows"), F.sum("length").alias("tokens"))
+
+
+@query(f"SELECT CAST(ceil(length / 64) * 64 AS BIGINT) AS width, count(*) AS n, CAST(sum(ceil(length / 64) * 64 - length) AS BIGINT) AS padding FROM ({LEN}) GROUP BY 1")
+def quantized_padding(spark, d):
+    w = S.quantized_length(F.col("length"), 64)
+    return sized(spark, d).groupBy(w.alias("width")).agg(F.count("*").alias("n"), F.sum(w - F.col("length")).alias("padding"))

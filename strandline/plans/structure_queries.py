@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alignment, structure
+from ..operators import alignment, chemistry, kernels, structure
 from ..session import read_table
 from . import fixtures as X
 from .registry import query
@@ -217,6 +217,101 @@ def dot_bracket_pairs(spark, d):
     return structure.dot_bracket_pairs(s, "id", "ss").groupBy("id").agg(F.count("*").alias("pairs"), F.sum(F.col("j") - F.col("i")).alias("span"))
 
 
+# --- kernels and chemistry
+
+PK = "('AU', 'UA', 'GC', 'CG', 'GU', 'UG')"
+
+
+@query(f"""WITH b AS (SELECT entry, idx, base, lead(base) OVER w AS nxt, lag(base) OVER w AS prv FROM ({BASED}) WINDOW w AS (PARTITION BY entry ORDER BY idx)), l AS (SELECT entry, count(*) AS l FROM b GROUP BY entry),
+  p AS (SELECT a.entry, a.idx AS i, c.idx AS j, round(CAST((a.base || c.base) IN {PK} AS INTEGER) + 0.5 * CAST(coalesce((a.nxt || c.prv) IN {PK}, false) AS INTEGER) + exp(-(c.idx - a.idx) / 20.0), 9) AS score FROM b a JOIN b c ON a.entry = c.entry AND c.idx BETWEEN a.idx + 4 AND a.idx + 64),
+  t AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY score DESC, i, j) AS place FROM p), k AS (SELECT CAST(unnest([4, 16]) AS INTEGER) AS c)
+  SELECT x.entry, k.c, avg(CAST(coalesce(t.place <= k.c * l.l, false) AS INTEGER)) AS recall FROM ({CONTACTS}) x CROSS JOIN k JOIN l ON l.entry = x.entry LEFT JOIN t ON t.entry = x.entry AND t.i = x.i AND t.j = x.j GROUP BY ALL""")
+def proposal_recall(spark, d):
+    return kernels.proposal_recall(based(spark, d), pairs(spark, d), [4, 16])
+
+
+def placed(spark, d):
+    return X.centre(spark, d).join(based(spark, d).select("entry", "idx", "base"), ["entry", "idx"])
+
+
+@query()
+def greedy_base_pairs(spark, d):
+    """One partner per residue, most central distance first; checked against the sequential order in the tests."""
+    return kernels.greedy_pairing(kernels.pair_candidates(placed(spark, d), 12.0, 4.0))
+
+
+@query()
+def superposed_models(spark, d):
+    """RMSD, TM and GDT of shifted and bent copies of each entry against it."""
+    c = X.centre(spark, d).select(F.col("entry").cast("string").alias("target"), "idx", "x", "y", "z")
+    shifted = c.select("target", F.lit("shifted").alias("submission"), "idx", (-F.col("y") + 5).alias("x"), F.col("x").alias("y"), "z")
+    bent = c.select("target", F.lit("bent").alias("submission"), "idx", (F.col("x") + F.col("idx") % 7).alias("x"), "y", "z")
+    return kernels.score_submissions(c, shifted.unionByName(bent))
+
+
+@query()
+def step_covariances(spark, d):
+    s = X.centre(spark, d).withColumn("context", (F.col("entry") % 3).cast("string"))
+    return kernels.step_covariance(s, "context", ["x", "y", "z"], 20).select("context", "n", F.round("condition", 6).alias("condition"), F.transform("covariance", lambda v: F.round(v, 6)).alias("covariance"))
+
+
+@query()
+def heldout_gaussian_nll(spark, d):
+    s = X.centre(spark, d).withColumn("key", F.col("entry") * 100_000 + F.col("idx"))
+    return kernels.gaussian_nll(s, "entry", ["x", "y", "z"], "key", 1e-3, 10)
+
+
+COMPS = f"SELECT entry, idx, (['A', 'C', 'G', 'U', 'PSU', 'OMC', 'DT', 'I', 'XXX'])[(idx * 5 + entry) % 9 + 1] AS comp FROM ({X.CENTRE})"
+
+
+def components(spark, d):
+    c = F.element_at(F.array(*[F.lit(x) for x in ("A", "C", "G", "U", "PSU", "OMC", "DT", "I", "XXX")]), ((F.col("idx") * 5 + F.col("entry")) % 9 + 1).cast("int"))
+    return X.centre(spark, d).select("entry", "idx", c.alias("comp"))
+
+
+def dictionary(spark):
+    return spark.createDataFrame([("PSU", "PSEUDOURIDINE-5'-MONOPHOSPHATE", "U"), ("OMC", "O2'-METHYLYCYTIDINE-5'-MONOPHOSPHATE", "C"), ("XXX", " ", None)], "comp string, name string, parent string")
+
+
+@query(f"""WITH r AS (SELECT *, CASE comp WHEN 'PSU' THEN 'U' WHEN 'OMC' THEN 'C' WHEN 'DT' THEN 'DU' WHEN 'XXX' THEN 'N' ELSE comp END AS token FROM ({COMPS})),
+  p AS (SELECT *, CASE WHEN right(token, 1) IN ('A', 'C', 'G', 'U') THEN right(token, 1) END AS parent FROM r)
+  SELECT token, count(*) AS n, avg(CASE parent WHEN 'A' THEN 1.0 WHEN 'G' THEN 1.0 WHEN 'C' THEN 0.0 WHEN 'U' THEN 0.0 ELSE 0.5 END) AS purine, CAST(sum(CAST(token = 'DU' AS INTEGER)) AS BIGINT) AS deoxy, count_if(idx = 0) AS first FROM p GROUP BY token""")
+def residue_chemistry(spark, d):
+    e = chemistry.residue_chemistry(chemistry.encode_residues(components(spark, d), dictionary(spark)))
+    return e.groupBy("token").agg(F.count("*").alias("n"), F.avg("purine").alias("purine"), F.sum("deoxy").alias("deoxy"), F.sum("first").alias("first"))
+
+
+@query(f"""WITH n AS (SELECT comp, count(*) AS n FROM ({COMPS}) WHERE comp NOT IN ('A', 'C', 'G', 'U', 'N') GROUP BY comp),
+  c AS (SELECT *, CASE comp WHEN 'PSU' THEN 'pseudouridine' WHEN 'OMC' THEN 'methylation' ELSE 'unknown' END AS class FROM n), g AS (SELECT class, count(*) AS kinds, CAST(sum(n) AS BIGINT) AS residues FROM c GROUP BY class)
+  SELECT *, residues / sum(residues) OVER () AS share FROM g""")
+def modification_census(spark, d):
+    return chemistry.modification_census(components(spark, d), dictionary(spark))
+
+
+ENT = "SELECT l_orderkey AS entry, l_suppkey % 3 AS chain, l_linenumber AS seq_id, '' AS ins, CASE WHEN l_returnflag = 'R' THEN 'protein' ELSE 'rna' END AS kind FROM lineitem"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT * FROM ({ENT})), n AS (SELECT entry, chain, kind, count(*) AS n FROM r GROUP BY ALL),
+  e AS (SELECT entry, coalesce(sum(n) FILTER (WHERE kind = 'rna'), 0) AS rna, coalesce(sum(n) FILTER (WHERE kind = 'protein'), 0) AS protein FROM n GROUP BY entry)
+  SELECT count(*) AS entries, CAST(max(rna) AS BIGINT) AS most_rna, count_if(rna > 4) AS over_large, avg(CAST(protein > 0 AS DOUBLE)) AS in_complex, count_if(rna >= 2 AND protein >= 2) AS ribosome_like FROM e""")
+def entry_population(spark, d):
+    r = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("entry"), (F.col("l_suppkey") % 3).alias("chain"), F.col("l_linenumber").alias("seq_id"), F.lit("").alias("ins"), F.when(F.col("l_returnflag") == "R", "protein").otherwise("rna").alias("kind"))
+    return chemistry.composition_population(chemistry.entry_composition(r), (2, 2), 4)
+
+
+BUF = "SELECT o_orderkey AS entry, o_totalprice / 1000 AS mg, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 150 END AS k FROM orders"
+
+
+@query(f"""WITH e AS (SELECT entry, 'Mg' AS ion, mg AS mm FROM ({BUF}) UNION ALL SELECT entry, 'K', CAST(k AS DOUBLE) FROM ({BUF}) WHERE k IS NOT NULL), a AS (SELECT count(*) AS al FROM orders),
+  s AS (SELECT ion, count(*) AS entries, median(mm) AS median, list_sort(list(mm)) AS v FROM e GROUP BY ion)
+  SELECT ion, entries, median, v[least(entries - 1, CAST(floor(0.1 * entries) AS BIGINT)) + 1] AS p10, v[least(entries - 1, CAST(floor(0.9 * entries) AS BIGINT)) + 1] AS p90, entries / al AS share FROM s, a""")
+def buffer_audit(spark, d):
+    o = read_table(spark, d, "orders")
+    k = F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_orderkey") % 150).cast("double"))
+    ions = F.map_filter(F.create_map(F.lit("Mg"), F.col("o_totalprice") / 1000, F.lit("K"), k), lambda _, v: v.isNotNull())
+    return chemistry.buffer_audit(o.select(F.col("o_orderkey").alias("entry"), ions.alias("ions")))
+
+
 # --- alignments
 
 SAME = "len(list_filter(list_zip(string_split(a.aligned, ''), string_split(b.aligned, '')), lambda p: p[1] = p[2])) / 60.0"
