@@ -68,7 +68,7 @@ def family_disjoint_split(df: DataFrame, shares: Sequence[tuple[str, float]] = (
     folded = small.select(F.explode(F.aggregate("list", zero, step, lambda a: a["out"])).alias("r")).select("r.g", "r.s")
     names = F.array(*[F.lit(s) for s, _ in shares])
     placed = groups.join(folded, groups["group"] == folded["g"], "left")
-    return placed.select("group", "size", F.coalesce(F.element_at(names, F.col("s") + 1), F.lit(shares[0][0])).alias("split"))
+    return placed.select("group", "size", F.when(F.col("oversized"), shares[0][0]).otherwise(F.element_at(names, F.col("s") + 1)).alias("split"))
 
 
 def entry_holdout(df: DataFrame, seed: str = "0", fraction: float = 0.2) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import batches, monitor
+from ..session import prepare, scratch_root
+from ..streaming import logs
 from . import fixtures as X
 from .registry import query
 
@@ -186,3 +190,26 @@ def single_group_batches(spark, d):
 def quantized_padding(spark, d):
     w = S.quantized_length(F.col("length"), 64)
     return sized(spark, d).groupBy(w.alias("width")).agg(F.count("*").alias("n"), F.sum(w - F.col("length")).alias("padding"))
+
+
+# --- streams
+
+
+@query(f"SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, stage, count(*) AS n, round(avg(metric), 8) AS mean FROM ({X.LOGS}) GROUP BY ALL")
+def stream_rollup(spark, d):
+    """The events table read as a stream to its end; the windows are those of the batch twin."""
+    prepare(spark)
+    rows = logs.stream_table(spark, f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), F.col("value").alias("metric"))
+    return _run(logs.rollup(rows, "6 hours", "metric"), "complete").withColumn("mean", F.round("mean", 8))
+
+
+@query("SELECT user_id, event_type FROM events GROUP BY ALL")
+def stream_dedup(spark, d):
+    prepare(spark)
+    rows = logs.stream_table(spark, f"{d}/events.parquet").select("user_id", "event_type")
+    return _run(logs.dedup(rows, ["user_id", "event_type"]), "append")
+
+
+def _run(stream, mode):
+    name = f"s{uuid.uuid4().hex}"
+    return logs.run_available(stream, name, f"{scratch_root(stream.sparkSession)}/stream-{name}", mode)

@@ -22,8 +22,9 @@ def stream_run_logs(spark: SparkSession, folder: str, metrics: Sequence[str]) ->
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table's files as a stream."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A Parquet table as a stream. The source takes folders or globs, and a table may be one file: hence the glob."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/[{name[0]}]{name[1:]}")
 
 
 def rollup(rows: DataFrame, width: str, value: str, watermark: str = WATERMARK) -> DataFrame:

@@ -1,0 +1,198 @@
+"""Operators that SQL does not express: folds, kernels, rounds, streams; and invariants."""
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from strandline.functions import conditions, mutations, sequence, stats
+from strandline.operators import alignment, batches, catalog, corpus, fitness, kernels, monitor, splits, structure
+from strandline.streaming import logs
+
+
+def test_mutations(spark):
+    rows = [("C2G,A1U", "ACGU"), ("C2G, bad", "ACGU"), ("", "ACGU"), (None, "ACGU"), ("A9C", "ACGU"), ("A1C,A1G", "ACGU")]
+    df = spark.createDataFrame(rows, "m string, wt string").withColumn("p", mutations.parse_mutations(F.col("m")))
+    got = df.select("m", "p", mutations.apply_mutations(F.col("wt"), F.col("p")).alias("s"), mutations.wild_type_agrees(F.col("wt"), F.col("p")).alias("ok")).collect()
+    by = {r.m: r for r in got}
+    assert [(x.wt, x.pos, x.mt) for x in by["C2G,A1U"].p] == [("C", 1, "G"), ("A", 0, "U")]
+    assert by["C2G,A1U"].s == "UGGU" and by["C2G,A1U"].ok
+    assert all(by[k].p is None and by[k].s is None for k in ("C2G, bad", "", None))
+    assert by["A9C"].s == "ACGU" and not by["A9C"].ok
+    assert by["A1C,A1G"].s == "GCGU"
+
+
+def test_conditions(spark):
+    df = spark.createDataFrame([("chemical:Mg:5mM chemical:Mg:2M chemical:Na:3uM x", "Target/TS123_4.pdb")], "t string, f string")
+    r = df.select(conditions.extract_concentrations(F.col("t")).alias("m"), conditions.competitor_label(F.col("f")).alias("c"), conditions.all_matches(F.col("t"), [("Mg", "mg"), ("K:", "k"), ("Na", "na")]).alias("a")).first()
+    assert r.m == {"Mg": 2000.0, "Na": 0.003} and (r.c.group, r.c.model) == ("123", "4") and r.a == ["mg", "na"]
+    one = spark.range(1)
+    s = one.select(conditions.ionic_strength(F.create_map(F.lit("Mg"), F.lit(10.0))).alias("i"), conditions.manning_terms(F.lit(2)).alias("t")).first()
+    assert s.i == pytest.approx(0.03) and 0 < s.t.theta < 0.5 and s.t.xi == pytest.approx(2.55, abs=0.05)
+    with pytest.raises(Exception, match="unknown ion"):
+        one.select(conditions.ionic_strength(F.create_map(F.lit("Xx"), F.lit(1.0)))).collect()
+    w = {x: one.select(conditions.clash_weight(F.lit(x).cast("double")).alias("w")).first().w for x in (0, 9.9, 10, 20, 40, -1, None)}
+    assert w == {0: 1.0, 9.9: 1.0, 10: 0.8, 20: 0.55, 40: 0.3, -1: 0.3, None: 0.8}
+    u = one.select(*[conditions.to_mm(F.lit(2.0), F.lit(x), strict).alias(f"{i}") for i, (x, strict) in enumerate((("M", False), ("µM", True), ("nM", True), ("odd", True), ("odd", False)))]).first()
+    assert list(u) == [2000.0, 0.002, 0.000002, None, 2.0]
+
+
+def test_span_mask(spark):
+    df = spark.createDataFrame([(i, "ACGU" * 50) for i in range(50)] + [(99, "ACG")], "id long, s string")
+    rows = df.withColumn("m", sequence.span_mask(F.col("s"), F.col("id"))).collect()
+    changed = [sum(a != b for a, b in zip(r.s, r.m, strict=True)) for r in rows if r.id < 50]
+    assert all(10 <= c <= 30 for c in changed) and 0.11 < sum(changed) / (50 * 200) < 0.145
+    assert [r.m for r in rows if r.id == 99] == ["ACG"]
+    assert rows == df.repartition(3).withColumn("m", sequence.span_mask(F.col("s"), F.col("id"))).orderBy("id").collect()
+
+
+def test_ranks_and_constant_columns(spark):
+    df = spark.createDataFrame([("a", 1.0, 5.0), ("a", 1.0, 5.0), ("a", 2.0, 5.0), ("b", 1.0, 2.0)], "k string, x double, y double")
+    assert {(r.k, r.n): r.spearman for r in stats.spearman(df, ["k"], "x", "y").collect()} == {("a", 3): None, ("b", 1): None}
+    p = spark.range(1).select(*[stats.sign_test_p(F.lit(w), F.lit(l)).alias(f"{w}") for w, l in ((8, 1), (5, 5), (0, 0), (10, 0))]).first()
+    exact = lambda w, l: min(1.0, 2 * sum(math.comb(w + l, i) for i in range(max(w, l), w + l + 1)) / 2 ** (w + l))
+    assert list(p) == pytest.approx([exact(8, 1), 1.0, 1.0, exact(10, 0)])
+
+
+def test_rank_normal(spark):
+    df = spark.createDataFrame([("a", float(i % 7)) for i in range(50)], "assay string, dms_score double")
+    t = fitness.rank_normal(df).toPandas()
+    assert abs(t["target"].mean()) < 0.05 and t.groupby("dms_score")["target"].nunique().max() == 1
+
+
+def test_family_split_is_the_sequential_fold(spark):
+    rnd = random.Random(1)
+    rows = [(f"e{i}", rnd.choice(["f1", "f2", "f3", "f4", None, None]) if i % 3 else "big", rnd.randint(20, 90)) for i in range(400)]
+    df = spark.createDataFrame(rows, "entry string, family string, length long")
+    got = {r.group: r for r in splits.family_disjoint_split(df).collect()}
+    total = sum(r[2] for r in rows)
+    assert all(r.split == "train" for r in got.values() if r.size > 0.05 * total)
+    share = Counter()
+    for r in got.values():
+        share[r.split] += r.size
+    assert set(share) == {"train", "val", "test"} and len(got) == len({f or e for e, f, _ in rows})
+    assert {r.group: r.split for r in splits.family_disjoint_split(df.repartition(5)).collect()} == {g: r.split for g, r in got.items()}
+    assert splits.leak_guard(df.where("family = 'f1'"), df.where("family = 'f2'"), ["family"]).first().leaks == 0
+    with pytest.raises(ValueError, match="leaks"):
+        splits.leak_guard(df, df, ["entry"], fail=True)
+
+
+def test_dot_brackets_equal_a_stack(spark):
+    rnd = random.Random(2)
+    strings = ["".join(rnd.choice("(())[]<.>{}.") for _ in range(60)) for _ in range(30)]
+    balanced = []
+    for s in strings:
+        out, open_ = [], Counter()
+        for c in s:
+            if c in "([<{":
+                open_[c] += 1
+            elif c in ")]>}":
+                o = "([<{"[")]>}".index(c)]
+                c = c if open_[o] else "."
+                open_[o] -= c != "."
+            out.append(c)
+        balanced.append("".join(out))
+    df = spark.createDataFrame(list(enumerate(balanced)), "id long, ss string")
+    got = {(r.id, r.i, r.j) for r in structure.dot_bracket_pairs(df, "id", "ss").collect()}
+    expect = set()
+    for k, s in enumerate(balanced):
+        stacks = {c: [] for c in "([<{"}
+        for i, c in enumerate(s):
+            if c in stacks:
+                stacks[c].append(i)
+            elif c in ")]>}":
+                expect.add((k, stacks["([<{"[")]>}".index(c)]].pop(), i))
+    # An opening that never closes pairs with nothing, and shifts no other pair.
+    assert expect == got
+
+
+def test_greedy_pairing_is_the_sequential_order(spark):
+    rnd = random.Random(3)
+    c = [("e", *sorted(rnd.sample(range(30), 2)), rnd.randint(0, 9) / 10) for _ in range(80)]
+    c = list({x[:3]: x for x in c}.values())
+    got = {(r.i, r.j) for r in kernels.greedy_pairing(spark.createDataFrame(c, "entry string, i int, j int, off double")).collect()}
+    used, expect = set(), set()
+    for _, i, j, _ in sorted(c, key=lambda x: (x[3], x[1], x[2])):
+        if not {i, j} & used:
+            used |= {i, j}
+            expect.add((i, j))
+    assert got == expect
+
+
+def test_superposition():
+    rnd = np.random.default_rng(4)
+    a = np.cumsum(rnd.normal(size=(60, 3)) * 3, axis=0)
+    q, _ = np.linalg.qr(rnd.normal(size=(3, 3)))
+    q *= np.sign(np.linalg.det(q))
+    rmsd, tm, gdt = kernels.superposition_scores(a, a @ q + 7, 60)
+    assert rmsd == pytest.approx(0, abs=1e-8) and tm == pytest.approx(1) and gdt == 1
+    rmsd, tm, _ = kernels.superposition_scores(a, a * [-1, 1, 1], 60)
+    assert rmsd > 1 and tm < 0.9
+
+
+def test_batches_keep_the_budget(spark):
+    rnd = random.Random(5)
+    lengths = [rnd.randint(1, 900) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(lengths)), "id long, length long")
+    b = batches.pack_ranges(df, F.lit(0), ["length", "id"], 4096, 64, 64).collect()
+    assert sum(r.rows for r in b) == 500 and sum(r.tokens for r in b) == sum(lengths)
+    assert all(r.rows * r.width <= 4096 or r.rows == 1 for r in b) and max(r.rows for r in b) <= 64
+    arrival = batches.report(batches.pack_ranges(df, F.lit(0), ["id"], 4096, 64)).first()
+    assert arrival.padding > batches.report(batches.pack_ranges(df, F.lit(0), ["length", "id"], 4096, 64)).first().padding
+    assert batches.bucket_bounds(100, 1.5, 32) == [32, 48, 72, 108]
+
+
+def test_row_conservation_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "h rRNA", "ACGT"), (2, "h", "ACGT"), (3, "h", "A"), (4, "h", "ACGT")], "id long, header string, sequence string")
+    f = corpus.annotation_filter(df, 2, 10, drop="rRNA")
+    counters = {r.reason: r.n for r in corpus.filter_counters(f).collect()}
+    assert counters == {"annotation": 1, "length": 1, "kept": 2}
+    assert [r.id for r in corpus.dedup_exact(f.where("reason IS NULL"), "sequence", "id").collect()] == [2]
+    none = df.where("id > 9")
+    assert corpus.chunk_profile(none, ["header"]).count() == 0 and corpus.stride_sample(none, "id", 5).count() == 0
+    e = catalog.expectations(spark.createDataFrame([("a", 3.14)], "metric string, value double"), spark.createDataFrame([("a", "3.1"), ("b", "1")], "metric string, expected string"))
+    assert {r.metric: r.ok for r in e.collect()} == {"a": True, "b": False}
+
+
+def test_alignment_weights_and_recovered_pair(spark):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(60):
+        s = [rnd.choice("ACGU") for _ in range(12)]
+        s[9] = {"A": "U", "U": "A", "G": "C", "C": "G"}[s[2]]
+        rows.append(("f", i, "".join(s)))
+    msa = spark.createDataFrame(rows, "family string, row_no long, aligned string")
+    w = alignment.row_weights(msa, 0.8)
+    assert alignment.neff(w).first().neff == pytest.approx(59, abs=1.01)
+    top = alignment.top_couplings(alignment.apc_mutual_information(msa, w), 0.1, 4, 12).first()
+    assert (top.i, top.j) == (2, 9)
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    d = tmp_path / "logs"
+    d.mkdir()
+    head = "run_id,stage,kind,timestamp,elapsed_s,epoch,step,loss,tokens"
+    (d / "a.csv").write_text(head + "\n1,train,step,2024-01-01 00:00:00,1,0,1,2.5,100\n1,train,step,2024-01-01 00:10:00,2,0,2,,200\n1,train,step,2024-01-01 00:20:00,3,0,3,NaN,350\n")
+    (d / "b.csv").write_text(head + "\n2,eval,step,2024-01-01 07:00:00,1,0,1,inf,10\n2,eval,step,bad,x,0,y,1.5,\n")
+    rows = logs.stream_run_logs(spark, str(d), ["loss", "tokens", "elapsed_s"][:2])
+    got = logs.run_available(rows, "raw", str(tmp_path / "c1")).collect()
+    assert len(got) == 5 and sum(r.loss is None for r in got) == 2 and sum(r.ts is None for r in got) == 1
+    bad = logs.run_available(logs.findings(logs.stream_run_logs(spark, str(d), ["loss"]), ["loss"]), "bad", str(tmp_path / "c2")).collect()
+    assert [(r.run_id, r.metric) for r in bad] == [("2", "loss")]
+    roll = logs.run_available(logs.rollup(logs.stream_run_logs(spark, str(d), ["loss"]).where("ts IS NOT NULL"), "1 hour", "loss"), "roll", str(tmp_path / "c3"), "complete").collect()
+    assert {(r.stage, r.n) for r in roll} == {("train", 3), ("eval", 1)}
+    raw = logs.stream_run_logs(spark, str(d), ["loss", "tokens"]).selectExpr("cast(run_id AS long) AS run_id", "stage", "step", "tokens", "cast(step AS double) AS elapsed")
+    rate = logs.run_available(logs.throughput(raw.where("step IS NOT NULL"), "tokens", "elapsed"), "rate", str(tmp_path / "c4"), "update").collect()
+    assert [(r.run_id, r.rate) for r in rate] == [(1, 150.0)]
+
+
+def test_findings(spark):
+    f = pd.DataFrame({"run_id": [1] * 8, "stage": ["t"] * 8, "step": range(8), "loss": [1.0, 1, 1, 1, 2, 2, 2, 9], "x_acc": [0.5] * 8, "x_major": [0.5] * 8})
+    df = spark.createDataFrame(f)
+    assert monitor.loss_trend(df, "loss").first().worse and monitor.loss_spike(df, "loss").first().spike
+    assert monitor.check_floors(df, ["x"]).first().severity == "CRIT"
+    assert monitor.rising_tail(df, "loss").first().rising
