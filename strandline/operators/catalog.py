@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,12 +42,15 @@ def manifest(sources: DataFrame, files: DataFrame) -> DataFrame:
     return sources.join(listed, "name", "left")
 
 
-def presence(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """source_name, state (ok, resized, missing), n, bytes, the first four paths."""
+def presence(expected: DataFrame, actual: DataFrame, examples: int = 4) -> DataFrame:
+    """source_name, state (ok, resized, missing), n, bytes, first_paths: the first few paths in order."""
     joined = expected.join(actual.select("path", F.col("size_bytes").alias("_now")), "path", "left")
     state = F.when(F.col("_now").isNull(), "missing").when(F.col("_now") == F.col("size_bytes"), "ok").otherwise("resized")
-    # Four least paths by repeated minima would need four passes; min_by of a bounded slice is enough here.
-    return joined.groupBy("source_name", state.alias("state")).agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"), F.min("path").alias("first_path"))
+    rows = joined.select("source_name", state.alias("state"), "path", "size_bytes")
+    keys = ["source_name", "state"]
+    rn = F.row_number().over(Window.partitionBy(*keys).orderBy("path"))
+    few = rows.withColumn("_rn", rn).where(F.col("_rn") <= examples).groupBy(*keys).agg(F.array_sort(F.collect_list("path")).alias("first_paths"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes")).join(few, keys)
 
 
 def inventory_gap(documented: DataFrame, measured: DataFrame, key: str, share: float = 0.85) -> DataFrame:

@@ -209,12 +209,12 @@ def manifest_rows(spark, d):
     return m.select("name", F.when(F.col("files").isNotNull(), F.size("files")).cast("long").alias("n_files"), "total_bytes", F.element_at("files", 1)["path"].alias("first_path"))
 
 
-@query(f"""SELECT source_name, state, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes, min(path) AS first_path FROM (
+@query(f"""SELECT source_name, state, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes, array_to_string(list_sort(list(path))[1:4], ' ') AS first_paths FROM (
   SELECT *, CASE WHEN id % 11 = 0 THEN 'missing' WHEN id % 7 = 0 THEN 'resized' ELSE 'ok' END AS state FROM ({X.FILES})) GROUP BY source_name, state""")
 def data_presence(spark, d):
     f = X.files(spark, d)
     now = f.where("id % 11 <> 0").withColumn("size_bytes", F.when(F.col("id") % 7 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")))
-    return catalog.presence(f, now)
+    return catalog.presence(f, now).withColumn("first_paths", F.array_join("first_paths", " "))
 
 
 @query(f"""WITH m AS (SELECT source_name, count(*) AS documented, count(n_records) AS measured FROM ({X.FILES}) GROUP BY source_name),
