@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .words import LOWER, UPPER, words_of
+from .words import words_of
 
 # Frequent function words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -65,7 +65,8 @@ def features(docs: DataFrame, key: str = "doc_id", carry: tuple[str, ...] = ())
     df = df.withColumn("n_repeat_words", F.expr("aggregate(_found, named_struct('n', 0L, 'at', -3L), (a, p) -> named_struct('n', a.n + least(3L, p - a.at), 'at', p), a -> a.n)"))
     # Common words by number, sorted: the ends of equal stretches give their counts.
     listed = F.array(*[F.lit(w) for w in COMMON_WORDS])
-    numbers = F.transform("_words", lambda w: F.array_position(listed, F.translate(w, UPPER, LOWER)).cast("int"))
+    short = F.filter("_words", lambda w: F.length(w) <= max(map(len, COMMON_WORDS)))
+    numbers = F.transform(short, lambda w: F.array_position(listed, F.lower(w)).cast("int"))
     df = df.withColumn("_numbers", F.sort_array(F.filter(numbers, lambda x: x > 0)))
     df = df.withColumn(
         "_ends",
@@ -167,7 +168,7 @@ rc AS (SELECT lang, bin, sum(n) / greatest(sum(sum(n)) OVER (PARTITION BY lang),
 jc AS (SELECT doc_id, {js('p', 'q')} AS js FROM (SELECT doc_id, cl.n / cl.total AS p, q FROM cl JOIN rc ON cl.lang IS NOT DISTINCT FROM rc.lang AND cl.bin = rc.bin) GROUP BY doc_id),
 cw AS (
   SELECT doc_id, bin, count(*) AS n
-  FROM (SELECT doc_id, list_position({listed}, translate(unnest(w), '{UPPER}', '{LOWER}')) AS bin FROM d) WHERE bin > 0 GROUP BY doc_id, bin),
+  FROM (SELECT doc_id, list_position({listed}, lower(unnest(w))) AS bin FROM d) WHERE bin > 0 GROUP BY doc_id, bin),
 lw AS (SELECT lang, sum(n_words) AS total FROM b WHERE NOT base_failed GROUP BY lang),
 bins AS (SELECT lang, greatest(total, 1) AS total, unnest(range(1, {len(COMMON_WORDS) + 1})) AS bin FROM lw),
 rw AS (

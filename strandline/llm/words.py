@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Entries a worker's word cache may hold before it starts anew.
 CACHE_LIMIT = 400_000
 
