@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, prepare
 from .components import connected_components
-from .words import WordIds, hashed_words, mix, text_bytes
+from .words import WORD, WordIds, hashed_words, mix, text_bytes
 
 #: Shingles handled at once: small enough for the processor's cache.
 BLOCK = 1 << 16
@@ -162,22 +162,8 @@ def possible_pairs(members: DataFrame, sets: DataFrame, bands: DataFrame, percen
     return one.join(two, (one["key"] == two["key"]) & near & (F.element_at(common, 1) == one["key"])).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32, rows: int = 6, seed: int = 11) -> DataFrame:
-    """Every row with its component: doc_id, text_key, n_shingles, component_id, kept.
-
-    Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of distinct
-    `width`-word shingles; component_id is the least doc_id reachable and kept says that the row is
-    that document. Texts without words have an empty set and stand alone. Null doc_ids never become
-    a component_id unless all of a component's are null. Rows of one doc_id are ordinary rows.
-
-    Equal sets are one node from the start. Nodes that share a band's key meet in a bucket. First each
-    bucket's pivot, the node with the most company over all its buckets (of edited copies mostly the
-    original), is compared with the others, so a bucket of copies costs its size, not its square, and a
-    bucket within one component is done. In the others every pair of different components is compared
-    that `possible_pairs` cannot rule out. So every pair that shares a bucket is linked, connected
-    otherwise, or shown to be too unlike. With 32 bands of 6 a pair of similarity 0.85 shares no
-    bucket with probability 3e-7, one of 0.8 with 6e-5.
-    """
+def _linked(docs: DataFrame, percent: int, width: int = 5, bands: int = 32, rows: int = 6, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """The rows' `band_keys`, and (node, root) of every node that is linked to another."""
     prepare(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     table = materialize(band_keys(base, bands, rows, width, seed), "bands")
@@ -209,6 +195,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
         if not again.isEmpty():
             roots = connected_components(links.unionByName(again))
 
+    return table, roots
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32, rows: int = 6, seed: int = 11) -> DataFrame:
+    """Every row with its component: doc_id, text_key, n_shingles, component_id, kept.
+
+    Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of distinct
+    `width`-word shingles; component_id is the least doc_id reachable and kept says that the row is
+    that document. Texts without words have an empty set and stand alone. Null doc_ids never become
+    a component_id unless all of a component's are null. Rows of one doc_id are ordinary rows.
+
+    Equal sets are one node from the start. Nodes that share a band's key meet in a bucket. First each
+    bucket's pivot, the node with the most company over all its buckets (of edited copies mostly the
+    original), is compared with the others, so a bucket of copies costs its size, not its square, and a
+    bucket within one component is done. In the others every pair of different components is compared
+    that `possible_pairs` cannot rule out. So every pair that shares a bucket is linked, connected
+    otherwise, or shown to be too unlike. With 32 bands of 6 a pair of similarity 0.85 shares no
+    bucket with probability 3e-7, one of 0.8 with 6e-5.
+    """
+    table, roots = _linked(docs, percent, width, bands, rows, seed)
     classes = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of_root = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(of_root, "root").select("node", "component_id")
@@ -218,18 +224,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the row of its least doc_id.
+    """The rows of `docs` without near-duplicates: one row of each component.
 
-    Of several rows with that doc_id the one with the least text hash stays, once. Components
-    whose doc_ids are all null keep one row for each distinct text hash.
+    It is the row of the least doc_id, a null one last; of several such rows the one with the least
+    text hash, once. Texts without words stand alone, so each of their rows stays.
     """
-    near = near_duplicates(docs, percent).where("kept")
-    chosen = near.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("text_key")).alias("t")).agg(F.min("text_key").alias("_key")).select(F.col("component_id").alias("_id"), "_key")
+    table, roots = _linked(docs, percent)
+    best = table.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("r"))
+    best = best.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("r").alias("r"))
+    chosen = materialize(best.select(F.col("r.doc_id").alias("_id"), F.col("r.text_key").alias("_key")), "chosen")
     names = docs.columns
-    rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_text_key"))
-    chosen = materialize(chosen, "chosen")
-    left = rows.join(chosen, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    keys = docs.select(F.col("doc_id").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("t"))
-    if not keys.groupBy("d", "t").count().where("count > 1").isEmpty():
+    wordy = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False)).alias("_wordy")
+    rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_text_key"), wordy)
+    left = rows.where("_wordy").join(chosen, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    if not rows.where("_wordy").groupBy("_doc", "_text_key").count().where("count > 1").isEmpty():
         left = left.dropDuplicates(["_doc", "_text_key"])
-    return left.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
+    return left.unionByName(rows.where("NOT _wordy")).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])

@@ -398,3 +398,14 @@ def test_components(spark):
             root[y] = x
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(root)}
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Groups of null ids lose their copies; unlike texts under one id both stay, and so do rows without words."""
+    a, b, c = ("a0 a1 a2 a3 a4 a5 a6 a7 a8 a9 " * 3).split(), [f"b{i}" for i in range(30)], [f"c{i}" for i in range(60)]
+    texts = [" ".join(x) for x in (b, b + ["end"], b + ["stop"], b, a, c, c + ["end"], c)] + ["", "", None]
+    ids = [None, None, None, None, 7, 7, None, 3, None, None, 9]
+    got = [(r.doc_id, r.text) for r in minhash.keep_one(docs(spark, texts, ids=ids), 80).collect()]
+    assert sum(i is None and bool(t) for i, t in got) == 1
+    assert {(7, texts[4]), (3, texts[5])} <= set(got) and (7, texts[5]) not in got
+    assert got.count((None, "")) == 2 and (9, None) in got and len(got) == 6
