@@ -117,6 +117,17 @@ def test_quality_edges(spark):
     assert kneser.classify_quality(spark.createDataFrame([], EXTRA), labels).count() == 0
 
 
+def test_long_trusted_texts_leave_training_text(spark):
+    """Texts over the word bound, the first by md5 or not, neither empty the model nor end it early."""
+    texts = [f"long{i} " * 90 if i % 4 == 0 else f"a b c d e f g h i {i}" for i in range(40)] + ["long " * 90] * 3 + ["junk%d bad%d x%d" % (i, i, i) for i in range(5)]
+    table = docs(spark, texts, langs=["en"] * 40 + ["xx"] * 3 + ["en"] * 5)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(43)], "doc_id long, quality int, toxic int")
+    used = kneser.trusted_sample(table.select("doc_id", "lang", "text"), labels, 2000, 80)[1].collect()
+    assert {x: sum(r.take for r in used if r.lang == x) for x in ("en", "xx")} == {"en": 80, "xx": 80}
+    assert len([r for r in used if r.lang == "en"]) == 8 and all(r.doc_id % 4 for r in used if r.lang == "en")
+    assert all(r.threshold is not None for r in kneser.classify_quality(table, labels, max_words=80).collect())
+
+
 # --- 3: Katz
 
 def brute_katz(texts, ids, modulus):
