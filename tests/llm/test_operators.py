@@ -128,6 +128,19 @@ def test_long_trusted_texts_leave_training_text(spark):
     assert all(r.threshold is not None for r in kneser.classify_quality(table, labels, max_words=80).collect())
 
 
+def test_ngrams_are_joined_in_shards(spark, monkeypatch):
+    """With hardly any hot n-grams and a filter that lets nearly all pass, the joined table alone gives the perplexities, in each language."""
+    monkeypatch.setattr(kneser, "HOT", 1)
+    monkeypatch.setattr(kneser, "FILTER", 8)
+    texts = sentences(1, 80)
+    table = docs(spark, texts, langs=[None if i % 2 else "en" for i in range(80)])
+    model = kneser.train(table.where("doc_id < 50"))
+    assert len(model["hot"][0]) == 2 and model["table"].columns == ["key", "x", "c"]
+    got = {r.doc_id: r.perplexity for r in kneser.perplexities(table.select("doc_id", "lang", "text"), model).collect()}
+    for k in (0, 1):
+        assert [got[i] for i in range(k, 80, 2)] == pytest.approx(brute_kneser(texts[k:50:2], texts[k::2]), rel=1e-9)
+
+
 # --- 3: Katz
 
 def brute_katz(texts, ids, modulus):
