@@ -223,13 +223,16 @@ def pair_confusion(predicted: DataFrame, reference: DataFrame, key: str) -> Data
 
 def dot_bracket_pairs(df: DataFrame, key: str, ss: str) -> DataFrame:
     """key, i, j (from 0): bracket pairs of the four kinds. At one depth brackets open and close in turn, so the nth
-    opening of a depth meets its nth closing."""
+    opening of a depth meets its nth closing. Closings that nothing opened fall below every depth before them and go."""
     s = df.select(key, F.posexplode(F.split(ss, "")).alias("pos", "c"))
     kinds = F.create_map(*[F.lit(x) for k, pair in enumerate(("()", "<>", "[]", "{}")) for c in pair for x in (c, k)])
     opens = F.col("c").isin("(", "<", "[", "{")
     s = s.withColumn("kind", F.try_element_at(kinds, F.col("c"))).where("kind IS NOT NULL").withColumn("o", F.when(opens, 1).otherwise(-1))
-    depth = F.sum("o").over(Window.partitionBy(key, "kind").orderBy("pos"))
-    s = s.withColumn("depth", F.when(F.col("o") == 1, depth).otherwise(depth + 1))
+    order = Window.partitionBy(key, "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("depth", F.sum("o").over(order))
+    low = F.least(F.lit(0), F.min("depth").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    s = s.withColumn("low", low).where("o = 1 OR depth >= low")
+    s = s.withColumn("depth", F.when(F.col("o") == 1, F.col("depth")).otherwise(F.col("depth") + 1))
     s = s.withColumn("nth", F.row_number().over(Window.partitionBy(key, "kind", "depth", "o").orderBy("pos")))
     i = s.where("o = 1").select(key, "kind", "depth", "nth", F.col("pos").alias("i"))
     j = s.where("o = -1").select(key, "kind", "depth", "nth", F.col("pos").alias("j"))

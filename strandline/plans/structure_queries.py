@@ -212,9 +212,10 @@ def kmer_context(spark, d):
 
 @query()
 def dot_bracket_pairs(spark, d):
-    """Pairs of bracket strings made of the sequences; checked against a stack in the tests."""
-    s = X.seq(spark, d).where(F.length("sequence") >= 80).select("id", F.translate(F.substring("sequence", 1, 80), "ACGTN", "(.)..").alias("ss"))
-    return structure.dot_bracket_pairs(s, "id", "ss").groupBy("id").agg(F.count("*").alias("pairs"), F.sum(F.col("j") - F.col("i")).alias("span"))
+    """Pairs of bracket strings made of the whole sequences, for every row; checked against a stack in the tests."""
+    s = X.seq(spark, d).select("id", F.translate("sequence", "ACGTN", "(.)..").alias("ss"))
+    found = structure.dot_bracket_pairs(s, "id", "ss").groupBy("id").agg(F.count("*").alias("pairs"), F.sum(F.col("j") - F.col("i")).alias("span"))
+    return s.select("id").join(found, "id", "left").fillna(0, ["pairs", "span"])
 
 
 # --- kernels and chemistry

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import conditions, mutations, sequence, stats
 from strandline.operators import alignment, batches, catalog, corpus, fitness, kernels, monitor, splits, structure
+from strandline.plans import fixtures, structure_queries
 from strandline.streaming import logs
 
 
@@ -123,6 +124,34 @@ def test_greedy_pairing_is_the_sequential_order(spark):
     assert got == expect
 
 
+def test_dot_brackets_of_whole_texts(spark, tmp_path):
+    """Beyond letter 80, short texts, texts without a pair, closings that nothing opened: as a stack has them."""
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("ACGTG") for _ in range(n)) for n in (700, 300, 79, 5, 1)] + ["GGAACGA", ""]
+    rows = [(i, t, "en", "s1", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.id, r.pairs, r.span) for r in structure_queries.dot_bracket_pairs(spark, str(tmp_path)).collect()}
+    expect = set()
+    for k, t in enumerate(t.translate(str.maketrans(fixtures.AZ, fixtures.BASES)) for t in texts):
+        stack, spans = [], []
+        for i, c in enumerate(t):
+            if c == "A":
+                stack.append(i)
+            elif c == "G" and stack:
+                spans.append(i - stack.pop())
+        expect.add((k, len(spans), sum(spans)))
+    assert got == expect
+
+
+def test_superposition_finds_a_small_domain():
+    """Only ten of a hundred residues are right: fits of a quarter of the model miss them."""
+    rnd = np.random.default_rng(2)
+    a, b = (np.cumsum(rnd.normal(size=(100, 3)) * 12, axis=0) for _ in range(2))
+    b[64:74] = a[64:74] + b[64] - a[64]
+    _, tm, gdt = kernels.superposition_scores(a, b, 100)
+    assert tm >= 0.1 and gdt >= 0.1 - 1e-9
+
+
 def test_superposition():
     rnd = np.random.default_rng(4)
     a = np.cumsum(rnd.normal(size=(60, 3)) * 3, axis=0)
