@@ -36,10 +36,13 @@ def superposition_scores(a: np.ndarray, b: np.ndarray, full: int) -> tuple[float
     d0 = max(0.6 * np.sqrt(max(full - 0.5, 0)) - 2.5, 0.3)
     tm = 0.0
     gdt = np.zeros(4)
-    for size in {n, max(n // 2, 3), max(n // 4, 3)}:
+    sizes = [n]
+    while sizes[-1] > 4:
+        sizes.append(max(sizes[-1] // 2, 4))
+    for size in sizes:
         for start in range(0, n - size + 1, max(1, size // 2)):
             chosen = np.arange(start, start + size)
-            for _ in range(8):
+            for _ in range(20):
                 d = np.sqrt(((a - _moved(b, a[chosen], b[chosen])) ** 2).sum(1))
                 tm = max(tm, float((1 / (1 + (d / d0) ** 2)).sum() / full))
                 gdt = np.maximum(gdt, [(d <= t).sum() / full for t in (1, 2, 4, 8)])
