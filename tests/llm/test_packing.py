@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandline.llm import packing
@@ -10,21 +11,78 @@ from strandline.llm.queries import tokenizer_path
 SCHEMA = "doc_id long, text string, piece string, length int"
 
 
-def whole(texts):
+def whole(texts, path=None):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
+    t = Tokenizer.from_file(path or tokenizer_path())
     return [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
 
 
-def test_encoding_equals_whole_texts(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(400).collect()
+def encoded(texts, path):
+    out = []
+    for first, ids, ends in packing.encode_texts(pa.array(texts, pa.string()), path, 0):
+        assert first == len(out)
+        out += [part.tolist() for part in np.split(ids, ends[:-1])]
+    return out
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("block", [1, 5000, 8 << 20])
+def test_encoding_equals_whole_texts(spark, monkeypatch, name, block):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "BLOCK_BYTES", block)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(400 if block > 1 else 20).collect()
     texts = [r[0] for r in docs] + [
-        "", "  \t ", "It's  I'm can't 'S", "café café ́x", "İstanbul İ", "Σας ΟΔΟΣ", "a1b22 x_y #tag don't!",
-        "<|endoftext|> a<|endoftext|>b", "你好。 emoji \U0001f600\U0001f600  line", "of, of. OF; of?! ...", " nbsp x", "x\x1cy\x85z",
+        "", None, "  \t ", "It's  I'm can't 'S", "café cafe\u0301 \u0301x cafe\u0301.", "İstanbul İ", "Σας ΟΔΟΣ ΟΔΟΣ.", "a1b22 x_y #tag don't!",
+        "<|endoftext|> a<|endoftext|>b", "你好。 emoji \U0001f600\U0001f600  line", "of, of. OF; of?! ...", "\xa0nbsp\xa0x", "x\x1cy\x85z",
+        "Éa$$$ ÉA.%%% don' 's ''s x's. Ǆa ᾼ ꟊ", "",
     ]
-    got = [np.frombuffer(b, dtype="<u4").tolist() for b in packing.encode_texts([t.encode() for t in texts], tokenizer_path(), 0)]
-    assert got == whole(texts)
+    path = public_tokenizers.path(name)
+    assert encoded(texts, path) == whole(texts, path)
+    assert (packing._tokenizer(path)[1] is not None) == (name == "word_bpe_49k.json")
+
+
+def test_a_small_cache_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 10)
+    texts = ["one two, three", "two three FOUR five", "one", "", "six! two, seven x1"]
+    assert encoded(texts, tokenizer_path()) == whole(texts)
+
+
+def fewest_bins(lengths, cap):
+    """The least number of bins, by trying every place of every piece."""
+    best = len(lengths)
+
+    def place(at, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if at == len(lengths):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[at] <= cap and bins[i] not in bins[:i]:
+                place(at + 1, [*bins[:i], bins[i] + lengths[at], *bins[i + 1 :]])
+        place(at + 1, [*bins, lengths[at]])
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_plan_is_near_the_fewest_bins():
+    rnd = random.Random(5)
+    exact = 0
+    for _ in range(150):
+        cap = rnd.choice([10, 30, 100])
+        lengths = [rnd.randint(1, cap) for _ in range(rnd.randint(1, 9))]
+        plan = packing.plan_bins({x: lengths.count(x) for x in set(lengths)}, cap)
+        used = len({sequence + t // per_bin for _, first, until, per_bin, sequence, _ in plan for t in range(until - first)})
+        least = fewest_bins(lengths, cap)
+        assert least <= used <= least + 1
+        exact += used == least
+    assert exact >= 140
 
 
 def optimum_bound(lengths, cap):
