@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +12,8 @@ from ..session import materialize, prepare
 
 #: Characters handled at once.
 BLOCK = 1 << 19
-_OTHER = re.compile(r"[\W\d_]+")
+#: Numerals such as superscripts, Roman and circled ones are no letters.
+_OTHER = regex.compile(r"\P{L}+")
 #: Bits of a character's code point, and of an n-gram (at most 3 characters).
 CHAR_BITS, GRAM_BITS = 21, 63
 

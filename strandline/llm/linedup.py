@@ -101,9 +101,10 @@ def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
     return found.join(first, keys).where("NOT (o = f.o AND d = f.d AND s = f.s)").select("d", F.col("s").alias("start"), F.col("e").alias("length"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """Every column of `docs`, with later copies of long line runs deleted from `text`, and
-    n_lines and n_removed (lines with a word, and how many of them went).
+def dedup_lines(docs: DataFrame, min_words: int = 50, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """Every column of `docs`, with later copies of long line runs deleted from `text`, and the two columns that
+    `counts` names: lines with a word, and how many of them went. If `docs` has a column of such a name, that one is
+    kept as it is and the count left out.
 
     A run of lines, one or more, is deleted where it holds at least `min_words` words and the same lines
     (white space at their ends aside) stand earlier in the corpus. Lines without a word go when the
@@ -155,5 +156,5 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     schema = thin.drop("_text", "_runs").schema.add("_text", "string").add("_removed", "long")
     out = thin.mapInArrow(run, schema)
     columns = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_c{i}").alias(c) for i, c in enumerate(names)]
-    counts = {"n_lines": F.col("_n"), "n_removed": F.col("_removed")}
-    return out.select(*columns, *[value.alias(c) for c, value in counts.items() if c not in names])
+    values = zip(counts, (F.col("_n"), F.col("_removed")), strict=True)
+    return out.select(*columns, *[value.alias(c) for c, value in values if c not in names])

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .numbering import number_within
 from .words import word_count
 
 #: Documents of a source are ordered by this many leading hex digits first: 16^3 cuts, each its own task.
 CUT_DIGITS = 3
+#: Groups of a few numbers each that are few enough to be sent to every task.
+SMALL_GROUPS = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: float = 3.0) -> DataFrame:
@@ -73,13 +76,25 @@ def expand_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs
 
     Documents that the mix does not take are left out. Sizes and repetitions are found on thin rows;
     they meet the texts again by doc_id and the hash of text and source. Rows equal in all of these
-    are each taken as often as they are on average, rounded.
+    stand as often as the mix takes them together: nearly always each is taken equally often; the few groups
+    that the end of a seeded order cuts in two are stored and numbered, and share their copies as evenly as can be.
+    Columns keep their names and values, whatever these are; null ids, texts and sources are ordinary; an empty
+    table gives no rows.
     """
-    carried = docs.withColumn("_hash", F.xxhash64("text", "source"))
-    counts = mix_sources(carried, weights, max_epochs, seed, carry=["_hash"]).groupBy("doc_id", "_hash").agg(F.round(F.avg("repeats")).cast("int").alias("_mean"))
-    counts = counts.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), F.col("_mean").alias("_repeats"))
-    joined = carried.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
-    return joined.withColumn("_copy", F.explode(F.expr("CASE WHEN _repeats > 0 THEN sequence(1, _repeats) ELSE array() END"))).select(*docs.columns)
+    names = docs.columns
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col("doc_id").alias("_doc"), F.xxhash64("text", "source").alias("_hash"))
+    thin = docs.select("doc_id", "text", "source", F.xxhash64("text", "source").alias("_hash"))
+    groups = mix_sources(thin, weights, max_epochs, seed, carry=["_hash"]).groupBy("doc_id", "_hash").agg(F.min("repeats").alias("_least"), F.max("repeats").alias("_most"), F.sum("repeats").alias("_sum"), F.count("*").alias("_rows"))
+    groups = materialize(groups.withColumnRenamed("doc_id", "_id").withColumnRenamed("_hash", "_h"), "repeats")
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    even = rows.join(groups.where("_least = _most AND _most > 0"), same).withColumn("_copies", F.col("_least"))
+    uneven = groups.where("_least < _most")
+    if not uneven.isEmpty():
+        cut = materialize(rows.join(F.broadcast(uneven) if uneven.count() <= SMALL_GROUPS else uneven, same).withColumn("_row", F.monotonically_increasing_id()), "uneven")
+        numbered = number_within(cut, ["_id", "_h"], F.md5(F.col("_row").cast("string")), ["_row"], "_place")
+        share = F.floor(F.col("_sum") / F.col("_rows"))
+        even = even.unionByName(numbered.withColumn("_copies", (share + (F.col("_place") < F.col("_sum") - share * F.col("_rows")).cast("long")).cast("int")).select(*even.columns))
+    return even.withColumn("_copy", F.explode(F.expr("CASE WHEN _copies > 0 THEN sequence(1, _copies) ELSE array() END"))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def oracle_sql(seed: int = 7, epochs: str = "3.0", documents: str = "documents") -> str:

@@ -21,7 +21,7 @@ from .numbering import number_within
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "p_length long, p_first long, p_until long, p_per_bin long, p_sequence long, p_offset long"
 #: Words whose ids a worker keeps (some 200 bytes each), and bytes of text that are encoded together.
-CACHE_WORDS, BLOCK_BYTES = 700_000, 8 << 20
+CACHE_WORDS, BLOCK_BYTES = 500_000, 4 << 20
 #: Rows that one cut of a length may hold before the lengths are cut finer.
 CUT_ROWS = 100_000
 # The pre-token pattern that never crosses white space, and normalizers that keep it so.

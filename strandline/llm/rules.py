@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .words import words_of
 
-# Frequent function words of English, German, French and Spanish.
-COMMON_WORDS = (
-    "the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "was", "on", "with", "as", "be", "are",
-    "der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch",
-    "de", "la", "le", "et", "les", "un", "une", "du", "en", "que", "dans", "qui", "par", "pour", "au", "sur", "est",
-    "el", "los", "las", "y", "del", "se", "por", "con", "no", "para", "una", "su", "al", "lo",
-)
 #: Character classes in this order; what is left of the text is punctuation.
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "other_script", "punctuation")
 #: Places that fit beside a hash in a long; longer texts are compared in full at once.
 PLACE_BITS = 21
+#: Common words that are learnt for a language, and languages whose references are sent to every task.
+COMMON, SMALL_TABLE = 30, 10_000
+
+
+def _to_tasks(table: DataFrame) -> DataFrame:
+    """A stored table of a row of fixed width per language, broadcast if there are not too many."""
+    return F.broadcast(table) if table.count() <= SMALL_TABLE else table
+
+
+def common_words(docs: DataFrame, size: int = COMMON) -> DataFrame:
+    """Per language (null is one of its own) its `size` most frequent words, lower case, over all its texts: an array,
+    most frequent first, ties by code point; and the length of the longest."""
+    words = docs.select(F.col("lang").cast("string").alias("_of"), F.explode(words_of(F.col("text").cast("string"))).alias("_w"))
+    counts = words.groupBy("_of", F.lower("_w").alias("_w")).agg(F.count("*").alias("_n"))
+    best = Window.partitionBy("_of").orderBy(F.desc("_n"), "_w")
+    top = counts.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= size)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_place", "_w"))), lambda x: x["_w"])
+    return top.groupBy("_of").agg(listed.alias("_listed"), F.max(F.length("_w")).alias("_longest"))
 
 
 def features(docs: DataFrame, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Counts of each text that the rules need; texts themselves are left behind."""
     words = words_of(F.col("_text"))
     df = docs.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_x_{c}") for c in carry], F.col("lang").cast("string").alias("_lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    df = df.join(_to_tasks(materialize(common_words(docs), "common")), F.col("_lang").eqNullSafe(F.col("_of")), "left")
     df = df.withColumn("_words", words).withColumn("n_words", F.size("_words").cast("long"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", lines).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
@@ -64,9 +76,8 @@ def features(docs: DataFrame, key: str = "doc_id", carry: tuple[str, ...] = ())
     )
     df = df.withColumn("n_repeat_words", F.expr("aggregate(_found, named_struct('n', 0L, 'at', -3L), (a, p) -> named_struct('n', a.n + least(3L, p - a.at), 'at', p), a -> a.n)"))
     # Common words by number, sorted: the ends of equal stretches give their counts.
-    listed = F.array(*[F.lit(w) for w in COMMON_WORDS])
-    short = F.filter("_words", lambda w: F.length(w) <= max(map(len, COMMON_WORDS)))
-    numbers = F.transform(short, lambda w: F.array_position(listed, F.lower(w)).cast("int"))
+    short = F.filter("_words", lambda w: F.length(w) <= F.col("_longest"))
+    numbers = F.transform(short, lambda w: F.array_position("_listed", F.lower(w)).cast("int"))
     df = df.withColumn("_numbers", F.sort_array(F.filter(numbers, lambda x: x > 0)))
     df = df.withColumn(
         "_ends",
@@ -91,7 +102,7 @@ def references(table: DataFrame) -> DataFrame:
     words = words.groupBy(F.col("_lang").alias("_l")).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_ws"))
     joined = classes.join(words, F.col("_lang").eqNullSafe(F.col("_l")), "left")
     total = F.greatest(F.aggregate("_cs", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
-    bins = F.sequence(F.lit(1), F.lit(len(COMMON_WORDS)))
+    bins = F.sequence(F.lit(1), F.lit(COMMON))
     share = F.transform(bins, lambda i: F.coalesce(F.try_element_at("_ws", i), F.lit(0.0)) / F.greatest(F.col("_nw").cast("double"), F.lit(1.0)))
     return joined.select(F.col("_lang").alias("_ref_lang"), F.transform("_cs", lambda x: x / total).alias("_ref_classes"), share.alias("_ref_common"))
 
@@ -109,12 +120,13 @@ def judge(docs: DataFrame, key: str = "doc_id", carry: tuple[str, ...] = (), max
     characters or more) or of common words (`min_test_words` words or more) is further from its
     language's in Jensen-Shannon distance (base 2, so 0 to 1) than allowed: `max_class_distance`, and
     word_distance_floor + word_distance_noise / sqrt(n_words), as a short text's histogram is noisy. The references are the
-    pooled histograms of all texts of that language that pass the first two rules; a language
+    pooled histograms of all texts of that language that pass the first two rules, its common words the
+    most frequent ones of all its texts; a language
     without any has none and the distances are null, which rejects nothing. Null texts have no
     words; a null lang is a language of its own; repeated rows are judged alike.
     """
     table = materialize(features(docs, key, carry).withColumn("base_failed", base_failed(min_words)), "features")
-    df = table.join(references(table), F.col("_lang").eqNullSafe(F.col("_ref_lang")), "left")
+    df = table.join(_to_tasks(materialize(references(table), "references")), F.col("_lang").eqNullSafe(F.col("_ref_lang")), "left")
     chars = F.greatest(F.aggregate("_classes", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
     df = df.withColumn("_p", F.transform("_classes", lambda x: x / chars)).withColumn("_total", F.greatest(F.col("n_words").cast("double"), F.lit(1.0)))
     df = df.withColumn("_js_c", F.expr(f"aggregate(arrays_zip(_p, _ref_classes), 0.0D, (a, z) -> a + {_half('z._p', 'z._ref_classes')})"))
@@ -142,7 +154,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def oracle_sql(documents: str = "documents") -> str:
     """DuckDB: the same counts, references, distances and verdicts with the production parameters."""
     word = r"[^\x20\x09-\x0D]"
-    listed = "[" + ", ".join(f"'{w}'" for w in COMMON_WORDS) + "]"
 
     def number(pattern: str) -> str:
         return f"length(text) - length(regexp_replace(text, '{pattern}', '', 'g'))"
@@ -166,11 +177,11 @@ b AS (SELECT *, chars - c1 - c2 - c3 - c4 - c5 - c6 AS c7, n_words < 50 OR 100 *
 cl AS (SELECT doc_id, lang, base_failed, unnest(range(1, 8)) AS bin, unnest([c1, c2, c3, c4, c5, c6, c7]) AS n, greatest(chars, 1) AS total FROM b),
 rc AS (SELECT lang, bin, sum(n) / greatest(sum(sum(n)) OVER (PARTITION BY lang), 1) AS q FROM cl WHERE NOT base_failed GROUP BY lang, bin),
 jc AS (SELECT doc_id, {js('p', 'q')} AS js FROM (SELECT doc_id, cl.n / cl.total AS p, q FROM cl JOIN rc ON cl.lang IS NOT DISTINCT FROM rc.lang AND cl.bin = rc.bin) GROUP BY doc_id),
-cw AS (
-  SELECT doc_id, bin, count(*) AS n
-  FROM (SELECT doc_id, list_position({listed}, lower(unnest(w))) AS bin FROM d) WHERE bin > 0 GROUP BY doc_id, bin),
+lo AS (SELECT doc_id, lang, lower(unnest(w)) AS word FROM d),
+tw AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS bin FROM lo GROUP BY lang, word QUALIFY bin <= {COMMON}),
+cw AS (SELECT doc_id, bin, count(*) AS n FROM lo JOIN tw ON lo.word = tw.word AND lo.lang IS NOT DISTINCT FROM tw.lang GROUP BY doc_id, bin),
 lw AS (SELECT lang, sum(n_words) AS total FROM b WHERE NOT base_failed GROUP BY lang),
-bins AS (SELECT lang, greatest(total, 1) AS total, unnest(range(1, {len(COMMON_WORDS) + 1})) AS bin FROM lw),
+bins AS (SELECT lang, greatest(total, 1) AS total, unnest(range(1, {COMMON + 1})) AS bin FROM lw),
 rw AS (
   SELECT bins.lang, bins.bin, coalesce(sum(x.n), 0) / any_value(bins.total) AS q
   FROM bins LEFT JOIN (SELECT lang, bin, n FROM cw JOIN b USING (doc_id) WHERE NOT base_failed) x

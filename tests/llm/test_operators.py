@@ -1,14 +1,19 @@
 """Each operator against a plain version on small tables, and its edge cases."""
 
+import hashlib
 import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import components, katz, kneser, langid, linedup, minhash, mixing, rules, sharding, topk
+from strandline.session import materialize
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 #: Clashing names that the operators use inside.
@@ -43,20 +48,49 @@ ODD = ["", None, " \n\t ", "one", "A b c \x85 d", "x " * 9000, "same", "same",
 def test_top_k_equals_brute_force(spark):
     rnd = random.Random(3)
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(700)]
-    rows += [(700, None), (701, [float("nan")] * 8), (702, [0.1, None] * 4), (703, [0.0] * 8), (704, rows[3][1]), (705, rows[3][1]), (None, rows[0][1]), (706, []), (750, [1.0, 2.0])]
+    rows += [(700, None), (701, [float("nan")] * 8), (702, [0.1, None] * 4), (703, [0.0] * 8), (704, rows[3][1]), (705, rows[3][1]), (None, rows[0][1]), (706, []), (750, [1.0, 2.0]), (50, rows[50][1]), (50, rows[7][1]), (20, rows[50][1])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(map(tuple, topk.search_embeddings(table, 5, 50).collect()))
     stored = [(r[0], r[1]) for r in table.collect()]
     sound = [(i, [math.floor(256 * x) for x in v]) for i, v in stored if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     expect = []
-    for q, v in sound:
+    for n, (q, v) in enumerate(sound):
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in sound if i != q and len(w) == len(v))[:5]
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(sound) if m != n and len(w) == len(v))[:5]
             expect += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(expect)
     assert topk.search_embeddings(spark.createDataFrame([], table.schema), 5, 50).count() == 0
 
 
+def test_top_k_ships_only_live_blocks(spark, monkeypatch):
+    """Vectors in far-apart bundles by id: most blocks never meet a set of queries, and the result is whole."""
+    for name, value in (("BLOCK_ROWS", 8), ("GROUP_BLOCKS", 2), ("QUERY_ROWS", 4), ("CHUNK_BLOCKS", 16)):
+        monkeypatch.setattr(topk, name, value)
+    rnd = random.Random(4)
+    rows = [(i, [(9.0 if j == i // 60 else 0.0) + rnd.random() for j in range(10)]) for i in range(600)]
+    rows += [(1000 + i, rows[0][1]) for i in range(300)]
+    whole = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = topk.integer_vectors(whole)
+    blocks = materialize(topk.block_table(vectors.withColumn("row", F.monotonically_increasing_id()).withColumn("width", F.size("v"))), "blocks")
+    assert sum(len(r.ids) for r in blocks.collect()) == 900 and max(len(r.ids) for r in blocks.collect()) <= 8
+    got = sorted(map(tuple, topk.search_embeddings(whole, 5, 50).collect()))
+    sound = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    expect = []
+    for q, v in sound:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in sound if i != q)[:5]
+            expect += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(expect)
+
+
+def test_a_block_below_the_seed_is_left():
+    blocks = pa.table({"ids": [[1, 2], [3]], "rows": [[1, 2], [3]], "flat": [[5, 0, 4, 0], [1, 1]], "high": [[5, 0], [1, 1]], "low": [[4, 0], [1, 1]]})
+    number, ids, scores = topk.search_group(np.array([[2, 0], [0, 3]]), np.array([1, 9]), np.array([4, 3]), blocks, 2)
+    assert (number.tolist(), ids.tolist(), scores.tolist()) == ([0, 1], [2, 3], [8, 3])
+    with pytest.raises(OverflowError):
+        topk.search_group(np.array([[1 << 40, 0]]), np.array([9]), np.array([0]), blocks.set_column(2, "flat", pa.array([[1 << 40, 0, 4, 0], [1, 1]])).set_column(3, "high", pa.array([[1 << 40, 0], [1, 1]])), 2)
+
+
 # --- 2: Kneser-Ney
 
 def brute_kneser(training, tests):
@@ -128,6 +162,14 @@ def test_long_trusted_texts_leave_training_text(spark):
     assert all(r.threshold is not None for r in kneser.classify_quality(table, labels, max_words=80).collect())
 
 
+def test_the_first_trusted_texts_are_chosen(spark):
+    table = docs(spark, [f"t{i}" for i in range(60)], langs=["en"] * 40 + [None] * 20).select("doc_id", "lang", "text")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    used = {r.doc_id for r in kneser.trusted_sample(table, labels, 9, 10**6)[1].collect()}
+    order = sorted((i for i in range(60) if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    assert used == {*[i for i in order if i < 40][:9], *[i for i in order if i >= 40][:9]}
+
+
 def test_ngrams_are_joined_in_shards(spark, monkeypatch):
     """With hardly any hot n-grams and a filter that lets nearly all pass, the joined table alone gives the perplexities, in each language."""
     monkeypatch.setattr(kneser, "HOT", 1)
@@ -245,9 +287,30 @@ def test_mix_targets_and_cap(spark):
     whole = mixing.expand_mix(docs(spark, texts, sources=sources))
     assert Counter(r.doc_id for r in whole.collect()) == Counter({r.doc_id: r.repeats for r in rows if r.repeats})
     assert mixing.mix_sources(spark.createDataFrame([], EXTRA)).count() == 0
+    assert mixing.expand_mix(spark.createDataFrame([], EXTRA)).count() == 0
     assert mixing.mix_sources(docs(spark, [None, ""])).count() == 2
 
 
+def test_repeated_rows_and_clashing_names_are_mixed_whole(spark):
+    """Rows of one id and text that the end of the order cuts in two stand as often as the mix takes them."""
+    rows = [(None if i < 7 else 5 if i < 12 else i, "w " * (3 if i < 12 else 1 + i % 9), "abc"[i % 3] if i >= 12 else "a", f"id{i}", i, f"h{i}", 1.5, "c") for i in range(90)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, _id string, _repeats int, _hash string, _copies double, c0 string")
+    for weights in ((1, 2, 3), (5, 2, 1), (1, 1, 1)):
+        want = Counter()
+        for r in mixing.mix_sources(table, weights).collect():
+            want[r.source, r.doc_id] += r.repeats
+        got = mixing.expand_mix(table, weights)
+        assert got.columns == table.columns
+        found = got.collect()
+        have = Counter()
+        for r in found:
+            have[r.source, r.doc_id] += 1
+            assert tuple(r) in set(rows)
+        assert have == +want
+        each = Counter(r._repeats for r in found if r.doc_id is None)
+        assert not each or max(each.values()) - min(each.get(i, 0) for i in range(7)) <= 1
+
+
 # --- 6: sharding
 
 def test_shards_move_little(spark):
@@ -273,7 +336,7 @@ def test_shards_move_little(spark):
 def brute_profile(texts, size):
     counts = Counter()
     for t in texts:
-        t = " " + re.sub(r"[\W\d_]+", " ", t.lower()).strip() + " "
+        t = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
         for n in (1, 2, 3):
             counts.update(g for g in (t[i : i + n] for i in range(len(t) - n + 1)) if g != " ")
     order = lambda g: sum(ord(c) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
@@ -301,8 +364,8 @@ def test_language_equals_plain_version(spark):
 
 
 def test_language_edges(spark):
-    out = {r.doc_id: r for r in langid.identify(docs(spark, [*sentences(8, 20), *ODD, "12 34 !?"])).collect()}
-    assert [out[i].lang_pred for i in (20, 21, 22, 29)] == ["und"] * 4 and out[20].score == 0.0
+    out = {r.doc_id: r for r in langid.identify(docs(spark, [*sentences(8, 20), *ODD, "12 34 !?", "\u00bd \u00b2 \u2177 \u2460", "\u2167_\u0301"])).collect()}
+    assert [out[i].lang_pred for i in (20, 21, 22, 29, 30, 31)] == ["und"] * 6 and out[20].score == 0.0
     assert out[23].lang_pred == "en"
     assert {r.lang_pred for r in langid.identify(docs(spark, ["abc"] * 3, langs=[None] * 3)).collect()} == {"und"}
     assert langid.identify(spark.createDataFrame([], EXTRA)).count() == 0
@@ -345,6 +408,15 @@ def test_line_runs_equal_brute_force(spark, seed):
         assert out[d].n_chars == (None if t is None else len(out[d].text))
 
 
+def test_columns_named_like_the_counts_stay(spark):
+    text = "a b c d e f\ng h i"
+    table = spark.createDataFrame([(1, text, 7, "x", "r"), (2, text, 8, "y", "s")], "doc_id long, text string, n_removed int, n_lines string, _runs string")
+    out = linedup.dedup_lines(table, 5, ("lines_here", "lines_gone"))
+    assert out.columns == [*table.columns, "lines_here", "lines_gone"]
+    assert sorted(map(tuple, out.collect())) == [(1, text, 7, "x", "r", 2, 0), (2, "", 8, "y", "s", 2, 2)]
+    assert linedup.dedup_lines(table, 5).columns == table.columns
+
+
 def test_line_edges(spark):
     assert linedup.dedup_lines(spark.createDataFrame([], DOC), 50).count() == 0
     out = linedup.dedup_lines(docs(spark, ODD, ids=[0, 1, 2, 3, 4, None, 6, 6, 8]), 5).collect()
