@@ -112,7 +112,7 @@ def _half(p: str, q: str) -> str:
     return f"(CASE WHEN {p} > 0 THEN 0.5D * {p} * log2(2.0D * {p} / ({p} + {q})) ELSE 0.0D END + CASE WHEN {q} > 0 THEN 0.5D * {q} * log2(2.0D * {q} / ({p} + {q})) ELSE 0.0D END)"
 
 
-def judge(docs: DataFrame, key: str = "doc_id", carry: tuple[str, ...] = (), max_class_distance: float = 0.27, word_distance_floor: float = 0.1, word_distance_noise: float = 2.0, min_words: int = 50, min_test_words: int = 80, min_test_chars: int = 300) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", carry: tuple[str, ...] = (), max_class_distance: float = 0.27, word_distance_floor: float = 0.1, word_distance_noise: float = 2.4, min_words: int = 50, min_test_words: int = 50, min_test_chars: int = 300) -> DataFrame:
     """Verdict for every row: key, counts, base_failed, class_distance, word_distance, kept.
 
     A document is rejected if it has under `min_words` words, if more than half of its words lie in
@@ -193,7 +193,7 @@ al AS (SELECT * FROM pq UNION ALL SELECT doc_id, 0, greatest(0, 1 - sum(p)), gre
 jw AS (SELECT doc_id, {js('p', 'q')} AS js FROM al GROUP BY doc_id)
 SELECT b.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(chars - c4 AS BIGINT) AS word_chars, CAST(c5 AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce((n_words >= 80 AND sqrt(greatest(jw.js, 0)) > 0.1 + 2.0 / sqrt(n_words))
+       NOT base_failed AND NOT coalesce((n_words >= 50 AND sqrt(greatest(jw.js, 0)) > 0.1 + 2.4 / sqrt(n_words))
          OR (chars >= 300 AND sqrt(greatest(jc.js, 0)) > 0.27), false) AS kept
 FROM b LEFT JOIN jc ON b.doc_id = jc.doc_id LEFT JOIN jw ON b.doc_id = jw.doc_id
 """
