@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, prepare
@@ -68,7 +69,7 @@ def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
     Ranks of prefixes of 1, 2, 4, ... lines are doubled until they cover the longest shortest run
     (at most `min_words` lines, as every line has a word); only suffixes that share their prefix with
     another stay in. Suffixes that share the prefix in which they first reach `min_words` words are
-    one interval of common prefixes: two overlapping ranks name it, its earliest member stays and
+    one interval of common prefixes, neighbours in the order of two overlapping ranks (`later_members`): its earliest member stays and
     the others are copies. A maximal run is the union of such shortest runs from its lines and up to
     its lines, so deleting those deletes it whole, whatever its length.
     """
@@ -95,10 +96,46 @@ def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
     found = copies[0]
     for more in copies[1:]:
         found = found.unionByName(more)
-    found = materialize(found.withColumn("o", F.coalesce("doc_id", F.lit((1 << 63) - 1))), "intervals")
-    keys = ["e", "ra", "rb"]
-    first = found.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("o", "d", "s")).alias("f")).where("n > 1")
-    return found.join(first, keys).where("NOT (o = f.o AND d = f.d AND s = f.s)").select("d", F.col("s").alias("start"), F.col("e").alias("length"))
+    return later_members(found.withColumn("o", F.coalesce("doc_id", F.lit((1 << 63) - 1))))
+
+
+def later_members(found: DataFrame) -> DataFrame:
+    """(d, start, length): of windows (e, ra, rb, o, d, s), all but the first of each interval.
+
+    The windows are put in the order of their length and suffix ranks, and within equal ranks of the corpus, by ranges
+    over all tasks. Neighbours of equal length and ranks have a common prefix of at least that length, so a stretch of
+    them is one interval of common prefixes, and every member that has such a neighbour before it is a later copy. A task
+    compares the rows of its range in turn; whether its first row goes on with the range before is settled by a table of
+    each range's ends.
+    """
+    order = ["e", "ra", "rb", "o", "d", "s"]
+    names = ["part", "kind", "e", "ra", "rb", "d", "s"]
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            e, ra, rb, d, s = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("e", "ra", "rb", "d", "s"))
+            same = np.append(last == (e[0], ra[0], rb[0]), (e[1:] == e[:-1]) & (ra[1:] == ra[:-1]) & (rb[1:] == rb[:-1]))
+            # Kinds: 0 a later copy, 1 a range's first row, 2 its last.
+            at = np.flatnonzero(same)
+            kind = np.zeros(len(at), dtype=np.int32)
+            if last is None:
+                at, kind = np.append(at, 0), np.append(kind, 1)
+            last = (e[-1], ra[-1], rb[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part), pa.int32()), pa.array(kind, pa.int32()), *[pa.array(c[at]) for c in (e, ra, rb, d, s)]], names=names)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([2], pa.int32()), *[pa.array([x], t) for x, t in zip((*last, 0, 0), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)]], names=names)
+
+    ranged = found.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    compared = materialize(ranged.mapInArrow(run, "part int, kind int, e int, ra long, rb long, d long, s int"), "intervals")
+    # A row or two for each range.
+    before = Window.orderBy("part", "kind")
+    ends = compared.where("kind > 0").select("*", *[F.lag(c).over(before).alias(f"_{c}") for c in ("e", "ra", "rb")])
+    going_on = ends.where("kind = 1 AND e = _e AND ra = _ra AND rb = _rb")
+    return compared.where("kind = 0").select("d", F.col("s").alias("start"), F.col("e").alias("length")).unionByName(going_on.select("d", F.col("s").alias("start"), F.col("e").alias("length")))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, prepare
 from .components import connected_components
+from .skew import join_many, pairs_within
 from .words import WORD, WordIds, hashed_words, mix, text_bytes
 
 #: Shingles handled at once: small enough for the processor's cache.
@@ -114,7 +115,8 @@ def full_sets(docs: DataFrame, bands: int, rows: int, width: int, seed: int) ->
 def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("sig_a"), F.col("shingles").alias("set_a"))
     two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("sig_b"), F.col("shingles").alias("set_b"))
-    return pairs.join(two, "b").join(one, "a")
+    # A pivot may have a great many neighbours, a neighbour has few pivots.
+    return join_many(pairs, one, ["a"]).join(two, "b")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -152,14 +154,16 @@ def possible_pairs(members: DataFrame, sets: DataFrame, bands: DataFrame, percen
     nodes = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", F.explode("shingles").alias("shingle"))
     common = nodes.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("shingle")
     shared = materialize(nodes.join(common, "shingle").groupBy("node", "n").agg(F.count("*").alias("s")).where(F.col("s") * 100 >= F.col("n") * percent), "shared")
-    known = members.join(shared, "node").join(bands, "node")
-    one = known.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("far").alias("far_a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("bands").alias("bands_a"))
-    two = known.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("far").alias("far_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("bands").alias("bands_b"))
+    known = materialize(members.join(shared, "node").join(bands, "node"), "known")
+    left, right, keys = pairs_within(known, "key", "node")
+    one = left.select(*keys, F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("far").alias("far_a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("bands").alias("bands_a"))
+    two = right.select(*keys, F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("far").alias("far_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("bands").alias("bands_b"))
     least = F.least("s_a", "s_b")
     apart = F.abs(F.col("far_a") - F.col("far_b")) <= 1 - percent / 100 + 1e-9
     near = (F.col("root_a") < F.col("root_b")) & apart & (least * 100 >= (F.col("n_a") + F.col("n_b") - least) * percent)
     common = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    return one.join(two, (one["key"] == two["key"]) & near & (F.element_at(common, 1) == one["key"])).select("a", "b")
+    met = one.join(two.select(*[F.col(c).alias(f"_{c}" if c in keys else c) for c in two.columns]), [F.col(c) == F.col(f"_{c}") for c in keys] + [near, F.element_at(common, 1) == F.col("key")])
+    return met.select("a", "b")
 
 
 def _linked(docs: DataFrame, percent: int, width: int = 5, bands: int = 32, rows: int = 6, seed: int = 11) -> tuple[DataFrame, DataFrame]:
@@ -219,7 +223,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     of_root = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(of_root, "root").select("node", "component_id")
     alone = F.col("node").isNull()
-    out = table.join(named, "node", "left").withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
+    # Exact copies share a node, and may be a third of all rows.
+    out = join_many(table, named, ["node"], "left").withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import components, katz, kneser, langid, linedup, minhash, mixing, rules, sharding, topk
+from strandline.llm import components, katz, kneser, langid, linedup, minhash, mixing, rules, sharding, skew, topk
 from strandline.session import materialize
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -222,11 +222,15 @@ def brute_katz(texts, ids, modulus):
     return out
 
 
-@pytest.mark.parametrize("batch", [100, 10**6])
-def test_katz_equals_plain_version(spark, batch, monkeypatch):
-    texts = [*sentences(5, 120), *ODD]
-    ids = [*range(125), None, 7, 126, 126]
+@pytest.mark.parametrize(("batch", "fan", "room"), [(1_500_000, 512, 1_500_000), (100, 512, 40), (100, 2, 40)])
+def test_katz_equals_plain_version(spark, batch, fan, room, monkeypatch):
+    """In one batch; in many, with frequent words and pairs; and with buckets reached by dealing three times."""
+    texts = [*sentences(5, 120), *ODD, *["held pair held pair"] * 30]
+    ids = [*range(125), None, 7, 126, 126, *[next(i for i in range(200, 400) if zlib.crc32(str(i).encode()) % 10 == 0)] * 30]
     monkeypatch.setattr(katz, "LEAST_BUCKETS", 7)
+    monkeypatch.setattr(katz, "BATCH_WORDS", batch)
+    monkeypatch.setattr(katz, "FAN", fan)
+    monkeypatch.setattr(katz, "BUCKET_POSTINGS", room)
     got = katz.score_documents(docs(spark, texts, ids=ids).repartition(3), 10).collect()
     key = lambda r: tuple((x is None, x) if not isinstance(x, float) else (False, round(x, 6)) for x in r)
     expect = brute_katz(texts, ids, 10)
@@ -408,6 +412,19 @@ def test_line_runs_equal_brute_force(spark, seed):
         assert out[d].n_chars == (None if t is None else len(out[d].text))
 
 
+def test_many_copies_over_many_ranges(spark, monkeypatch):
+    """One run in most documents is cut by many ranges of the order; all copies but the first go."""
+    run = "\n".join(f"common line number {i} of the run" for i in range(9))
+    texts = [f"head {i} x\n{run}\ntail {i} y" for i in range(120)] + [run, run]
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        out = {r.doc_id: r for r in linedup.dedup_lines(docs(spark, texts).repartition(9), 50).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [out[i].n_removed for i in range(122)] == [0] + [9] * 121
+    assert out[5].text == "head 5 x\ntail 5 y" and out[0].text == texts[0] and out[121].text == ""
+
+
 def test_columns_named_like_the_counts_stay(spark):
     text = "a b c d e f\ng h i"
     table = spark.createDataFrame([(1, text, 7, "x", "r"), (2, text, 8, "y", "s")], "doc_id long, text string, n_removed int, n_lines string, _runs string")
@@ -479,6 +496,25 @@ def test_buckets_with_many_components(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_near(texts, list(range(40)), 80))
 
 
+@pytest.mark.parametrize("rows", [3, 10**6])
+def test_hot_keys_are_dealt_and_lose_nothing(spark, monkeypatch, rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", rows)
+    many = materialize(spark.createDataFrame([(None if i % 9 == 0 else i % 4 if i < 60 else i, i) for i in range(80)], "k int, i int"), "many")
+    one = spark.createDataFrame([(k, f"v{k}") for k in (0, 1, 2, 61, 99)], "k int, v string")
+    for how in ("inner", "left"):
+        assert sorted(map(repr, skew.join_many(many, one, ["k"], how).collect())) == sorted(map(repr, many.join(one, ["k"], how).collect()))
+    left, right, keys = skew.pairs_within(many.dropna(), "k", "i")
+    right = right.withColumnRenamed("i", "j")
+    assert sorted((r.k, r.i, r.j) for r in left.join(right, keys).collect()) == sorted((r.k, r.i, r.j) for r in many.join(many.withColumnRenamed("i", "j"), "k").collect())
+    texts = ["p q r s t u v w"] * 12 + [f"p q r s t u v w {i}" for i in range(9)] + sentences(3, 20, 500, 60)
+    got = minhash.near_duplicates(docs(spark, texts), 80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_near(texts, list(range(len(texts))), 80))
+    base = ("p q r s t u v w x y z " * 6).split()
+    texts = [" ".join(base + [f"{i}-{j}" for j in range(i % 7 * 3)]) for i in range(40)]
+    got = minhash.near_duplicates(docs(spark, texts), 80, bands=24, rows=1).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_near(texts, list(range(40)), 80))
+
+
 def test_components(spark):
     rnd = random.Random(12)
     edges = [(i, i + 1) for i in range(50, 90)] + [(rnd.randint(100, 160), rnd.randint(100, 160)) for _ in range(40)] + [(5, 9), (9, 5), (7, 7)]
