@@ -16,32 +16,58 @@ from strandline.session import materialize, prepare, read_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the distribution divergence reject go."""
+    """Documents that the base rules or the distribution divergence reject go.
+
+    Null and empty texts have no words, so they go; repeated rows are judged alike; a null lang is a language of
+    its own. Other columns, whatever their names, are kept as they are; an empty table stays empty.
+    """
     prepare(spark)
     return rules.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 words or more go; a document that loses every word goes too."""
+    """Later copies of line runs of 50 words or more go; a document that loses every word goes too.
+
+    Earlier is by doc_id, null last, then text hash. Null and empty texts have no lines and stay; rows equal in doc_id
+    and text are one document and are treated alike; n_chars follows the text. Other columns, whatever their names, are
+    kept; an empty table stays empty.
+    """
     prepare(spark)
-    out = linedup.dedup_lines(docs, 50)
-    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
+    lines, removed = "n_lines", "n_removed"
+    while lines in docs.columns or removed in docs.columns:
+        lines, removed = lines + "_", removed + "_"
+    out = linedup.dedup_lines(docs, 50, (lines, removed))
+    return out.where((F.col(removed) == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays.
+
+    It is that of the least doc_id, a null one last; of equal ids that of the least text hash, once. Texts without words
+    (null, empty) are near to nothing, so each of their rows stays. Other columns, whatever their names, are kept; an
+    empty table stays empty.
+    """
     prepare(spark)
     return minhash.keep_one(docs, 80)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources weigh 1, 2, 3 in turn, at most 3 epochs; each document stands as often as the mix takes it."""
+    """Sources weigh 1, 2, 3 in turn, at most 3 epochs; each document stands as often as the mix takes it.
+
+    A null source is one of its own, last in order; a source without words gives each document once; rows equal in
+    doc_id, text and source together stand as often as the mix takes them. Other columns, whatever their names, are
+    kept; an empty table stays empty.
+    """
     prepare(spark)
     return mixing.expand_mix(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their places in packed sequences."""
+    """Pieces of at most 2048 tokens with their places in packed sequences.
+
+    A null or empty text is its end token alone; repeated rows and null ids are packed as they stand; other columns are
+    left out; an empty table gives no rows.
+    """
     prepare(spark)
     return packing.pack_sequences(docs, tokenizer_path(), 2048)
 
