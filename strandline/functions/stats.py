@@ -1,4 +1,4 @@
-"""Statistics whose definition must hold in every engine: ranks, safe correlation, indexed percentiles."""
+"""Statistics whose definition must hold in every engine: safe correlation, indexed percentiles."""
 
 from __future__ import annotations
 
@@ -7,11 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def avg_rank(value: Column, keys: Sequence[str]) -> Column:
-    """Rank from 1 inside `keys`, ties averaged."""
-    same = Window.partitionBy(*keys, value)
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count(F.lit(1)).over(same) - 1) / 2
+from ..operators.ranking import with_average_rank
+from ..session import materialize
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -22,7 +19,8 @@ def safe_corr(x: Column, y: Column) -> Column:
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
     """keys, n, spearman: correlation of average ranks over rows with both values; null under `least` rows."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.withColumn("_rx", avg_rank(F.col(x), keys)).withColumn("_ry", avg_rank(F.col(y), keys))
+    both = materialize(both.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")), "pairs")
+    ranked = with_average_rank(with_average_rank(both, keys, "_x", "_rx"), keys, "_y", "_ry")
     out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr(F.col("_rx"), F.col("_ry")).alias("_r"))
     return out.select(*keys, "n", F.when(F.col("n") >= least, F.col("_r")).alias("spearman"))
 

@@ -2,28 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import sequence as S
+from ..session import materialize
 
 #: Symbols of an aligned column.
 SYMBOLS = 5
 
 
-def identity(a: Column, b: Column) -> Column:
-    """Share of columns in which two aligned rows agree."""
-    same = F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x == y), lambda s: s)
-    return F.size(same) / F.length(a)
+#: Rows of a block: two blocks of one family are compared by one task.
+BLOCK_ROWS = 512
+#: Columns of a matrix of marks that are compared at once.
+MARKS = 8192
+
+
+def _blocked(df: DataFrame, key: str, ident: str) -> DataFrame:
+    """Adds block (a part of its family of about BLOCK_ROWS rows, by a hash) and blocks (how many its family has)."""
+    sizes = df.groupBy(key).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    return df.join(sizes, key).withColumn("block", F.pmod(F.xxhash64(ident), F.col("blocks")).cast("int"))
+
+
+def _agreement(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """(rows of a, rows of b): how many marks (distinct whole numbers of each row) two rows share."""
+    known = np.unique(np.concatenate([*a, *b])) if a and b else np.empty(0, np.int64)
+    out = np.zeros((len(a), len(b)), dtype=np.float64)
+    at = [[np.searchsorted(known, row) for row in side] for side in (a, b)]
+    for lo in range(0, len(known), MARKS):
+        part = []
+        for side in at:
+            m = np.zeros((len(side), min(MARKS, len(known) - lo)), dtype=np.float32)
+            for i, places in enumerate(side):
+                here = places[(places >= lo) & (places < lo + MARKS)]
+                m[i, here - lo] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out
+
+
+def _cells_of(aligned: str) -> np.ndarray:
+    """A mark for every column of an aligned row: its place and its symbol."""
+    code = np.frombuffer(aligned.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    return (np.arange(len(code), dtype=np.int64) << 21) | code
 
 
 def row_weights(msa: DataFrame, threshold: float = 0.8, strict: bool = True) -> DataFrame:
     """family, row_no, weight: one over the number of rows of the family, itself included, that are more (or as much,
-    not strict) identical than the threshold. A family's rows must be sampled to a bound first: this compares all of them."""
-    b = msa.select("family", F.col("row_no").alias("row_b"), F.col("aligned").alias("aligned_b"))
-    s = identity(F.col("aligned"), F.col("aligned_b"))
-    j = msa.join(b, "family").where(s > threshold if strict else s >= threshold)
-    return j.groupBy("family", "row_no").agg((1.0 / F.count("*")).alias("weight"))
+    not strict) identical than the threshold; identity is the share of columns in which two rows agree.
+
+    A family is dealt into blocks, and each two blocks meet in a task as matrices of cells, so no pair of rows
+    is a row of a table, and a family of any size is the work of many tasks.
+    """
+    rows = _blocked(msa.select("family", "row_no", "aligned"), "family", "row_no")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.withColumn("other", other).select("family", "block", "other", "row_no", "aligned")
+    right = rows.withColumn("_o", other).select("family", F.col("_o").alias("block"), F.col("block").alias("other"), "aligned")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    kind = {f.name: f.dataType.simpleString() for f in msa.schema}
+
+    def run(key, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        width = one["aligned"].str.len().to_numpy()
+        share = _agreement([_cells_of(x) for x in one["aligned"]], [_cells_of(x) for x in two["aligned"]]) / np.maximum(width, 1)[:, None]
+        near = share > threshold if strict else share >= threshold
+        return pd.DataFrame({"family": [key[0]] * len(one), "row_no": one["row_no"], "n": near.sum(axis=1)})
+
+    keys = ["family", "block", "other"]
+    counts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"family {kind['family']}, row_no {kind['row_no']}, n long")
+    return counts.groupBy("family", "row_no").agg((1.0 / F.sum("n")).alias("weight"))
 
 
 def neff(weights: DataFrame) -> DataFrame:
@@ -48,34 +97,59 @@ def match_columns(cells: DataFrame) -> DataFrame:
     return cells.join(good, ["family", "col"])
 
 
+def _codes(aligned: pd.Series) -> np.ndarray:
+    """Rows as numbers of their symbols: A, C, G, U, and 4 for every other."""
+    rows = np.stack([np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32) for a in aligned])
+    out = np.full(rows.shape, SYMBOLS - 1, dtype=np.int64)
+    for i, s in enumerate("ACGU"):
+        out[rows == ord(s)] = i
+    return out
+
+
+def pair_counts(msa: DataFrame, weights: DataFrame) -> DataFrame:
+    """family, i, counts: for column i the weighted counts of symbols (a, b) with every column j, as one array of
+    columns x SYMBOLS x SYMBOLS numbers; all rows of a family have its number of columns.
+
+    One pass: each block of rows is a matrix of marks, whose product with itself counts all pairs of columns at once;
+    blocks are then summed by column.
+    """
+    rows = _blocked(msa.join(weights, ["family", "row_no"]).select("family", "row_no", "aligned", "weight"), "family", "row_no")
+    kind = {f.name: f.dataType.simpleString() for f in msa.schema}
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        codes = _codes(pdf["aligned"])
+        n, width = codes.shape
+        marks = np.zeros((n, width * SYMBOLS))
+        marks[np.arange(n)[:, None], np.arange(width) * SYMBOLS + codes] = 1
+        both = marks.T @ (marks * pdf["weight"].to_numpy()[:, None])
+        # (i, a, j, b) to a row for each i with (j, a, b).
+        both = both.reshape(width, SYMBOLS, width, SYMBOLS).transpose(0, 2, 1, 3).reshape(width, -1)
+        return pd.DataFrame({"family": [key[0]] * width, "i": range(width), "counts": list(both)})
+
+    parts = rows.groupBy("family", "block").applyInPandas(run, f"family {kind['family']}, i int, counts array<double>")
+    cells = parts.select("family", "i", F.posexplode("counts").alias("place", "n")).groupBy("family", "i", "place").agg(F.sum("n").alias("n"))
+    packed = cells.groupBy("family", "i").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("c"))
+    return packed.select("family", "i", F.transform("c", lambda x: x["n"]).alias("counts"))
+
+
 def apc_mutual_information(msa: DataFrame, weights: DataFrame, pseudocount: float = 0.5) -> DataFrame:
     """family, i, j, mi, score: weighted mutual information of column pairs (natural log) with the pseudocount spread
-    over the symbol pairs, and its average-product correction.
+    over the symbol pairs, and its average-product correction (means over all columns, the zero diagonal included).
 
-    Only symbol pairs that occur are joined; the empty cells of a pair follow in closed form from the
-    marginals: every cell (a, b) has at least pc / K^2, and marginals are pc / K plus the weights.
+    All cells of a pair count, those that do not occur with the pseudocount alone. Symbols other than A, C, G and U
+    are one. Columns of a pair have counts of one array; marginals are sums of a column's own.
     """
-    k = float(SYMBOLS)
-    cells = columns(msa).join(weights, ["family", "row_no"])
+    k = SYMBOLS
+    counts = materialize(pair_counts(msa, weights), "pair_counts")
     total = weights.groupBy("family").agg(F.sum("weight").alias("w"))
-    j = cells.select("family", "row_no", F.col("col").alias("j"), F.col("symbol").alias("b"))
-    joint = cells.select("family", "row_no", "weight", F.col("col").alias("i"), F.col("symbol").alias("a")).join(j, ["family", "row_no"]).where("i < j").groupBy("family", "i", "j", "a", "b").agg(F.sum("weight").alias("n"))
-    single = cells.groupBy("family", "col", "symbol").agg(F.sum("weight").alias("n")).join(total, "family").withColumn("p", (F.col("n") + pseudocount / k) / (F.col("w") + pseudocount))
-    # Sum over all cells of q0 log(q0 / (pa pb)) with q0 the empty cell's share, then the occurring cells' difference.
-    logs = single.groupBy("family", "col", "w").agg(F.sum(F.log("p")).alias("logs"), F.count("*").alias("kinds"))
-    logs = logs.withColumn("logs", F.col("logs") + (k - F.col("kinds")) * F.log((pseudocount / k) / (F.col("w") + pseudocount))).select("family", "col", "logs", "w")
-    pa = single.select("family", F.col("col").alias("i"), F.col("symbol").alias("a"), F.col("p").alias("pa"))
-    pb = single.select("family", F.col("col").alias("j"), F.col("symbol").alias("b"), F.col("p").alias("pb"))
-    q0 = (pseudocount / (k * k)) / (F.col("w") + pseudocount)
-    q = (F.col("n") + pseudocount / (k * k)) / (F.col("w") + pseudocount)
-    prod = F.col("pa") * F.col("pb")
-    seen = joint.join(total, "family").join(pa, ["family", "i", "a"]).join(pb, ["family", "j", "b"])
-    diff = seen.groupBy("family", "i", "j").agg(F.sum(q * F.log(q / prod) - q0 * F.log(q0 / prod)).alias("d"))
-    li = logs.select("family", F.col("col").alias("i"), F.col("logs").alias("li"), "w")
-    lj = logs.select("family", F.col("col").alias("j"), F.col("logs").alias("lj"))
-    full = diff.join(li, ["family", "i"]).join(lj, ["family", "j"])
-    mi = F.col("d") + q0 * (k * k * F.log(q0) - k * F.col("li") - k * F.col("lj"))
-    mi = full.select("family", "i", "j", mi.alias("mi"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda a: F.element_at("counts", F.col("i") * (k * k) + a * (k + 1) + 1))
+    single = counts.join(total, "family").select("family", "i", F.transform(own, lambda n: (n + F.lit(pseudocount / k)) / (F.col("w") + pseudocount)).alias("p"))
+    pairs = counts.join(total, "family").select("family", "i", "w", "counts", F.explode(F.sequence(F.lit(0), (F.size("counts") / (k * k)).cast("int") - 1)).alias("j")).where("i < j")
+    pairs = pairs.select("family", "i", "j", "w", F.slice("counts", F.col("j") * (k * k) + 1, F.lit(k * k)).alias("n"))
+    pairs = pairs.join(single.select("family", "i", F.col("p").alias("pa")), ["family", "i"]).join(single.select("family", F.col("i").alias("j"), F.col("p").alias("pb")), ["family", "j"])
+    q = F.transform("n", lambda n: (n + F.lit(pseudocount / (k * k))) / (F.col("w") + pseudocount))
+    cell = F.transform(q, lambda x, c: x * F.ln(x / (F.element_at("pa", (c / k).cast("int") + 1) * F.element_at("pb", c % k + 1))))
+    mi = materialize(pairs.select("family", "i", "j", F.aggregate(cell, F.lit(0.0), lambda a, x: a + x).alias("mi")), "mi")
     both = mi.unionByName(mi.select("family", F.col("j").alias("i"), F.col("i").alias("j"), "mi"))
     size = both.groupBy("family").agg((F.max("i") + 1).cast("double").alias("l"), F.sum("mi").alias("s"))
     means = both.groupBy("family", "i").agg(F.sum("mi").alias("m")).join(size, "family").select("family", "i", (F.col("m") / F.col("l")).alias("m"), (F.col("s") / (F.col("l") * F.col("l"))).alias("all"))
@@ -98,16 +172,62 @@ def precision_at(top: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
     return rows.groupBy("family", "k").agg((F.sum("t") / F.count("*")).alias("precision"))
 
 
-def best_rows(queries: DataFrame, rows: DataFrame, k: int = 5, ratio: float = 0.5, least: float = 0.10) -> DataFrame:
+def kmer_hashes(sequence: str, k: int) -> np.ndarray:
+    """Distinct k-mers of a sequence as 64-bit numbers, sorted; a shorter sequence has none."""
+    code = np.frombuffer(sequence.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    if len(code) < k:
+        return np.empty(0, np.int64)
+    x = np.zeros(len(code) - k + 1, dtype=np.uint64)
+    for i in range(k):
+        x = x * np.uint64(0x9E3779B97F4A7C15) + code[i : len(code) - k + 1 + i] + np.uint64(1)
+    return np.unique(x.view(np.int64))
+
+
+def best_rows(queries: DataFrame, rows: DataFrame, k: int = 5, ratio: float = 0.5, least: float = 0.10, own: bool = False) -> DataFrame:
     """query, family, row_no, similarity: each query's row of each family with the highest Jaccard similarity of k-mer
-    sets, among rows whose length is within the ratio; ties to the first row, none under `least`."""
-    q = queries.select("query", "family", F.length("sequence").alias("lq"), F.size(S.kmers(F.col("sequence"), k)).alias("nq"), F.explode(S.kmers(F.col("sequence"), k)).alias("kmer"))
-    r = rows.select("family", "row_no", F.length("sequence").alias("lr"), F.size(S.kmers(F.col("sequence"), k)).alias("nr"), F.explode(S.kmers(F.col("sequence"), k)).alias("kmer"))
-    near = F.least("lq", "lr") >= ratio * F.greatest("lq", "lr")
-    both = q.join(r, ["family", "kmer"]).where(near).groupBy("query", "family", "row_no", "nq", "nr").agg(F.count("*").alias("n"))
-    s = both.withColumn("similarity", F.col("n") / (F.col("nq") + F.col("nr") - F.col("n"))).where(F.col("similarity") >= least)
-    w = Window.partitionBy("query", "family").orderBy(F.desc("similarity"), "row_no")
-    return s.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("query", "family", "row_no", "similarity")
+    sets, among rows whose length is within the ratio; ties to the first row, none under `least`. With `own`, queries
+    are rows too, and none is its own answer.
+
+    Rows are stored once as sets of k-mer hashes. A family's rows and its queries are dealt into blocks, and every two
+    blocks meet in a task of their own, which keeps one row for each query. Nothing is joined on a k-mer, of which there
+    are so few that almost all rows share them.
+    """
+    @F.pandas_udf("array<long>")
+    def hashes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for p in parts:
+            yield p.map(lambda x: kmer_hashes(x or "", k))
+
+    def sets(df: DataFrame, ident: str, label: str) -> DataFrame:
+        return _blocked(materialize(df.select("family", ident, F.length("sequence").alias("length"), hashes("sequence").alias("marks")), label), "family", ident)
+
+    q, r = sets(queries, "query", "query_sets"), sets(rows, "row_no", "row_sets")
+    n_q, n_r = (s.groupBy("family").agg(F.max("blocks").alias(n)) for s, n in ((q, "_q"), (r, "_r")))
+    left = q.join(n_r, "family").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_r") - 1))).select("family", "block", "other", "query", "length", "marks")
+    right = r.join(n_q, "family").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_q") - 1))).select("family", F.col("_b").alias("block"), F.col("block").alias("other"), "row_no", "length", "marks")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *rows.schema]}
+
+    def run(key, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"query": one["query"], "family": [key[0]] * len(one), "row_no": [None] * len(one), "similarity": np.zeros(len(one))})
+        if not len(one) or not len(two):
+            return out.iloc[:0]
+        two = two.sort_values("row_no").reset_index(drop=True)
+        a, b = list(one["marks"]), list(two["marks"])
+        both = _agreement(a, b)
+        union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both
+        la, lb = one["length"].to_numpy()[:, None], two["length"].to_numpy()[None, :]
+        near = np.minimum(la, lb) >= ratio * np.maximum(la, lb)
+        if own:
+            near &= one["query"].to_numpy()[:, None] != two["row_no"].to_numpy()[None, :]
+        similarity = np.where(near & (union > 0), both / np.maximum(union, 1), -1.0)
+        best = similarity.argmax(axis=1)
+        out["row_no"], out["similarity"] = two["row_no"].to_numpy()[best], similarity[np.arange(len(one)), best]
+        return out[out["similarity"] >= least]
+
+    keys = ["family", "block", "other"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"query {kind['query']}, family {kind['family']}, row_no {kind['row_no']}, similarity double")
+    top = F.max_by(F.struct("row_no", "similarity"), F.struct("similarity", (-F.col("row_no")).alias("n")))
+    return found.groupBy("query", "family").agg(top.alias("t")).select("query", "family", "t.row_no", "t.similarity")
 
 
 def project(pairs: DataFrame, cells: DataFrame, row: str = "row_no") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .ranking import places
 
 
 def best_hits(hits: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def base_profile(motifs: DataFrame, longest: int = 24) -> DataFrame:
 def frequency_ids(df: DataFrame, value: str) -> DataFrame:
     """value, n, id: dense ids, the most frequent value first (ties by value); one row per distinct value."""
     n = df.groupBy(value).agg(F.count("*").alias("n"))
-    return n.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), value)))
+    return places(n, [], [F.desc("n"), F.col(value)], "id", total="").withColumn("id", F.col("id") + 1)
 
 
 def field_summary(field: DataFrame, ours: DataFrame) -> DataFrame:

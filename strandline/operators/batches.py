@@ -1,7 +1,7 @@
 """Token-budget batches of a corpus sorted by length, in arrival order, or by bucket and assay.
 
-Batches are ordered folds, so the rows are first dealt into ranges that a task folds by itself: ranges of
-length (equal lengths may meet in two ranges) or of arrival. Range borders close a batch.
+Batches are ordered folds, so the rows are first numbered in their order and dealt into ranges of PART_ROWS, each of which
+a task folds by itself. Range borders close a batch.
 """
 
 from __future__ import annotations
@@ -9,10 +9,13 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BATCH = "part int, batch long, rows long, tokens long, width long"
+from .ranking import places
+
+BATCH = "part int, range long, batch long, rows long, tokens long, width long"
+PART_ROWS = 100_000
 
 
 def _fold(lengths: list[int], budget: int, most: int, quantum: int, running: bool) -> list[tuple[int, int, int]]:
@@ -32,14 +35,16 @@ def _fold(lengths: list[int], budget: int, most: int, quantum: int, running: boo
 
 
 def pack_ranges(df: DataFrame, part: Column, order: list[str], budget: int, most: int, quantum: int = 1, running: bool = True) -> DataFrame:
-    """part, batch, rows, tokens, width of the batches of each part, folded in `order`."""
+    """part, range, batch, rows, tokens, width of the batches of each part, folded in `order`, PART_ROWS rows at a time."""
 
     def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _fold(pdf.sort_values(order)["length"].tolist(), budget, most, quantum, running)
-        return pd.DataFrame({"part": [key[0]] * len(got), "batch": range(len(got)), "rows": [g[0] for g in got], "tokens": [g[1] for g in got], "width": [g[2] for g in got]})
+        got = _fold(pdf.sort_values("_place")["length"].tolist(), budget, most, quantum, running)
+        return pd.DataFrame({"part": [key[0]] * len(got), "range": [key[1]] * len(got), "batch": range(len(got)), "rows": [g[0] for g in got], "tokens": [g[1] for g in got], "width": [g[2] for g in got]})
 
     names = list(dict.fromkeys([*order, "length"]))
-    return df.select(part.cast("int").alias("part"), *names).groupBy("part").applyInPandas(fold, BATCH)
+    numbered = places(df.select(part.cast("int").alias("part"), *names), ["part"], [F.col(c) for c in order], total="")
+    ranged = numbered.select("part", F.floor(F.col("_place") / PART_ROWS).alias("range"), "_place", "length")
+    return ranged.groupBy("part", "range").applyInPandas(fold, BATCH)
 
 
 def bucket_bounds(longest: int, ratio: float = 1.5, first: int = 32) -> list[int]:
@@ -65,6 +70,6 @@ def report(batches: DataFrame) -> DataFrame:
 
 def single_group_batches(df: DataFrame, group: str, order: list[str], size: Column) -> DataFrame:
     """Adds `batch`: rows of one group in order, `size` at a time."""
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return df.withColumn("batch", F.floor(rn / size))
+    numbered = places(df, [group], [F.col(c) for c in order], total="")
+    return numbered.withColumn("batch", F.floor(F.col("_place") / size)).drop("_place")
 

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.conditions import classify_modification
+from .ranking import places
 
 # The structural vocabulary in order of its ids.
 VOCABULARY = ("A", "C", "G", "U", "N", "DA", "DC", "DG", "DU", "I", "UNK", "PAD")
-# Purine, ring atoms, donors, acceptors, pairing bonds of each base.
-BASES = {"A": (1, 9, 1, 3, 2), "C": (0, 6, 1, 2, 3), "G": (1, 9, 2, 2, 3), "U": (0, 6, 1, 2, 2)}
-FEATURES = ("purine", "ring_atoms", "donors", "acceptors", "pair_bonds")
+# What is known of each base's chemistry.
+PROPERTIES = ("purine", "pair_donors", "pair_acceptors", "groove_donors", "groove_acceptors", "sugar_donors", "sugar_acceptors", "pka", "pka_shifted", "north", "south", "polarity", "stacking", "charge", "hydroxyl")
+BASES = {
+    "A": (1.0, 1.0, 1.0, 1.0, 1.0, 0.0, 1.0, 3.5, 0.0, 0.80, 0.20, 0.82, 0.85, -1.0, 1.0),
+    "C": (0.0, 1.0, 2.0, 0.0, 1.0, 0.0, 1.0, 4.2, 0.0, 0.78, 0.22, 0.61, 0.63, -1.0, 1.0),
+    "G": (1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 9.2, 0.0, 0.82, 0.18, 1.00, 1.00, -1.0, 1.0),
+    "U": (0.0, 1.0, 2.0, 0.0, 1.0, 0.0, 1.0, 9.2, 0.0, 0.76, 0.24, 0.58, 0.55, -1.0, 1.0),
+}
+DEOXY_NORTH, DEOXY_SOUTH = 0.30, 0.70
+#: The feature columns in order: base, modified or not, properties, class of modification, surroundings.
+FEATURES = ("is_a", "is_c", "is_g", "is_u", "modified", *PROPERTIES, "methylated", "pseudouridine", "other_modified", "local_gc")
 
 
 def encode_residues(residues: DataFrame, components: DataFrame) -> DataFrame:
     """Adds token, parent and mod_id to rows with `comp`: standard residues are themselves, DNA keeps its symbol, inosine is I;
     others take their component's parent and get the id of their modification (most frequent first), or are N."""
     ids = components.join(residues.groupBy("comp").agg(F.count("*").alias("_n")), "comp", "left").where("parent IS NOT NULL")
-    ids = ids.withColumn("_mod", F.row_number().over(Window.orderBy(F.desc(F.coalesce("_n", F.lit(0))), "comp"))).select("comp", F.col("parent").alias("_parent"), "_mod")
+    ids = places(ids.withColumn("_n", F.coalesce("_n", F.lit(0))), [], [F.desc("_n"), F.col("comp")], "_mod", total="").select("comp", F.col("parent").alias("_parent"), (F.col("_mod") + 1).alias("_mod"))
     c = F.upper("comp")
     r = residues.join(ids, "comp", "left")
     dna = F.when(c == "DT", "DU").when(c.isin("DA", "DC", "DG", "DU"), c)
@@ -28,18 +37,40 @@ def encode_residues(residues: DataFrame, components: DataFrame) -> DataFrame:
     return r.withColumn("parent", F.when(F.substring("token", -1, 1).isin(*BASES), F.substring("token", -1, 1))).drop("_parent", "_mod")
 
 
-def residue_chemistry(residues: DataFrame) -> DataFrame:
-    """Adds the base features (the mean of the four for an unknown parent), deoxy and first (5') flags."""
-    mean = [sum(v[i] for v in BASES.values()) / 4 for i in range(len(FEATURES))]
+def residue_chemistry(residues: DataFrame, components: DataFrame, half: int = 16) -> DataFrame:
+    """Adds the 24 FEATURES to rows with entry, idx, comp, token, parent (see `encode_residues`).
 
-    def feature(i: int):
-        out = F.lit(mean[i])
-        for b, v in BASES.items():
-            out = F.when(F.col("parent") == b, float(v[i])).otherwise(out)
-        return out.alias(FEATURES[i])
+    `components` (comp, name) gives the class of a modification. A residue that is not A, C, G or U is modified; one of
+    unknown parent has the mean of the four bases. Pseudouridine has a donor more in the groove; the 5' end bears no charge; a
+    DNA residue has no hydroxyl and a south sugar. local_gc is the share of G and C among the known parents within `half`
+    places. pka_shifted is a label to be filled in by others, so it is 0.
+    """
+    kinds = components.groupBy(F.upper("comp").alias("_comp")).agg(F.min(F.when(F.trim("name") != "", classify_modification(F.col("name")))).alias("_class"))
+    r = residues.withColumn("_comp", F.upper("comp")).join(kinds, "_comp", "left")
+    modified = ~F.col("_comp").isin(*BASES)
+    kind = F.when(modified, F.when(F.col("_class").isin("methylation", "pseudouridine"), F.col("_class")).otherwise("other"))
+    deoxy = F.col("token").isin("DA", "DC", "DG", "DU")
+    number = lambda c: F.coalesce(c, F.lit(False)).cast("double")
 
-    first = (F.col("idx") == F.min("idx").over(Window.partitionBy("entry"))).cast("int")
-    return residues.select("*", *[feature(i) for i in range(len(FEATURES))], F.col("token").isin("DA", "DC", "DG", "DU").cast("int").alias("deoxy"), first.alias("first"))
+    def known(i: int) -> Column:
+        out = F.lit(sum(v[i] for v in BASES.values()) / 4)
+        for b, v in BASES.items():
+            out = F.when(F.col("parent") == b, v[i]).otherwise(out)
+        return out
+
+    first = F.col("idx") == F.min("idx").over(Window.partitionBy("entry"))
+    columns = {f"is_{b.lower()}": number(F.col("parent") == b) for b in BASES} | {"modified": number(modified)}
+    columns |= {p: known(i) for i, p in enumerate(PROPERTIES)}
+    columns["groove_donors"] = columns["groove_donors"] + number(kind == "pseudouridine")
+    columns["charge"] = F.when(first, 0.0).otherwise(columns["charge"])
+    columns["north"] = F.when(deoxy, DEOXY_NORTH).otherwise(columns["north"])
+    columns["south"] = F.when(deoxy, DEOXY_SOUTH).otherwise(columns["south"])
+    columns["hydroxyl"] = F.when(deoxy, 0.0).otherwise(columns["hydroxyl"])
+    columns |= {"methylated": number(kind == "methylation"), "pseudouridine": number(kind == "pseudouridine"), "other_modified": number(kind == "other")}
+    near = Window.partitionBy("entry").orderBy("idx").rowsBetween(-half, half)
+    gc = F.try_divide(F.sum(number(F.col("parent").isin("G", "C"))).over(near), F.sum(number(F.col("parent").isin(*BASES))).over(near))
+    columns["local_gc"] = F.coalesce(gc, F.lit(0.0))
+    return r.select(*residues.columns, *[columns[f].alias(f) for f in FEATURES])
 
 
 def modification_census(residues: DataFrame, names: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..functions import stats
+from .ranking import places
 
 
 def filter_reason(length: Column, header: Column, least: int, most: int, drop: str | None = None, need: str | None = None) -> Column:
@@ -25,16 +26,33 @@ def annotation_filter(df: DataFrame, least: int, most: int, drop: str | None = N
     return df.withColumn("reason", filter_reason(F.length("sequence"), F.col("header"), least, most, drop, need))
 
 
+def measured(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Thin rows that stand for sequences from here on: the kept columns, a 128-bit digest, length, GC and N counts.
+    Sequences themselves are read once and never shuffled."""
+    s = F.col("sequence")
+    return df.select(*keep, F.md5(s.cast("binary")).alias("digest"), F.length(s).alias("length"), S.gc_count(s).alias("gc"), S.symbol_count(s, "N").alias("unknown"))
+
+
 def dedup_exact(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key. Firsts are found by partial minima, so a common key costs no task its rows."""
+    """The first row of each key. Firsts are found by partial minima, so a common key costs no task its rows; long keys
+    should be digests (`measured`)."""
     first = df.groupBy(key).agg(F.min(order).alias(order))
     return df.join(first, [key, order], "left_semi")
 
 
-def mark_duplicates(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Adds `duplicate`: the key stands earlier by `order`."""
-    first = df.groupBy(F.col(key).alias("_k")).agg(F.min(order).alias("_first"))
-    return df.join(first, F.col(key) == F.col("_k")).withColumn("duplicate", F.col(order) > F.col("_first")).drop("_k", "_first")
+def ingest_counts(thin: DataFrame, known: DataFrame) -> DataFrame:
+    """reason, n, share of rows (digest, id, reason): those with a reason by it; of the others those whose digest is in
+    `known` (already_in_corpus), of each other digest the rows of the least id (kept), and the rest (duplicate).
+
+    Digests are counted, so no row is joined and a common sequence costs no task its rows.
+    """
+    each = thin.where("reason IS NULL").groupBy("digest", "id").agg(F.count("*").alias("_n")).groupBy("digest").agg(F.sum("_n").alias("_all"), F.min_by("_n", "id").alias("_first"))
+    each = each.join(known.select("digest").distinct().withColumn("_in", F.lit(True)), "digest", "left")
+    rows = F.when(F.col("_in"), F.array(F.struct(F.lit("already_in_corpus").alias("reason"), F.col("_all").alias("n"))))
+    rows = rows.otherwise(F.array(F.struct(F.lit("kept").alias("reason"), F.col("_first").alias("n")), F.struct(F.lit("duplicate").alias("reason"), (F.col("_all") - F.col("_first")).alias("n"))))
+    counts = each.select(F.explode(rows).alias("r")).select("r.*").unionByName(thin.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")))
+    counts = counts.groupBy("reason").agg(F.sum("n").alias("n")).where("n > 0")
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
 def not_in_corpus(df: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
@@ -55,18 +73,18 @@ def composition(df: DataFrame, keys: Sequence[str], symbols: str = "ACGTUN") ->
     return sums.select(*keys, "_all", rows.alias("r")).select(*keys, "r.symbol", "r.n", F.try_divide(F.col("r.n"), F.col("_all")).alias("share")).where("n > 0")
 
 
-def chunk_profile(df: DataFrame, keys: Sequence[str], bands: Sequence[int] = (200, 500, 1500)) -> DataFrame:
-    """Per key: n, median and mean length, GC and N percent over all characters, percent in each length band."""
-    n = F.length("sequence")
+def chunk_profile(thin: DataFrame, keys: Sequence[str], bands: Sequence[int] = (200, 500, 1500)) -> DataFrame:
+    """Per key of `measured` rows: n, median and mean length, GC and N percent over all characters, percent in each length band."""
+    n = F.col("length")
     edges = [0, *bands]
     inside = [F.avg(((n >= lo) & (n < hi)).cast("double")) * 100 for lo, hi in zip(edges, bands, strict=False)] + [F.avg((n >= bands[-1]).cast("double")) * 100]
     names = [f"pct_{lo}_{hi}" for lo, hi in zip(edges, bands, strict=False)] + [f"pct_{bands[-1]}_up"]
-    return df.groupBy(*keys).agg(
+    return thin.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.median(n).alias("median_length"),
         F.avg(n).alias("mean_length"),
-        F.try_divide(F.sum(S.gc_count(F.col("sequence"))) * 100.0, F.sum(n)).alias("gc_pct"),
-        F.try_divide(F.sum(S.symbol_count(F.col("sequence"), "N")) * 100.0, F.sum(n)).alias("n_pct"),
+        F.try_divide(F.sum("gc") * 100.0, F.sum(n)).alias("gc_pct"),
+        F.try_divide(F.sum("unknown") * 100.0, F.sum(n)).alias("n_pct"),
         *[c.alias(a) for c, a in zip(inside, names, strict=True)],
     )
 
@@ -124,24 +142,10 @@ def head_sample(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int
     return df.withColumn("_rn", rn).where(F.col("_rn") <= n).drop("_rn")
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """Adds `_rn`, the place from 0 by a whole-number `order`, and `_total`: offsets of ranges of the order, then places inside them."""
-    bounds = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).first()
-    if not bounds["n"]:
-        return df.withColumn("_rn", F.lit(0).cast("long")).withColumn("_total", F.lit(0).cast("long"))
-    width = max(1, (bounds["hi"] - bounds["lo"]) // 4096 + 1)
-    part = F.floor((F.col(order) - F.lit(bounds["lo"])) / F.lit(width))
-    offsets = df.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))
-    offsets = offsets.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
-    placed = df.withColumn("_p", part).withColumn("_in", inside).join(offsets, "_p")
-    return placed.withColumn("_rn", F.col("_before") + F.col("_in")).withColumn("_total", F.lit(bounds["n"])).drop("_p", "_in", "_before")
-
-
 def stride_sample(df: DataFrame, order: str, limit: int) -> DataFrame:
     """Every floor(N / limit)-th row in order, the first `limit` of them."""
     step = F.greatest(F.lit(1), F.floor(F.col("_total") / F.lit(limit)))
-    return numbered(df, order).where((F.pmod("_rn", step) == 0) & (F.floor(F.col("_rn") / step) < limit)).drop("_rn", "_total")
+    return places(df, [], [F.col(order)]).where((F.pmod("_place", step) == 0) & (F.floor(F.col("_place") / step) < limit)).drop("_place", "_total")
 
 
 def hash_sample(df: DataFrame, keys: Sequence[str], id_col: str, n: int, seed: str = "7") -> DataFrame:
@@ -152,21 +156,21 @@ def hash_sample(df: DataFrame, keys: Sequence[str], id_col: str, n: int, seed: s
 
 def even_subsample(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
     """n rows of each key at evenly spaced places: int(i * (N - 1) / (n - 1)); all rows if there are no more than n."""
-    w = Window.partitionBy(*keys)
-    placed = df.withColumn("_rn", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+    placed = places(df, keys, [F.col(order)])
     # The i-th place is the row r with i = ceil(r (n-1) / (N-1)) and int(i (N-1) / (n-1)) = r.
-    i = F.ceil(F.col("_rn") * F.lit(n - 1) / (F.col("_n") - 1))
-    hit = F.floor(i * (F.col("_n") - 1) / F.lit(n - 1)) == F.col("_rn")
-    return placed.where((F.col("_n") <= n) | hit).drop("_rn", "_n")
+    i = F.ceil(F.col("_place") * F.lit(n - 1) / (F.col("_total") - 1))
+    hit = F.floor(i * (F.col("_total") - 1) / F.lit(n - 1)) == F.col("_place")
+    return placed.where((F.col("_total") <= n) | hit).drop("_place", "_total")
 
 
 def stratified_sample(df: DataFrame, bounds: Sequence[int], n: int, id_col: str, seed: str = "7") -> DataFrame:
-    """max(1, round-half-even(n * share)) rows of each length band, by md5(seed:id): the rows with band and need."""
+    """max(1, round-half-even(n * share)) rows of each length band, by md5(seed:id): band, id and need."""
     banded = df.withColumn("band", S.length_band(F.length("sequence"), bounds))
     counts = banded.groupBy("band").agg(F.count("*").alias("_c"))
     need = counts.withColumn("need", F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("_c") / F.sum("_c").over(Window.partitionBy()))).cast("long")).select("band", "need")
-    rn = F.row_number().over(Window.partitionBy("band").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))), id_col))
-    return banded.withColumn("_rn", rn).join(need, "band").where(F.col("_rn") <= F.col("need")).drop("_rn")
+    thin = banded.select("band", id_col, F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))).alias("_h"))
+    chosen = places(thin, ["band"], [F.col("_h"), F.col(id_col)], total="").join(need, "band").where(F.col("_place") < F.col("need"))
+    return chosen.drop("_h", "_place")
 
 
 def heldout_shards(df: DataFrame, group: str, name: str, n: int) -> DataFrame:
@@ -178,6 +182,6 @@ def heldout_shards(df: DataFrame, group: str, name: str, n: int) -> DataFrame:
 
 def interleave(df: DataFrame, shard: str, order: str, n: int) -> DataFrame:
     """Adds (cycle, turn, place): shards in groups of n, one row of each shard in turn."""
-    shards = df.select(shard).distinct().withColumn("_s", F.row_number().over(Window.orderBy(shard)) - 1)
-    turn = F.row_number().over(Window.partitionBy(shard).orderBy(order)) - 1
-    return df.join(shards, shard).withColumn("turn", turn).withColumn("cycle", F.floor(F.col("_s") / n)).withColumn("place", F.pmod("_s", F.lit(n))).drop("_s")
+    shards = places(df.select(shard).distinct(), [], [F.col(shard)], "_s", total="")
+    turns = places(df, [shard], [F.col(order)], "turn", total="")
+    return turns.join(shards, shard).withColumn("cycle", F.floor(F.col("_s") / n)).withColumn("place", F.pmod("_s", F.lit(n))).drop("_s")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mutations as M
 from ..functions import stats
+from .ranking import with_average_rank
 
 
 def finite_scores(df: DataFrame, score: str = "dms_score") -> DataFrame:
@@ -41,8 +42,9 @@ def reconstruct_check(df: DataFrame) -> DataFrame:
 
 def rank_positions(df: DataFrame, score: str = "dms_score") -> DataFrame:
     """Adds `quantile`: (average rank - 1/2) / n of the score inside its assay."""
-    n = F.count("*").over(Window.partitionBy("assay"))
-    return df.withColumn("quantile", (stats.avg_rank(F.col(score), ["assay"]) - 0.5) / n)
+    n = df.groupBy("assay").agg(F.count("*").alias("_n"))
+    ranked = with_average_rank(df, ["assay"], score, "_rank").join(n, "assay")
+    return ranked.withColumn("quantile", (F.col("_rank") - 0.5) / F.col("_n")).drop("_rank", "_n")
 
 
 def rank_normal(df: DataFrame, score: str = "dms_score") -> DataFrame:
@@ -80,7 +82,7 @@ def auc_mcc(df: DataFrame, score: str) -> DataFrame:
     MCC of 'score above its median', unsigned. Null where one class is empty."""
     medians = df.groupBy("assay").agg(F.median("dms_score").alias("_my"), F.median(score).alias("_ms"))
     j = df.join(medians, "assay").withColumn("_y", F.col("dms_score") > F.col("_my")).withColumn("_s", F.col(score) > F.col("_ms"))
-    r = j.withColumn("_r", stats.avg_rank(F.col(score), ["assay"]))
+    r = with_average_rank(j, ["assay"], score, "_r")
     c = lambda a, b: F.count_if(a & b).cast("double")
     y, s = F.col("_y"), F.col("_s")
     sums = r.groupBy("assay").agg(F.count_if(y).cast("double").alias("p"), F.count_if(~y).cast("double").alias("q"), F.sum(F.when(y, F.col("_r"))).alias("rs"), c(y, s).alias("tp"), c(~y, ~s).alias("tn"), c(~y, s).alias("fp"), c(y, ~s).alias("fn"))

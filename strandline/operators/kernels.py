@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -132,6 +132,50 @@ def pair_candidates(residues: DataFrame, ideal: float = 8.63, window: float = 2.
     return j.withColumn("off", off).where(F.col("off") <= window).select("entry", F.col("idx").alias("i"), F.col("r_idx").alias("j"), "off")
 
 
+#: The ring atoms that lie in a base's plane, and the atom that pairs.
+RINGS = {"A": ("N9", "C8", "N7", "C5", "C4"), "G": ("N9", "C8", "N7", "C5", "C4"), "C": ("N1", "C2", "N3", "C4", "C5", "C6"), "U": ("N1", "C2", "N3", "C4", "C5", "C6")}
+PAIRING_ATOM = {"A": "N1", "G": "N1", "C": "N3", "U": "N3"}
+
+
+def base_planes(atoms: DataFrame) -> DataFrame:
+    """entry, idx, base, x, y, z (of the pairing atom), nx, ny, nz (the plane's normal) of residues whose ring and pairing
+    atoms are all there, from entry, idx, base, atom, x, y, z.
+
+    The normal is the direction in which the ring atoms vary least. Spark gathers a residue's few atoms; numpy solves the
+    small matrices of a batch at once.
+    """
+    ring = F.create_map(*[x for b, names in RINGS.items() for x in (F.lit(b), F.array(*[F.lit(a) for a in names]))])
+    pairing = F.create_map(*[F.lit(x) for kv in PAIRING_ATOM.items() for x in kv])
+    a = atoms.where(F.col("base").isin(*RINGS)).dropDuplicates(["entry", "idx", "base", "atom"])
+    inside = F.array_contains(F.try_element_at(ring, F.col("base")), F.col("atom"))
+    own = F.col("atom") == F.try_element_at(pairing, F.col("base"))
+    mean = [F.sum(F.when(inside, F.col(u) * F.col(v))).alias(f"{u}{v}") for u, v in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    sums = a.groupBy("entry", "idx", "base").agg(
+        *[F.max(F.when(own, F.col(c))).alias(c) for c in "xyz"], *[F.sum(F.when(inside, F.col(c))).alias(f"s{c}") for c in "xyz"], *mean, F.count_if(inside).alias("n")
+    ).where(F.col("x").isNotNull() & (F.col("n") == F.size(F.try_element_at(ring, F.col("base")))))
+
+    def run(frames):
+        for pdf in frames:
+            n = pdf["n"].to_numpy(dtype=float)
+            s = pdf[["sx", "sy", "sz"]].to_numpy()
+            m = pdf[["xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz"]].to_numpy().reshape(-1, 3, 3) / n[:, None, None]
+            m = m - (s / n[:, None])[:, :, None] * (s / n[:, None])[:, None, :]
+            normal = np.linalg.eigh(m)[1][:, :, 0] if len(pdf) else np.empty((0, 3))
+            yield pdf[["entry", "idx", "base", "x", "y", "z"]].assign(nx=normal[:, 0], ny=normal[:, 1], nz=normal[:, 2])
+
+    kind = {f.name: f.dataType.simpleString() for f in sums.schema}
+    return sums.mapInPandas(run, f"entry {kind['entry']}, idx {kind['idx']}, base string, x double, y double, z double, nx double, ny double, nz double")
+
+
+def full_atom_pairs(atoms: DataFrame, cutoff: float = 3.3, parallel: float = 0.75, apart: int = 3) -> DataFrame:
+    """entry, i, j: residues of bases that can pair, more than `apart` places from each other, whose pairing atoms are within
+    the cutoff and whose planes' normals agree to `parallel` or more. Residues lacking an atom are left out."""
+    r = materialize(base_planes(atoms), "planes")
+    j = cell_join(r, r, "entry", cutoff).where((F.col("r_idx") - F.col("idx") > apart) & F.concat("base", "r_base").isin(*PAIRS))
+    same = F.abs(sum((F.col(f"n{c}") * F.col(f"r_n{c}") for c in "xyz"), F.lit(0.0)))
+    return j.where(same >= parallel).select("entry", F.col("idx").alias("i"), F.col("r_idx").alias("j"))
+
+
 def greedy_pairing(candidates: DataFrame) -> DataFrame:
     """entry, i, j: candidates in order of `off` (then i, j), each taken if both residues are free.
 
@@ -154,20 +198,57 @@ def greedy_pairing(candidates: DataFrame) -> DataFrame:
         left = materialize(left.select("entry", "i", "j", "off"), "candidates")
 
 
-def proposal_recall(residues: DataFrame, truth: DataFrame, budgets: Sequence[int], window: int = 64) -> DataFrame:
+# What pairs of bases score, and the weights of the pair, its stacking neighbours and its nearness.
+PAIR_SCORES = {"GC": 3.0, "CG": 3.0, "AU": 2.0, "UA": 2.0, "GU": 0.8, "UG": 0.8}
+BASE_WEIGHT, STACK_WEIGHT, NEAR_WEIGHT, DECAY = 1.0, 0.6, 2.0, 40.0
+
+
+def proposal_recall(residues: DataFrame, truth: DataFrame, budgets: Sequence[int], apart: int = 4) -> DataFrame:
     """entry, c, recall: share of true contacts among the c * L best pairs by a score from sequence alone (complementary bases,
-    stacking neighbours, decay with separation); pairs up to `window` apart are proposed."""
-    r = residues.select("entry", "idx", "base")
-    nxt = F.lead("base").over(Window.partitionBy("entry").orderBy("idx"))
-    prv = F.lag("base").over(Window.partitionBy("entry").orderBy("idx"))
-    r = r.withColumn("nxt", nxt).withColumn("prv", prv)
-    i = r.select("entry", F.col("idx").alias("i"), F.col("base").alias("bi"), F.col("nxt").alias("ni"), F.explode(F.sequence(F.col("idx") + 4, F.col("idx") + window)).alias("j"))
-    j = r.select("entry", F.col("idx").alias("j"), F.col("base").alias("bj"), F.col("prv").alias("pj"))
-    score = F.concat("bi", "bj").isin(*PAIRS).cast("double") + 0.5 * F.coalesce(F.concat("ni", "pj").isin(*PAIRS), F.lit(False)).cast("double") + F.exp(-(F.col("j") - F.col("i")) / 20.0)
-    p = i.join(j, ["entry", "j"]).withColumn("score", F.round(score, 9))
+    stacking neighbours on both sides, decay with separation), ties by i and j. Pairs of every separation are ranked.
+
+    A pair's score depends on its class (do its bases, its inner and its outer neighbours pair) and falls with its
+    separation. So pairs are first only counted, by residue kinds: each separation of each class of an entry has
+    one score, and only those up to the cut are made.
+    """
+    w = Window.partitionBy("entry").orderBy("idx")
+    base = F.when(F.col("base").isin("A", "C", "G", "U"), F.col("base")).otherwise("N")
+    r = residues.select("entry", "idx", base.alias("base")).withColumns({"nxt": F.coalesce(F.lead("base").over(w), F.lit("-")), "prv": F.coalesce(F.lag("base").over(w), F.lit("-"))})
+    r = materialize(r.select("entry", F.col("idx").cast("int").alias("idx"), F.concat("prv", "base", "nxt").alias("kind")), "kinds")
     size = r.groupBy("entry").agg(F.count("*").alias("l"))
-    place = F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("score"), "i", "j"))
-    top = p.withColumn("place", place).join(size, "entry").where(F.col("place") <= max(budgets) * F.col("l"))
-    hit = truth.select("entry", "i", "j").distinct().join(top.select("entry", "i", "j", "place", "l"), ["entry", "i", "j"], "left")
+    cut = F.col("l") * F.lit(max(budgets))
+    # Pairs of an entry at one separation, in classes of equal score: (entry, gap, score, n).
+    near = r.groupBy("entry").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
+    gaps = near.withColumn("gap", F.explode(F.when(F.col("hi") - F.col("lo") >= apart, F.sequence(F.lit(apart), F.col("hi") - F.col("lo"))).otherwise(F.array().cast("array<int>"))))
+
+    def scored(df: DataFrame) -> DataFrame:
+        def pair(a: int, b: int) -> Column:
+            both = F.concat(F.substring("kind", a, 1), F.substring("kind_j", b, 1))
+            out = F.lit(0.0)
+            for kind, v in PAIR_SCORES.items():
+                out = F.when(both == kind, v).otherwise(out)
+            return out
+
+        # Places in a kind: 1 the residue before, 2 itself, 3 the one after. At a chain's ends nothing stacks, nor do
+        # inner neighbours that are too near to pair.
+        inside = ~F.substring("kind", 1, 1).eqNullSafe("-") & ~F.substring("kind_j", 3, 1).eqNullSafe("-")
+        stack = F.when(inside, pair(1, 3) + F.when(F.col("gap") - 2 >= apart, pair(3, 1)).otherwise(0.0)).otherwise(0.0)
+        return df.withColumn("score", F.round(pair(2, 2) * BASE_WEIGHT + stack * STACK_WEIGHT + F.exp(-F.col("gap") / DECAY) * NEAR_WEIGHT, 9))
+
+    def pairs_at(df: DataFrame) -> DataFrame:
+        i = df.select("entry", "gap", *[c for c in df.columns if c not in ("entry", "gap", "lo", "hi")]).join(r, "entry").withColumn("j", F.col("idx") + F.col("gap"))
+        return scored(i.join(r.select("entry", F.col("idx").alias("j"), F.col("kind").alias("kind_j")), ["entry", "j"]))
+
+    counts = pairs_at(gaps).groupBy("entry", "score").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("entry").orderBy(F.desc("score")))
+    classes = materialize(counts.withColumn("before", upto - F.col("n")).join(size, "entry").where(F.col("before") < cut).select("entry", "score", "before", "l"), "classes")
+    # Of the true pairs alone the place has to be known: what is before their class, and inside it.
+    true = truth.select("entry", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")).distinct()
+    t = true.join(r.select("entry", F.col("idx").alias("i"), "kind"), ["entry", "i"]).join(r.select("entry", F.col("idx").alias("j"), F.col("kind").alias("kind_j")), ["entry", "j"]).withColumn("gap", F.col("j") - F.col("i"))
+    t = materialize(scored(t).join(classes, ["entry", "score"]).select("entry", "i", "j", "gap", "score", "before", "l"), "true")
+    rivals = pairs_at(t.select("entry", "gap", "score").distinct().withColumnRenamed("score", "wanted")).where("score = wanted").select("entry", "score", F.col("idx").alias("i"), "j")
+    place = F.row_number().over(Window.partitionBy("entry", "score").orderBy("i", "j"))
+    placed = rivals.withColumn("inside", place).join(t, ["entry", "score", "i", "j"]).select("entry", "i", "j", (F.col("before") + F.col("inside")).alias("place"), "l")
+    hit = true.join(placed, ["entry", "i", "j"], "left")
     c = F.explode(F.array(*[F.lit(b) for b in budgets]))
     return hit.withColumn("c", c).groupBy("entry", "c").agg(F.avg(F.coalesce((F.col("place") <= F.col("c") * F.col("l")).cast("double"), F.lit(0.0))).alias("recall"))

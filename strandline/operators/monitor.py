@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 KEYS = ("run_id", "stage")
 
 
@@ -50,24 +52,44 @@ def loss_spike(df: DataFrame, value: str, sds: float = 5.0) -> DataFrame:
 
 
 def check_finite(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """One CRIT finding for each metric of a run that ever was not a finite number."""
+    """One CRIT finding for each row and metric that is not a finite number: keys, step, metric, value (as text)."""
     bad = unpivot_metrics(df, metrics).where(F.isnan("value") | (F.abs("value") == float("inf")))
-    return bad.groupBy(*KEYS, "metric").agg(F.count("*").alias("rows"), F.min("step").alias("first_step")).withColumn("severity", F.lit("CRIT"))
+    return bad.select(*KEYS, "step", "metric", F.col("value").cast("string").alias("value"), F.lit("CRIT").alias("severity"))
+
+
+def check_floors(df: DataFrame, names: Sequence[str], gap: float = 0.005, least: int = 3) -> DataFrame:
+    """keys, name, readings, greatest_gap, finding, severity (WARN): each X_acc against the X_major beside it.
+
+    Without an X_major column or any value of it: no floor. With `least` readings or more of both, none of which are
+    `gap` apart in either direction: at the floor; but a head whose X_n_class never is above 1 has no floor to beat.
+    """
+    has = lambda c: F.col(c) if c in df.columns else F.lit(None)
+    heads = [F.struct(F.lit(x).alias("name"), F.col(f"{x}_acc").cast("double").alias("acc"), has(f"{x}_major").cast("double").alias("floor"), has(f"{x}_n_class").cast("double").alias("classes")) for x in names]
+    r = df.select(*KEYS, F.explode(F.array(*heads)).alias("r")).select(*KEYS, "r.*")
+    both = F.col("acc").isNotNull() & F.col("floor").isNotNull()
+    t = r.groupBy(*KEYS, "name").agg(F.count("acc").alias("_acc"), F.count("floor").alias("_floor"), F.count_if(both).alias("readings"), F.max(F.abs(F.col("acc") - F.col("floor"))).alias("greatest_gap"), F.max(F.when(both, F.col("classes"))).alias("_classes"))
+    stuck = (F.col("readings") >= least) & (F.col("greatest_gap") < gap) & (F.coalesce("_classes", F.lit(2.0)) > 1)
+    t = t.where("_acc > 0").withColumn("finding", F.when(F.col("_floor") == 0, "no floor").when(stuck, "at the floor"))
+    return t.where("finding IS NOT NULL").select(*KEYS, "name", "readings", "greatest_gap", "finding", F.lit("WARN").alias("severity"))
 
 
-def check_floors(df: DataFrame, names: Sequence[str], gap: float = 0.005, least: int = 3, one_class: Sequence[str] = ()) -> DataFrame:
-    """keys, name, readings, best_gap, severity: X_acc against X_major. At least `least` readings whose greatest gap is under
-    `gap`: CRIT (at the floor); readings without a floor: WARN; heads with one class are exempt."""
-    rows = F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(f"{x}_acc").alias("acc"), F.col(f"{x}_major").alias("floor")) for x in names if x not in one_class]))
-    r = df.select(*KEYS, rows.alias("r")).select(*KEYS, "r.*").where("acc IS NOT NULL")
-    t = r.groupBy(*KEYS, "name").agg(F.count("*").alias("readings"), F.max(F.col("acc") - F.col("floor")).alias("best_gap"), F.count("floor").alias("_f"))
-    severity = F.when(F.col("_f") == 0, "WARN").when((F.col("readings") >= least) & (F.col("best_gap") < gap), "CRIT")
-    return t.withColumn("severity", severity).where("severity IS NOT NULL").drop("_f")
+def macro_at_chance(df: DataFrame, value: str, classes: str, k: int = 3, factor: float = 1.15) -> DataFrame:
+    """keys, latest, best, classes, severity (WARN) where each of the last k macro scores is at most factor over the
+    latest number of classes; stages with fewer readings or one class are left out."""
+    newest = df.where(F.col(classes).isNotNull()).groupBy(*KEYS).agg(F.max_by(F.col(classes), "step").alias("classes"))
+    t = last(df, value, k).groupBy(*KEYS).agg(F.count("*").alias("_n"), F.min_by(value, "_r").alias("latest"), F.max(value).alias("best")).join(newest, list(KEYS))
+    stuck = (F.col("_n") >= k) & (F.col("classes") > 1) & (F.col("best") <= F.lit(factor) / F.col("classes"))
+    return t.where(stuck).select(*KEYS, "latest", "best", "classes", F.lit("WARN").alias("severity"))
 
 
-def at_chance(df: DataFrame, value: str, classes: int, k: int = 3, factor: float = 1.15) -> DataFrame:
-    """keys, best, at_chance: the best of the last k macro scores is at most factor / classes."""
-    return last(df, value, k).groupBy(*KEYS).agg(F.max(value).alias("best")).withColumn("at_chance", F.col("best") <= factor / classes)
+def worse_than_baseline(df: DataFrame, value: str, baseline: float) -> DataFrame:
+    """keys, latest, gain (percent below the baseline), finding, severity: the last row's value against what a table of
+    symbol frequencies reaches (the corpus's entropy); ALERT where it cannot be read or is no better."""
+    t = df.groupBy(*KEYS).agg(F.max_by(F.struct(F.col(value).alias("v")), "step").alias("l")).select(*KEYS, F.col("l.v").alias("latest"))
+    unread = F.col("latest").isNull() | F.isnan("latest")
+    finding = F.when(unread, "unreadable").when(F.col("latest") >= baseline, "no better than the baseline").otherwise("better than the baseline")
+    gain = F.when(~unread, (F.lit(baseline) - F.col("latest")) / F.lit(baseline) * 100)
+    return t.select(*KEYS, F.when(~unread, F.col("latest")).alias("latest"), gain.alias("gain"), finding.alias("finding"), F.when(finding == "better than the baseline", "OK").otherwise("ALERT").alias("severity"))
 
 
 def dead_regression(df: DataFrame, value: str, least: float = 1e-4) -> DataFrame:
@@ -121,9 +143,11 @@ def newest_nonempty(df: DataFrame, rows: str = "rows") -> DataFrame:
     return t.select("stage", "run_id", (~F.col("_newest").eqNullSafe(F.col("run_id"))).alias("newest_is_empty"))
 
 
-def acknowledge(findings: DataFrame, known: DataFrame) -> DataFrame:
+def acknowledge(findings: DataFrame, known: DataFrame, most: int = 10_000) -> DataFrame:
     """Findings whose detail contains a known `part` become INFO with its `why`; none is dropped. `known` is a short
-    hand-kept list; the first match by `part` counts."""
+    hand-kept list of at most `most` rows (more raise an error); the first match by `part` counts."""
+    if known.count() > most:
+        raise ValueError(f"more than {most} known parts")
     # One row that holds the whole short list, in order of `part`.
     k = known.agg(F.array_sort(F.collect_list(F.struct("part", "why"))).alias("_known"))
     hit = F.element_at(F.filter("_known", lambda x: F.contains("detail", x["part"])), 1)
@@ -132,6 +156,47 @@ def acknowledge(findings: DataFrame, known: DataFrame) -> DataFrame:
     return t.withColumn("severity", F.when(F.col("why").isNotNull(), "INFO").otherwise(F.col("severity")))
 
 
+def run_checks(spark: SparkSession, checks: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """check, severity, detail of all checks, each of which gives rows with severity and detail, stored one by one; a
+    check that raises, in its plan or in its tasks, is itself a finding: BROKEN."""
+    schema = "check string, severity string, detail string"
+    out = spark.createDataFrame([], schema)
+    for name, check in checks.items():
+        try:
+            found = materialize(check().select(F.lit(name).alias("check"), F.col("severity").cast("string").alias("severity"), F.col("detail").cast("string").alias("detail")), "findings")
+        except Exception as e:  # noqa: BLE001 - whatever a check raises is what this reports
+            found = spark.createDataFrame([(name, "BROKEN", f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")], schema)
+        out = out.unionByName(found)
+    return out
+
+
+def append_history(findings: DataFrame, folder: str, at: Column) -> None:
+    """Append a report to the history in `folder`: reports (at, crit, warn, broken, findings) has a row for it, findings
+    its rows with `at`."""
+    count = lambda s: F.count_if(F.col("severity") == s)
+    findings.select(at.alias("at"), "check", "severity", "detail").write.mode("append").parquet(f"{folder}/findings")
+    findings.agg(count("CRIT").alias("crit"), count("WARN").alias("warn"), count("BROKEN").alias("broken"), F.count("*").alias("findings")).select(at.alias("at"), "crit", "warn", "broken", "findings").write.mode("append").parquet(f"{folder}/reports")
+
+
+def history(spark: SparkSession, folder: str, table: str = "reports") -> DataFrame:
+    return spark.read.parquet(f"{folder}/{table}")
+
+
+def snapshot(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    """keys, step, ts and the values of each stage's last row: what the next report is compared with."""
+    newest = F.max_by(F.struct("step", "ts", *values), "step")
+    return df.groupBy(*KEYS).agg(newest.alias("l")).select(*KEYS, "l.*")
+
+
+def keep_snapshot(now: DataFrame, folder: str) -> None:
+    """Put this report's snapshot in the place of the last one. `now` may read that one: it is stored first."""
+    materialize(now, "snapshot").write.mode("overwrite").parquet(f"{folder}/snapshot")
+
+
+def last_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/snapshot")
+
+
 def report_severity(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("n"))
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .ranking import places
+
 
 def md5_bucket(key: Column) -> Column:
     """md5(key) as a whole number mod 100, from its two halves (16^16 is 16 modulo 100)."""
@@ -41,43 +46,71 @@ def family_groups(df: DataFrame) -> DataFrame:
     return sizes.withColumn("oversized", F.col("size") > 0.05 * F.sum("size").over(Window.partitionBy()))
 
 
-def family_disjoint_split(df: DataFrame, shares: Sequence[tuple[str, float]] = (("train", 0.6), ("val", 0.2), ("test", 0.2)), seed: str = "0") -> DataFrame:
+def _turns(lack: list[Fraction], size: int, n: int) -> list[tuple[int, int, list[int]]]:
+    """(first, until, order): how n groups of one size go in turn to the split that lacks most (ties to the first): the
+    groups from `first` to `until` go round the splits of `order`. Updates `lack`.
+
+    Only so many stretches as there are splits: a split that lags takes groups alone, or in turn with others
+    that lag as much, until the next one is level.
+    """
+    out, at = [], 0
+    while at < n:
+        # Splits within one group's size of the greatest lack take turns from here on, most lacking first.
+        top = max(lack)
+        level = sorted((i for i in range(len(lack)) if top - lack[i] < size), key=lambda i: (-lack[i], i))
+        below = [x for i, x in enumerate(lack) if i not in level]
+        # Whole rounds until one that is not among them would be: it joins when within one size of the greatest.
+        rounds = n if not below or not size else max(1, math.ceil((top - max(below)) / size) - 1)
+        took = min(n - at, rounds * len(level))
+        out.append((at, at + took, level))
+        for place, i in enumerate(level):
+            lack[i] -= size * (took // len(level) + (place < took % len(level)))
+        at += took
+    return out
+
+
+def family_disjoint_split(df: DataFrame, shares: Sequence[tuple[str, float]] = (("train", 0.6), ("val", 0.2), ("test", 0.2)), seed: str = "0", most: int = 5_000_000) -> DataFrame:
     """group, size, split: no family in two splits.
 
-    Oversized groups are for training. The others, largest first (ties by sha256(seed:group), then name), each
-    go to the split furthest below its share of the assigned residues (ties in the given order): an ordered
-    fold over one row per group, which is all it sees.
+    Oversized groups are for the first split. The others, largest first (ties by sha256(seed:group), then name), each
+    go to the split furthest below its share of the assigned residues (ties in the given order). Groups of one
+    size differ in nothing else, so the driver folds over the distinct sizes and their counts (more than `most` of them
+    raise an error), and a group finds its split by its number among those of its size.
     """
-    groups = family_groups(df)
-    order = F.struct((-F.col("size")).alias("neg"), F.substring(F.sha2(F.concat(F.lit(seed + ":"), "group"), 256), 1, 16).alias("h"), F.col("group").alias("g"))
-    small = groups.agg(
-        F.array_sort(F.collect_list(F.when(~F.col("oversized"), order))).alias("list"),
-        F.coalesce(F.sum(F.when(F.col("oversized"), F.col("size"))), F.lit(0)).cast("double").alias("big"),
-        F.sum("size").cast("double").alias("total"),
-    )
-    n = len(shares)
-    zero = F.struct(F.array(F.col("big"), *[F.lit(0.0)] * (n - 1)).alias("filled"), F.array().cast("array<struct<g:string,s:int>>").alias("out"))
-
-    def step(acc: Column, item: Column) -> Column:
-        lack = [(F.lit(w) * F.col("total") - acc["filled"][i]) for i, (_, w) in enumerate(shares)]
-        most = F.greatest(*lack)
-        pick = F.coalesce(*[F.when(x == most, F.lit(i)) for i, x in enumerate(lack)])
-        filled = F.transform(acc["filled"], lambda x, i: F.when(i == pick, x - item["neg"]).otherwise(x))
-        return F.struct(filled.alias("filled"), F.concat(acc["out"], F.array(F.struct(item["g"].alias("g"), pick.cast("int").alias("s")))).alias("out"))
-
-    folded = small.select(F.explode(F.aggregate("list", zero, step, lambda a: a["out"])).alias("r")).select("r.g", "r.s")
+    groups = materialize(family_groups(df), "groups")
+    total, big = groups.agg(F.sum("size"), F.sum(F.when(F.col("oversized"), F.col("size")))).first()
+    sizes = groups.where("NOT oversized").groupBy("size").agg(F.count("*").alias("n"))
+    if sizes.count() > most:
+        raise ValueError(f"more than {most} sizes")
+    lack = [Fraction(str(w)) * (total or 0) for _, w in shares]
+    lack[0] -= big or 0
+    plan = [(r.size_, first, until, order) for r in sizes.withColumnRenamed("size", "size_").sort(F.desc("size_")).collect() for first, until, order in _turns(lack, r.size_, r.n)]
+    table = groups.sparkSession.createDataFrame(plan, "_size long, _first long, _until long, _order array<int>")
+    small = groups.where("NOT oversized").withColumn("_h", F.substring(F.sha2(F.concat(F.lit(seed + ":"), "group"), 256), 1, 16))
+    numbered = places(small, ["size"], [F.col("_h"), F.col("group")], total="")
+    table = F.broadcast(table) if len(plan) <= 1_000_000 else table
+    met = numbered.join(table, (F.col("size") == F.col("_size")) & (F.col("_place") >= F.col("_first")) & (F.col("_place") < F.col("_until")))
+    turn = F.element_at("_order", (F.pmod(F.col("_place") - F.col("_first"), F.size("_order")) + 1).cast("int"))
     names = F.array(*[F.lit(s) for s, _ in shares])
-    placed = groups.join(folded, groups["group"] == folded["g"], "left")
-    return placed.select("group", "size", F.when(F.col("oversized"), shares[0][0]).otherwise(F.element_at(names, F.col("s") + 1)).alias("split"))
+    placed = met.select("group", "size", F.element_at(names, turn + 1).alias("split"))
+    return placed.unionByName(groups.where("oversized").select("group", "size", F.lit(shares[0][0]).alias("split")))
 
 
 def entry_holdout(df: DataFrame, seed: str = "0", fraction: float = 0.2) -> DataFrame:
     """entry, family: of each oversized family max(1, round-half-even(fraction n)) entries in sha256(seed/ribo/entry) order."""
     big = family_groups(df).where("oversized").select(F.col("group").alias("family"))
-    entries = df.join(big, "family", "left_semi").select("family", "entry").distinct()
-    w = Window.partitionBy("family")
-    rn = F.row_number().over(w.orderBy(F.sha2(F.concat(F.lit(f"{seed}/ribo/"), "entry"), 256), "entry"))
-    return entries.withColumn("_rn", rn).withColumn("_n", F.count("*").over(w)).where(F.col("_rn") <= F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction)))).select("family", "entry")
+    entries = df.join(big, "family", "left_semi").select("family", "entry").distinct().withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}/ribo/"), "entry"), 256))
+    numbered = places(entries, ["family"], [F.col("_h"), F.col("entry")])
+    return numbered.where(F.col("_place") < F.greatest(F.lit(1), F.bround(F.col("_total") * F.lit(fraction)))).select("family", "entry")
+
+
+def resplit(df: DataFrame, shares: Sequence[tuple[str, float]] = (("train", 0.6), ("val", 0.2), ("test", 0.2)), seed: str = "0", held: str = "test_ribosomal") -> DataFrame:
+    """entry, family, split from the metadata alone: its group's split, and `held` for the entries held out of oversized families."""
+    groups = family_disjoint_split(df, shares, seed)
+    entries = df.select("entry", "family").distinct().withColumn("group", F.coalesce("family", F.concat(F.lit("entry:"), "entry")))
+    out = entry_holdout(df, seed).withColumn("_held", F.lit(True))
+    j = entries.join(groups.select("group", "split"), "group").join(out, ["family", "entry"], "left")
+    return j.select("entry", "family", F.when(F.col("_held"), F.lit(held)).otherwise(F.col("split")).alias("split"))
 
 
 def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

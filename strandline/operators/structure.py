@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..session import materialize
 
 
 def _cells(df: DataFrame, cutoff: float, spread: bool) -> DataFrame:
@@ -76,11 +77,27 @@ def coordination(ions: DataFrame, atoms: DataFrame, inner: float = 2.6, outer: t
     return j.groupBy("entry", "ion", F.col("r_k").alias("k")).agg(F.count_if(d <= inner).alias("inner"), F.count_if(d.between(*outer)).alias("outer")).where("inner + outer > 0")
 
 
-def nearest_ion(residues: DataFrame, ions: DataFrame) -> DataFrame:
-    """entry, idx, distance to the nearest ion of the entry; null without one. An entry has few ions."""
-    i = ions.select("entry", F.col("x").alias("ix"), F.col("y").alias("iy"), F.col("z").alias("iz"))
-    d = F.sqrt((F.col("x") - F.col("ix")) ** 2 + (F.col("y") - F.col("iy")) ** 2 + (F.col("z") - F.col("iz")) ** 2)
-    return residues.join(i, "entry", "left").groupBy("entry", "idx").agg(F.min(d).alias("distance"))
+def nearest_ion(residues: DataFrame, ions: DataFrame, first: float = 8.0) -> DataFrame:
+    """entry, idx, distance to the nearest ion of the entry; null without one.
+
+    Residues look within `first` by cells, and those that find none again within twice as far each time, so a
+    residue meets the ions about it and not all of its entry; it ends when every entry with ions is done.
+    """
+    near = materialize(residues.select("entry", "idx", "x", "y", "z"), "residues")
+    left = near.join(ions.select("entry").distinct(), "entry", "left_semi")
+    found, cutoff = None, first
+    # No two points of an entry are further apart than the diagonal of what holds them all.
+    both = near.select("entry", "x", "y", "z").unionByName(ions.select("entry", "x", "y", "z"))
+    spans = both.groupBy("entry").agg(*[(F.max(c) - F.min(c)).alias(f"s{c}") for c in "xyz"])
+    widest = spans.agg(F.max(F.sqrt(sum((F.col(f"s{c}") ** 2 for c in "xyz"), F.lit(0.0))))).first()[0] or 0.0
+    while True:
+        got = materialize(cell_join(left, ions.select("entry", "x", "y", "z"), "entry", cutoff).groupBy("entry", "idx").agg(F.sqrt(F.min("dist2")).alias("distance")), "nearest")
+        found = got if found is None else found.unionByName(got)
+        left = materialize(left.join(got, ["entry", "idx"], "left_anti"), "far")
+        if cutoff > widest or left.isEmpty():
+            break
+        cutoff *= 2
+    return near.select("entry", "idx").join(found, ["entry", "idx"], "left")
 
 
 def neighbour_density(residues: DataFrame, cutoff: float = 10.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import conditions as C
 from ..functions import sequence as S
 from ..operators import catalog, corpus, splits
-from ..session import read_table
+from ..session import materialize, read_table
 from . import fixtures as X
 from .registry import query
 
@@ -29,7 +29,9 @@ KEPT = f"SELECT * FROM ({FILTERED}) WHERE reason IS NULL QUALIFY id = min(id) OV
 
 
 def kept(spark, d):
-    return corpus.dedup_exact(filtered(spark, d).where("reason IS NULL"), "sequence", "id")
+    """Thin rows of the kept sequences, each once."""
+    thin = materialize(corpus.measured(filtered(spark, d).where("reason IS NULL"), ["id", "chunk"]), "kept")
+    return corpus.dedup_exact(thin, "digest", "id")
 
 
 @query(f"""SELECT chunk, count(*) AS n, median(length(sequence)) AS median_length, avg(length(sequence)) AS mean_length,
@@ -51,11 +53,9 @@ def filter_counters(spark, d):
   SELECT coalesce(why, 'kept') AS reason, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM r GROUP BY why""")
 def ingest_counters(spark, d):
     """Filters, then the anti-join against a corpus, then exact duplicates: one reason for each row."""
-    f = filtered(spark, d)
-    known = X.bench_seq(spark, d).select(S.normalize_seq(F.col("sequence")).alias("_known")).distinct().withColumn("_in", F.lit(True))
-    passed = corpus.mark_duplicates(f.where("reason IS NULL"), "sequence", "id")
-    passed = passed.join(known, F.col("sequence") == F.col("_known"), "left").withColumn("reason", F.when(F.col("_in"), "already_in_corpus").when(F.col("duplicate"), "duplicate"))
-    return corpus.filter_counters(f.where("reason IS NOT NULL").select("reason").unionByName(passed.select("reason")))
+    thin = filtered(spark, d).select("id", "reason", F.md5(F.col("sequence").cast("binary")).alias("digest"))
+    known = X.bench_seq(spark, d).select(F.md5(S.normalize_seq(F.col("sequence")).cast("binary")).alias("digest"))
+    return corpus.ingest_counts(materialize(thin, "thin"), known)
 
 
 @query(f"SELECT chunk, count(*) AS n, min(id) AS first_id FROM ({X.SEQ}) s WHERE NOT EXISTS (SELECT 1 FROM ({X.BENCH_SEQ}) b WHERE b.sequence = s.sequence) GROUP BY chunk")
@@ -306,7 +306,17 @@ def family_groups(spark, d):
     return splits.family_groups(X.groups(spark, d))
 
 
-@query()
+_G = f"""SELECT *, size > 0.05 * sum(size) OVER () AS big FROM (SELECT coalesce(family, 'entry:' || entry) AS "group", CAST(sum(length) AS BIGINT) AS size FROM ({X.GROUPS}) GROUP BY 1)"""
+# Tenths of residues, so that shares of 0.6 and 0.2 are whole numbers.
+SPLIT = f"""WITH RECURSIVE g AS MATERIALIZED ({_G}), t AS (SELECT CAST(sum(size) AS BIGINT) AS total, CAST(coalesce(sum(size) FILTER (WHERE big), 0) AS BIGINT) AS b FROM g),
+  o AS MATERIALIZED (SELECT "group", size, row_number() OVER (ORDER BY size DESC, substr(sha256('0:' || "group"), 1, 16), "group") AS k FROM g WHERE NOT big),
+  f AS (SELECT CAST(0 AS BIGINT) AS k, CAST('' AS VARCHAR) AS "group", CAST(0 AS BIGINT) AS size, 6 * total - 10 * b AS a, 2 * total AS v, 2 * total AS e, '' AS split FROM t UNION ALL
+    SELECT o.k, o."group", o.size, CASE WHEN a >= v AND a >= e THEN a - 10 * o.size ELSE a END, CASE WHEN v > a AND v >= e THEN v - 10 * o.size ELSE v END, CASE WHEN e > a AND e > v THEN e - 10 * o.size ELSE e END,
+      CASE WHEN a >= v AND a >= e THEN 'train' WHEN v >= e THEN 'val' ELSE 'test' END FROM f JOIN o ON o.k = f.k + 1)
+  SELECT "group", size, split FROM f WHERE k > 0 UNION ALL SELECT "group", size, 'train' FROM g WHERE big"""
+
+
+@query(SPLIT)
 def family_disjoint_split(spark, d):
     return splits.family_disjoint_split(X.groups(spark, d))
 
@@ -320,6 +330,13 @@ def entry_holdout_in_giants(spark, d):
     return splits.entry_holdout(X.groups(spark, d))
 
 
+@query(f"""WITH s AS ({SPLIT}), h AS (SELECT family, entry FROM ({BIG}) WHERE r <= greatest(1, round_even(n * 0.2, 0)))
+  SELECT x.entry, x.family, CASE WHEN h.entry IS NOT NULL THEN 'test_ribosomal' ELSE s.split END AS split FROM (SELECT DISTINCT entry, family FROM ({X.GROUPS})) x JOIN s ON s."group" = coalesce(x.family, 'entry:' || x.entry) LEFT JOIN h ON h.family = x.family AND h.entry = x.entry""")
+def resplit_entries(spark, d):
+    """Every entry's split from the metadata alone; a fifth of each giant family is held out."""
+    return splits.resplit(X.groups(spark, d))
+
+
 @query(f"""SELECT 'sequence' AS key, count(*) AS leaks FROM (SELECT sequence FROM ({X.BENCH_SEQ}) INTERSECT SELECT sequence FROM ({X.SEQ}))
   UNION ALL SELECT 'id', count(*) FROM (SELECT id FROM ({X.BENCH_SEQ}) INTERSECT SELECT id FROM ({X.SEQ}))""")
 def leak_guard(spark, d):

@@ -122,26 +122,42 @@ ION = f"SELECT entry, idx AS ion, x, y, z FROM ({ATOM}) WHERE k = 0 AND idx % 25
 
 
 def bp(spark: SparkSession, d: str) -> DataFrame:
-    """Nested pairs i, 30 - i of each entry, and one crossing pair; the entry with the least label has none."""
-    e = read_table(spark, d, "embeddings").select(F.col("label").alias("entry")).distinct().where("entry > 0")
-    nested = e.select("entry", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("entry", "i", (30 - F.col("i")).alias("j"), F.when(F.col("i") % 3 == 0, 2).otherwise(1).alias("lw"))
-    return nested.unionByName(e.select("entry", F.lit(12).alias("i"), F.lit(34).alias("j"), F.lit(1).alias("lw")))
+    """Residues of an entry that are each other's nearest within 12, four places apart or more; every third has class 2."""
+    from ..operators.structure import cell_join
 
+    c = centre(spark, d)
+    near = cell_join(c, c, "entry", 12.0).where(F.abs(F.col("r_idx") - F.col("idx")) >= 4).groupBy("entry", F.col("idx").alias("i")).agg(F.min(F.struct("dist2", "r_idx"))["r_idx"].alias("j"))
+    other = near.select("entry", F.col("j").alias("i"), F.col("i").alias("j"))
+    return near.join(other, ["entry", "i", "j"]).where("i < j").select("entry", "i", "j", F.when(F.col("i") % 3 == 0, 2).otherwise(1).alias("lw"))
 
-BP = """SELECT entry, i, 30 - i AS j, CASE WHEN i % 3 = 0 THEN 2 ELSE 1 END AS lw FROM (SELECT entry, CAST(unnest(range(10)) AS INTEGER) AS i FROM (SELECT DISTINCT label AS entry FROM embeddings WHERE label > 0))
-  UNION ALL SELECT DISTINCT label, 12, 34, 1 FROM embeddings WHERE label > 0"""
+
+_FAR = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
+_NEAREST = f"SELECT a.entry, a.idx AS i, arg_min(b.idx, ({_FAR}, b.idx)) AS j FROM ({CENTRE}) a JOIN ({CENTRE}) b ON a.entry = b.entry AND abs(a.idx - b.idx) >= 4 WHERE {_FAR} <= 144 GROUP BY a.entry, a.idx"
+BP = f"SELECT p.entry, p.i, p.j, CASE WHEN p.i % 3 = 0 THEN 2 ELSE 1 END AS lw FROM ({_NEAREST}) p JOIN ({_NEAREST}) q ON p.entry = q.entry AND p.j = q.i AND q.j = p.i WHERE p.i < p.j"
 
 
 def msa(spark: SparkSession, d: str) -> DataFrame:
-    """First 60 columns of at most 40 rows for each language."""
-    from pyspark.sql import Window
+    """Every vector as a row of its label's alignment, a column for each component."""
+    symbol = lambda x: F.substring(F.lit("ACGU-"), (F.pmod(F.floor(x.cast("double") * 8), F.lit(5)) + 1).cast("int"), F.lit(1))
+    return read_table(spark, d, "embeddings").select(F.col("label").alias("family"), F.col("vec_id").alias("row_no"), F.array_join(F.transform("embedding", symbol), "").alias("aligned"))
+
+
+MSA = "SELECT label AS family, vec_id AS row_no, array_to_string(list_transform(embedding, lambda x: substr('ACGU-', (CAST(floor(CAST(x AS DOUBLE) * 8) AS BIGINT) % 5 + 5) % 5 + 1, 1)), '') AS aligned FROM embeddings"
+
+
+def consensus_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """family, i, j: bracket pairs of each family's first row, in which A opens and G closes."""
+    from ..operators.structure import dot_bracket_pairs
 
-    s = seq(spark, d)
-    rn = F.row_number().over(Window.partitionBy("lang").orderBy("id"))
-    return s.withColumn("rn", rn).where("rn <= 40").select(F.col("lang").alias("family"), F.col("id").alias("row_no"), F.translate(F.substring(F.rpad("sequence", 60, "-"), 1, 60), "T", "U").alias("aligned"))
+    first = msa(spark, d).groupBy("family").agg(F.min_by("aligned", "row_no").alias("aligned"))
+    return dot_bracket_pairs(first.select("family", F.translate("aligned", "ACGU-", "(.)..").alias("ss")), "family", "ss")
 
 
-MSA = f"SELECT lang AS family, id AS row_no, translate(substr(rpad(sequence, 60, '-'), 1, 60), 'T', 'U') AS aligned FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY id) AS rn FROM ({SEQ})) WHERE rn <= 40"
+CONSENSUS = f"""WITH f AS (SELECT family, arg_min(aligned, row_no) AS a FROM ({MSA}) GROUP BY family), c AS (SELECT family, CAST(unnest(range(length(a))) AS INTEGER) AS pos, unnest(string_split(a, '')) AS c FROM f),
+  o AS (SELECT family, pos, CASE c WHEN 'A' THEN 1 ELSE -1 END AS o FROM c WHERE c IN ('A', 'G')), d AS (SELECT *, sum(o) OVER (PARTITION BY family ORDER BY pos) AS depth FROM o),
+  l AS (SELECT *, least(0, coalesce(min(depth) OVER (PARTITION BY family ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM d),
+  k AS (SELECT family, pos, o, CASE WHEN o = 1 THEN depth ELSE depth + 1 END AS depth FROM l WHERE o = 1 OR depth >= low), n AS (SELECT *, row_number() OVER (PARTITION BY family, depth, o ORDER BY pos) AS nth FROM k)
+  SELECT a.family, a.pos AS i, b.pos AS j FROM n a JOIN n b ON a.family = b.family AND a.depth = b.depth AND a.nth = b.nth WHERE a.o = 1 AND b.o = -1"""
 
 
 def logs(spark: SparkSession, d: str) -> DataFrame:
@@ -169,13 +185,13 @@ SUBMISSION = """SELECT c_nationkey AS target, o_custkey AS grp, o_orderkey AS mo
 
 
 def groups(spark: SparkSession, d: str) -> DataFrame:
-    """Entries with a family (part brand; none for every seventh) and a length."""
+    """Entries with a family (part brand, those of one maker together; none for every seventh) and a length."""
     l, p = read_table(spark, d, "lineitem"), read_table(spark, d, "part")
     j = l.join(p, l["l_partkey"] == p["p_partkey"]).where("l_linenumber = 1")
-    return j.select(F.concat(F.lit("e"), "l_orderkey").alias("entry"), F.when(F.col("l_orderkey") % 7 != 0, F.col("p_brand")).alias("family"), F.col("l_quantity").cast("long").alias("length"))
+    return j.select(F.concat(F.lit("e"), "l_orderkey").alias("entry"), F.when(F.col("l_orderkey") % 7 != 0, F.regexp_replace("p_brand", "^Brand#1.*$", "Brand#1")).alias("family"), F.col("l_quantity").cast("long").alias("length"))
 
 
-GROUPS = "SELECT 'e' || l_orderkey AS entry, CASE WHEN l_orderkey % 7 <> 0 THEN p_brand END AS family, CAST(l_quantity AS BIGINT) AS length FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1"
+GROUPS = "SELECT 'e' || l_orderkey AS entry, CASE WHEN l_orderkey % 7 <> 0 THEN CASE WHEN p_brand LIKE 'Brand#1%' THEN 'Brand#1' ELSE p_brand END END AS family, CAST(l_quantity AS BIGINT) AS length FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1"
 
 
 def ladder(spark: SparkSession, d: str) -> DataFrame:
@@ -186,8 +202,11 @@ LADDER = "SELECT l_partkey % 50 AS construct, l_returnflag AS ion, l_quantity AS
 
 
 def motif(spark: SparkSession, d: str) -> DataFrame:
-    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
-    return read_table(spark, d, "documents").select(F.col("doc_id").alias("motif_id"), F.col("lang").alias("kind"), F.array_join(F.transform(F.slice(w, 1, 8), lambda x: F.substring(x, 1, 1)), "-").alias("signature"))
+    """First letters of every eight words in a row, of all words of a text with fewer."""
+    t = read_table(spark, d, "documents").select(F.col("doc_id").alias("motif_id"), F.col("lang").alias("kind"), F.transform(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), lambda x: F.substring(x, 1, 1)).alias("w"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1)))
+    return t.select("motif_id", "kind", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(8)), "-"))).alias("signature"))
 
 
-MOTIF = "SELECT doc_id AS motif_id, lang AS kind, array_to_string(list_transform(regexp_extract_all(lower(text), '[a-z]+')[1:8], lambda x: substr(x, 1, 1)), '-') AS signature FROM documents"
+MOTIF = """SELECT motif_id, kind, array_to_string(w[s:s + 7], '-') AS signature FROM (SELECT motif_id, kind, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS s FROM (
+  SELECT doc_id AS motif_id, lang AS kind, list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda x: substr(x, 1, 1)) AS w FROM documents))"""

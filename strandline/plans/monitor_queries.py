@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -43,27 +44,46 @@ def loss_spike(spark, d):
 BAD = f"SELECT *, CASE WHEN id % 97 = 5 THEN CAST('nan' AS DOUBLE) WHEN id % 131 = 7 THEN CAST('inf' AS DOUBLE) ELSE metric END AS loss FROM ({X.LOGS})"
 
 
-@query(f"SELECT run_id, stage, 'loss' AS metric, count(*) AS rows, min(step) AS first_step, 'CRIT' AS severity FROM ({BAD}) WHERE NOT isfinite(loss) GROUP BY run_id, stage")
+@query(f"SELECT run_id, stage, step, 'loss' AS metric, CASE WHEN isnan(loss) THEN 'NaN' ELSE 'Infinity' END AS value, 'CRIT' AS severity FROM ({BAD}) WHERE NOT isfinite(loss)")
 def nonfinite_metrics(spark, d):
     f = X.logs(spark, d).withColumn("loss", F.when(F.col("id") % 97 == 5, float("nan")).when(F.col("id") % 131 == 7, float("inf")).otherwise(F.col("metric")))
     return monitor.check_finite(f.drop("metric"), ["loss"])
 
 
-FL = f"SELECT *, metric / 100 AS loop_acc, CASE WHEN stage <> 'click' THEN metric / 100 - (run_id % 3) * 0.004 END AS loop_major FROM ({X.LOGS})"
+FL = f"""SELECT *, metric / 100 AS loop_acc, CASE WHEN stage <> 'click' THEN metric / 100 - (run_id % 3 - 1) * 0.004 END AS loop_major, 1 + run_id % 2 AS loop_n_class, metric / 50 AS bare_acc FROM ({X.LOGS})"""
 
 
-@query(f"""WITH g AS (SELECT run_id, stage, 'loop' AS name, count(loop_acc) AS readings, max(loop_acc - loop_major) AS best_gap, count(loop_major) AS f FROM ({FL}) GROUP BY ALL),
-  s AS (SELECT run_id, stage, name, readings, best_gap, CASE WHEN f = 0 THEN 'WARN' WHEN readings >= 3 AND best_gap < 0.005 THEN 'CRIT' END AS severity FROM g) SELECT * FROM s WHERE severity IS NOT NULL""")
+@query(f"""WITH g AS (SELECT run_id, stage, count(loop_acc) AS a, count(loop_major) AS f, count_if(loop_acc IS NOT NULL AND loop_major IS NOT NULL) AS readings, max(abs(loop_acc - loop_major)) AS greatest_gap, max(loop_n_class) AS c FROM ({FL}) GROUP BY ALL),
+  s AS (SELECT run_id, stage, 'loop' AS name, readings, greatest_gap, CASE WHEN f = 0 THEN 'no floor' WHEN readings >= 3 AND greatest_gap < 0.005 AND c > 1 THEN 'at the floor' END AS finding, 'WARN' AS severity FROM g WHERE a > 0
+    UNION ALL SELECT run_id, stage, 'bare', 0, NULL, 'no floor', 'WARN' FROM ({FL}) GROUP BY run_id, stage HAVING count(bare_acc) > 0)
+  SELECT run_id, stage, name, readings, round(greatest_gap, 9) AS greatest_gap, finding, severity FROM s WHERE finding IS NOT NULL""")
 def accuracy_floors(spark, d):
-    f = X.logs(spark, d).withColumn("loop_acc", F.col("metric") / 100)
-    f = f.withColumn("loop_major", F.when(F.col("stage") != "click", F.col("loop_acc") - F.col("run_id") % 3 * F.lit(0.004)))
-    return monitor.check_floors(f, ["loop"])
+    """Heads one step above, at and below their floor; those of an odd run have two classes."""
+    f = X.logs(spark, d).withColumns({"loop_acc": F.col("metric") / 100, "bare_acc": F.col("metric") / 50, "loop_n_class": 1 + F.col("run_id") % 2})
+    f = f.withColumn("loop_major", F.when(F.col("stage") != "click", F.col("loop_acc") - (F.col("run_id") % 3 - 1) * F.lit(0.004)))
+    return monitor.check_floors(f, ["loop", "bare"]).withColumn("greatest_gap", F.round("greatest_gap", 9))
 
 
-@query(f"""WITH r AS (SELECT *, row_number() OVER w AS r FROM ({X.LOGS}) {W}) SELECT run_id, stage, max(metric) AS best, max(metric) <= 1.15 / 0.02 AS at_chance FROM r WHERE r <= 3 GROUP BY ALL""")
+@query(f"""WITH r AS (SELECT *, 1 + step % 3 AS c, row_number() OVER w AS r FROM ({X.LOGS}) {W}), t AS (SELECT run_id, stage, count(*) AS n, max(metric / 100) AS best, max(metric / 100) FILTER (WHERE r = 1) AS latest, max(c) FILTER (WHERE r = 1) AS classes FROM r WHERE r <= 3 GROUP BY ALL)
+  SELECT run_id, stage, latest, best, classes, 'WARN' AS severity FROM t WHERE n >= 3 AND classes > 1 AND best <= 1.15 / classes""")
 def macro_at_chance(spark, d):
-    t = monitor.at_chance(X.logs(spark, d), "metric", 50)
-    return t.withColumn("at_chance", F.col("best") <= F.lit(1.15) / F.lit(0.02))
+    f = X.logs(spark, d).withColumns({"macro": F.col("metric") / 100, "classes": 1 + F.col("step") % 3})
+    return monitor.macro_at_chance(f, "macro", "classes")
+
+
+BITS = f"SELECT *, CASE WHEN id % 11 <> 4 THEN metric / 25 END AS bits FROM ({X.LOGS})"
+
+
+@query(f"""WITH b AS (SELECT sum(-p * log2(p)) AS h FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM ({X.LOGS}) GROUP BY stage)),
+  t AS (SELECT run_id, stage, bits AS latest, round(h, 6) AS h FROM ({BITS}), b QUALIFY row_number() OVER (PARTITION BY run_id, stage ORDER BY step DESC) = 1)
+  SELECT run_id, stage, latest, round((h - latest) / h * 100, 6) AS gain, CASE WHEN latest IS NULL THEN 'unreadable' WHEN latest >= h THEN 'no better than the baseline' ELSE 'better than the baseline' END AS finding, CASE WHEN latest < h THEN 'OK' ELSE 'ALERT' END AS severity FROM t""")
+def worse_than_baseline(spark, d):
+    """Held-out bits against the entropy of the stages' frequencies."""
+    f = X.logs(spark, d)
+    n = f.groupBy("stage").agg(F.count("*").alias("n"))
+    entropy = n.select((F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p")).agg(F.round(F.sum(-F.col("p") * F.log2("p")), 6)).first()[0]
+    t = monitor.worse_than_baseline(f.withColumn("bits", F.when(F.col("id") % 11 != 4, F.col("metric") / 25)), "bits", entropy or 1.0)
+    return t.withColumn("gain", F.round("gain", 6))
 
 
 @query(f"""WITH r AS (SELECT *, row_number() OVER w AS r FROM ({X.LOGS}) {W}) SELECT run_id, stage, metric AS last, metric < 5 AS dead FROM r WHERE r = 1""")
@@ -134,6 +154,28 @@ def acknowledged_findings(spark, d):
     return monitor.acknowledge(findings(spark, d), known)
 
 
+@query(f"""WITH f AS (SELECT 'spread' AS c, severity FROM ({FIND}) UNION ALL SELECT 'silent', 'WARN' FROM ({X.LOGS}) GROUP BY run_id, stage HAVING count(*) < 3)
+  SELECT 'nightly' AS at, count_if(severity = 'CRIT') AS crit, count_if(severity = 'WARN') AS warn, 1 AS broken, count(*) + 1 AS findings FROM f""")
+def findings_history(spark, d):
+    """A report of three checks, of which one fails, appended and read again."""
+    f = X.logs(spark, d)
+    few = f.groupBy("run_id", "stage").agg(F.count("*").alias("n")).where("n < 3").select(F.lit("WARN").alias("severity"), F.concat_ws(" ", "run_id", "stage").alias("detail"))
+    checks = {"spread": lambda: findings(spark, d), "silent": lambda: few, "no column": lambda: f.select("missing")}
+    folder = f"{scratch_root(spark)}/history-{uuid.uuid4().hex}"
+    monitor.append_history(monitor.run_checks(spark, checks), folder, F.lit("nightly"))
+    return monitor.history(spark, folder)
+
+
+@query(f"SELECT run_id, stage, step, ts, metric FROM ({X.LOGS}) QUALIFY row_number() OVER (PARTITION BY run_id, stage ORDER BY step DESC) = 1")
+def report_snapshot(spark, d):
+    """The snapshot of half the steps, put out of its place by that of all."""
+    f = X.logs(spark, d)
+    folder = f"{scratch_root(spark)}/report-{uuid.uuid4().hex}"
+    monitor.keep_snapshot(monitor.snapshot(f.where("step <= 2"), ["metric"]), folder)
+    monitor.keep_snapshot(monitor.snapshot(f, ["metric"]), folder)
+    return monitor.last_snapshot(spark, folder)
+
+
 @query(f"""SELECT stage, 'metric' AS metric, count(*) AS rows, count(metric) AS known, avg(CAST(metric <> 0 AS DOUBLE)) AS nonzero, round(avg(metric), 8) AS mean, round(stddev_pop(metric), 8) AS sd, min(metric) = max(metric) AS constant, count_if(metric <= -6) AS tail FROM ({X.LOGS}) GROUP BY stage""")
 def column_liveness(spark, d):
     t = monitor.column_liveness(X.logs(spark, d), ["metric"], ["stage"])
@@ -160,24 +202,40 @@ def sized(spark, d):
     return X.seq(spark, d).select("id", "chunk", F.length("sequence").alias("length"))
 
 
-@query()
+def _fold(rows: str, quantum: int, running: bool) -> str:
+    """SQL: the report of batches cut in turn from `rows` (part, k from 1, length), at most 24576 tokens and 256 rows."""
+    new = "greatest(f.width, r.w)" if running else "r.w"
+    cut = f"((f.n + 1) * {new} > 24576 OR f.n >= 256)"
+    return f"""WITH RECURSIVE r AS MATERIALIZED (SELECT part, k, length, CAST(ceil(length / {quantum}) * {quantum} AS BIGINT) AS w FROM ({rows})),
+  f AS (SELECT part, k, 0 AS batch, 1 AS n, length AS tokens, w AS width FROM r WHERE k = 1 UNION ALL
+    SELECT r.part, r.k, CASE WHEN {cut} THEN f.batch + 1 ELSE f.batch END, CASE WHEN {cut} THEN 1 ELSE f.n + 1 END, CASE WHEN {cut} THEN r.length ELSE f.tokens + r.length END, CASE WHEN {cut} THEN r.w ELSE {new} END
+    FROM f JOIN r ON r.part = f.part AND r.k = f.k + 1),
+  b AS (SELECT part, batch, max(n) AS rows, max(tokens) AS tokens, arg_max(width, k) AS width FROM f GROUP BY part, batch)
+  SELECT count(*) AS steps, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(rows * width) AS BIGINT) AS padded, 1 - sum(tokens) / sum(rows * width) AS padding, count(DISTINCT width) AS widths, max(rows) AS most_rows FROM b"""
+
+
+@query(_fold(f"SELECT (row_number() OVER (ORDER BY length, id) - 1) // 100000 AS part, (row_number() OVER (ORDER BY length, id) - 1) % 100000 + 1 AS k, length FROM ({LEN})", 64, True))
 def length_sorted_batches(spark, d):
-    """Batches of a token budget over lengths in order; parts are ranges of length."""
-    return batches.report(batches.pack_ranges(sized(spark, d), F.floor(F.col("length") / 2048), ["length", "id"], 24576, 256, 64))
+    """Batches of a token budget over lengths in order."""
+    return batches.report(batches.pack_ranges(sized(spark, d), F.lit(0), ["length", "id"], 24576, 256, 64))
 
 
-@query()
+@query(_fold(f"SELECT (row_number() OVER (ORDER BY id) - 1) // 100000 AS part, (row_number() OVER (ORDER BY id) - 1) % 100000 + 1 AS k, length FROM ({LEN})", 1, True))
 def arrival_order_batches(spark, d):
-    """The baseline: the same budget in arrival order; parts are ranges of 100,000 ids."""
-    return batches.report(batches.pack_ranges(sized(spark, d), F.floor(F.col("id") / 100_000), ["id"], 24576, 256))
+    """The baseline: the same budget in arrival order."""
+    return batches.report(batches.pack_ranges(sized(spark, d), F.lit(0), ["id"], 24576, 256))
+
+
+BOUNDS = batches.bucket_bounds(65536)
+_BUCKET = "CASE " + " ".join(f"WHEN length <= {b} THEN {i}" for i, b in enumerate(BOUNDS)) + f" ELSE {len(BOUNDS)} END"
+_HASHED = f"SELECT *, {_BUCKET} AS b, row_number() OVER (PARTITION BY {_BUCKET} ORDER BY md5('' || id), id) - 1 AS r FROM ({LEN})"
 
 
-@query()
+@query(_fold(f"SELECT b * 1000000 + r // 100000 AS part, r % 100000 + 1 AS k, length FROM ({_HASHED})", 1, True))
 def length_bucket_batches(spark, d):
-    """Geometric buckets, shuffled by hash inside each, cut by the running greatest length. A bucket is dealt into parts of some 20,000 ids."""
-    bounds = batches.bucket_bounds(65536)
-    f = sized(spark, d).withColumn("h", F.xxhash64("id")).withColumn("b", batches.bucket_of(F.col("length"), bounds))
-    return batches.report(batches.pack_ranges(f, F.col("b") * 100_000 + F.floor(F.col("id") / 20_000), ["h", "id"], 24576, 256))
+    """Geometric buckets, shuffled by hash inside each, cut by the running greatest length."""
+    f = sized(spark, d).withColumn("h", F.md5(F.col("id").cast("string"))).withColumn("b", batches.bucket_of(F.col("length"), BOUNDS))
+    return batches.report(batches.pack_ranges(f, F.col("b"), ["h", "id"], 24576, 256))
 
 
 @query(f"WITH b AS (SELECT chunk, (row_number() OVER (PARTITION BY chunk ORDER BY id) - 1) // 16 AS batch, length FROM ({LEN})) SELECT chunk, batch, count(*) AS rows, CAST(sum(length) AS BIGINT) AS tokens FROM b GROUP BY ALL")
@@ -205,11 +263,12 @@ def stream_rollup(spark, d):
 
 @query("SELECT user_id, event_type FROM events GROUP BY ALL")
 def stream_dedup(spark, d):
+    """The first event of each kind of every user; what a user has done is forgotten four years later, longer than the table lasts."""
     prepare(spark)
-    rows = logs.stream_table(spark, f"{d}/events.parquet").select("user_id", "event_type")
-    return _run(logs.dedup(rows, ["user_id", "event_type"]), "append")
+    rows = logs.stream_table(spark, f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    return _run(logs.dedup(rows, ["user_id", "event_type"], "1461 days").select("user_id", "event_type"), "append")
 
 
 def _run(stream, mode):
-    name = f"s{uuid.uuid4().hex}"
-    return logs.run_available(stream, name, f"{scratch_root(stream.sparkSession)}/stream-{name}", mode)
+    folder = f"{scratch_root(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    return logs.run_stored(stream, f"{folder}/rows", f"{folder}/state", mode)

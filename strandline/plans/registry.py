@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    for name in ("corpus_queries", "fitness_queries", "structure_queries", "monitor_queries", "audit_queries"):
+    for name in ("corpus_queries", "fitness_queries", "structure_queries", "monitor_queries", "audit_queries", "chain_queries"):
         importlib.import_module(f"strandline.plans.{name}")
 
 

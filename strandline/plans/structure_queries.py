@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alignment, chemistry, kernels, structure
-from ..session import read_table
+from ..session import materialize, read_table
 from . import fixtures as X
 from .registry import query
 
@@ -173,16 +173,17 @@ def centred_coordinates(spark, d):
     return structure.center_coords(X.centre(spark, d)).select("entry", "idx", *[F.round(c, 9).alias(c) for c in ("x", "y", "z", "mx", "my", "mz")])
 
 
-PRED = f"SELECT entry, i, j FROM ({X.BP}) WHERE i % 4 <> 1 UNION ALL SELECT DISTINCT label, 20, 50 FROM embeddings"
+PRED = f"SELECT entry, i, CASE WHEN i % 4 = 1 THEN j + 1 ELSE j END AS j FROM ({X.BP}) WHERE i % 7 <> 2"
 
 
 @query(f"""WITH p AS (SELECT DISTINCT entry, i, j FROM ({PRED})), r AS (SELECT DISTINCT entry, i, j FROM ({X.BP})),
   n AS (SELECT coalesce(p.entry, r.entry) AS entry, count_if(p.i IS NOT NULL AND r.i IS NOT NULL) AS tp, count_if(r.i IS NULL) AS fp, count_if(p.i IS NULL) AS fn FROM p FULL JOIN r ON p.entry = r.entry AND p.i = r.i AND p.j = r.j GROUP BY 1)
   SELECT entry, tp, fp, fn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1, CASE WHEN tp + fn > 0 THEN coalesce(tp / nullif(sqrt((tp + fp) * (tp + fn)), 0), 0) END AS inf FROM n""")
 def base_pair_scores(spark, d):
-    b = X.bp(spark, d)
-    extra = read_table(spark, d, "embeddings").select(F.col("label").alias("entry")).distinct().select("entry", F.lit(20).alias("i"), F.lit(50).alias("j"))
-    return structure.pair_confusion(b.where("i % 4 <> 1").select("entry", "i", "j").unionByName(extra), b, "entry")
+    """The pairs with some left out and some off by one, against themselves."""
+    b = materialize(X.bp(spark, d), "pairs")
+    moved = F.when(F.col("i") % 4 == 1, F.col("j") + 1).otherwise(F.col("j")).alias("j")
+    return structure.pair_confusion(b.where("i % 7 <> 2").select("entry", "i", moved), b, "entry")
 
 
 @query(f"""WITH g AS (SELECT entry, i, j, i - row_number() OVER (PARTITION BY entry, i + j ORDER BY i) AS g FROM ({X.BP}))
@@ -220,11 +221,13 @@ def dot_bracket_pairs(spark, d):
 
 # --- kernels and chemistry
 
-PK = "('AU', 'UA', 'GC', 'CG', 'GU', 'UG')"
+def _pair_score(a: str, b: str) -> str:
+    return "CASE " + " ".join(f"WHEN {a} || {b} = '{k}' THEN {v}" for k, v in kernels.PAIR_SCORES.items()) + " ELSE 0 END"
 
 
 @query(f"""WITH b AS (SELECT entry, idx, base, lead(base) OVER w AS nxt, lag(base) OVER w AS prv FROM ({BASED}) WINDOW w AS (PARTITION BY entry ORDER BY idx)), l AS (SELECT entry, count(*) AS l FROM b GROUP BY entry),
-  p AS (SELECT a.entry, a.idx AS i, c.idx AS j, round(CAST((a.base || c.base) IN {PK} AS INTEGER) + 0.5 * CAST(coalesce((a.nxt || c.prv) IN {PK}, false) AS INTEGER) + exp(-(c.idx - a.idx) / 20.0), 9) AS score FROM b a JOIN b c ON a.entry = c.entry AND c.idx BETWEEN a.idx + 4 AND a.idx + 64),
+  p AS (SELECT a.entry, a.idx AS i, c.idx AS j, round({_pair_score('a.base', 'c.base')} + CASE WHEN a.prv IS NULL OR c.nxt IS NULL THEN 0 ELSE 0.6 * ({_pair_score('a.prv', 'c.nxt')} + CASE WHEN c.idx - a.idx >= 6 THEN {_pair_score('a.nxt', 'c.prv')} ELSE 0 END) END
+    + 2.0 * exp(-(c.idx - a.idx) / 40.0), 9) AS score FROM b a JOIN b c ON a.entry = c.entry AND c.idx >= a.idx + 4),
   t AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY score DESC, i, j) AS place FROM p), k AS (SELECT CAST(unnest([4, 16]) AS INTEGER) AS c)
   SELECT x.entry, k.c, avg(CAST(coalesce(t.place <= k.c * l.l, false) AS INTEGER)) AS recall FROM ({CONTACTS}) x CROSS JOIN k JOIN l ON l.entry = x.entry LEFT JOIN t ON t.entry = x.entry AND t.i = x.i AND t.j = x.j GROUP BY ALL""")
 def proposal_recall(spark, d):
@@ -274,12 +277,33 @@ def dictionary(spark):
     return spark.createDataFrame([("PSU", "PSEUDOURIDINE-5'-MONOPHOSPHATE", "U"), ("OMC", "O2'-METHYLYCYTIDINE-5'-MONOPHOSPHATE", "C"), ("XXX", " ", None)], "comp string, name string, parent string")
 
 
+_MEAN = [sum(v[i] for v in chemistry.BASES.values()) / 4 for i in range(len(chemistry.PROPERTIES))]
+_KNOWN = {p: f"CASE parent {' '.join(f'WHEN {b!r} THEN {v[i]!r}' for b, v in chemistry.BASES.items())} ELSE {_MEAN[i]!r} END" for i, p in enumerate(chemistry.PROPERTIES)}
+_KNOWN |= {
+    "groove_donors": f"{_KNOWN['groove_donors']} + CAST(comp = 'PSU' AS INTEGER)", "charge": f"CASE WHEN idx = 0 THEN 0 ELSE {_KNOWN['charge']} END", "hydroxyl": f"CASE WHEN token = 'DU' THEN 0 ELSE {_KNOWN['hydroxyl']} END",
+    "north": f"CASE WHEN token = 'DU' THEN 0.3 ELSE {_KNOWN['north']} END", "south": f"CASE WHEN token = 'DU' THEN 0.7 ELSE {_KNOWN['south']} END",
+}
+
+
 @query(f"""WITH r AS (SELECT *, CASE comp WHEN 'PSU' THEN 'U' WHEN 'OMC' THEN 'C' WHEN 'DT' THEN 'DU' WHEN 'XXX' THEN 'N' ELSE comp END AS token FROM ({COMPS})),
-  p AS (SELECT *, CASE WHEN right(token, 1) IN ('A', 'C', 'G', 'U') THEN right(token, 1) END AS parent FROM r)
-  SELECT token, count(*) AS n, avg(CASE parent WHEN 'A' THEN 1.0 WHEN 'G' THEN 1.0 WHEN 'C' THEN 0.0 WHEN 'U' THEN 0.0 ELSE 0.5 END) AS purine, CAST(sum(CAST(token = 'DU' AS INTEGER)) AS BIGINT) AS deoxy, count_if(idx = 0) AS first FROM p GROUP BY token""")
+  p AS (SELECT *, CASE WHEN right(token, 1) IN ('A', 'C', 'G', 'U') THEN right(token, 1) END AS parent, CAST(comp NOT IN ('A', 'C', 'G', 'U') AS DOUBLE) AS modified FROM r)
+  SELECT entry, idx, token, {', '.join(f"CAST(coalesce(parent = '{b}', false) AS DOUBLE) AS is_{b.lower()}" for b in 'ACGU')}, modified, {', '.join(f'CAST({v} AS DOUBLE) AS {k}' for k, v in _KNOWN.items())},
+    CAST(comp = 'OMC' AS DOUBLE) AS methylated, CAST(comp = 'PSU' AS DOUBLE) AS pseudouridine, CAST(modified = 1 AND comp NOT IN ('OMC', 'PSU') AS DOUBLE) AS other_modified,
+    coalesce(sum(CAST(parent IN ('G', 'C') AS INTEGER)) OVER w / nullif(sum(CAST(parent IS NOT NULL AS INTEGER)) OVER w, 0), 0) AS local_gc FROM p WINDOW w AS (PARTITION BY entry ORDER BY idx ROWS BETWEEN 16 PRECEDING AND 16 FOLLOWING)""")
 def residue_chemistry(spark, d):
-    e = chemistry.residue_chemistry(chemistry.encode_residues(components(spark, d), dictionary(spark)))
-    return e.groupBy("token").agg(F.count("*").alias("n"), F.avg("purine").alias("purine"), F.sum("deoxy").alias("deoxy"), F.sum("first").alias("first"))
+    """All 24 columns of every residue."""
+    names = dictionary(spark)
+    e = chemistry.residue_chemistry(chemistry.encode_residues(components(spark, d), names), names)
+    return e.select("entry", "idx", "token", *chemistry.FEATURES)
+
+
+@query()
+def full_atom_pairs(spark, d):
+    """Pairs by the distance of pairing atoms and the angle of ring planes; checked against a plain version in the tests."""
+    base = F.element_at(F.array(*[F.lit(b) for b in "AUGC"]), ((F.col("idx") * 3 + F.col("entry")) % 4 + 1).cast("int"))
+    names = F.array(*[F.lit(a) for a in ("P", "N9", "C8", "N7", "C5", "C4", "N1", "C2", "N3", "C6")])
+    atoms = X.atom(spark, d).where("k < 10").select("entry", "idx", base.alias("base"), F.element_at(names, F.col("k") + 1).alias("atom"), "x", "y", "z")
+    return kernels.full_atom_pairs(atoms, 25.0, 0.5)
 
 
 @query(f"""WITH n AS (SELECT comp, count(*) AS n FROM ({COMPS}) WHERE comp NOT IN ('A', 'C', 'G', 'U', 'N') GROUP BY comp),
@@ -315,7 +339,7 @@ def buffer_audit(spark, d):
 
 # --- alignments
 
-SAME = "len(list_filter(list_zip(string_split(a.aligned, ''), string_split(b.aligned, '')), lambda p: p[1] = p[2])) / 60.0"
+SAME = "len(list_filter(list_zip(string_split(a.aligned, ''), string_split(b.aligned, '')), lambda p: p[1] = p[2])) / length(a.aligned)"
 WEIGHTS = f"SELECT a.family, a.row_no, 1.0 / count(*) AS weight FROM ({X.MSA}) a JOIN ({X.MSA}) b ON a.family = b.family WHERE {SAME} > 0.3 GROUP BY ALL"
 
 
@@ -328,20 +352,18 @@ def alignment_neff(spark, d):
     return alignment.neff(weights(spark, d))
 
 
-SHORT = f"SELECT family, row_no, substr(aligned, 1, 16) AS aligned FROM ({X.MSA})"
-CELLS = f"SELECT m.family, m.row_no, w.weight, c, replace(substr(m.aligned, c + 1, 1), 'N', '-') AS s FROM ({SHORT}) m JOIN ({WEIGHTS}) w ON w.family = m.family AND w.row_no = m.row_no, (SELECT CAST(unnest(range(16)) AS INTEGER) AS c)"
-MI = f"""WITH cells AS ({CELLS}), tot AS (SELECT family, sum(weight) AS w FROM ({WEIGHTS}) GROUP BY family), kinds AS (SELECT unnest(['A', 'C', 'G', 'U', '-']) AS s), one AS (SELECT t.family, c, k.s, t.w FROM tot t, (SELECT CAST(unnest(range(16)) AS INTEGER) AS c), kinds k),
+MI = f"""WITH wt AS MATERIALIZED ({WEIGHTS}), cells AS MATERIALIZED (SELECT m.family, m.row_no, w.weight, CAST(unnest(range(length(m.aligned))) AS INTEGER) AS c, unnest(string_split(m.aligned, '')) AS s FROM ({X.MSA}) m JOIN wt w ON w.family = m.family AND w.row_no = m.row_no),
+  tot AS (SELECT family, sum(weight) AS w FROM wt GROUP BY family), wide AS (SELECT family, max(c) + 1 AS l FROM cells GROUP BY family), kinds AS (SELECT unnest(['A', 'C', 'G', 'U', '-']) AS s), one AS (SELECT t.family, c, k.s, t.w FROM tot t JOIN (SELECT DISTINCT family, c FROM cells) x ON x.family = t.family, kinds k),
   p AS (SELECT o.family, o.c, o.s, o.w, (coalesce(sum(x.weight), 0) + 0.5 / 5) / (o.w + 0.5) AS p FROM one o LEFT JOIN cells x ON x.family = o.family AND x.c = o.c AND x.s = o.s GROUP BY o.family, o.c, o.s, o.w),
   jn AS (SELECT a.family, a.c AS i, b.c AS j, a.s AS sa, b.s AS sb, sum(a.weight) AS n FROM cells a JOIN cells b ON a.family = b.family AND a.row_no = b.row_no AND a.c < b.c GROUP BY ALL),
   q AS (SELECT a.family, a.c AS i, b.c AS j, (coalesce(jn.n, 0) + 0.5 / 25) / (a.w + 0.5) AS q, a.p AS pa, b.p AS pb FROM p a JOIN p b ON a.family = b.family AND a.c < b.c LEFT JOIN jn ON jn.family = a.family AND jn.i = a.c AND jn.j = b.c AND jn.sa = a.s AND jn.sb = b.s),
   mi AS (SELECT family, i, j, sum(q * ln(q / (pa * pb))) AS mi FROM q GROUP BY ALL), both2 AS (SELECT * FROM mi UNION ALL SELECT family, j, i, mi FROM mi),
-  m AS (SELECT family, i, sum(mi) / 16 AS m FROM both2 GROUP BY ALL), al AS (SELECT family, sum(mi) / 256 AS al FROM both2 GROUP BY family)
+  m AS (SELECT b.family, b.i, sum(mi) / any_value(l) AS m FROM both2 b JOIN wide ON wide.family = b.family GROUP BY ALL), al AS (SELECT b.family, sum(mi) / any_value(l * l) AS al FROM both2 b JOIN wide ON wide.family = b.family GROUP BY b.family)
   SELECT mi.family, mi.i, mi.j, mi.mi, mi.mi - a.m * b.m / al.al AS score FROM mi JOIN m a ON a.family = mi.family AND a.i = mi.i JOIN m b ON b.family = mi.family AND b.i = mi.j JOIN al ON al.family = mi.family"""
 
 
 def coupling(spark, d):
-    short = X.msa(spark, d).withColumn("aligned", F.translate(F.substring("aligned", 1, 16), "N", "-"))
-    return alignment.apc_mutual_information(short, weights(spark, d))
+    return alignment.apc_mutual_information(X.msa(spark, d), weights(spark, d))
 
 
 @query(f"SELECT family, i, j, round(mi, 8) AS mi, round(score, 8) AS score FROM ({MI})")
@@ -349,43 +371,36 @@ def apc_mutual_information(spark, d):
     return coupling(spark, d).select("family", "i", "j", F.round("mi", 8).alias("mi"), F.round("score", 8).alias("score"))
 
 
-TOP = f"SELECT family, i, j, row_number() OVER (PARTITION BY family ORDER BY round(score, 9) DESC, i, j) AS place FROM ({MI}) WHERE j - i >= 4 QUALIFY place <= 8"
+TOP = f"SELECT family, i, j, row_number() OVER (PARTITION BY family ORDER BY round(score, 9) DESC, i, j) AS place FROM ({MI}) WHERE j - i >= 4 QUALIFY place <= 32"
 
 
 @query(TOP)
 def top_couplings(spark, d):
-    return alignment.top_couplings(coupling(spark, d), 0.5, 4, 16).select("family", "i", "j", "place")
+    return alignment.top_couplings(coupling(spark, d), 0.5, 4, 64).select("family", "i", "j", "place")
 
 
-@query(f"""SELECT family, k, avg(CAST(i + j = 15 AS DOUBLE)) AS precision FROM ({TOP}) t, (SELECT CAST(unnest([4, 8]) AS INTEGER) AS k) WHERE place <= k GROUP BY ALL""")
+@query(f"""SELECT t.family, k, avg(CAST(c.family IS NOT NULL AS DOUBLE)) AS precision FROM ({TOP}) t CROSS JOIN (SELECT CAST(unnest([4, 8, 32]) AS INTEGER) AS k) LEFT JOIN ({X.CONSENSUS}) c ON c.family = t.family AND c.i = t.i AND c.j = t.j WHERE place <= k GROUP BY ALL""")
 def coupling_precision(spark, d):
-    fam = X.msa(spark, d).select("family").distinct()
-    truth = fam.select("family", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).withColumn("j", 15 - F.col("i"))
-    return alignment.precision_at(alignment.top_couplings(coupling(spark, d), 0.5, 4, 16), truth, [4, 8])
+    """The best pairs of columns against the bracket pairs of each family's first row."""
+    return alignment.precision_at(alignment.top_couplings(coupling(spark, d), 0.5, 4, 64), X.consensus_pairs(spark, d), [4, 8, 32])
 
 
-KM = "list_distinct(list_transform(range(1, length(sequence) - 3), lambda i: substr(sequence, CAST(i AS BIGINT), 5)))"
-QS = f"SELECT id AS query, lang AS family, substr(sequence, 1, 120) AS sequence FROM ({X.SEQ}) WHERE id % 10 = 3 AND length(sequence) >= 120"
-RS = f"SELECT id AS row_no, lang AS family, substr(sequence, 1, 120) AS sequence FROM ({X.SEQ}) WHERE id % 10 <> 3 AND length(sequence) >= 60"
+KM = "list_distinct(list_transform(range(1, len(s) - 3), lambda i: s[i] || s[i + 1] || s[i + 2] || s[i + 3] || s[i + 4]))"
+SETS = f"SELECT id, lang AS family, len(s) AS n, {KM} AS k FROM (SELECT id, lang, string_split(sequence, '') AS s FROM ({X.SEQ}))"
 
 
-@query(f"""WITH q AS (SELECT query, family, length(sequence) AS lq, {KM} AS kq FROM ({QS})), r AS (SELECT row_no, family, length(sequence) AS lr, {KM} AS kr FROM ({RS})),
-  s AS (SELECT query, q.family, row_no, len(list_intersect(kq, kr)) / (len(kq) + len(kr) - len(list_intersect(kq, kr))) AS similarity FROM q JOIN r ON q.family = r.family WHERE least(lq, lr) >= 0.5 * greatest(lq, lr))
-  SELECT * FROM s WHERE similarity >= 0.10 QUALIFY row_number() OVER (PARTITION BY query, family ORDER BY similarity DESC, row_no) = 1""")
+@query(f"""WITH r AS MATERIALIZED ({SETS}), s AS (SELECT q.id AS query, q.family, r.id AS row_no, len(list_intersect(q.k, r.k)) AS common, len(q.k) + len(r.k) AS al FROM r q JOIN r ON q.family = r.family AND q.id <> r.id WHERE q.id % 20 = 0 AND least(q.n, r.n) >= 0.5 * greatest(q.n, r.n))
+  SELECT query, family, row_no, common / (al - common) AS similarity FROM s WHERE common > 0 AND common / (al - common) >= 0.10 QUALIFY row_number() OVER (PARTITION BY query, family ORDER BY common / (al - common) DESC, row_no) = 1""")
 def kmer_best_rows(spark, d):
-    s = X.seq(spark, d)
-    cut = F.substring("sequence", 1, 120).alias("sequence")
-    q = s.where((F.col("id") % 10 == 3) & (F.length("sequence") >= 120)).select(F.col("id").alias("query"), F.col("lang").alias("family"), cut)
-    r = s.where((F.col("id") % 10 != 3) & (F.length("sequence") >= 60)).select(F.col("id").alias("row_no"), F.col("lang").alias("family"), cut)
-    return alignment.best_rows(q, r)
+    """Every row whose id is divisible by 20 against all others of its language, whole sequences."""
+    s = X.seq(spark, d).select("id", F.col("lang").alias("family"), "sequence")
+    return alignment.best_rows(s.where("id % 20 = 0").withColumnRenamed("id", "query"), s.withColumnRenamed("id", "row_no"), own=True)
 
 
-@query(f"""WITH c AS (SELECT family, row_no, CAST(unnest(range(60)) AS INTEGER) AS c, unnest(string_split(aligned, '')) AS s FROM ({X.MSA})),
+@query(f"""WITH c AS (SELECT family, row_no, CAST(unnest(range(length(aligned))) AS INTEGER) AS c, unnest(string_split(aligned, '')) AS s FROM ({X.MSA})),
   f AS (SELECT family, min(row_no) AS row_no FROM c GROUP BY family), g AS (SELECT c.family, c.c FROM c JOIN f ON c.family = f.family AND c.row_no = f.row_no WHERE regexp_full_match(s, '[A-Z-]') AND c.c % 7 <> 2),
   i AS (SELECT c.family, c.row_no, c.c, row_number() OVER (PARTITION BY c.family, c.row_no ORDER BY c.c) - 1 AS r FROM c JOIN g ON c.family = g.family AND c.c = g.c WHERE s <> '-')
-  SELECT a.family, a.row_no, a.r AS i, b.r AS j FROM i a JOIN i b ON a.family = b.family AND a.row_no = b.row_no WHERE a.c IN (3, 4, 5) AND b.c = a.c + 40""")
+  SELECT a.family, a.row_no, a.r AS i, b.r AS j FROM ({X.CONSENSUS}) p JOIN i a ON a.family = p.family AND a.c = p.i JOIN i b ON b.family = p.family AND b.c = p.j AND a.row_no = b.row_no""")
 def projected_pairs(spark, d):
     cells = alignment.match_columns(alignment.columns(X.msa(spark, d)).where("col % 7 <> 2"))
-    fam = X.msa(spark, d).select("family").distinct()
-    pairs_ = fam.select("family", F.explode(F.sequence(F.lit(3), F.lit(5))).alias("i")).withColumn("j", F.col("i") + 40)
-    return alignment.project(pairs_, cells)
+    return alignment.project(X.consensus_pairs(spark, d), cells)

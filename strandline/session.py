@@ -21,9 +21,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Tables of long texts, whose rows are worth dealing to all cores first where the files are fewer than these.
+LONG_ROWS = ("documents", "pages", "conversations")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. A file of one row group is read by one task, whatever its size: where a table of long texts has
+    fewer files than there are cores, its rows are dealt to all of them; a table of many files is read as it lies."""
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in LONG_ROWS and len(table.inputFiles()) < cores:
+        return table.repartition(cores)
+    return table
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -49,10 +59,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by `materialize` that no later step reads."""
-    path = getattr(df, "_strandline_path", None)
-    if path:
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `materialize` that no later step reads."""
+    for df in tables:
+        path = getattr(df, "_strandline_path", None)
+        if not path:
+            continue
         spark = df.sparkSession
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

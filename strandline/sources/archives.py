@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import gzip
 import io
+import itertools
 import re
 import tarfile
 import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,8 @@ def _fasta(lines: Iterator[str]) -> Iterator[tuple[str, str]]:
 
 
 def read_tar_fasta(spark: SparkSession, paths: Paths) -> tuple[DataFrame, DataFrame]:
-    """(records, status): path, member, header, sequence; and path, records, truncated. What a broken archive still gave is kept."""
+    """(records, status): path, member, header, sequence; and path, records, truncated. What a broken archive still gave is kept.
+    An archive is one value in its task, which Spark holds to 2 GB; `stream_tar_fasta` reads larger ones."""
 
     def run(frames):
         for pdf in frames:
@@ -70,6 +73,77 @@ def read_tar_fasta(spark: SparkSession, paths: Paths) -> tuple[DataFrame, DataFr
     return out.where("records IS NULL").drop("records", "truncated"), out.where("records IS NOT NULL").select("path", "records", "truncated")
 
 
+#: A tar header's block, its magic word and where that, a name, a mode, a prefix and a kind stand in it.
+TAR_BLOCK, TAR_MAGIC, MAGIC_AT, NAME_AT, MODE_AT, PREFIX_AT, KIND_AT = 512, "ustar", 257, (0, 100), (100, 108), (345, 500), 156
+_MODE = re.compile(r"[0-7 ]{6,7}[ \0]{1,2}")
+
+
+def _tar_lines(lines: Iterator[str]) -> Iterator[tuple[str | None, str]]:
+    """(member, line) of a tar's text read as lines: a header block and the zeros before it are part of the line that
+    they stand in. Names of kinds other than plain files are None."""
+    member = None
+    for line in lines:
+        at = line.find(TAR_MAGIC, MAGIC_AT) if "\0" in line else -1
+        start = 0
+        while at >= 0:
+            head = at - MAGIC_AT
+            if head < start or not _MODE.fullmatch(line[head + MODE_AT[0] : head + MODE_AT[1]]):
+                at = line.find(TAR_MAGIC, at + 1)
+                continue
+            if left := line[start:head].strip("\0"):
+                yield member, left
+            block = line[head : head + TAR_BLOCK]
+            name, prefix = (block[slice(*p)].split("\0")[0] for p in (NAME_AT, PREFIX_AT))
+            member = (f"{prefix}/{name}" if prefix else name) if block[KIND_AT : KIND_AT + 1] in ("0", "\0", "") else None
+            start = head + TAR_BLOCK
+            at = line.find(TAR_MAGIC, start + MAGIC_AT)
+        yield member, line[start:].strip("\0")
+
+
+def stream_tar_fasta(spark: SparkSession, paths: Paths) -> DataFrame:
+    """path, member, header, sequence of gzipped tars ('.tar.gz') of any size: Spark unpacks and reads them as text, a task an
+    archive, and nothing but a record is held at once. What a broken archive gave before its break is kept.
+
+    Members' lines must be UTF-8 text, and the tars of the POSIX kind, whose headers name themselves.
+    """
+    wrong = [p for p in _list(paths) if not p.rstrip("/").endswith(".gz") and p.rsplit("/", 1)[-1].count(".")]
+    if wrong:
+        raise ValueError(f"only gzipped archives are read by one task each: {wrong[0]}")
+    prepare(spark)
+    rows = spark.read.option("ignoreCorruptFiles", "true").text(_list(paths)).select("_metadata.file_path", "value")
+
+    def run(batches):
+        path = member = header = None
+        parts: list[str] = []
+        out: list[tuple] = []
+
+        def flat():
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+
+        for path_now, group in itertools.groupby(flat(), key=lambda r: r[0]):
+            path, member, header, parts = path_now, None, None, []
+            for member_now, line in _tar_lines(line for _, line in group):
+                line = line.strip()
+                if line.startswith(">") or member_now != member:
+                    if header is not None:
+                        out.append((path, member, header, "".join(parts)))
+                    member, header, parts = member_now, None, []
+                if line.startswith(">") and member is not None:
+                    header = line[1:].strip()
+                elif header is not None:
+                    parts.append(line)
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["path", "member", "header", "sequence"])
+                    out = []
+            if header is not None:
+                out.append((path, member, header, "".join(parts)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["path", "member", "header", "sequence"])
+
+    return rows.mapInArrow(run, "path string, member string, header string, sequence string")
+
+
 def read_zip_csv(spark: SparkSession, paths: Paths) -> DataFrame:
     """assay (a .csv member's stem), row, fields (map) of every CSV in the archives."""
 
@@ -190,12 +264,14 @@ def mmcif_entities(rows: DataFrame) -> DataFrame:
 
 
 def base_pair_annotations(rows: DataFrame) -> DataFrame:
-    """entry, chain, i, j, lw, saenger: pairs inside one chain, i < j, class 1 to 12 or 0, the last mention wins."""
+    """entry, chain, i, j, lw, saenger: pairs inside one chain, i < j, class 1 to 12 or 0, the last mention wins. Chains go by
+    the author's name, where that is missing by the label's."""
     f = lambda k: F.try_element_at("fields", F.lit(k))
     a, b = f("i_label_seq_id").try_cast("int"), f("j_label_seq_id").try_cast("int")
     lw = f("hbond_type_12").try_cast("int")
-    p = rows.where("category = '_ndb_struct_na_base_pair'").where((f("i_auth_asym_id") == f("j_auth_asym_id")) & a.isNotNull() & b.isNotNull() & (a != b))
-    p = p.select("entry", f("i_auth_asym_id").alias("chain"), F.least(a, b).alias("i"), F.greatest(a, b).alias("j"), F.when(lw.between(1, 12), lw).otherwise(0).alias("lw"), f("hbond_type_28").alias("saenger"), "row_no")
+    named = lambda side: F.coalesce(F.nullif(f(f"{side}_auth_asym_id"), F.lit("")), f(f"{side}_label_asym_id"))
+    p = rows.where("category = '_ndb_struct_na_base_pair'").where((named("i") == named("j")) & a.isNotNull() & b.isNotNull() & (a != b))
+    p = p.select("entry", named("i").alias("chain"), F.least(a, b).alias("i"), F.greatest(a, b).alias("j"), F.when(lw.between(1, 12), lw).otherwise(0).alias("lw"), f("hbond_type_28").alias("saenger"), "row_no")
     return p.groupBy("entry", "chain", "i", "j").agg(F.max_by("lw", "row_no").alias("lw"), F.max_by("saenger", "row_no").alias("saenger"))
 
 

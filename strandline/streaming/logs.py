@@ -72,3 +72,14 @@ def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "ap
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_stored(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All that is there now, as a stored table: each batch is written by its number, so that one run again takes its
+    own place; a complete result is the last batch alone. No row comes to the driver."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{'batch=' + str(number) if mode == 'append' else 'result'}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(folder)

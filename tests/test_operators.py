@@ -1,5 +1,6 @@
 """Operators that SQL does not express: folds, kernels, rounds, streams; and invariants."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import conditions, mutations, sequence, stats
-from strandline.operators import alignment, batches, catalog, corpus, fitness, kernels, monitor, splits, structure
+from strandline.operators import alignment, batches, catalog, corpus, fitness, kernels, monitor, ranking, splits, structure
 from strandline.plans import fixtures, structure_queries
 from strandline.streaming import logs
 
@@ -182,7 +183,7 @@ def test_row_conservation_and_empty_tables(spark):
     assert counters == {"annotation": 1, "length": 1, "kept": 2}
     assert [r.id for r in corpus.dedup_exact(f.where("reason IS NULL"), "sequence", "id").collect()] == [2]
     none = df.where("id > 9")
-    assert corpus.chunk_profile(none, ["header"]).count() == 0 and corpus.stride_sample(none, "id", 5).count() == 0
+    assert corpus.chunk_profile(corpus.measured(none, ["header"]), ["header"]).count() == 0 and corpus.stride_sample(none, "id", 5).count() == 0
     e = catalog.expectations(spark.createDataFrame([("a", 3.14)], "metric string, value double"), spark.createDataFrame([("a", "3.1"), ("b", "1")], "metric string, expected string"))
     assert {r.metric: r.ok for r in e.collect()} == {"a": True, "b": False}
 
@@ -223,5 +224,103 @@ def test_findings(spark):
     f = pd.DataFrame({"run_id": [1] * 8, "stage": ["t"] * 8, "step": range(8), "loss": [1.0, 1, 1, 1, 2, 2, 2, 9], "x_acc": [0.5] * 8, "x_major": [0.5] * 8})
     df = spark.createDataFrame(f)
     assert monitor.loss_trend(df, "loss").first().worse and monitor.loss_spike(df, "loss").first().spike
-    assert monitor.check_floors(df, ["x"]).first().severity == "CRIT"
+    assert [tuple(r)[2:] for r in monitor.check_floors(df, ["x"]).collect()] == [("x", 8, 0.0, "at the floor", "WARN")]
     assert monitor.rising_tail(df, "loss").first().rising
+
+
+def test_checks_follow_the_rules_of_the_watch(spark):
+    """Three readings or more, gaps in either direction, heads of one class exempt, each cell that is not finite."""
+    f = pd.DataFrame({"run_id": [1] * 3, "stage": ["t"] * 3, "step": range(3), "a_acc": [0.5, 0.6, 0.7], "a_major": [0.5, 0.6, 0.72], "b_acc": [0.4] * 3, "b_major": [0.8] * 3, "c_acc": [1.0] * 3, "c_major": [1.0] * 3, "c_n_class": [1.0] * 3, "d_acc": [0.2] * 3, "e_acc": [0.3] * 3, "e_major": [0.301] * 3, "m": [0.3, 0.2, 0.34], "k": [4.0, 4.0, 3.0]})
+    df = spark.createDataFrame(f)
+    assert {(r.name, r.finding) for r in monitor.check_floors(df, list("abcde")).collect()} == {("d", "no floor"), ("e", "at the floor")}
+    assert monitor.check_floors(df.where("step < 2"), ["e"]).count() == 0
+    assert [r.best for r in monitor.macro_at_chance(df, "m", "k").collect()] == [0.34]
+    assert monitor.macro_at_chance(df.where("step < 2"), "m", "k").count() == 0
+    assert monitor.macro_at_chance(df.withColumn("k", F.lit(1.0)), "m", "k").count() == 0
+    bad = df.withColumn("m", F.when(F.col("step") > 0, float("inf")).otherwise(F.col("m")))
+    assert sorted((r.step, r.metric, r.value) for r in monitor.check_finite(bad, ["m", "k"]).collect()) == [(1, "m", "Infinity"), (2, "m", "Infinity")]
+    checks = {"fine": lambda: df.select(F.lit("WARN").alias("severity"), F.lit("x").alias("detail")), "plan": lambda: df.select("nothing"), "task": lambda: df.select(F.raise_error(F.lit("no")).cast("string").alias("severity"), F.lit("").alias("detail"))}
+    assert Counter((r.check, r.severity) for r in monitor.run_checks(spark, checks).collect()) == {("fine", "WARN"): 3, ("plan", "BROKEN"): 1, ("task", "BROKEN"): 1}
+    assert [(r.latest, r.finding) for r in monitor.worse_than_baseline(df, "m", 0.34).collect()] == [(0.34, "no better than the baseline")]
+
+
+def test_places_and_ranks_of_hot_keys(spark):
+    rnd = random.Random(3)
+    rows = [("hot" if i % 3 else f"k{i % 5}", rnd.choice([1.0, 2.0, 2.5, rnd.random()]), i) for i in range(400)] + [(None, 3.0, 900), (None, 1.0, 901)]
+    df = spark.createDataFrame(rows, "k string, v double, i int")
+    got = ranking.places(df, ["k"], [F.desc("v"), F.col("i")]).collect()
+    by = {}
+    for k, v, i in rows:
+        by.setdefault(k, []).append((-v, i))
+    assert {(r.k, r.i): (r._place, r._total) for r in got} == {(k, i): (p, len(x)) for k, x in by.items() for p, (_, i) in enumerate(sorted(x))}
+    pdf = pd.DataFrame([r for r in rows if r[0]], columns=["k", "v", "i"])
+    pdf["r"] = pdf.groupby("k")["v"].rank()
+    assert {r.i: r.r for r in ranking.with_average_rank(df.where("k IS NOT NULL"), ["k"], "v", "r").collect()} == dict(zip(pdf["i"], pdf["r"], strict=True))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_family_split_equals_the_sequential_fold(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(f"e{i}", f"f{rnd.randrange(60)}" if rnd.random() < 0.5 else None, rnd.choice([1, 2, 2, 3, 5, 30])) for i in range(400)] + [(f"g{i}", "giant", 20) for i in range(20)]
+    df = spark.createDataFrame(rows, "entry string, family string, length long")
+    groups = {r.group: (r.size, r.oversized) for r in splits.family_groups(df).collect()}
+    total = sum(s for s, _ in groups.values())
+    lack = [6 * total - 10 * sum(s for s, big in groups.values() if big), 2 * total, 2 * total]
+    expect = {g: "train" for g, (_, big) in groups.items() if big}
+    for g, (size, _) in sorted(((g, v) for g, v in groups.items() if not v[1]), key=lambda x: (-x[1][0], hashlib.sha256(f"0:{x[0]}".encode()).hexdigest()[:16], x[0])):
+        i = lack.index(max(lack))
+        expect[g] = ("train", "val", "test")[i]
+        lack[i] -= 10 * size
+    assert {r.group: r.split for r in splits.family_disjoint_split(df).collect()} == expect
+    again = {r.entry: r.split for r in splits.resplit(df).collect()}
+    held = {r.entry for r in splits.entry_holdout(df).collect()}
+    assert len(again) == 420 and held and all(again[e] == ("test_ribosomal" if e in held else expect[f or f"entry:{e}"]) for e, f, _ in rows)
+
+
+def test_full_atom_pairs_equal_a_plain_version(spark):
+    rng = np.random.default_rng(4)
+    names = ("N9", "C8", "N7", "C5", "C4", "N1", "C2", "N3", "C6")
+    rows, places = [], {}
+    for i in range(60):
+        base = "ACGU"[rng.integers(4)]
+        for a in names:
+            if rng.random() < 0.02:
+                continue
+            p = rng.normal(size=3) * (1, 1, 0.05) + (i % 6, i // 6 % 5, i // 30 * 0.5)
+            rows.append(("e", i, base, a, *map(float, p)))
+            places[i, a] = p
+    got = {(r.i, r.j) for r in kernels.full_atom_pairs(spark.createDataFrame(rows, "entry string, idx int, base string, atom string, x double, y double, z double"), 2.0, 0.9).collect()}
+    of = {r[1]: r[2] for r in rows}
+
+    def plane(i):
+        ring = [places.get((i, a)) for a in kernels.RINGS[of[i]]]
+        return None if any(p is None for p in ring) else np.linalg.svd(np.array(ring) - np.mean(ring, 0))[2][-1]
+
+    expect = set()
+    for i in range(60):
+        for j in range(i + 4, 60):
+            a, b = places.get((i, kernels.PAIRING_ATOM[of[i]])), places.get((j, kernels.PAIRING_ATOM[of[j]]))
+            n, m = plane(i), plane(j)
+            if of[i] + of[j] in kernels.PAIRS and not any(x is None for x in (a, b, n, m)) and np.linalg.norm(a - b) <= 2.0 and abs(n @ m) >= 0.9:
+                expect.add((i, j))
+    assert got == expect and expect
+
+
+def test_blocks_of_rows_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "BLOCK_ROWS", 7)
+    rnd = random.Random(8)
+    rows = [(f"f{i % 2}", i, "".join(rnd.choice("ACGU-") if rnd.random() < 0.5 else "A" for _ in range(20))) for i in range(60)]
+    msa = spark.createDataFrame(rows, "family string, row_no long, aligned string")
+    got = {r.row_no: r.weight for r in alignment.row_weights(msa, 0.5).collect()}
+    same = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / 20
+    assert got == {i: pytest.approx(1 / sum(f == g and same(a, b) > 0.5 for g, _, b in rows)) for f, i, a in rows}
+    seqs = [(i, f"f{i % 2}", "".join(rnd.choices("ACGU", k=rnd.randint(3, 60)))) for i in range(50)] + [(50, "f0", "ACGUACGUAC" * 3), (52, "f0", "ACGUACGUAC" * 3), (54, "f0", "")]
+    df = spark.createDataFrame(seqs, "row_no long, family string, sequence string")
+    sets = {i: {s[k : k + 5] for k in range(len(s) - 4)} for i, _, s in seqs}
+    expect = {}
+    for q, f, s in seqs:
+        best = max(((len(sets[q] & sets[r]) / len(sets[q] | sets[r]), -r) for r, g, t in seqs if g == f and r != q and sets[q] | sets[r] and min(len(s), len(t)) >= 0.5 * max(len(s), len(t))), default=(0, 0))
+        if best[0] >= 0.1:
+            expect[q] = (-best[1], pytest.approx(best[0]))
+    found = alignment.best_rows(df.withColumnRenamed("row_no", "query"), df, own=True).collect()
+    assert {r["query"]: (r.row_no, r.similarity) for r in found} == expect

@@ -42,6 +42,30 @@ def test_tar_fasta_keeps_what_a_broken_archive_gave(spark, tmp_path):
     assert {r.id for r in archives.archive_ids(spark, whole, ".fa").collect()} == set()
 
 
+@pytest.mark.parametrize("kind", [tarfile.USTAR_FORMAT, tarfile.GNU_FORMAT, tarfile.PAX_FORMAT])
+def test_streamed_tars_give_the_same_records(spark, tmp_path, kind):
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w:gz", format=kind) as t:
+        folder = tarfile.TarInfo("x")
+        folder.type = tarfile.DIRTYPE
+        t.addfile(folder)
+        for i in range(30):
+            data = b"".join(b">r%d_%d of it\nACGT\n%s\r\n" % (i, j, b"GA" * (j * i % 700)) for j in range(i % 4)) + (b">last%d\nUU" % i if i % 2 else b"")
+            info = tarfile.TarInfo(f"x/{'deep/' * (i % 30)}{i}.fa")
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    whole = put(tmp_path / "whole.tar.gz", raw.getvalue())
+    expect = sorted((r.member, r.header, r.sequence) for r in archives.read_tar_fasta(spark, whole)[0].collect())
+    got = sorted((r.member, r.header, r.sequence) for r in archives.stream_tar_fasta(spark, whole).collect())
+    if kind == tarfile.USTAR_FORMAT:
+        assert got == expect
+    assert [r[1:] for r in sorted(got, key=lambda r: r[1:])] == [r[1:] for r in sorted(expect, key=lambda r: r[1:])]
+    broken = put(tmp_path / "broken.tar.gz", raw.getvalue()[: len(raw.getvalue()) // 2])
+    assert {(r.header, r.sequence) for r in archives.stream_tar_fasta(spark, broken).collect()[:-1]} <= {r[1:] for r in expect}
+    with pytest.raises(ValueError):
+        archives.stream_tar_fasta(spark, "file:///x/plain.tar")
+
+
 STOCKHOLM = """# STOCKHOLM 1.0
 #=GF ID   tRNA
 #=GF AC   RF00005.12
