@@ -7,13 +7,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, prepare
+from ..session import discard, materialize, prepare
 from .components import connected_components
 from .skew import join_many, pairs_within
 from .words import WORD, WordIds, hashed_words, mix, text_bytes
 
-#: Shingles handled at once: small enough for the processor's cache.
-BLOCK = 1 << 16
+#: Shingles handled at once: small enough for the processor's cache; longs of a set's bitmap.
+BLOCK, BITMAP_LONGS = 1 << 16, 16
 _IDS = WordIds()
 
 
@@ -69,21 +69,32 @@ def _node(s: np.ndarray) -> int:
     return int(np.int64(mix(np.array([mix(s * np.uint64(0x9E3779B97F4A7C15)).sum() + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0]))
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """BITMAP_LONGS longs: of each bit the parity of the shingles that fall on it. A shingle that only one of two sets has
+    changes one bit at most, so their bitmaps differ in no more bits than the sets in shingles."""
+    odd = np.bincount((mix(s ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(40)).astype(np.int64) % (64 * BITMAP_LONGS), minlength=64 * BITMAP_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
+def _band_matrix(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(documents, bands) keys of signatures."""
+    spread = mix(np.arange(1, rows + 1, dtype=np.uint64))
+    salt = mix(np.arange(1, bands + 1, dtype=np.uint64) + np.uint64(1 << 32))
+    return mix((sig.astype(np.uint64).reshape(len(sig), bands, rows) * spread).sum(axis=2, dtype=np.uint64) ^ salt).view(np.int64)
+
+
 def band_keys(docs: DataFrame, bands: int, rows: int, width: int, seed: int) -> DataFrame:
     """doc_id, text_key, n_shingles, node (the set's digest, null if empty), bands (array of keys)."""
 
     def run(batches):
         a, b = _hashes(bands, rows, seed)
-        spread = mix(np.arange(1, rows + 1, dtype=np.uint64))
-        salt = mix(np.arange(1, bands + 1, dtype=np.uint64) + np.uint64(1 << 32))
         for batch in batches:
             sets = [shingle_set(t, width) for t in text_bytes(batch.column(2))]
             keys: list = [None] * len(sets)
             full = [i for i, s in enumerate(sets) if len(s)]
             some = [sets[i] for i in full]
             for lo, hi in _blocks(some):
-                sig = signatures(some[lo:hi], a, b).astype(np.uint64).reshape(hi - lo, bands, rows)
-                block = mix((sig * spread).sum(axis=2, dtype=np.uint64) ^ salt).view(np.int64)
+                block = _band_matrix(signatures(some[lo:hi], a, b), bands, rows)
                 for k in range(lo, hi):
                     keys[full[k]] = block[k - lo]
             yield pa.RecordBatch.from_arrays(
@@ -95,33 +106,28 @@ def band_keys(docs: DataFrame, bands: int, rows: int, width: int, seed: int) ->
 
 
 def full_sets(docs: DataFrame, bands: int, rows: int, width: int, seed: int) -> DataFrame:
-    """node, n, signature (array of int), shingles (array of long) of each text that has words."""
+    """node, n, bitmap, bands, shingles (arrays of long) of each text that has words."""
 
     def run(batches):
         a, b = _hashes(bands, rows, seed)
         for batch in batches:
             sets = [s for s in (shingle_set(t, width) for t in text_bytes(batch.column(0))) if len(s)]
             for lo, hi in _blocks(sets):
-                sig = signatures(sets[lo:hi], a, b).view(np.int32)
                 part = sets[lo:hi]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_node(s) for s in part], pa.int64()), pa.array(map(len, part), pa.int64()), pa.array(list(sig), pa.list_(pa.int32())), pa.array([s.view(np.int64) for s in part], pa.list_(pa.int64()))],
-                    names=["node", "n", "signature", "shingles"],
-                )
-
-    return docs.mapInArrow(run, "node long, n long, signature array<int>, shingles array<long>")
+                keys = _band_matrix(signatures(part, a, b), bands, rows)
+                lists = (list(map(bitmap, part)), list(keys), [s.view(np.int64) for s in part])
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in part], pa.int64()), pa.array(map(len, part), pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in lists]], names=["node", "n", "bitmap", "bands", "shingles"])
 
-
-def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("sig_a"), F.col("shingles").alias("set_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("sig_b"), F.col("shingles").alias("set_b"))
-    # A pivot may have a great many neighbours, a neighbour has few pivots.
-    return join_many(pairs, one, ["a"]).join(two, "b")
+    return docs.mapInArrow(run, "node long, n long, bitmap array<long>, bands array<long>, shingles array<long>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with the sizes of their full sets (n_a, n_b) and of what they share (both)."""
-    return _both(pairs, sets).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("both"))
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("set_b"))
+    # A pivot may have a great many neighbours, a neighbour has few pivots.
+    met = join_many(pairs, one, ["a"]).join(two, "b")
+    return met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("both"))
 
 
 def similar(percent: int) -> Column:
@@ -129,41 +135,37 @@ def similar(percent: int) -> Column:
     return F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
+def may_be_similar(percent: int) -> Column:
+    """Whether sets of n_a and n_b shingles with bitmap_a and bitmap_b can be similar: their sizes are near enough, and
+    no more bits differ than shingles may, (n_a + n_b) (100 - percent) / (100 + percent)."""
+    differ = F.aggregate(F.zip_with("bitmap_a", "bitmap_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    return sizes & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
 
-    Set sizes are compared first, then the signatures' agreement, which may fall 0.25 below the
-    threshold (over six standard deviations for 192 hashes) before a pair is set aside.
-    """
-    both = _both(pairs, sets).where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
-    agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
-    both = both.where(agree * 100 >= F.size("sig_a") * (percent - 25))
-    shared = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("both"))
-    return shared.where(similar(percent)).select("a", "b")
 
-
-def possible_pairs(members: DataFrame, sets: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
+def possible_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): nodes of one bucket and different components (key, node, root, far) that could be similar enough.
 
     far is a node's Jaccard distance to the bucket's pivot, to which all were compared. The distance is a
-    metric, so two nodes are at least as far apart as their distances to the pivot differ. And a node can
+    metric, so two nodes are at least as far apart as their distances to the pivot differ. A node can
     share only those shingles that another node in question has as well: with m the smaller such number of
-    the two, the similarity is at most m / (n_a + n_b - m). Many edited copies fail one or the other without
-    being compared. A pair that shares several buckets is made in the first of its bands (node, bands) alone.
+    the two, the similarity is at most m / (n_a + n_b - m). And bitmaps tell how many shingles differ at least. None of
+    these bounds can rule out a pair that is similar enough; many edited copies fail one of them without
+    being compared. A pair that shares several buckets is made in the first of its bands alone.
     """
     nodes = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", F.explode("shingles").alias("shingle"))
     common = nodes.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("shingle")
-    shared = materialize(nodes.join(common, "shingle").groupBy("node", "n").agg(F.count("*").alias("s")).where(F.col("s") * 100 >= F.col("n") * percent), "shared")
-    known = materialize(members.join(shared, "node").join(bands, "node"), "known")
+    shared = join_many(nodes, common, ["shingle"]).groupBy("node", "n").agg(F.count("*").alias("s")).where(F.col("s") * 100 >= F.col("n") * percent)
+    known = materialize(members.join(shared, "node").join(sets.select("node", "bitmap", "bands"), "node"), "known")
     left, right, keys = pairs_within(known, "key", "node")
-    one = left.select(*keys, F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("far").alias("far_a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("bands").alias("bands_a"))
-    two = right.select(*keys, F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("far").alias("far_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("bands").alias("bands_b"))
+    names = ("node", "root", "far", "n", "s", "bitmap", "bands")
+    one = left.select(*keys, *[F.col(c).alias("a" if c == "node" else f"{c}_a") for c in names])
+    two = right.select(*[F.col(c).alias(f"_{c}") for c in keys], *[F.col(c).alias("b" if c == "node" else f"{c}_b") for c in names])
     least = F.least("s_a", "s_b")
     apart = F.abs(F.col("far_a") - F.col("far_b")) <= 1 - percent / 100 + 1e-9
-    near = (F.col("root_a") < F.col("root_b")) & apart & (least * 100 >= (F.col("n_a") + F.col("n_b") - least) * percent)
-    common = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    met = one.join(two.select(*[F.col(c).alias(f"_{c}" if c in keys else c) for c in two.columns]), [F.col(c) == F.col(f"_{c}") for c in keys] + [near, F.element_at(common, 1) == F.col("key")])
-    return met.select("a", "b")
+    near = (F.col("root_a") < F.col("root_b")) & apart & (least * 100 >= (F.col("n_a") + F.col("n_b") - least) * percent) & may_be_similar(percent)
+    first = F.element_at(F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
+    return one.join(two, [F.col(c) == F.col(f"_{c}") for c in keys] + [near, first == F.col("key")]).select("a", "b")
 
 
 def _linked(docs: DataFrame, percent: int, width: int = 5, bands: int = 32, rows: int = 6, seed: int = 11) -> tuple[DataFrame, DataFrame]:
@@ -175,10 +177,10 @@ def _linked(docs: DataFrame, percent: int, width: int = 5, bands: int = 32, rows
     shared = met.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select("key")
     members = materialize(met.join(shared, "key"), "members")
     chosen = members.select("node").distinct()
-    least = table.join(chosen, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.text_key").alias("_key"))
+    least = table.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r")).join(chosen, "node", "left_semi").select(F.col("r.doc_id").alias("_id"), F.col("r.text_key").alias("_key"))
     texts = base.join(least, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left_semi").select("text")
-    sets = materialize(full_sets(texts, bands, rows, width, seed), "sets")
-    sets = sets.dropDuplicates(["node"]) if sets.groupBy("node").count().where("count > 1").limit(1).count() else sets
+    stored = materialize(full_sets(texts, bands, rows, width, seed), "sets")
+    sets = stored.dropDuplicates(["node"]) if stored.groupBy("node").count().where("count > 1").limit(1).count() else stored
 
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     degree = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("degree"))
@@ -194,11 +196,11 @@ def _linked(docs: DataFrame, percent: int, width: int = 5, bands: int = 32, rows
     # The pivots themselves have been compared with everyone.
     rest = materialize(labelled.join(unlike, "key").join(pivots, "key").where("node <> pivot").join(to_pivot, ["pivot", "node"]).select("key", "node", "root", "far"), "open")
     if not rest.isEmpty():
-        keys = table.join(rest.select("node").distinct(), "node", "left_semi").select("node", "bands").dropDuplicates(["node"])
-        again = materialize(verified(possible_pairs(rest, sets, materialize(keys, "keys"), percent), sets, percent), "links")
+        again = materialize(compared(materialize(possible_pairs(rest, sets, percent), "pairs"), sets).where(similar(percent)).select("a", "b"), "links")
         if not again.isEmpty():
-            roots = connected_components(links.unionByName(again))
-
+            roots = materialize(connected_components(links.unionByName(again)), "roots")
+        discard(again)
+    discard(members, stored, stars, rest)
     return table, roots
 
 
