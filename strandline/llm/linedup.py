@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, prepare
+from ..session import discard, materialize, prepare
 from .words import text_bytes
 
 LINES = "doc_id long, d long, pos int, h1 long, h2 long, ahead int, back int"
@@ -50,7 +50,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, LINES)
 
 
-def ranked(suffixes: DataFrame, keys: list[str], label: str) -> DataFrame:
+def ranked(suffixes: DataFrame, keys: list[str]) -> DataFrame:
     """(d, pos, r): suffixes whose `keys` occur at least twice, ranked by them.
 
     Distinct keys are sorted by range over all tasks and numbered in that order (with gaps between
@@ -58,7 +58,9 @@ def ranked(suffixes: DataFrame, keys: list[str], label: str) -> DataFrame:
     """
     seen = suffixes.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     order = materialize(seen.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("r", F.monotonically_increasing_id()), "order")
-    return materialize(suffixes.join(order, keys).select("d", "pos", "r"), label)
+    out = materialize(suffixes.join(order, keys).select("d", "pos", "r"), "rank")
+    discard(order)
+    return out
 
 
 def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
@@ -77,8 +79,8 @@ def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
     starts = lines.where("ahead > 0").select("d", "doc_id", F.col("pos").alias("s"), F.col("ahead").alias("e"))
     ends = lines.where("back > 0").select("d", "doc_id", (F.col("pos") - F.col("back") + 1).alias("s"), F.col("back").alias("e"))
     windows = starts.unionByName(ends)
-    level = ranked(lines.select("d", "pos", "h1", "h2"), ["h1", "h2"], "rank")
-    copies, k = [], 1
+    level = ranked(lines.select("d", "pos", "h1", "h2"), ["h1", "h2"])
+    levels, copies, k = [level], [], 1
     while True:
         here = windows.where((F.col("e") >= k) & (F.col("e") < 2 * k))
         one = level.select("d", F.col("pos").alias("s"), F.col("r").alias("ra"))
@@ -89,14 +91,16 @@ def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
         if k > wide:
             break
         shifted = level.select("d", (F.col("pos") - k // 2).cast("int").alias("pos"), F.col("r").alias("r2"))
-        after = ranked(level.withColumnRenamed("r", "r1").join(shifted, ["d", "pos"]), ["r1", "r2"], "rank")
-        if after.isEmpty():
+        level = ranked(level.withColumnRenamed("r", "r1").join(shifted, ["d", "pos"]), ["r1", "r2"])
+        levels.append(level)
+        if level.isEmpty():
             break
-        level = after
     found = copies[0]
     for more in copies[1:]:
         found = found.unionByName(more)
-    return later_members(found.withColumn("o", F.coalesce("doc_id", F.lit((1 << 63) - 1))))
+    out = later_members(found.withColumn("o", F.coalesce("doc_id", F.lit((1 << 63) - 1))))
+    discard(*levels)
+    return out
 
 
 def later_members(found: DataFrame) -> DataFrame:
@@ -157,6 +161,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, counts: tuple[str, str] =
     gone = repeated_runs(lines, min_words).groupBy("d").agg(F.collect_set(F.struct("start", "length")).alias("_runs"))
     totals = lines.groupBy("d").agg(F.count("*").alias("_lines"))
     per_doc = materialize(totals.join(gone, "d", "left").select(F.col("d").alias("_d"), "_lines", "_runs"), "runs")
+    discard(lines)
     joined = keyed.join(per_doc, "_d", "left")
 
     def cut(text: bytes, runs) -> tuple[bytes, int]:

@@ -17,43 +17,63 @@ def tokenizer_path() -> str:
 
 
 def op1_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row whose vec_id is divisible by 50 with its 5 best other rows. Vectors that are null or hold a null or
+    non-finite component, and null ids, take no part; rows of one id are queries and candidates each by itself."""
     return topk.search_embeddings(read_table(spark, sf_dir, "embeddings"), 5, 50)
 
 
 def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its perplexity, its language's threshold and whether it is kept. Null and empty texts have no
+    perplexity and are not kept; a null lang is a language of its own; repeated rows are answered alike."""
     return kneser.classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op3_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's base and model score; ids of remainder 0 by 10 are held out. A null or empty text is its end alone; a
+    null id is learnt from; repeated rows each count and are each scored."""
     return katz.score_documents(read_table(spark, sf_dir, "documents"), 10)
 
 
 def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's counts and verdict. Null and empty texts have no words and fail; a null lang is a language of its own;
+    repeated rows are judged alike."""
     return rules.judge(read_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op5_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's size, its source's size and target, and the words the mix takes of it. A null text has size 0, a null
+    source is one of its own, last in order; repeated rows are ordered rows."""
     docs = read_table(spark, sf_dir, "documents")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row in one of 40 shards by its key. A null text has size 16 and a null CRC, a null id counts as an empty key;
+    repeated rows share a shard and have a slot each."""
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), [1.0] * 40)
 
 
 def op7_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's language. Texts that are null or have no letter are `und` with score 0; a null id is learnt from, a
+    null lang is not; repeated rows are answered alike."""
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
 def op8_line_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's text without later copies of line runs of 50 words or more, and how many lines went. A null text stays
+    null, an empty one empty; rows equal in id and text are treated alike."""
     return linedup.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_chars", "text")
 
 
 def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's component at 0.85. Null, empty and blank texts have an empty set and stand alone; a null id never names
+    a component that has another; repeated rows are ordinary rows."""
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85).drop("text_key")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece's place in a packed sequence. A null or empty text is its end alone; null ids and repeated rows are
+    packed as they stand."""
     return packing.pack_sequences(read_table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .words import words_of
 
 #: Character classes in this order; what is left of the text is punctuation.
@@ -32,11 +32,11 @@ def common_words(docs: DataFrame, size: int = COMMON) -> DataFrame:
     return top.groupBy("_of").agg(listed.alias("_listed"), F.max(F.length("_w")).alias("_longest"))
 
 
-def features(docs: DataFrame, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Counts of each text that the rules need; texts themselves are left behind."""
+def features(docs: DataFrame, common: DataFrame, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of each text that the rules need, `common_words` among them; texts themselves are left behind."""
     words = words_of(F.col("_text"))
     df = docs.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_x_{c}") for c in carry], F.col("lang").cast("string").alias("_lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    df = df.join(_to_tasks(materialize(common_words(docs), "common")), F.col("_lang").eqNullSafe(F.col("_of")), "left")
+    df = df.join(_to_tasks(common), F.col("_lang").eqNullSafe(F.col("_of")), "left")
     df = df.withColumn("_words", words).withColumn("n_words", F.size("_words").cast("long"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", lines).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
@@ -125,7 +125,9 @@ def judge(docs: DataFrame, key: str = "doc_id", carry: tuple[str, ...] = (), max
     without any has none and the distances are null, which rejects nothing. Null texts have no
     words; a null lang is a language of its own; repeated rows are judged alike.
     """
-    table = materialize(features(docs, key, carry).withColumn("base_failed", base_failed(min_words)), "features")
+    common = materialize(common_words(docs), "common")
+    table = materialize(features(docs, common, key, carry).withColumn("base_failed", base_failed(min_words)), "features")
+    discard(common)
     df = table.join(_to_tasks(materialize(references(table), "references")), F.col("_lang").eqNullSafe(F.col("_ref_lang")), "left")
     chars = F.greatest(F.aggregate("_classes", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
     df = df.withColumn("_p", F.transform("_classes", lambda x: x / chars)).withColumn("_total", F.greatest(F.col("n_words").cast("double"), F.lit(1.0)))

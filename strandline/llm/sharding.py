@@ -11,22 +11,27 @@ from ..session import materialize
 from .numbering import number_within
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """The shard (from 0) whose weighted score for `key` is best.
-
-    Shard j draws u from the key and j alone and scores -ln(u)/w_j; the least score wins, ties go to
-    the smaller shard. Adding a shard or raising its weight takes rows only into it; removing one
-    moves only its own rows.
-    """
+def _best(key: Column, weights: Sequence[float], first: int = 0) -> Column:
+    """struct<s, j>: the best score among shards numbered from `first`, and its shard."""
     if not weights or min(weights) <= 0:
         raise ValueError("every shard needs a positive weight")
-    shards = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(w)).alias("w")) for j, w in enumerate(weights)])
+    shards = F.array(*[F.struct(F.lit(first + j).alias("j"), F.lit(float(w)).alias("w")) for j, w in enumerate(weights)])
 
     def score(s: Column) -> Column:
         digits = F.conv(F.substring(F.md5(F.concat_ws(":", key, s["j"].cast("string"))), 1, 13), 16, 10)
         return F.struct((-F.ln((digits.cast("double") + F.lit(1.0)) / F.lit(float(1 << 52))) / s["w"]).alias("s"), s["j"].alias("j"))
 
-    return F.array_min(F.transform(shards, score))["j"]
+    return F.array_min(F.transform(shards, score))
+
+
+def rendezvous(key: Column, weights: Sequence[float]) -> Column:
+    """The shard (from 0) whose weighted score for `key` is best.
+
+    Shard j draws u from the key and j alone and scores -ln(u)/w_j; the least score wins, ties go to
+    the smaller shard. Adding a shard or raising its weight takes rows only into it; removing one
+    moves only its own rows.
+    """
+    return _best(key, weights)["j"]
 
 
 def shard_documents(docs: DataFrame, weights: Sequence[float], grown_weights: Sequence[float] | None = None) -> DataFrame:
@@ -45,10 +50,12 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], grown_weights: Se
         F.lit("key").alias("law"),
         key.alias("_key"),
     )
-    stored = materialize(
-        placed.select("doc_id", "size", "text_crc32", "law", rendezvous(F.col("_key"), weights).alias("shard"), rendezvous(F.col("_key"), grown_weights).alias("grown_shard")),
-        "shards",
-    )
+    scored = placed.withColumn("_b", _best(F.col("_key"), weights))
+    # Shards that only come after the others are scored beside their best.
+    n = len(weights)
+    more = F.array_min(F.array("_b", _best(F.col("_key"), grown_weights[n:], n))) if len(grown_weights) > n else F.col("_b")
+    grown = more["j"] if list(grown_weights[:n]) == list(weights) else rendezvous(F.col("_key"), grown_weights)
+    stored = materialize(scored.select("doc_id", "size", "text_crc32", "law", F.col("_b.j").alias("shard"), grown.alias("grown_shard")), "shards")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return number_within(stored, ["shard"], order, ["doc_id", "text_crc32", "size"], "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 

@@ -488,6 +488,30 @@ def test_near_duplicates_equal_brute_force(spark, percent):
     assert minhash.near_duplicates(spark.createDataFrame([], EXTRA), percent).count() == 0
 
 
+def test_bitmaps_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, own = rng.integers(1, 400), rng.integers(0, 60, 2)
+        pool = rng.integers(0, 1 << 63, n + own.sum(), dtype=np.uint64)
+        a, b = np.concatenate([pool[:n], pool[n : n + own[0]]]), np.concatenate([pool[:n], pool[n + own[0] :]])
+        differ = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in minhash.bitmap(a) ^ minhash.bitmap(b))
+        assert differ <= own.sum() and (own.sum() < 40 or differ > own.sum() / 2)
+
+
+def test_edited_copies_far_from_each_other(spark):
+    """Copies with edits of their own: few reach the pivot, and nearly all pairs are ruled out by their bitmaps."""
+    rnd = random.Random(2)
+    base = [f"w{i}" for i in range(220)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for k in range(4 + i % 5):
+            w[rnd.randrange(len(w))] = f"x{i}_{k}"
+        texts += [" ".join(w)] + ([" ".join([*w, "tail"])] if i % 6 == 0 else [])
+    got = minhash.near_duplicates(docs(spark, texts), 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_near(texts, list(range(len(texts))), 85))
+
+
 def test_buckets_with_many_components(spark):
     """One row a band puts chains of unlike texts into the same buckets."""
     base = ("p q r s t u v w x y z " * 6).split()

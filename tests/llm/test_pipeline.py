@@ -105,3 +105,42 @@ def test_packing(inputs):
 def test_run_and_registration(spark, inputs):
     assert corpus_pipeline.run(spark, SF).count() == inputs["result"].count()
     assert [k.split("_")[0] for k in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+NAMES = "doc_id long, text string, lang string, source string, n_chars long, _id string, _hash int, _repeats int, n_removed int, n_lines string, node long, key string, size int, score double, _text string, _d int, c0 string, _copies int, reason string"
+
+
+def odd_docs(spark):
+    """Null ids, texts, languages and sources, empty and blank texts, a very long one, ties, repeated rows, clashing names."""
+    clean = [" ".join(f"word{(i * 7 + j * j) % 90}" for j in range(120)) for i in range(8)]
+    run = "\n".join(f"a line of the run number {i}" for i in range(12))
+    texts = [*clean, clean[0], clean[0], clean[1] + " more", None, "", " \n\t", "short text", f"head one two\n{run}\ntail x", f"other start\n{run}\nother end", "long " * 3 + " ".join(f"v{i % 5000}" for i in range(60_000))]
+    rows = []
+    for i, t in enumerate(texts):
+        doc_id = None if i in (3, 9) else 0 if i == 8 else i
+        rows.append((doc_id, t, [None, "en", "fr"][i % 3], [None, "s1", "s2"][i % 3], None if t is None else len(t), f"i{i}", i, i, 5, "x", 1, "k", 2, 0.5, "t", 3, "c", 4, "r"))
+    rows.append(rows[0])
+    return spark.createDataFrame(rows, NAMES), rows
+
+
+def test_stages_on_odd_rows(spark):
+    docs, rows = odd_docs(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        got = got.collect()
+        assert stage(spark, docs.where("false"), SF).count() == 0
+        same = {tuple(r)[5:] for r in rows}
+        assert all(tuple(r)[5:] in same for r in got), name
+        if name == "quality_rules":
+            assert all(len(words(r.text)) >= 50 for r in got) and sum(r.text == rows[0][1] for r in got) == 4
+        elif name == "line_dedup":
+            assert len(got) == len(rows) and [r.text for r in got if r._hash == 16] == ["other start\nother end"]
+            assert {r.n_removed for r in got} == {5} and {r.n_lines for r in got} == {"x"}
+        elif name == "near_dedup":
+            assert Counter(r.text for r in got)[rows[0][1]] == 1 and sum(not words(r.text) for r in got) == 3
+        else:
+            assert max(Counter(r._hash for r in got).values()) <= 6
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.where("piece = 0").count() == len(rows) and packed.where("length > 2048").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), SF).count() == 0
