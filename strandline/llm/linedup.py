@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, materialize, prepare
+from .skew import join_many, parts_of
 from .words import text_bytes
 
 LINES = "doc_id long, d long, pos int, h1 long, h2 long, ahead int, back int"
@@ -56,9 +57,10 @@ def ranked(suffixes: DataFrame, keys: list[str]) -> DataFrame:
     Distinct keys are sorted by range over all tasks and numbered in that order (with gaps between
     tasks), so ranks compare as the prefixes do: this is a suffix array's rank step.
     """
-    seen = suffixes.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    seen = suffixes.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
     order = materialize(seen.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("r", F.monotonically_increasing_id()), "order")
-    out = materialize(suffixes.join(order, keys).select("d", "pos", "r"), "rank")
+    # A line may stand in a third of all documents.
+    out = materialize(join_many(suffixes, order.drop("_n"), keys, hot=parts_of(order, keys, "_n")).select("d", "pos", "r"), "rank")
     discard(order)
     return out
 
@@ -80,26 +82,28 @@ def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
     ends = lines.where("back > 0").select("d", "doc_id", (F.col("pos") - F.col("back") + 1).alias("s"), F.col("back").alias("e"))
     windows = starts.unionByName(ends)
     level = ranked(lines.select("d", "pos", "h1", "h2"), ["h1", "h2"])
-    levels, copies, k = [level], [], 1
+    copies, k = [], 1
     while True:
         here = windows.where((F.col("e") >= k) & (F.col("e") < 2 * k))
         one = level.select("d", F.col("pos").alias("s"), F.col("r").alias("ra"))
         two = level.select("d", (F.col("pos") + k).alias("t"), F.col("r").alias("rb"))
         named = here.join(one, ["d", "s"]).withColumn("t", F.col("s") + F.col("e")).join(two, ["d", "t"]).select("d", "doc_id", "s", "e", "ra", "rb").distinct()
-        copies.append(named)
+        # Stored level by level: one plan over all levels would be planned anew after each of its many shuffles.
+        copies.append(materialize(named, "named"))
         k *= 2
         if k > wide:
             break
         shifted = level.select("d", (F.col("pos") - k // 2).cast("int").alias("pos"), F.col("r").alias("r2"))
-        level = ranked(level.withColumnRenamed("r", "r1").join(shifted, ["d", "pos"]), ["r1", "r2"])
-        levels.append(level)
+        after = ranked(level.withColumnRenamed("r", "r1").join(shifted, ["d", "pos"]), ["r1", "r2"])
+        discard(level)
+        level = after
         if level.isEmpty():
             break
     found = copies[0]
     for more in copies[1:]:
         found = found.unionByName(more)
     out = later_members(found.withColumn("o", F.coalesce("doc_id", F.lit((1 << 63) - 1))))
-    discard(*levels)
+    discard(level, *copies)
     return out
 
 
