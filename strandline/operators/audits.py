@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .ranking import places
 
 
 def coverage_character(entries: DataFrame, covered: DataFrame, key: str, size: str, top: int = 34) -> DataFrame:
@@ -47,8 +48,8 @@ def equal_share_sample(df: DataFrame, shard: str, id_col: str, n: int, seed: str
     """ceil(n / shards) rows of each shard by md5(seed:id), n in total at most (by turn, then shard)."""
     shards = df.select(shard).distinct().agg(F.count("*").alias("_s"))
     h = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
-    rn = F.row_number().over(Window.partitionBy(shard).orderBy("_h", id_col))
-    few = df.withColumn("_h", h).withColumn("_rn", rn).join(F.broadcast(shards)).where(F.col("_rn") <= F.ceil(F.lit(n) / F.col("_s")))
+    numbered = places(df.withColumn("_h", h), [shard], [F.col("_h"), F.col(id_col)], "_rn", total="")
+    few = numbered.join(F.broadcast(shards)).where(F.col("_rn") < F.ceil(F.lit(n) / F.col("_s")))  # one row
     return few.orderBy("_rn", shard).limit(n).drop("_h", "_rn", "_s")
 
 
