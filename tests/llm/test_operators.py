@@ -241,6 +241,19 @@ def test_katz_equals_plain_version(spark, batch, fan, room, monkeypatch):
     assert katz.score_documents(spark.createDataFrame([], EXTRA), 10).count() == 0
 
 
+def test_a_bucket_is_priced_alike_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    w, h, row = np.sort(rng.integers(0, 30, 500)), rng.integers(0, 20, 500), rng.integers(0, 40, 500)
+    order = np.lexsort((row, h, w))
+    blocks = list(katz._blocks(w[order], h[order], row[order], rng.integers(1, 4, 500) * np.where(row[order] % 5 == 0, -1, 1), np.zeros(500, dtype=np.int64), 0, {0: [9, 0, 10, 1]}))
+    model = {"N": 900, "unknown": 0.01, "uni_d": [0.5] * 5, "base_all": 1e3, "hot": np.array([3, 7]), "hot_counts": np.array([40, 50]), "pairs": np.sort(katz._pair_keys(np.array([3, 7]), np.array([1, 2])))}
+    whole = katz._price(pa.Table.from_batches(blocks), model).to_pylist()
+    monkeypatch.setattr(katz, "PRICE_ROWS", 7)
+    parts = katz._price(pa.Table.from_batches(blocks), model).to_pylist()
+    plain = lambda rows: sorted(repr({k: [round(v, 9) for v in x] if k == "x" and x else x for k, x in r.items()}) for r in rows)
+    assert plain(whole) == plain(parts) and {r["kind"] for r in whole} == {0, 1, 2, 3, 4, 5}
+
+
 # --- 4: rules
 
 def brute_counts(text):

@@ -133,9 +133,11 @@ def test_stages_on_odd_rows(spark):
         same = {tuple(r)[5:] for r in rows}
         assert all(tuple(r)[5:] in same for r in got), name
         if name == "quality_rules":
-            assert all(len(words(r.text)) >= 50 for r in got) and sum(r.text == rows[0][1] for r in got) == 4
+            have, all_rows = (Counter(r[:3] for r in x) for x in (map(tuple, got), rows))
+            assert got and all(len(words(t)) >= 50 and n == all_rows[i, t, lang] for (i, t, lang), n in have.items())
         elif name == "line_dedup":
-            assert len(got) == len(rows) and [r.text for r in got if r._hash == 16] == ["other start\nother end"]
+            # The copy under a null id, the last in order, is one repeated line and goes with it.
+            assert {r._hash for r in got} == set(range(len(rows) - 1)) - {9} and len(got) == len(rows) - 1 and [r.text for r in got if r._hash == 16] == ["other start\nother end"]
             assert {r.n_removed for r in got} == {5} and {r.n_lines for r in got} == {"x"}
         elif name == "near_dedup":
             assert Counter(r.text for r in got)[rows[0][1]] == 1 and sum(not words(r.text) for r in got) == 3
