@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialize, prepare
-from .skew import join_many
+from .skew import HOT_ROWS, join_many
 from .words import WordIds, hashed_words, mix, text_bytes
 
 #: Counts up to TOP are discounted by Good-Turing; larger ones by LARGE, so that every history keeps some mass for unseen words.
@@ -33,12 +33,16 @@ START, END = np.int64(-3), np.int64(-5)
 BATCH_WORDS, BUCKET_POSTINGS, LEAST_BUCKETS = 1_500_000, 1_500_000, 96
 #: Texts in such a batch, so that a document's number in it fits two bytes; buckets that a batch is dealt to at once.
 BATCH_DOCS, FAN = 32_000, 512
+#: Postings that a bucket prices at once.
+PRICE_ROWS = 200_000
 #: Bounds for what every task knows: 2^FREQUENT words, and twice as many pairs; rows of a table to be broadcast.
 FREQUENT, SMALL_TABLE = 22, 1_000_000
 _IDS = WordIds()
 
 POSTINGS = "bucket long, base long, words array<long>, pairs array<int>, histories array<long>, holders array<int>, docs array<smallint>, far array<long>, counts array<int>, ids array<long>"
 PARTS = "kind int, id long, doc_id long, held_out boolean, n long, c array<long>, x array<double>"
+PART_NAMES = ["kind", "id", "doc_id", "held_out", "n", "c", "x"]
+PART_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
 
 
 def _batches(batches, size: int):
@@ -236,7 +240,7 @@ def _sizes(table: pa.Table, name: str) -> np.ndarray:
 def _postings(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word, history, text, count) of every posting of some blocks."""
     holders = _flat(table, "holders")
-    w, h = (np.repeat(x, holders).astype(np.int64) for x in (np.repeat(_flat(table, "words"), _flat(table, "pairs")), _flat(table, "histories")))
+    w, h = (np.repeat(x, holders).astype(np.int64, copy=False) for x in (np.repeat(_flat(table, "words"), _flat(table, "pairs")), _flat(table, "histories")))
     size = _sizes(table, "counts")
     near = np.repeat(_sizes(table, "docs") > 0, size)
     row = np.repeat(table.column("base").to_numpy(), size)
@@ -245,20 +249,40 @@ def _postings(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return w, h, row, _flat(table, "counts").astype(np.int64)
 
 
+def _histories(h: np.ndarray, c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(histories, counts, mass) of pairs with their counts c and their words' own shares p: of each history the counts of
+    counts of its pairs, the pairs above TOP, all tokens; and the lower-order mass."""
+    who, inverse = np.unique(h, return_inverse=True)
+    total = lambda x: np.bincount(inverse, weights=x, minlength=len(who))
+    counts = np.empty((len(who), TOP + 3), dtype=np.int64)
+    for i, value in enumerate((*[c == r for r in range(1, TOP + 2)], c > TOP, c)):
+        counts[:, i] = total(value)
+    return who, counts, total(p)[:, None]
+
+
 def _price(table: pa.Table, model: dict) -> pa.Table:
     """What one bucket adds: to documents (kind 0), to histories (1), unseen pairs (2), ids (3); and of frequent pairs,
     numbered as the model has them, the counts in training (4) and in documents (5)."""
+    # A worker that has dealt texts before still holds their words.
+    _IDS.clear()
     w, h, row, n = _postings(table)
     bases = table.column("base").to_numpy()
     order = np.lexsort((h, w))
     w, h, row, n = w[order], h[order], row[order], n[order]
-    out: list[list] = [[] for _ in range(7)]
+    out: list[pa.RecordBatch] = []
 
     def add(kind: int, ident, doc_id=None, held=None, count=None, c=None, x=None) -> None:
         size = len(ident)
-        none = [None] * size
-        for col, value in zip(out, (np.full(size, kind), ident, none if doc_id is None else doc_id, none if held is None else held, none if count is None else count, none if c is None else c, none if x is None else x), strict=True):
-            col.append(value)
+
+        def column(value, kind: pa.DataType) -> pa.Array:
+            if value is None:
+                return pa.nulls(size, kind)
+            if not pa.types.is_list(kind):
+                return pa.array(value, kind)
+            return pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * value.shape[1]), pa.array(np.ascontiguousarray(value).ravel(), kind.value_type))
+
+        values = (np.full(size, kind), ident, doc_id, held, count, c, x)
+        out.append(pa.RecordBatch.from_arrays([column(v, t) for v, t in zip(values, PART_TYPES, strict=True)], names=PART_NAMES))
 
     if len(w):
         train = np.maximum(n, 0)
@@ -269,42 +293,42 @@ def _price(table: pa.Table, model: dict) -> pa.Table:
         near, often = _among(w[at_w], model["hot"])
         if often.any():
             c_w = np.where(often, model["hot_counts"][near], c_w)
-        word_of, pair_of = np.cumsum(new_w) - 1, np.cumsum(new_p) - 1
-        p_uni = unigram(c_w, model)
-        number, partial = _among(_pair_keys(w[at_p], h[at_p]), model["pairs"])
-        partial &= often[word_of[at_p]]
+        word_of, pair_of = (np.cumsum(x, dtype=np.int32) - 1 for x in (new_w, new_p))
+        p_uni, word_of_pair = unigram(c_w, model), word_of[at_p]
+        del train, new_w, new_p
+        number, partial = np.zeros(len(at_p), dtype=np.int32), np.zeros(len(at_p), dtype=bool)
+        if len(model["pairs"]) and often.any():
+            near = np.flatnonzero(often[word_of_pair])
+            number[near], partial[near] = _among(_pair_keys(w[at_p[near]], h[at_p[near]]), model["pairs"])
         if partial.any():
             add(4, number[partial], count=c_p[partial])
             mine = partial[pair_of]
             add(5, row[mine], doc_id=number[pair_of[mine]], count=np.abs(n[mine]))
             c_p = np.where(partial, -1, c_p)
-        # Histories: counts of counts of their pairs, pairs above TOP, all tokens, lower-order mass.
         seen = c_p > 0
-        ph, pc, pu = h[at_p][seen], c_p[seen], p_uni[word_of[at_p]][seen]
-        who, inverse = np.unique(ph, return_inverse=True)
-        size = len(who)
-        cols = [np.bincount(inverse, weights=(pc == r), minlength=size) for r in range(1, TOP + 2)] + [np.bincount(inverse, weights=(pc > TOP), minlength=size), np.bincount(inverse, weights=pc, minlength=size)]
-        add(1, who, c=list(np.stack(cols, 1).astype(np.int64)) if size else [], x=list(np.bincount(inverse, weights=pu, minlength=size)[:, None]) if size else [])
-        # Documents.
-        k = np.abs(n)
-        cw, cp = c_w[word_of], c_p[pair_of]
-        large = cp > TOP
-        log = np.where(cp > 0, np.log10(np.maximum(cp - np.where(large, LARGE, 0), 1e-300)), np.where(cp < 0, 0, np.log10(p_uni[word_of])))
-        log -= np.where((cw > 0) & (w != END), np.log10(np.maximum(cw, 1)), 0)
-        docs, inverse = np.unique(row, return_inverse=True)
-        size = len(docs)
-        total = lambda x: np.bincount(inverse, weights=x, minlength=size)
-        cols = [total(k * (cw > 0)), *[total(k * (cp == r)) for r in range(1, TOP + 1)]]
-        add(0, docs, count=total(k).astype(np.int64), c=list(np.stack(cols, 1).astype(np.int64)), x=list(np.stack([total(k * np.log10((cw + 0.1) / model["base_all"])), total(k * log)], 1)))
-        bare = cp == 0
-        add(2, row[bare], doc_id=h[bare], count=k[bare])
+        who, c, x = _histories(h[at_p][seen], c_p[seen], p_uni[word_of_pair[seen]])
+        add(1, who, c=c, x=x)
+        del at_w, at_p, number, partial, seen, word_of_pair, who, c, x
+        # Documents, some postings at a time: only their sums are kept.
+        docs = np.unique(row)
+        sums = np.zeros((TOP + 4, len(docs)))
+        for lo in range(0, len(w), PRICE_ROWS):
+            part = slice(lo, lo + PRICE_ROWS)
+            k, of_word = np.abs(n[part]), word_of[part]
+            cw, cp = c_w[of_word], c_p[pair_of[part]]
+            log = np.where(cp > 0, np.log10(np.maximum(cp - np.where(cp > TOP, LARGE, 0), 1e-300)), np.where(cp < 0, 0, np.log10(p_uni[of_word])))
+            log -= np.where((cw > 0) & (w[part] != END), np.log10(np.maximum(cw, 1)), 0)
+            at = np.searchsorted(docs, row[part])
+            for i, value in enumerate((k, k * (cw > 0), *[k * (cp == r) for r in range(1, TOP + 1)], k * np.log10((cw + 0.1) / model["base_all"]), k * log)):
+                sums[i] += np.bincount(at, weights=value, minlength=len(docs))
+            bare = cp == 0
+            add(2, row[part][bare], doc_id=h[part][bare], count=k[bare])
+        add(0, docs, count=sums[0].astype(np.int64), c=sums[1 : TOP + 2].T.astype(np.int64), x=sums[TOP + 2 :].T)
     for ids, base in zip(table.column("ids").to_pylist(), bases.tolist(), strict=True):
         if ids:
             add(3, np.arange(base, base + len(ids) // 2), doc_id=ids[0::2], held=[bool(x) for x in ids[1::2]])
 
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-    names = ("kind", "id", "doc_id", "held_out", "n", "c", "x")
-    return pa.table({name: pa.chunked_array([pa.array(v, t) for v in col], t) for name, col, t in zip(names, out, kinds, strict=True)})
+    return pa.Table.from_batches(out, pa.schema(list(zip(PART_NAMES, PART_TYPES, strict=True))))
 
 
 def unigram(c: np.ndarray, model: dict) -> np.ndarray:
@@ -393,7 +417,9 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
         log = F.log10(F.when(F.col("cp") > TOP, F.col("cp") - LARGE).when(F.col("cp") > 0, kept).otherwise(F.col("pu")))
         of_doc = of_doc.join(met.groupBy("id").agg(F.sum(F.col("n") * log).alias("often")), "id", "left").withColumn("seen", F.col("seen") + F.coalesce("often", F.lit(0.0))).drop("often")
         unseen = unseen.unionByName(met.where("cp = 0").select("id", F.col("h").alias("doc_id"), "n"))
-    unseen = join_many(unseen, weight, ["doc_id"], "left").groupBy("id").agg(F.sum(F.col("n") * F.coalesce("weight", F.lit(0.0))).alias("extra"))
+    # Histories with many unseen pairs are among those with many seen ones.
+    hot = materialize(of_history.where(F.col("all") > 10 * HOT_ROWS).select(F.col("h").alias("doc_id"), F.ceil(F.col("all") / (10 * HOT_ROWS)).cast("long").alias("_parts")), "hot")
+    unseen = join_many(unseen, weight, ["doc_id"], "left", hot).groupBy("id").agg(F.sum(F.col("n") * F.coalesce("weight", F.lit(0.0))).alias("extra"))
     heads = parts.where("kind = 3").select("id", "doc_id", "held_out")
     first = float(math.log10(texts)) if texts else 0.0
     return heads.join(of_doc, "id").join(unseen, "id", "left").select(
