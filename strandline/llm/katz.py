@@ -30,7 +30,7 @@ TOP, LARGE = 5, 0.1
 #: The place before a text, and its end (a token).
 START, END = np.int64(-3), np.int64(-5)
 #: Words of texts whose postings a task sorts together, and postings a bucket should hold.
-BATCH_WORDS, BUCKET_POSTINGS, LEAST_BUCKETS = 1_500_000, 1_500_000, 96
+BATCH_WORDS, BUCKET_POSTINGS, LEAST_BUCKETS = 1_000_000, 1_500_000, 96
 #: Texts in such a batch, so that a document's number in it fits two bytes; buckets that a batch is dealt to at once.
 BATCH_DOCS, FAN = 32_000, 512
 #: Postings that a bucket prices at once.
