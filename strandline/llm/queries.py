@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import katz, kneser, langid, linedup, minhash, mixing, packing, rules, sharding, topk
+from . import bisector, katz, kneser, langid, linedup, minhash, mixing, packing, rules, runs, sharding, tokenfile, topk
 
 
 def tokenizer_path() -> str:
@@ -77,6 +77,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(read_table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
+def op11_bisector_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of 64 finite components with its centroid after 5 rounds from 40. Other vectors have no row; a null id
+    is clustered but starts no centroid; rows of one id are vectors each by itself."""
+    return bisector.cluster_vectors(read_table(spark, sf_dir, "embeddings"), 40, 5, "2", 64)
+
+
+def op12_dictionary_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's place in the token files and the CRC of its ids, read back from them. A null or empty text is its end
+    id alone; null ids stand first, rows of one id by their texts' hashes."""
+    import public_tokenizers
+
+    return tokenfile.write_token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).read()
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's runs of period q of at least 6 and 4q words, and its text without their repetitions. A null, empty or
+    blank text has none; a null id is not rewritten; repeated rows are answered alike."""
+    return runs.periodic_runs(read_table(spark, sf_dir, "documents"), 6, 4, plant=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_block_top_k,
@@ -89,6 +109,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_run_dedup,
         op9_minhash_near_duplicates,
         op10_best_fit_packing,
+        op11_bisector_centroids,
+        op12_dictionary_token_files,
+        op13_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
@@ -99,4 +122,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_divergence_rules": rules.oracle_sql(),
         "op5_water_filling_mix": mixing.oracle_sql(),
         "op6_rendezvous_shards": sharding.ORACLE_SQL,
+        "op11_bisector_centroids": bisector.oracle_sql(),
     }
