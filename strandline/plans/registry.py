@@ -23,8 +23,13 @@ def query(sql: str | None = None):
     return add
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query registered before, to build on."""
+    return _SQL[name]
+
+
 def _load() -> None:
-    for name in ("corpus_queries", "fitness_queries", "structure_queries", "monitor_queries", "audit_queries", "chain_queries"):
+    for name in ("corpus_queries", "fitness_queries", "structure_queries", "monitor_queries", "audit_queries", "chain_queries", "summary_queries"):
         importlib.import_module(f"strandline.plans.{name}")
 
 
