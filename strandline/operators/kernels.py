@@ -1,8 +1,8 @@
-"""Per-group numeric kernels: superposition, covariance, greedy pairing. Spark deals the groups; numpy works inside one."""
+"""Numeric kernels: covariance, Gaussian fits, greedy pairing. Spark sums and deals; numpy works on small matrices."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,65 +13,6 @@ from ..session import materialize
 from .structure import cell_join
 
 
-def _fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """b moved onto a by the best proper rotation."""
-    ca, cb = a.mean(0), b.mean(0)
-    u, _, vt = np.linalg.svd((b - cb).T @ (a - ca))
-    d = np.sign(np.linalg.det(u @ vt))
-    return (b - cb) @ (u @ np.diag([1, 1, d or 1.0]) @ vt) + ca
-
-
-def _moved(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All `points` moved by the fit of b onto a."""
-    ca, cb = a.mean(0), b.mean(0)
-    u, _, vt = np.linalg.svd((b - cb).T @ (a - ca))
-    d = np.sign(np.linalg.det(u @ vt))
-    return (points - cb) @ (u @ np.diag([1, 1, d or 1.0]) @ vt) + ca
-
-
-def superposition_scores(a: np.ndarray, b: np.ndarray, full: int) -> tuple[float, float, float]:
-    """(rmsd, tm, gdt_ts) of paired points; TM and GDT take the best of fits grown from fragments, over the reference's full length."""
-    n = len(a)
-    rmsd = float(np.sqrt(((a - _fit(a, b)) ** 2).sum(1).mean()))
-    d0 = max(0.6 * np.sqrt(max(full - 0.5, 0)) - 2.5, 0.3)
-    tm = 0.0
-    gdt = np.zeros(4)
-    sizes = [n]
-    while sizes[-1] > 4:
-        sizes.append(max(sizes[-1] // 2, 4))
-    for size in sizes:
-        for start in range(0, n - size + 1, max(1, size // 2)):
-            chosen = np.arange(start, start + size)
-            for _ in range(20):
-                d = np.sqrt(((a - _moved(b, a[chosen], b[chosen])) ** 2).sum(1))
-                tm = max(tm, float((1 / (1 + (d / d0) ** 2)).sum() / full))
-                gdt = np.maximum(gdt, [(d <= t).sum() / full for t in (1, 2, 4, 8)])
-                near = np.flatnonzero(d <= max(d0, np.sort(d)[min(n, 3) - 1]) + 1)
-                if len(near) < 3 or np.array_equal(near, chosen):
-                    break
-                chosen = near
-    return rmsd, tm, float(gdt.mean())
-
-
-def score_submissions(reference: DataFrame, submissions: DataFrame, least: int = 10) -> DataFrame:
-    """target, submission, paired, rmsd, tm, gdt_ts: one task group per submission; under `least` paired residues they are null.
-
-    reference: target, idx, x, y, z; submissions the same with `submission`.
-    """
-    full = reference.groupBy("target").agg(F.count("*").alias("full"))
-    r = reference.select("target", "idx", *[F.col(c).alias(f"r{c}") for c in "xyz"])
-    j = submissions.join(r, ["target", "idx"]).join(full, "target")
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx").drop_duplicates("idx")
-        got = (None, None, None)
-        if len(pdf) >= least:
-            got = superposition_scores(pdf[["rx", "ry", "rz"]].to_numpy(), pdf[["x", "y", "z"]].to_numpy(), int(pdf["full"].iloc[0]))
-        return pd.DataFrame({"target": [key[0]], "submission": [key[1]], "paired": [len(pdf)], "rmsd": [got[0]], "tm": [got[1]], "gdt_ts": [got[2]]})
-
-    return j.groupBy("target", "submission").applyInPandas(run, "target string, submission string, paired long, rmsd double, tm double, gdt_ts double")
-
-
 def step_covariance(steps: DataFrame, context: str, values: Sequence[str], least: int = 200) -> DataFrame:
     """context, n, mean, sd (population), covariance (sample, row by row), inverse_diagonal, condition of contexts with at least
     `least` steps. Spark sums the moments; the small matrices are inverted per context."""
@@ -120,6 +61,95 @@ def gaussian_nll(steps: DataFrame, group: str, values: Sequence[str], key: str,
     return per.groupBy("fold").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("nll")) / F.sum("n")).alias("nll"))
 
 
+def nested_gaussian_nll(steps: DataFrame, values: Sequence[str], models: Mapping[str, Sequence[str]], key: str, ridge: float = 1e-3, covered: int = 200, least: int = 8) -> DataFrame:
+    """model, n_covered, coverage, n_common, n_in, in_sample, n_held, held_out: mean negative log-likelihood of Gaussians
+    fitted to the groups of each model, on the steps they were fitted to and on held-out halves.
+
+    `models` names the columns that each model groups by. A step is covered by a model if its group has `covered` steps; all
+    models are scored on the steps that all cover. Groups of fewer than `least` steps are not fitted. The fit's covariance
+    has n - 1 below it and the ridge on its diagonal. Halves are by a hash of `key`; steps with a null value are left out.
+
+    Steps are summed once, into moments of the finest groups by half; every model's groups are sums of these (grouping sets),
+    and a mean likelihood needs moments alone. Moments are taken about the overall mean.
+    """
+    k, names = list(values), list(dict.fromkeys(c for columns in models.values() for c in columns))
+    known = steps.dropna(subset=k)
+    middle = known.agg(*[F.avg(v).alias(v) for v in k]).first()
+    x = {v: F.col(v) - F.lit(float(middle[v] or 0.0)) for v in k}
+    moments = {"n": F.count("*").cast("double"), **{f"s_{v}": F.sum(x[v]) for v in k}, **{f"p_{a}_{b}": F.sum(x[a] * x[b]) for i, a in enumerate(k) for b in k[i:]}}
+    half = F.pmod(F.xxhash64(key), F.lit(2)).cast("int")
+    cells = materialize(known.groupBy(*names, half.alias("_half")).agg(*[c.alias(m) for m, c in moments.items()]), "cells")
+
+    def levels(df: DataFrame, *aggregates: Column) -> DataFrame:
+        """A row for each group of each model, with its model; a column that the model does not group by is null."""
+        sets = [[F.col(c) for c in columns] for columns in models.values()]
+        code = {sum((c not in columns) << (len(names) - 1 - i) for i, c in enumerate(names)): m for m, columns in models.items()}
+        model = F.create_map(*[F.lit(v) for pair in code.items() for v in pair])
+        return df.groupingSets(sets, *[F.col(c) for c in names]).agg(F.grouping_id(*names).cast("int").alias("_g"), *aggregates).withColumn("model", model[F.col("_g")])
+
+    counts = materialize(levels(cells, F.sum("n").alias("_n")), "counts")
+    reached = counts.where(F.col("_n") >= covered)
+    common = cells
+    for m, columns in models.items():
+        same = F.lit(True)
+        for c in columns:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{m}_{c}"))
+        common = common.join(reached.where(F.col("model") == m).select(*[F.col(c).alias(f"_{m}_{c}") for c in columns], F.lit(1).alias("_one")), same, "left_semi")
+    common = materialize(common, "common")
+    sums = [F.coalesce(F.sum(F.when(F.col("_half") == h, F.col(m))), F.lit(0.0)).alias(f"{m}_{h}") for h in (0, 1) for m in moments]
+
+    summed = list(moments)
+
+    def run(frames):
+        for pdf in frames:
+            half = []
+            for h in (0, 1):
+                product = np.stack([[pdf[f"p_{a}_{b}_{h}" if f"p_{a}_{b}" in summed else f"p_{b}_{a}_{h}"].to_numpy() for b in k] for a in k], axis=0) if len(pdf) else np.empty((len(k), len(k), 0))
+                half.append((pdf[f"n_{h}"].to_numpy(), pdf[[f"s_{v}_{h}" for v in k]].to_numpy(), product.transpose(2, 0, 1)))
+            both = tuple(a + b for a, b in zip(*half, strict=True))
+            out = {"model": pdf["model"]}
+            for name, pairs in (("in", [(both, both)]), ("held", [(half[0], half[1]), (half[1], half[0])])):
+                got = [mean_nll(fit, scored, ridge, least) for fit, scored in pairs]
+                out[f"n_{name}"], out[f"l_{name}"] = sum(n for n, _ in got), sum(n * x for n, x in got)
+            yield pd.DataFrame(out)
+
+    scored = levels(common, *sums).drop("_g", *names).mapInPandas(run, "model string, n_in double, l_in double, n_held double, l_held double")
+    total = F.sum("n_in"), F.sum("n_held")
+    losses = scored.groupBy("model").agg(total[0].cast("long").alias("n_in"), F.try_divide(F.sum("l_in"), total[0]).alias("in_sample"), total[1].cast("long").alias("n_held"), F.try_divide(F.sum("l_held"), total[1]).alias("held_out"))
+    about = counts.groupBy("model").agg(F.coalesce(F.sum(F.when(F.col("_n") >= covered, F.col("_n"))), F.lit(0.0)).cast("long").alias("n_covered"), F.sum("_n").alias("_all"))
+    n_common = common.agg(F.coalesce(F.sum("n"), F.lit(0.0)).cast("long").alias("n_common"))
+    return about.join(losses, "model", "left").join(F.broadcast(n_common)).select("model", "n_covered", (F.col("n_covered") / F.col("_all")).alias("coverage"), "n_common", "n_in", "in_sample", "n_held", "held_out")  # a row for each model
+
+
+def mean_nll(fit: tuple, scored: tuple, ridge: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, mean negative log-likelihood) of the scored moments (n, sums, products) of groups under Gaussians fitted to
+    others; 0 where a group has none to score, or too few to fit."""
+    n, s, p = scored
+    m, t, q = fit
+    use = (n > 0) & (m >= max(least, 2))
+    d, safe, free = s.shape[1], np.where(use, n, 1.0), np.where(use, m, 2.0)
+    mean, centre = s / safe[:, None], t / free[:, None]
+    spread = p / safe[:, None, None] - mean[:, :, None] * mean[:, None, :]
+    fitted = (q - free[:, None, None] * centre[:, :, None] * centre[:, None, :]) / (free - 1)[:, None, None] + ridge * np.eye(d)
+    fitted = np.where(use[:, None, None], fitted, np.eye(d))
+    inverse, (sign, size), shift = np.linalg.inv(fitted), np.linalg.slogdet(fitted), mean - centre
+    use &= sign > 0
+    square = np.einsum("gij,gji->g", inverse, spread) + np.einsum("gi,gij,gj->g", shift, inverse, shift)
+    return np.where(use, n, 0.0), np.where(use, 0.5 * (square + size + d * np.log(2 * np.pi)), 0.0)
+
+
+def nll_gains(result: DataFrame, steps: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """gain, in_sample, held_out: how much lower the second model of each named pair scores than the first."""
+    rows = []
+    for name, (before, after) in steps.items():
+        of = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
+        rows.append(result.agg(F.lit(name).alias("gain"), *[(of(before, c) - of(after, c)).alias(c) for c in ("in_sample", "held_out")]))
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 #: Watson-Crick and wobble pairs.
 PAIRS = ("AU", "UA", "GC", "CG", "GU", "UG")
 

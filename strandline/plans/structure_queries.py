@@ -244,15 +244,6 @@ def greedy_base_pairs(spark, d):
     return kernels.greedy_pairing(kernels.pair_candidates(placed(spark, d), 12.0, 4.0))
 
 
-@query()
-def superposed_models(spark, d):
-    """RMSD, TM and GDT of shifted and bent copies of each entry against it."""
-    c = X.centre(spark, d).select(F.col("entry").cast("string").alias("target"), "idx", "x", "y", "z")
-    shifted = c.select("target", F.lit("shifted").alias("submission"), "idx", (-F.col("y") + 5).alias("x"), F.col("x").alias("y"), "z")
-    bent = c.select("target", F.lit("bent").alias("submission"), "idx", (F.col("x") + F.col("idx") % 7).alias("x"), "y", "z")
-    return kernels.score_submissions(c, shifted.unionByName(bent))
-
-
 @query()
 def step_covariances(spark, d):
     s = X.centre(spark, d).withColumn("context", (F.col("entry") % 3).cast("string"))
