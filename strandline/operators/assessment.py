@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .boards import verdict_of
 from .ranking import places
 
 
@@ -67,9 +68,8 @@ def paired_sign_test(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFr
 
 
 def ab_verdict(tests: DataFrame, spread: float) -> DataFrame:
-    """Adds `verdict` from mean_delta against the spread and p."""
-    v = F.when(F.col("n") < 5, "too few targets").when((F.col("p") < 0.05) & (F.col("mean_delta") > 0), "better").when((F.col("p") < 0.05) & (F.col("mean_delta") < 0), "worse")
-    return tests.withColumn("verdict", v.when(F.abs("mean_delta") < spread, "no difference").otherwise("undecided"))
+    """Adds `verdict` from mean_delta against the spread of equal runs, and p (see `boards.verdict_of`)."""
+    return tests.withColumn("verdict", verdict_of(F.col("mean_delta"), F.col("p"), spread))
 
 
 def partial_correlation(df: DataFrame, x: str, y: str, given: str) -> DataFrame:

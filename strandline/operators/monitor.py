@@ -96,10 +96,17 @@ def dead_regression(df: DataFrame, value: str, least: float = 1e-4) -> DataFrame
     return last(df, value).select(*KEYS, F.col(value).alias("last"), (F.col(value) < least).alias("dead"))
 
 
-def no_lift(df: DataFrame, value: str, k: int = 5, least: int = 3) -> DataFrame:
-    """keys, n, best, no_lift: none of the last k lifts is above 0, with at least `least` rows."""
+def no_lift(df: DataFrame, value: str, k: int = 5, least: int = 3, classes: str | None = None) -> DataFrame:
+    """keys, n, best, no_lift: none of the last k lifts is above 0, with at least `least` rows.
+
+    A head whose last k numbers of classes, in the column `classes`, are none above 1 has no lift to have and is exempt.
+    """
     t = last(df, value, k).groupBy(*KEYS).agg(F.count("*").alias("n"), F.max(value).alias("best"))
-    return t.withColumn("no_lift", (F.col("n") >= least) & (F.col("best") <= 0))
+    bad = (F.col("n") >= least) & (F.col("best") <= 0)
+    if classes is None:
+        return t.withColumn("no_lift", bad)
+    kinds = last(df, classes, k).groupBy(*KEYS).agg(F.max(classes).alias("_classes"))
+    return t.join(kinds, list(KEYS), "left").select(*KEYS, "n", "best", (bad & (F.coalesce("_classes", F.lit(2)) > 1)).alias("no_lift"))
 
 
 def never_written(df: DataFrame, metrics: Sequence[str], ready: Column) -> DataFrame:

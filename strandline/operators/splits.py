@@ -42,8 +42,9 @@ def transfer_holdout(split: Column, family: Column, held: str) -> Column:
 def family_groups(df: DataFrame) -> DataFrame:
     """group, size, oversized: families (an entry without one is its own), too large if over 5 % of all."""
     group = F.coalesce("family", F.concat(F.lit("entry:"), "entry"))
-    sizes = df.groupBy(group.alias("group")).agg(F.sum("length").alias("size"))
-    return sizes.withColumn("oversized", F.col("size") > 0.05 * F.sum("size").over(Window.partitionBy()))
+    sizes = materialize(df.groupBy(group.alias("group")).agg(F.sum("length").alias("size")), "sizes")
+    total = sizes.agg(F.sum("size").alias("_all"))
+    return sizes.join(F.broadcast(total)).select("group", "size", (F.col("size") > 0.05 * F.col("_all")).alias("oversized"))  # one row
 
 
 def _turns(lack: list[Fraction], size: int, n: int) -> list[tuple[int, int, list[int]]]:

@@ -158,7 +158,7 @@ ARM = f"SELECT grp % 7 AS pair, target, avg(tm) FILTER (WHERE model % 2 = 0) AS
 
 @query(f"""WITH p AS (SELECT b - a AS d FROM (SELECT target, avg(a) AS a, avg(b) AS b FROM ({ARM}) GROUP BY target) WHERE a IS NOT NULL AND b IS NOT NULL), c AS (SELECT count(*) AS n, avg(d) AS m, CAST(count_if(d > 0) AS BIGINT) AS w, CAST(count_if(d < 0) AS BIGINT) AS l FROM p),
   k AS (SELECT *, w + l AS t, greatest(w, l) AS g FROM c), s AS (SELECT n, m, sum(exp(lgamma(t + 1) - lgamma(i + 1) - lgamma(t - i + 1) - t * ln(2.0))) AS tail FROM (SELECT *, unnest(range(g, t + 1)) AS i FROM k) GROUP BY ALL)
-  SELECT n, round(m, 9) AS mean_delta, round(least(1.0, 2 * tail), 9) AS p, CASE WHEN n < 5 THEN 'too few targets' WHEN 2 * tail < 0.05 AND m > 0 THEN 'better' WHEN 2 * tail < 0.05 AND m < 0 THEN 'worse' WHEN abs(m) < 0.02 THEN 'no difference' ELSE 'undecided' END AS verdict FROM s""")
+  SELECT n, round(m, 9) AS mean_delta, round(least(1.0, 2 * tail), 9) AS p, CASE WHEN m > 0.02 AND 2 * tail < 0.05 THEN 'keep' WHEN m > 0.02 THEN 'inconclusive, leaning positive' WHEN m < -0.02 THEN 'worse' WHEN m < 0 AND 2 * tail < 0.05 THEN 'worse, weakly' WHEN abs(m) <= 0.02 THEN 'no effect' END AS verdict FROM s""")
 def ab_verdict(spark, d):
     arms = X.submission(spark, d).groupBy((F.col("grp") % 7).alias("pair"), "target").agg(F.avg(F.when(F.col("model") % 2 == 0, F.col("tm"))).alias("a"), F.avg(F.when(F.col("model") % 2 == 1, F.col("tm"))).alias("b"))
     both = arms.groupBy("target").agg(F.avg("a").alias("a"), F.avg("b").alias("b")).dropna()

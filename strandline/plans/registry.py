@@ -29,7 +29,7 @@ def oracle_of(name: str) -> str:
 
 
 def _load() -> None:
-    for name in ("corpus_queries", "fitness_queries", "structure_queries", "monitor_queries", "audit_queries", "chain_queries", "summary_queries", "model_queries"):
+    for name in ("corpus_queries", "fitness_queries", "structure_queries", "monitor_queries", "audit_queries", "chain_queries", "summary_queries", "model_queries", "board_queries"):
         importlib.import_module(f"strandline.plans.{name}")
 
 
