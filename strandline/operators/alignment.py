@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ SYMBOLS = 5
 BLOCK_ROWS = 512
 #: Columns of a matrix of marks that are compared at once.
 MARKS = 8192
+#: Columns of a tile, rows of a product of two tiles, products that are summed at once.
+TILE, CHUNK_ROWS, SUMMED = 48, 8192, 16
 
 
 def _blocked(df: DataFrame, key: str, ident: str) -> DataFrame:
@@ -106,30 +109,81 @@ def _codes(aligned: pd.Series) -> np.ndarray:
     return out
 
 
-def pair_counts(msa: DataFrame, weights: DataFrame) -> DataFrame:
-    """family, i, counts: for column i the weighted counts of symbols (a, b) with every column j, as one array of
-    columns x SYMBOLS x SYMBOLS numbers; all rows of a family have its number of columns.
+def tile_counts(msa: DataFrame, weights: DataFrame) -> DataFrame:
+    """family, ti, tj, counts: for the columns of tiles ti <= tj the weighted counts of symbols (a, b) of every two of them, as
+    one array (i, a, j, b); all rows of a family have its number of columns.
 
-    One pass: each block of rows is a matrix of marks, whose product with itself counts all pairs of columns at once;
-    blocks are then summed by column.
+    The columns are cut into tiles of TILE. For each two tiles, each CHUNK_ROWS rows of a family are two matrices of marks,
+    whose product counts all their pairs of columns at once; products of one pair of tiles are then summed, SUMMED at a
+    time, until one is left. What a task holds depends on these three numbers, not on the rows or columns.
     """
-    rows = _blocked(msa.join(weights, ["family", "row_no"]).select("family", "row_no", "aligned", "weight"), "family", "row_no")
     kind = {f.name: f.dataType.simpleString() for f in msa.schema}
+    chunks = msa.groupBy("family").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("long").alias("_chunks"))
+    rows = msa.select("family", "row_no", "aligned").join(weights, ["family", "row_no"]).join(chunks, "family")
+    last = F.floor((F.length("aligned") - 1) / TILE).cast("int")
+    tiles = rows.where(F.length("aligned") > 0).select("family", "weight", "aligned", F.pmod(F.xxhash64("row_no"), F.col("_chunks")).alias("chunk"), last.alias("_last"), F.explode(F.sequence(F.lit(0), last)).alias("ti"))
+    tiles = tiles.withColumn("tj", F.explode(F.sequence("ti", "_last")))
+    part = lambda t: F.substring("aligned", F.col(t) * TILE + 1, F.lit(TILE))
+    schema = f"family {kind['family']}, ti int, tj int, chunk long, counts array<double>"
+
+    def marks(aligned: pd.Series) -> np.ndarray:
+        codes = _codes(aligned)
+        out = np.zeros((len(codes), codes.shape[1] * SYMBOLS))
+        out[np.arange(len(codes))[:, None], np.arange(codes.shape[1]) * SYMBOLS + codes] = 1
+        return out
+
+    def row(key: tuple, counts: np.ndarray) -> pa.Table:
+        cells = [pa.array([k.as_py()], k.type) for k in key]
+        return pa.table([*cells, pa.array([counts], pa.list_(pa.float64()))], names=["family", "ti", "tj", "chunk", "counts"])
+
+    def product(key: tuple, table: pa.Table) -> pa.Table:
+        one, two = (marks(pd.Series(table.column(c).to_pylist())) for c in ("a", "b"))
+        return row(key, (one.T @ (two * table.column("weight").to_numpy()[:, None])).ravel())
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        column = table.column("counts").combine_chunks()
+        return row(key, column.flatten().to_numpy().reshape(len(column), -1).sum(axis=0))
+
+    keys = ["family", "ti", "tj", "chunk"]
+    sums = tiles.select(*keys, "weight", part("ti").alias("a"), part("tj").alias("b")).groupBy(*keys).applyInArrow(product, schema)
+    left = chunks.agg(F.max("_chunks")).first()[0] or 1
+    while left > 1:
+        sums = sums.withColumn("chunk", F.floor(F.col("chunk") / SUMMED).cast("long")).groupBy(*keys).applyInArrow(add, schema)
+        left = -(-left // SUMMED)
+    return sums.drop("chunk")
+
+
+def _tile_information(counts: np.ndarray, tile: int, first: int, second: int, total: float, pseudocount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, mutual information) of the pairs i < j of two tiles; a column's own counts are sums over any other's symbols."""
+    k = SYMBOLS
+    # The last tile of a family may be narrower, and never stands first unless both are it.
+    wide = tile if first < second else int(round(np.sqrt(len(counts)) / k))
+    n = counts.reshape(wide, k, -1, k)
+    one, two = n[:, :, 0, :].sum(axis=2), n[0].sum(axis=0)
+    q = (n + pseudocount / (k * k)) / (total + pseudocount)
+    pa, pb = ((x + pseudocount / k) / (total + pseudocount) for x in (one, two))
+    information = (q * np.log(q / (pa[:, :, None, None] * pb[None, None, :, :]))).sum(axis=(1, 3))
+    i, j = np.indices(information.shape)
+    i, j = i + first * tile, j + second * tile
+    use = i < j
+    return i[use], j[use], information[use]
+
+
+def column_information(msa: DataFrame, weights: DataFrame, pseudocount: float = 0.5) -> DataFrame:
+    """family, i, j, mi: weighted mutual information of every two columns i < j, as of `apc_mutual_information`."""
+    kind = {f.name: f.dataType.simpleString() for f in msa.schema}["family"]
+    total = weights.groupBy("family").agg(F.sum("weight").alias("w"))
+    tile = TILE
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        codes = _codes(pdf["aligned"])
-        n, width = codes.shape
-        marks = np.zeros((n, width * SYMBOLS))
-        marks[np.arange(n)[:, None], np.arange(width) * SYMBOLS + codes] = 1
-        both = marks.T @ (marks * pdf["weight"].to_numpy()[:, None])
-        # (i, a, j, b) to a row for each i with (j, a, b).
-        both = both.reshape(width, SYMBOLS, width, SYMBOLS).transpose(0, 2, 1, 3).reshape(width, -1)
-        return pd.DataFrame({"family": [key[0]] * width, "i": range(width), "counts": list(both)})
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ti, tj, w = (batch.column(c)[at].as_py() for c in (1, 2, 4))
+                i, j, mi = _tile_information(batch.column(3)[at].values.to_numpy(), tile, ti, tj, w, pseudocount)
+                family = batch.column(0).take(pa.array(np.full(len(i), at)))
+                yield pa.RecordBatch.from_arrays([family, pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(mi)], names=["family", "i", "j", "mi"])
 
-    parts = rows.groupBy("family", "block").applyInPandas(run, f"family {kind['family']}, i int, counts array<double>")
-    cells = parts.select("family", "i", F.posexplode("counts").alias("place", "n")).groupBy("family", "i", "place").agg(F.sum("n").alias("n"))
-    packed = cells.groupBy("family", "i").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("c"))
-    return packed.select("family", "i", F.transform("c", lambda x: x["n"]).alias("counts"))
+    return tile_counts(msa, weights).join(total, "family").select("family", "ti", "tj", "counts", F.col("w").cast("double").alias("w")).mapInArrow(run, f"family {kind}, i int, j int, mi double")
 
 
 def apc_mutual_information(msa: DataFrame, weights: DataFrame, pseudocount: float = 0.5) -> DataFrame:
@@ -137,22 +191,13 @@ def apc_mutual_information(msa: DataFrame, weights: DataFrame, pseudocount: floa
     over the symbol pairs, and its average-product correction (means over all columns, the zero diagonal included).
 
     All cells of a pair count, those that do not occur with the pseudocount alone. Symbols other than A, C, G and U
-    are one. Columns of a pair have counts of one array; marginals are sums of a column's own.
+    are one. Pairs are worked out by tiles of columns (`tile_counts`), and only their information becomes rows.
     """
-    k = SYMBOLS
-    counts = materialize(pair_counts(msa, weights), "pair_counts")
-    total = weights.groupBy("family").agg(F.sum("weight").alias("w"))
-    own = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda a: F.element_at("counts", F.col("i") * (k * k) + a * (k + 1) + 1))
-    single = counts.join(total, "family").select("family", "i", F.transform(own, lambda n: (n + F.lit(pseudocount / k)) / (F.col("w") + pseudocount)).alias("p"))
-    pairs = counts.join(total, "family").select("family", "i", "w", "counts", F.explode(F.sequence(F.lit(0), (F.size("counts") / (k * k)).cast("int") - 1)).alias("j")).where("i < j")
-    pairs = pairs.select("family", "i", "j", "w", F.slice("counts", F.col("j") * (k * k) + 1, F.lit(k * k)).alias("n"))
-    pairs = pairs.join(single.select("family", "i", F.col("p").alias("pa")), ["family", "i"]).join(single.select("family", F.col("i").alias("j"), F.col("p").alias("pb")), ["family", "j"])
-    q = F.transform("n", lambda n: (n + F.lit(pseudocount / (k * k))) / (F.col("w") + pseudocount))
-    cell = F.transform(q, lambda x, c: x * F.ln(x / (F.element_at("pa", (c / k).cast("int") + 1) * F.element_at("pb", c % k + 1))))
-    mi = materialize(pairs.select("family", "i", "j", F.aggregate(cell, F.lit(0.0), lambda a, x: a + x).alias("mi")), "mi")
+    mi = materialize(column_information(msa, weights, pseudocount), "mi")
     both = mi.unionByName(mi.select("family", F.col("j").alias("i"), F.col("i").alias("j"), "mi"))
-    size = both.groupBy("family").agg((F.max("i") + 1).cast("double").alias("l"), F.sum("mi").alias("s"))
-    means = both.groupBy("family", "i").agg(F.sum("mi").alias("m")).join(size, "family").select("family", "i", (F.col("m") / F.col("l")).alias("m"), (F.col("s") / (F.col("l") * F.col("l"))).alias("all"))
+    per = both.groupBy("family", "i").agg(F.sum("mi").alias("_m"))
+    size = per.groupBy("family").agg((F.max("i") + 1).cast("double").alias("l"), F.sum("_m").alias("s"))
+    means = materialize(per.join(size, "family").select("family", "i", (F.col("_m") / F.col("l")).alias("m"), (F.col("s") / (F.col("l") * F.col("l"))).alias("all")), "means")
     a = means.select("family", "i", F.col("m").alias("mi_i"), "all")
     b = means.select("family", F.col("i").alias("j"), F.col("m").alias("mi_j"))
     return mi.join(a, ["family", "i"]).join(b, ["family", "j"]).select("family", "i", "j", "mi", (F.col("mi") - F.coalesce(F.try_divide(F.col("mi_i") * F.col("mi_j"), F.col("all")), F.lit(0.0))).alias("score"))

@@ -400,3 +400,29 @@ def test_blocks_of_rows_lose_no_pair(spark, monkeypatch):
             expect[q] = (-best[1], pytest.approx(best[0]))
     found = alignment.best_rows(df.withColumnRenamed("row_no", "query"), df, own=True).collect()
     assert {r["query"]: (r.row_no, r.similarity) for r in found} == expect
+
+
+@pytest.mark.parametrize(("tile", "chunk", "summed"), [(48, 8192, 16), (3, 4, 2), (5, 7, 16)])
+def test_information_by_tiles_equals_single_cells(spark, monkeypatch, tile, chunk, summed):
+    for name, value in (("TILE", tile), ("CHUNK_ROWS", chunk), ("SUMMED", summed)):
+        monkeypatch.setattr(alignment, name, value)
+    rnd = random.Random(11)
+    rows = [(f, i, "".join(rnd.choice("ACGU-x") for _ in range(width))) for f, width, n in (("a", 11, 40), ("b", 1, 5), ("c", 6, 9)) for i in range(n)]
+    msa = spark.createDataFrame(rows, "family string, row_no int, aligned string")
+    weights = spark.createDataFrame([(f, i, 0.25 + i % 3) for f, i, _ in rows], "family string, row_no int, weight double")
+    got = {(r.family, r.i, r.j): r.mi for r in alignment.column_information(msa, weights).collect()}
+    code = lambda c: "ACGU".find(c) if c in "ACGU" else 4
+    expect = {}
+    for f, width in (("a", 11), ("c", 6)):
+        mine = [(0.25 + i % 3, [code(c) for c in s]) for g, i, s in rows if g == f]
+        w = sum(x for x, _ in mine)
+        for i in range(width):
+            for j in range(i + 1, width):
+                n, a, b = np.full((5, 5), 0.5 / 25), np.full(5, 0.1), np.full(5, 0.1)
+                for x, s in mine:
+                    n[s[i], s[j]] += x
+                    a[s[i]] += x
+                    b[s[j]] += x
+                n, a, b = n / (w + 0.5), a / (w + 0.5), b / (w + 0.5)
+                expect[f, i, j] = pytest.approx((n * np.log(n / np.outer(a, b))).sum())
+    assert got == expect
