@@ -9,7 +9,7 @@ import zipfile
 import pytest
 
 from strandline.operators import structure
-from strandline.sources import archives, tables, text
+from strandline.sources import archives, tar_source, tables, text
 
 
 def put(path, content):
@@ -224,3 +224,35 @@ def test_sinks(spark, tmp_path):
         from strandline.operators.catalog import upsert_guard
 
         upsert_guard(df.where("id > 99"), "bulk data")
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_archives_as_a_data_source(spark, tmp_path, packed):
+    """Plain and gzipped tars give the same records; one cut anywhere, even between members, is told."""
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w:gz" if packed else "w") as t:
+        for i in range(12):
+            data = b"".join(b">r%d_%d\nACGT\n%s\n" % (i, j, b"GA" * (900 * j)) for j in range(i % 3)) + b">last%d\nUU" % i
+            info = tarfile.TarInfo(f"x/{i}.fa")
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+        folder = tarfile.TarInfo("y")
+        folder.type = tarfile.DIRTYPE
+        t.addfile(folder)
+    whole = raw.getvalue()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "whole.tar").write_bytes(whole)
+    (tmp_path / "in" / "half.tar").write_bytes(whole[: len(whole) // 2])
+    # A plain tar of its first member alone ends at a block, without the zeros that close it.
+    (tmp_path / "in" / "first.tar").write_bytes(whole[:200] if packed else whole[:1024])
+    records, status = tar_source.read_archives(spark, f"{tmp_path}/in/*.tar")
+    told = {r.path.rsplit("/")[-1]: (r.records, r.truncated) for r in status.collect()}
+    expect = [(f"x/{i}.fa", h, s) for i in range(12) for h, s in [*((f"r{i}_{j}", "ACGT" + "GA" * (900 * j)) for j in range(i % 3)), (f"last{i}", "UU")]]
+    assert told["whole.tar"] == (len(expect), False) and told["half.tar"][1] and told["first.tar"][1]
+    got = [tuple(r)[1:] for r in records.where(records.path.endswith("whole.tar")).collect()]
+    assert got == expect
+    half = [tuple(r)[1:] for r in records.where(records.path.endswith("half.tar")).collect()]
+    assert len(half) == told["half.tar"][0] and set(half[:-1]) <= set(expect)
+    one = records.where(records.path == f"{tmp_path}/in/whole.tar")
+    assert one.rdd.getNumPartitions() == 1 and one.count() == len(expect)
+    assert {r.path.rsplit("/")[-1] for r in tar_source.read_archives(spark, str(tmp_path / "in"))[1].collect()} == set(told)
