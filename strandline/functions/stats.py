@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranking import with_average_rank
+from ..operators.ranking import average_ranks, join_ranks
 from ..session import materialize
+from .quantiles import order_statistics
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -17,24 +18,28 @@ def safe_corr(x: Column, y: Column) -> Column:
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
-    """keys, n, spearman: correlation of average ranks over rows with both values; null under `least` rows."""
+    """keys, n, spearman: correlation of average ranks over rows with both values; null under `least` rows.
+
+    Both columns are ranked in one ranged pass; columns of different types are compared as doubles.
+    """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    both = materialize(both.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")), "pairs")
-    ranked = with_average_rank(with_average_rank(both, keys, "_x", "_rx"), keys, "_y", "_ry")
-    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr(F.col("_rx"), F.col("_ry")).alias("_r"))
+    kind = None if df.schema[x].dataType == df.schema[y].dataType else "double"
+    cast = lambda c: F.col(c) if kind is None else F.col(c).cast(kind)
+    both = materialize(both.select(*keys, cast(x).alias("_x"), cast(y).alias("_y")), "pairs")
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("v")) for i, c in enumerate(("_x", "_y"))]))
+    counts = both.select(*keys, sides.alias("_s")).groupBy(*keys, F.col("_s.side").alias("_side"), F.col("_s.v").alias("_v")).agg(F.count("*").alias("_n"))
+    ranks = average_ranks(counts, [*keys, "_side"], "_v", "_rank")
+    ranked = both
+    for i, c in enumerate(("_x", "_y")):
+        one = ranks.where(F.col("_side") == i).select(*keys, F.col("_v").alias(c), F.col("_rank").alias(f"_r{c}"), "_n")
+        ranked = join_ranks(ranked, one, [*keys, c])
+    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr(F.col("_r_x"), F.col("_r_y")).alias("_r"))
     return out.select(*keys, "n", F.when(F.col("n") >= least, F.col("_r")).alias("spearman"))
 
 
 def indexed(df: DataFrame, keys: Sequence[str], value: str, index: Column) -> DataFrame:
-    """keys, value: the element at 0-based `index` (may use _n, the key's row count) in ascending order.
-
-    Equal values are counted first, so that a key with few distinct values stays small.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    up = Window.partitionBy(*keys).orderBy(value)
-    placed = counts.withColumn("_upto", F.sum("_c").over(up)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    at = index.cast("long")
-    return placed.where((at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_c"))).select(*keys, value)
+    """keys, value: the element at 0-based `index` (may use _n, the key's row count) in ascending order; keys of any size."""
+    return order_statistics(df, keys, value, {value: index})
 
 
 def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

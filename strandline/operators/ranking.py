@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
+#: Rows of a value that go to one task at least; rows of a table that goes to every task.
+HOT_ROWS, SMALL_TABLE = 1000, 1_000_000
+
 
 def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The rows, stored, with the number `_p` of the range of (keys, order) they fall in."""
@@ -37,10 +40,29 @@ def places(df: DataFrame, keys: Sequence[str], order: Sequence[Column], place: s
     return r.withColumn("_in", inside).select(*df.columns, (F.col("_before") + F.col("_in")).cast("long").alias(place), *([F.col("_total").alias(total)] if total else []))
 
 
-def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, rank: str) -> DataFrame:
-    """Rows that have the value, with its rank from 1 inside `keys`, ties averaged. Equal values are counted first."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+def average_ranks(counts: DataFrame, keys: Sequence[str], value: str, rank: str) -> DataFrame:
+    """keys, value, rank (from 1 inside `keys`, ties averaged) and _n, stored, of counted distinct values (keys, value, _n)."""
     r = _with_offsets(_ranged(counts, keys, [F.col(value)]), keys, F.col("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*keys, "_p").orderBy(value))
-    r = r.withColumn("_upto", upto).select(*keys, value, (F.col("_before") + F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(rank))
-    return df.join(r, [*keys, value])
+    r = r.withColumn("_upto", upto).select(*keys, value, (F.col("_before") + F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(rank), "_n")
+    return materialize(r, "ranks")
+
+
+def join_ranks(df: DataFrame, ranks: DataFrame, on: Sequence[str]) -> DataFrame:
+    """`df` joined to `average_ranks`' result.
+
+    A value may stand in most rows of a key (a constant score): values of more than a millionth of all rows, of which there are a
+    million at most, go to every task, so no task gets the rows of such a value.
+    """
+    n_values, n_rows = ranks.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if n_values <= SMALL_TABLE:
+        return df.join(F.broadcast(ranks.drop("_n")), on)
+    often = F.col("_n") > max(HOT_ROWS, n_rows // SMALL_TABLE)
+    return df.join(F.broadcast(ranks.where(often).drop("_n")), on).unionByName(df.join(ranks.where(~often).drop("_n"), on))
+
+
+def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, rank: str) -> DataFrame:
+    """Rows that have the value and the keys, with its rank from 1 inside `keys`, ties averaged. Equal values are counted
+    first and ranked by ranges; the ranks then go back to the rows."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    return join_ranks(df, average_ranks(counts, keys, value, rank), [*keys, value])

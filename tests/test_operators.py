@@ -320,7 +320,10 @@ def test_checks_follow_the_rules_of_the_watch(spark):
     assert [(r.latest, r.finding) for r in monitor.worse_than_baseline(df, "m", 0.34).collect()] == [(0.34, "no better than the baseline")]
 
 
-def test_places_and_ranks_of_hot_keys(spark):
+@pytest.mark.parametrize("small", [1_000_000, 20])
+def test_places_and_ranks_of_hot_keys(spark, monkeypatch, small):
+    monkeypatch.setattr(ranking, "SMALL_TABLE", small)
+    monkeypatch.setattr(ranking, "HOT_ROWS", 30)
     rnd = random.Random(3)
     rows = [("hot" if i % 3 else f"k{i % 5}", rnd.choice([1.0, 2.0, 2.5, rnd.random()]), i) for i in range(400)] + [(None, 3.0, 900), (None, 1.0, 901)]
     df = spark.createDataFrame(rows, "k string, v double, i int")
