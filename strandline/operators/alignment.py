@@ -53,28 +53,102 @@ def _cells_of(aligned: str) -> np.ndarray:
     return (np.arange(len(code), dtype=np.int64) << 21) | code
 
 
+def _apart(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """(rows of one, rows of two): how many marks two rows do not share; this obeys the triangle inequality."""
+    return np.array([len(x) for x in one])[:, None] + np.array([len(x) for x in two])[None, :] - 2 * _agreement(one, two)
+
+
+def pivot_blocks(msa: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, pivots), stored: family, row_no, aligned, pivot, part, away, width, the rows by the nearest pivot of their family;
+    and family, block, blocks, aligned, the pivots of the families of more than one block.
+
+    A family has a pivot for each BLOCK_ROWS rows, those of the least hash in their part of it, and each row goes to the pivot
+    from which it is least `away`. A pivot with more rows than a block's has parts.
+    """
+    rows = _blocked(msa.select("family", "row_no", "aligned"), "family", "row_no")
+    alone = rows.where("blocks = 1").select("family", "row_no", "aligned", F.lit(0).alias("pivot"), F.lit(0).cast("long").alias("away"))
+    many = rows.where("blocks > 1")
+    pivots = many.groupBy("family", "block", "blocks").agg(F.min_by("aligned", F.struct(F.xxhash64("row_no", F.lit(1)), "row_no")).alias("aligned"))
+    pivots = materialize(pivots, "pivots")
+    asked = pivots.select("family", F.col("block").alias("pivot"), "aligned", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
+    kind = {f.name: f.dataType.simpleString() for f in msa.schema}
+
+    def nearest(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
+        if not one.num_rows or not two.num_rows:
+            at, away = np.empty(0, np.int64), np.empty(0, np.int64)
+        else:
+            d = _apart(*([_cells_of(x) for x in t.column("aligned").to_pylist()] for t in (one, two)))
+            at, away = d.argmin(axis=1), d.min(axis=1).astype(np.int64)
+        chosen = two.column("pivot").take(pa.array(at)) if len(at) else pa.array([], pa.int32())
+        return pa.table([one.column("family"), one.column("row_no"), one.column("aligned"), chosen, pa.array(away)], names=["family", "row_no", "aligned", "pivot", "away"])
+
+    keys = ["family", "block"]
+    dealt = many.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(nearest, f"family {kind['family']}, row_no {kind['row_no']}, aligned string, pivot int, away long")
+    placed = materialize(alone.unionByName(dealt), "placed")
+    parts = placed.groupBy("family", "pivot").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_parts"))
+    cut = placed.join(parts, ["family", "pivot"]).withColumn("part", F.pmod(F.xxhash64("row_no"), F.col("_parts")).cast("int"))
+    return materialize(cut.select("family", "row_no", "aligned", "pivot", "part", "away", F.length("aligned").alias("width")), "blocks"), pivots
+
+
+def near_blocks(rows: DataFrame, pivots: DataFrame, threshold: float) -> DataFrame:
+    """family, pivot, part, other, other_part: the pairs of blocks that may hold rows as identical as the threshold.
+
+    Rows a and b of two blocks are at least as far apart as their pivots less the blocks' radii; rows that share more than the
+    threshold of a's columns are at most |b| + (1 - 2 * threshold) |a| apart.
+    """
+    sizes = rows.groupBy("family", "pivot", "part").agg(F.max("away").alias("radius"), F.min("width").alias("least"), F.max("width").alias("most"))
+    sizes = materialize(sizes, "radii")
+    whole = sizes.groupBy("family", "pivot").agg(F.max("radius").alias("radius"), F.min("least").alias("least"), F.max("most").alias("most"))
+    named = pivots.select("family", F.col("block").alias("pivot"), "aligned", "blocks").join(whole, ["family", "pivot"])
+    step = named.withColumn("chunk", F.floor(F.col("pivot") / BLOCK_ROWS).cast("int"))
+    other = step.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / BLOCK_ROWS).cast("int"))))
+    other = other.select(*[F.col(c).alias(c) for c in other.columns])
+    kind = rows.schema["family"].dataType.simpleString()
+
+    def near(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
+        i = j = np.empty(0, np.int64)
+        if one.num_rows and two.num_rows:
+            d = _apart(*([_cells_of(x) for x in t.column("aligned").to_pylist()] for t in (one, two)))
+            of = lambda t, c: t.column(c).to_numpy()
+            slope = 1 - 2 * threshold
+            most = of(two, "most")[None, :] + slope * of(one, "most" if slope > 0 else "least")[:, None]
+            i, j = np.nonzero(d - of(one, "radius")[:, None] - of(two, "radius")[None, :] <= most + 1e-9)
+        take = lambda t, c, at: t.column(c).take(pa.array(at))
+        return pa.table([take(one, "family", i), take(one, "pivot", i), take(two, "pivot", j)], names=["family", "pivot", "other"])
+
+    keys = ["family", "chunk"]
+    pairs = step.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInArrow(near, f"family {kind}, pivot int, other int")
+    single = whole.join(pivots.select("family").distinct(), "family", "left_anti").select("family", "pivot", F.col("pivot").alias("other"))
+    pairs = materialize(pairs.unionByName(single), "near")
+    left = sizes.select("family", "pivot", "part")
+    right = sizes.select("family", F.col("pivot").alias("other"), F.col("part").alias("other_part"))
+    return materialize(pairs.join(left, ["family", "pivot"]).join(right, ["family", "other"]), "block_pairs")
+
+
 def row_weights(msa: DataFrame, threshold: float = 0.8, strict: bool = True) -> DataFrame:
     """family, row_no, weight: one over the number of rows of the family, itself included, that are more (or as much,
     not strict) identical than the threshold; identity is the share of columns in which two rows agree.
 
-    A family is dealt into blocks, and each two blocks meet in a task as matrices of cells, so no pair of rows
-    is a row of a table, and a family of any size is the work of many tasks.
+    A family's rows lie in blocks about pivots, and every two blocks that may hold such rows (`near_blocks`) meet in a task
+    as matrices of cells, so no pair of rows is a row of a table, and a family of any size is the work of many tasks.
     """
-    rows = _blocked(msa.select("family", "row_no", "aligned"), "family", "row_no")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.withColumn("other", other).select("family", "block", "other", "row_no", "aligned")
-    right = rows.withColumn("_o", other).select("family", F.col("_o").alias("block"), F.col("block").alias("other"), "aligned")
+    rows, pivots = pivot_blocks(msa)
+    pairs = near_blocks(rows, pivots, threshold)
+    left = rows.join(pairs, ["family", "pivot", "part"]).select("family", "pivot", "part", "other", "other_part", "row_no", "aligned")
+    meets = pairs.select("family", F.col("pivot").alias("_p"), F.col("part").alias("_q"), F.col("other").alias("pivot"), F.col("other_part").alias("part"))
+    right = rows.join(meets, ["family", "pivot", "part"]).select("family", F.col("_p").alias("pivot"), F.col("_q").alias("part"), F.col("pivot").alias("other"), F.col("part").alias("other_part"), "aligned")
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
     kind = {f.name: f.dataType.simpleString() for f in msa.schema}
 
-    def run(key, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        width = one["aligned"].str.len().to_numpy()
-        share = _agreement([_cells_of(x) for x in one["aligned"]], [_cells_of(x) for x in two["aligned"]]) / np.maximum(width, 1)[:, None]
+    def run(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
+        a, b = ([_cells_of(x) for x in t.column("aligned").to_pylist()] for t in (one, two))
+        share = _agreement(a, b) / np.maximum([len(x) for x in a], 1)[:, None] if a and b else np.zeros((len(a), len(b)))
         near = share > threshold if strict else share >= threshold
-        return pd.DataFrame({"family": [key[0]] * len(one), "row_no": one["row_no"], "n": near.sum(axis=1)})
+        return pa.table([one.column("family"), one.column("row_no"), pa.array(near.sum(axis=1).astype(np.int64))], names=["family", "row_no", "n"])
 
-    keys = ["family", "block", "other"]
-    counts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"family {kind['family']}, row_no {kind['row_no']}, n long")
+    keys = ["family", "pivot", "part", "other", "other_part"]
+    counts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"family {kind['family']}, row_no {kind['row_no']}, n long")
     return counts.groupBy("family", "row_no").agg((1.0 / F.sum("n")).alias("weight"))
 
 

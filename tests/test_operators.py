@@ -393,6 +393,16 @@ def test_blocks_of_rows_lose_no_pair(spark, monkeypatch):
     got = {r.row_no: r.weight for r in alignment.row_weights(msa, 0.5).collect()}
     same = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / 20
     assert got == {i: pytest.approx(1 / sum(f == g and same(a, b) > 0.5 for g, _, b in rows)) for f, i, a in rows}
+    # Three bundles of like rows far from each other: most blocks never meet, and no neighbour is lost.
+    bundles = [("f", i, "".join(rnd.choice("ACGU") if rnd.random() < 0.05 else "ACG"[i % 3] for _ in range(40))) for i in range(90)]
+    msa = spark.createDataFrame(bundles, "family string, row_no long, aligned string")
+    for threshold, strict in ((0.8, True), (0.95, False)):
+        got = {r.row_no: r.weight for r in alignment.row_weights(msa, threshold, strict).collect()}
+        same = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / 40
+        assert got == {i: pytest.approx(1 / sum(same(a, b) > threshold or (not strict and same(a, b) == threshold) for _, _, b in bundles)) for _, i, a in bundles}
+    placed, pivots = alignment.pivot_blocks(msa)
+    blocks = placed.select("pivot", "part").distinct().count()
+    assert alignment.near_blocks(placed, pivots, 0.8).count() < 0.5 * blocks**2
     seqs = [(i, f"f{i % 2}", "".join(rnd.choices("ACGU", k=rnd.randint(3, 60)))) for i in range(50)] + [(50, "f0", "ACGUACGUAC" * 3), (52, "f0", "ACGUACGUAC" * 3), (54, "f0", "")]
     df = spark.createDataFrame(seqs, "row_no long, family string, sequence string")
     sets = {i: {s[k : k + 5] for k in range(len(s) - 4)} for i, _, s in seqs}
