@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .ranking import places
 
 #: Symbols of an aligned column.
 SYMBOLS = 5
@@ -302,14 +303,31 @@ def kmer_hashes(sequence: str, k: int) -> np.ndarray:
     return np.unique(x.view(np.int64))
 
 
+def sized_blocks(df: DataFrame, ident: str) -> DataFrame:
+    """The rows, stored, with `block`: rows of a family in the order of their sets' sizes, BLOCK_ROWS to a block."""
+    placed = places(df.withColumn("_size", F.size("marks")), ["family"], [F.col("_size"), F.col(ident)], "_place", total="")
+    return materialize(placed.withColumn("block", F.floor(F.col("_place") / BLOCK_ROWS).cast("int")).drop("_place"), "sized")
+
+
+def block_bounds(queries: DataFrame, rows: DataFrame, ratio: float, least: float) -> DataFrame:
+    """family, block, other, bound: pairs of blocks of queries and rows that may hold a row for a query, and what no Jaccard
+    similarity between them exceeds: the smaller set's size over the larger one's."""
+    ends = lambda df, p: df.groupBy("family", F.col("block").alias(f"{p}block")).agg(*[f(c).alias(f"{p}{n}{c[-4:]}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("_size", "length")])
+    pairs = ends(queries, "q").join(ends(rows, "r"), "family")
+    bound = F.when(F.col("qhisize") < F.col("rlosize"), F.col("qhisize") / F.col("rlosize")).when(F.col("rhisize") < F.col("qlosize"), F.col("rhisize") / F.col("qlosize")).otherwise(F.lit(1.0))
+    near = (F.col("qhingth") >= ratio * F.col("rlongth")) & (F.col("rhingth") >= ratio * F.col("qlongth"))
+    return materialize(pairs.where(near).select("family", F.col("qblock").alias("block"), F.col("rblock").alias("other"), bound.alias("bound")).where(F.col("bound") >= least), "bounds")
+
+
 def best_rows(queries: DataFrame, rows: DataFrame, k: int = 5, ratio: float = 0.5, least: float = 0.10, own: bool = False) -> DataFrame:
     """query, family, row_no, similarity: each query's row of each family with the highest Jaccard similarity of k-mer
     sets, among rows whose length is within the ratio; ties to the first row, none under `least`. With `own`, queries
     are rows too, and none is its own answer.
 
-    Rows are stored once as sets of k-mer hashes. A family's rows and its queries are dealt into blocks, and every two
-    blocks meet in a task of their own, which keeps one row for each query. Nothing is joined on a k-mer, of which there
-    are so few that almost all rows share them.
+    Rows are stored once as sets of k-mer hashes, in blocks of sets of like sizes. Blocks of queries first meet the blocks of rows
+    whose sizes overlap theirs; then only those whose bound on the similarity reaches the least best of the queries so far.
+    Every two blocks meet in a task of their own, which keeps one row for each query. Nothing is joined on a k-mer, of
+    which there are so few that almost all rows share them.
     """
     @F.pandas_udf("array<long>")
     def hashes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -317,13 +335,9 @@ def best_rows(queries: DataFrame, rows: DataFrame, k: int = 5, ratio: float = 0.
             yield p.map(lambda x: kmer_hashes(x or "", k))
 
     def sets(df: DataFrame, ident: str, label: str) -> DataFrame:
-        return _blocked(materialize(df.select("family", ident, F.length("sequence").alias("length"), hashes("sequence").alias("marks")), label), "family", ident)
+        return sized_blocks(materialize(df.select("family", ident, F.length("sequence").alias("length"), hashes("sequence").alias("marks")), label).where(F.size("marks") > 0), ident)
 
     q, r = sets(queries, "query", "query_sets"), sets(rows, "row_no", "row_sets")
-    n_q, n_r = (s.groupBy("family").agg(F.max("blocks").alias(n)) for s, n in ((q, "_q"), (r, "_r")))
-    left = q.join(n_r, "family").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_r") - 1))).select("family", "block", "other", "query", "length", "marks")
-    right = r.join(n_q, "family").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_q") - 1))).select("family", F.col("_b").alias("block"), F.col("block").alias("other"), "row_no", "length", "marks")
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *rows.schema]}
 
     def run(key, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
@@ -343,8 +357,19 @@ def best_rows(queries: DataFrame, rows: DataFrame, k: int = 5, ratio: float = 0.
         out["row_no"], out["similarity"] = two["row_no"].to_numpy()[best], similarity[np.arange(len(one)), best]
         return out[out["similarity"] >= least]
 
-    keys = ["family", "block", "other"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"query {kind['query']}, family {kind['family']}, row_no {kind['row_no']}, similarity double")
+    def met(pairs: DataFrame, label: str) -> DataFrame:
+        left = q.join(pairs.select("family", "block", "other"), ["family", "block"]).select("family", "block", "other", "query", "length", "marks")
+        right = r.withColumnRenamed("block", "other").join(pairs.select("family", "block", "other"), ["family", "other"]).select("family", "block", "other", "row_no", "length", "marks")
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])
+        keys = ["family", "block", "other"]
+        return materialize(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"query {kind['query']}, family {kind['family']}, row_no {kind['row_no']}, similarity double"), label)
+
+    pairs = block_bounds(q, r, ratio, least)
+    first = met(pairs.where("bound = 1"), "first_rows")
+    # The worst of a block's queries so far, 0 if one has none, says which further blocks may still matter.
+    so_far = first.groupBy("family", "query").agg(F.max("similarity").alias("_s"))
+    worst = q.join(so_far, ["family", "query"], "left").groupBy("family", "block").agg(F.min(F.coalesce("_s", F.lit(0.0))).alias("_worst"))
+    found = first.unionByName(met(pairs.where("bound < 1").join(worst, ["family", "block"]).where(F.col("bound") >= F.col("_worst")), "more_rows"))
     top = F.max_by(F.struct("row_no", "similarity"), F.struct("similarity", (-F.col("row_no")).alias("n")))
     return found.groupBy("query", "family").agg(top.alias("t")).select("query", "family", "t.row_no", "t.similarity")
 

@@ -411,7 +411,12 @@ def test_blocks_of_rows_lose_no_pair(spark, monkeypatch):
         best = max(((len(sets[q] & sets[r]) / len(sets[q] | sets[r]), -r) for r, g, t in seqs if g == f and r != q and sets[q] | sets[r] and min(len(s), len(t)) >= 0.5 * max(len(s), len(t))), default=(0, 0))
         if best[0] >= 0.1:
             expect[q] = (-best[1], pytest.approx(best[0]))
+    bounds = alignment.block_bounds
+    counted = []
+    monkeypatch.setattr(alignment, "block_bounds", lambda *a: counted.append(bounds(*a)) or counted[-1])
     found = alignment.best_rows(df.withColumnRenamed("row_no", "query"), df, own=True).collect()
+    # Sets of far-apart sizes never meet.
+    assert 0 < counted[0].where("bound = 1").count() < counted[0].count() < 32
     assert {r["query"]: (r.row_no, r.similarity) for r in found} == expect
 
 
