@@ -40,7 +40,7 @@ def _share(v: Column, lo: Column, hi: Column) -> Column:
 def _by_lists(rows: DataFrame, keys: list[str], names: Sequence[str], n: int) -> DataFrame:
     """Keys with _at0, ... places: the values there, by a sorted list of the key's."""
     lists = rows.groupBy(*keys, *[f"_at{i}" for i in range(n)]).agg(F.array_sort(F.collect_list("_v")).alias("_s"))
-    return lists.select(*keys, *[F.get("_s", F.col(f"_at{i}").cast("int")).alias(name) for i, name in enumerate(names)])
+    return lists.select(*keys, *[F.get("_s", F.col(f"_at{i}").cast("int")).alias(name) for i, name in enumerate(names)], F.size("_s").cast("long").alias("_n"))
 
 
 def _by_ranges(rows: DataFrame, hot: DataFrame, keys: list[str], names: Sequence[str]) -> DataFrame:
@@ -53,7 +53,7 @@ def _by_ranges(rows: DataFrame, hot: DataFrame, keys: list[str], names: Sequence
     n, count = len(keys), range(len(keys))
     other = [F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)]
     wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), F.col(f"_at{i}").alias("at")) for i in range(len(names))]))
-    open_ = hot.withColumn("_w", wanted).where("_w.at >= 0 AND _w.at < _n").select(*keys, "_w.q", "_w.at", F.col("_least").alias("lo"), F.col("_most").alias("hi"), F.lit(0).cast("long").alias("before"))
+    open_ = hot.withColumn("_w", wanted).where("_w.at >= 0 AND _w.at < _n").select(*keys, "_w.q", "_w.at", F.col("_least").alias("lo"), F.col("_most").alias("hi"), F.lit(0).cast("long").alias("before"), "_n")
     open_ = materialize(open_, "ranges")
     found = open_.where("lo = hi")
     while not (left := open_.where("lo < hi")).isEmpty():
@@ -65,10 +65,10 @@ def _by_ranges(rows: DataFrame, hot: DataFrame, keys: list[str], names: Sequence
         counts = counts.withColumn("upto", upto).withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
         at = F.col("at") - F.col("before")
         holds = _same(n, "_k", "_o") & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi")) & (at < F.col("upto")) & (at >= F.col("upto") - F.col("n"))
-        step = left.join(counts, holds).select(*keys, "q", "at", F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("before") + F.col("upto") - F.col("n")).alias("before"))
+        step = left.join(counts, holds).select(*keys, "q", "at", F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("before") + F.col("upto") - F.col("n")).alias("before"), "_n")
         open_ = materialize(step, "ranges")
         found = found.unionByName(open_.where("lo = hi"))
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == i, F.col("lo"))).alias(name) for i, name in enumerate(names)])
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == i, F.col("lo"))).alias(name) for i, name in enumerate(names)], F.max("_n").alias("_n"))
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, places: Mapping[str, Column]) -> DataFrame:
@@ -77,6 +77,11 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, places: Map
     A place may use `_n`, the key's number of values; one beyond them gives null. Null and not finite values are left out, and
     keys without others have no row; a null key is a key. Without keys there is one row, or none for an empty table.
     """
+    return _with_counts(df, keys, value, places).drop("_n")
+
+
+def _with_counts(df: DataFrame, keys: Sequence[str], value: str, places: Mapping[str, Column]) -> DataFrame:
+    """`order_statistics` with _n, the key's number of values."""
     own, count, names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], range(len(keys)), list(places)
     v = F.col(value)
     finite = v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf"))
@@ -89,7 +94,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, places: Map
     hot = sizes.where(F.col("_n") > LIST_ROWS)
     if not hot.isEmpty():
         found = found.unionByName(_by_ranges(rows, hot, inner, names))
-    return found.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *names)
+    return found.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *names, "_n")
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float], how: str = "linear") -> DataFrame:
@@ -104,15 +109,18 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[
         for name, p in shares.items():
             at = (n - 1) * F.lit(float(p))
             places |= {f"_lo_{name}": F.floor(at), f"_hi_{name}": F.ceil(at)}
-        both = order_statistics(df.select(*keys, value), keys, value, places)
-        sizes = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value).cast("double")) < float("inf"))).groupBy(*keys).agg(F.count("*").alias("_n"))
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(f"_s_{k}").eqNullSafe(F.col(k))
-        joined = both.join(sizes.withColumnsRenamed({k: f"_s_{k}" for k in keys}), same)
+        both = _with_counts(df, keys, value, places)
         part = lambda p: (n - 1) * F.lit(float(p)) - F.floor((n - 1) * F.lit(float(p)))
         low = lambda name: F.col(f"_lo_{name}").cast("double")
-        return joined.select(*keys, *[(low(name) + (F.col(f"_hi_{name}").cast("double") - low(name)) * part(p)).alias(name) for name, p in shares.items()])
+        return both.select(*keys, *[(low(name) + (F.col(f"_hi_{name}").cast("double") - low(name)) * part(p)).alias(name) for name, p in shares.items()])
     at = {"nearest": lambda p: F.least(n - 1, F.floor(n * F.lit(float(p)))), "rounded": lambda p: F.rint((n - 1) * F.lit(float(p)))}[how]
     found = order_statistics(df, keys, value, {name: at(p) for name, p in shares.items()})
     return found.select(*keys, *[F.col(name).cast("double").alias(name) for name in shares])
+
+
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys that may be null, without the right side's copies of them."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(right.withColumnsRenamed({k: f"_r_{k}" for k in keys}), same, "left").drop(*[f"_r_{k}" for k in keys])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.quantiles import joined, percentiles
 from .boards import verdict_of
 from .ranking import places
 
@@ -55,7 +56,10 @@ def field_summary(field: DataFrame, ours: DataFrame) -> DataFrame:
 
 
 def field_report(field: DataFrame, solved: float = 0.45) -> DataFrame:
-    t = field.groupBy("target").agg(F.max("tm").alias("b"), F.median("tm").alias("m"))
+    """targets, mean_best, mean_median, solved: over targets, the mean of the best and of the median TM, and on how many the best
+    reaches `solved`."""
+    best = field.groupBy("target").agg(F.max("tm").alias("b"))
+    t = joined(best, percentiles(field, ["target"], "tm", {"m": 0.5}), ["target"])
     return t.agg(F.count("*").alias("targets"), F.avg("b").alias("mean_best"), F.avg("m").alias("mean_median"), F.count_if(F.col("b") >= solved).alias("solved"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.quantiles import joined, percentiles
 from .ranking import places
 
 
@@ -85,7 +86,9 @@ def unobserved(modelled: DataFrame, missing: DataFrame) -> DataFrame:
 def geometry_gate(df: DataFrame, value: str, ideal: float, tolerance: float, most_sd: float, coords: Sequence[str], furthest: float = 256.0, fail: bool = False) -> DataFrame:
     """n, median, sd (from the quartiles), far (greatest coordinate), ok; raises when asked to and it is not."""
     far = F.greatest(*[F.max(F.abs(c)) for c in coords])
-    g = df.agg(F.count(value).alias("n"), F.median(value).alias("median"), ((F.percentile(value, 0.75) - F.percentile(value, 0.25)) / 1.349).alias("sd"), far.alias("far"))
+    middle = percentiles(df, [], value, {"median": 0.5, "_low": 0.25, "_high": 0.75})
+    g = joined(df.agg(F.count(value).alias("n"), far.alias("far")), middle, [])
+    g = g.select("n", "median", ((F.col("_high") - F.col("_low")) / 1.349).alias("sd"), "far")
     g = g.withColumn("ok", (F.abs(F.col("median") - ideal) <= tolerance) & (F.col("sd") <= most_sd) & (F.col("far") <= furthest))
     if fail and not g.first().ok:
         raise ValueError(f"geometry out of bounds: {g.first().asDict()}")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mutations as M
 from ..functions import stats
+from ..functions.quantiles import joined, percentiles
 from .ranking import with_average_rank
 
 
@@ -61,14 +62,16 @@ def rank_normal(df: DataFrame, score: str = "dms_score") -> DataFrame:
 
 
 def per_assay_summary(df: DataFrame) -> DataFrame:
-    return df.groupBy("assay").agg(
+    """assay, n, source (of the first row), length, least, median and greatest score."""
+    sums = df.groupBy("assay").agg(
         F.count("*").alias("n"),
         F.min_by("source", F.struct("k1", "k2")).alias("source"),
         F.max(F.length("wt")).alias("length"),
         F.min("dms_score").alias("least"),
-        F.median("dms_score").alias("median"),
         F.max("dms_score").alias("greatest"),
     )
+    middle = percentiles(df, ["assay"], "dms_score", {"median": 0.5})
+    return joined(sums, middle, ["assay"]).select("assay", "n", "source", "length", "least", "median", "greatest")
 
 
 def depth_baseline(df: DataFrame) -> DataFrame:
@@ -80,7 +83,7 @@ def depth_baseline(df: DataFrame) -> DataFrame:
 def auc_mcc(df: DataFrame, score: str) -> DataFrame:
     """assay, auc, mcc of `score` against labels 'above the assay's median': AUC by rank sums, the better side of 1/2;
     MCC of 'score above its median', unsigned. Null where one class is empty."""
-    medians = df.groupBy("assay").agg(F.median("dms_score").alias("_my"), F.median(score).alias("_ms"))
+    medians = percentiles(df, ["assay"], "dms_score", {"_my": 0.5}).join(percentiles(df, ["assay"], score, {"_ms": 0.5}), "assay", "left")
     j = df.join(medians, "assay").withColumn("_y", F.col("dms_score") > F.col("_my")).withColumn("_s", F.col(score) > F.col("_ms"))
     r = with_average_rank(j, ["assay"], score, "_r")
     c = lambda a, b: F.count_if(a & b).cast("double")

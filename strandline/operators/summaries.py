@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import percentiles
+from ..functions.quantiles import joined, percentiles
 from ..session import materialize
 
 
@@ -19,14 +19,6 @@ def band(value: Column, edges: Sequence[float]) -> Column:
     return out
 
 
-def _matching(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on keys that may be null, without the right side's copies of them."""
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(right.withColumnsRenamed({k: f"_r_{k}" for k in keys}), same, "left").drop(*[f"_r_{k}" for k in keys])
-
-
 def each_and_all(df: DataFrame, keys: Sequence[str], bin_: str, aggregates: Sequence[Column], shares: Mapping[str, Mapping[str, float]], how: str = "linear") -> DataFrame:
     """Rows per (keys, bin) and per keys with bin 'all': `aggregates`, and for each value of `shares` its percentiles.
 
@@ -40,7 +32,7 @@ def each_and_all(df: DataFrame, keys: Sequence[str], bin_: str, aggregates: Sequ
     for value, wanted in shares.items():
         inside = percentiles(df.where(F.col(bin_).isNotNull()), [*keys, bin_], value, wanted, how)
         every = percentiles(df, keys, value, wanted, how).withColumn(bin_, F.lit("all"))
-        out = _matching(out, inside.unionByName(every), [*keys, bin_])
+        out = joined(out, inside.unionByName(every), [*keys, bin_])
     return out
 
 
@@ -66,7 +58,7 @@ def block_summary(blocks: DataFrame, edges: Sequence[int], limit: float = 20.0,
     order = [F.desc("effective_c"), F.col("entry")]
     inside = top_rows(binned.where("bin IS NOT NULL"), ["b", "bin"], order, worst, F.col("entry"), "worst")
     every = top_rows(binned, ["b"], order, worst, F.col("entry"), "worst").withColumn("bin", F.lit("all"))
-    out = _matching(out, inside.unionByName(every), ["b", "bin"])
+    out = joined(out, inside.unionByName(every), ["b", "bin"])
     return out.withColumn("over_share", F.col("over") / F.col("n"))
 
 
@@ -80,7 +72,7 @@ def contact_summary(chains: DataFrame, edges: Sequence[int]) -> DataFrame:
     shares = {"length": {"median_length": 0.5}, "per_nt": {"median_per_nt": 0.5, "p99_per_nt": 0.99, "p999_per_nt": 0.999}, "density": {"median_density": 0.5}}
     out = each_and_all(binned, [], "bin", sums, shares)
     near = each_and_all(binned, [], "bin", [F.count("*").alias("_n")], {"per_nt": {"p95_per_nt": 0.95}}, "nearest").drop("_n")
-    return _matching(out, near, ["bin"])
+    return joined(out, near, ["bin"])
 
 
 def separation_summary(chains: DataFrame, edges: Sequence[int], bands: Sequence[int]) -> DataFrame:
