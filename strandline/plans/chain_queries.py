@@ -204,11 +204,11 @@ def label_functions(spark, d):
     )
 
 
-_L = C.bjerrum_length() / 2.8
-
-
-@query(f"SELECT valence, round({_L!r}, 6) AS xi, round(greatest(0, (1 - 1 / (valence * {_L!r})) / valence), 6) AS theta, round(1 - valence * greatest(0, (1 - 1 / (valence * {_L!r})) / valence), 6) AS q_eff FROM (SELECT DISTINCT 1 + l_linenumber % 3 AS valence FROM lineitem)")
+@query("""WITH x AS (SELECT l_partkey % 50 AS construct, 1 + l_linenumber % 3 AS v, 1.602176634e-19 * 1.602176634e-19 / (4 * pi() * 8.8541878128e-12 * 78.4 * 1.380649e-23 * 298.15) * 1e10 / 2.8 AS xi FROM lineitem),
+  t AS (SELECT *, greatest(0, (1 - 1 / (v * xi)) / v) AS theta FROM x)
+  SELECT construct, count(*) AS n, round(any_value(xi), 6) AS xi, round(avg(theta), 6) AS theta, round(avg(1 - v * theta), 6) AS q_eff FROM t GROUP BY construct""")
 def manning_terms(spark, d):
-    v = read_table(spark, d, "lineitem").select((1 + F.col("l_linenumber") % 3).alias("valence")).distinct()
+    """Mean condensed share and effective charge of each construct's ions, whose valence changes from row to row."""
+    v = read_table(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("construct"), (1 + F.col("l_linenumber") % 3).alias("valence"))
     m = v.withColumn("m", C.manning_terms(F.col("valence")))
-    return m.select("valence", *[F.round(F.col(f"m.{c}"), 6).alias(c) for c in ("xi", "theta", "q_eff")])
+    return m.groupBy("construct").agg(F.count("*").alias("n"), F.round(F.max("m.xi"), 6).alias("xi"), F.round(F.avg("m.theta"), 6).alias("theta"), F.round(F.avg("m.q_eff"), 6).alias("q_eff"))

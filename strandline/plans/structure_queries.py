@@ -222,7 +222,7 @@ def dot_bracket_pairs(spark, d):
 # --- kernels and chemistry
 
 def _pair_score(a: str, b: str) -> str:
-    return "CASE " + " ".join(f"WHEN {a} || {b} = '{k}' THEN {v}" for k, v in kernels.PAIR_SCORES.items()) + " ELSE 0 END"
+    return f"CASE WHEN {a} || {b} IN ('GC', 'CG') THEN 3.0 WHEN {a} || {b} IN ('AU', 'UA') THEN 2.0 WHEN {a} || {b} IN ('GU', 'UG') THEN 0.8 ELSE 0 END"
 
 
 @query(f"""WITH b AS (SELECT entry, idx, base, lead(base) OVER w AS nxt, lag(base) OVER w AS prv FROM ({BASED}) WINDOW w AS (PARTITION BY entry ORDER BY idx)), l AS (SELECT entry, count(*) AS l FROM b GROUP BY entry),
