@@ -104,7 +104,7 @@ def test_packing(inputs):
 
 def test_run_and_registration(spark, inputs):
     assert corpus_pipeline.run(spark, SF).count() == inputs["result"].count()
-    assert [k.split("_")[0] for k in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.queries()] == [f"op{i}" for i in range(1, 14)]
 
 
 NAMES = "doc_id long, text string, lang string, source string, n_chars long, _id string, _hash int, _repeats int, n_removed int, n_lines string, node long, key string, size int, score double, _text string, _d int, c0 string, _copies int, reason string"
