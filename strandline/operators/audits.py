@@ -128,4 +128,6 @@ def rising_counter(df: DataFrame, value: str, as_of: Column, minutes: int = 30)
     two = df.withColumn("_r", F.row_number().over(w)).where("_r <= 2")
     at = lambda r, c: F.max(F.when(F.col("_r") == r, F.col(c)))
     t = two.groupBy("run_id", "stage").agg(at(1, value).alias("_a"), at(2, value).alias("_b"), at(1, "ts").alias("_ts"))
-    return t.select("run_id", "stage", F.coalesce(F.col("_a") > F.col("_b"), F.lit(False)).alias("rising"), (F.unix_timestamp(as_of) - F.unix_timestamp("_ts") < minutes * 60).alias("live"))
+    # Whole seconds would put a row up to one second beside the limit on its wrong side.
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return t.select("run_id", "stage", F.coalesce(F.col("_a") > F.col("_b"), F.lit(False)).alias("rising"), (micros(as_of) - micros(F.col("_ts")) < minutes * 60_000_000).alias("live"))
