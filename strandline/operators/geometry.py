@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import percentiles
 from ..session import materialize
-from .structure import cell_join, dihedral
+from .structure import dihedral, kept_by_residue
 
 POINTS = {"p": ("px", "py", "pz"), "c": ("cx", "cy", "cz"), "n": ("nx", "ny", "nz")}
 #: Least and greatest median, and greatest spread, of bonds of deposited chains.
@@ -81,10 +81,6 @@ def bond_bands(backbone: DataFrame, bands: Mapping[str, tuple[float, float, floa
 def residue_lddt(reference: DataFrame, model: DataFrame, radius: float = 15.0, apart: int = 0) -> DataFrame:
     """entry, idx, pairs, lddt of each reference residue in the model: over the residues closer than the radius and further than
     `apart` along the chain, the mean share of distances kept to 0.5, 1, 2 and 4; null (0 pairs) without such residues."""
-    both = reference.select("entry", "idx", "x", "y", "z").join(model.select("entry", "idx", *[F.col(c).alias(f"m{c}") for c in "xyz"]), ["entry", "idx"])
-    both = materialize(both, "models")
-    near = cell_join(both, both, "entry", radius).where((F.abs(F.col("r_idx") - F.col("idx")) > apart) & (F.col("dist2") < radius * radius))
-    off = F.abs(F.sqrt("dist2") - _apart([F.col(f"m{c}") for c in "xyz"], [F.col(f"r_m{c}") for c in "xyz"]))
-    kept = sum(((off < t).cast("double") for t in (0.5, 1.0, 2.0, 4.0)), F.lit(0.0)) / 4
-    found = near.groupBy("entry", "idx").agg(F.count("*").alias("_n"), F.avg(kept).alias("lddt"))
-    return both.select("entry", "idx").join(found, ["entry", "idx"], "left").select("entry", "idx", F.coalesce("_n", F.lit(0)).alias("pairs"), "lddt")
+    found = kept_by_residue(reference, model, radius, apart).groupBy("entry", "idx").agg(F.sum("n").alias("_n"), (F.sum("kept") / 4 / F.sum("n")).alias("lddt"))
+    both = reference.select("entry", "idx").join(model.select("entry", "idx"), ["entry", "idx"])
+    return both.join(found, ["entry", "idx"], "left").select("entry", "idx", F.coalesce("_n", F.lit(0)).alias("pairs"), "lddt")

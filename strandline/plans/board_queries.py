@@ -132,7 +132,7 @@ def bond_bands(spark, d):
   SELECT c.entry, c.idx, coalesce(pairs, 0) AS pairs, round(lddt, 8) AS lddt FROM ({X.CENTRE}) c LEFT JOIN s ON s.entry = c.entry AND s.idx = c.idx""")
 def residue_lddt(spark, d):
     c = X.centre(spark, d)
-    m = c.select("entry", "idx", (F.col("x") + F.col("idx") % 3 * F.lit(0.4)).alias("x"), "y", (F.col("z") - F.col("idx") % 5 * F.lit(0.3)).alias("z"))
+    m = c.select("entry", "idx", (F.col("x") + F.col("idx") % 3 * F.lit(0.4)).alias("x"), "y", (F.col("z") - F.col("idx") % 5 * 3 / 10).alias("z"))
     return rounded(geometry.residue_lddt(c, m, 15.0, 2))
 
 
