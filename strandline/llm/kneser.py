@@ -16,6 +16,8 @@ START, END = np.int64(-3), np.int64(-5)
 BLOCK = 1 << 18
 #: Leading digits of the order's hashes by which trusted ids are counted: 16^3 cuts a language.
 CUT_DIGITS = 3
+#: Stands for a bound that is not given beside one that is.
+UNBOUNDED = 1 << 60
 #: Ids and numbers that are few enough to be sent to every task.
 SMALL_TABLE = 1_000_000
 #: Powers of two: slots of n-grams that every task knows, and bits of the filter of all others (with its two probes).
@@ -35,14 +37,18 @@ def _key(salt, *words) -> np.ndarray:
     return x
 
 
-def trusted_sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_words: int) -> tuple[DataFrame, DataFrame]:
-    """(trusted ids, training texts): labelled good and not toxic; of those, per language, the first
-    `max_docs` by md5 of the id. They fill `max_words` words in that order, texts that are longer than this by
-    themselves last; `take` says how many words of a text are used (all but in the last text that fits in part).
-    Every fifth trusted document (crc32 of the id) is kept from training, to set the threshold by."""
+def trusted_sample(docs: DataFrame, labels: DataFrame, max_docs: int | None, max_words: int | None) -> tuple[DataFrame, DataFrame]:
+    """(trusted ids, training texts): labelled good and not toxic; all of them, but that every fifth (crc32 of the id) is kept
+    from training, to set the threshold by. If bounds are given, per language the first `max_docs` of these by md5 of
+    the id. They fill `max_words` words in that order, texts that are longer than this by themselves last; `take` says how
+    many words of a text are used (all but in the last text that fits in part)."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where((F.col("q") == 1) & (F.coalesce("t", F.lit(0)) == 0)).select("doc_id")
     place = F.md5(F.col("doc_id").cast("string"))
     for_training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    if max_docs is None and max_words is None:
+        ids = materialize(good.where(for_training), "chosen")
+        return good, docs.join(F.broadcast(ids) if ids.count() <= SMALL_TABLE else ids, "doc_id", "left_semi").select("doc_id", "lang", "text")
+    max_docs, max_words = max_docs or UNBOUNDED, max_words or UNBOUNDED
     chosen = docs.select("doc_id", "lang").join(good.where(for_training), "doc_id").withColumn("place", place).withColumn("cut", F.substring("place", 1, CUT_DIGITS))
     # The counts of the order's cuts tell in which of them the first of a language end, so that no task sorts a whole language.
     earlier = F.coalesce(F.sum("c").over(Window.partitionBy("_lang").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -219,11 +225,11 @@ def perplexities(docs: DataFrame, model: dict) -> DataFrame:
     return out.select("doc_id", "lang", "n_tokens", perplexity.alias("perplexity"))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_words: int = 500_000, quantile: float = 0.99, slack: float = 1.1) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, max_docs: int | None = None, max_words: int | None = None, quantile: float = 0.99, slack: float = 1.1) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, threshold, kept for every row.
 
-    The model is trained on texts that `labels` calls good and not toxic: at most `max_docs`
-    texts and `max_words` words per language, which they fill if there are so many. Its tables stay dealt by n-gram and are
+    The model is trained on the texts that `labels` calls good and not toxic, all but those kept for the threshold; if
+    bounds are given, on `max_docs` texts and `max_words` words per language, which they fill if there are so many. Its tables stay dealt by n-gram and are
     joined to the texts' counts of n-grams. A language's threshold is `slack` times the `quantile` of the perplexities of its other trusted texts
     (of all its trusted ones if there is no other). A row is kept if its perplexity is at most the
     threshold. Rows without words are not kept; rows of a language without trusted text have no

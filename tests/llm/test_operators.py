@@ -170,6 +170,14 @@ def test_the_first_trusted_texts_are_chosen(spark):
     assert used == {*[i for i in order if i < 40][:9], *[i for i in order if i >= 40][:9]}
 
 
+def test_all_trusted_texts_are_learnt_from(spark):
+    table = spark.range(2600).selectExpr("id AS doc_id", "'en' AS lang", "concat('t', id, repeat(' w', 300)) AS text")
+    labels = spark.range(2600).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    used = kneser.trusted_sample(table, labels, *kneser.classify_quality.__defaults__[:2])[1]
+    assert {r.doc_id for r in used.select("doc_id").collect()} == {i for i in range(2600) if zlib.crc32(str(i).encode()) % 5}
+    assert "take" not in used.columns
+
+
 def test_ngrams_are_joined_in_shards(spark, monkeypatch):
     """With hardly any hot n-grams and a filter that lets nearly all pass, the joined table alone gives the perplexities, in each language."""
     monkeypatch.setattr(kneser, "HOT", 1)
