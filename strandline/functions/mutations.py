@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ONE = r"[A-Za-z][0-9]+[A-Za-z]"
+WHOLE = f"^{ONE}(,{ONE})*$"
 
 
 def parse_mutations(c: Column) -> Column:
@@ -21,7 +22,7 @@ def parse_mutations(c: Column) -> Column:
             F.upper(F.substring(m, -1, 1)).alias("mt"),
         ),
     )
-    return F.when(F.regexp_replace(c, r"\s", "").rlike(f"^{ONE}(,{ONE})*$"), parsed)
+    return F.when(F.regexp_replace(c, r"\s", "").rlike(WHOLE), parsed)
 
 
 def apply_mutations(wt: Column, muts: Column) -> Column:
@@ -39,6 +40,12 @@ def mutation_depth(muts: Column) -> Column:
     return F.when(muts.isNotNull(), F.size(muts))
 
 
+def mutation_count(c: Column) -> Column:
+    """`mutation_depth` of the string's mutations, by its commas: no part is taken out of it."""
+    bare = F.regexp_replace(c, r"\s", "")
+    return F.when(bare.rlike(WHOLE), F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1)
+
+
 def first_prefix(name: Column, rules: Sequence[tuple[str, str]], other: str = "other") -> Column:
     """Label of the first rule whose prefix the name has."""
     out = F.lit(other)

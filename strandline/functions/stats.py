@@ -20,12 +20,12 @@ def safe_corr(x: Column, y: Column) -> Column:
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
     """keys, n, spearman: correlation of average ranks over rows with both values; null under `least` rows.
 
-    Both columns are ranked in one ranged pass; columns of different types are compared as doubles.
+    Both columns are ranked in one ranged pass; columns of different types are compared as doubles. Rows are stored before those
+    without a value are left out: a filter would be pushed below what the columns are made of, and make it again for each mention.
     """
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     kind = None if df.schema[x].dataType == df.schema[y].dataType else "double"
     cast = lambda c: F.col(c) if kind is None else F.col(c).cast(kind)
-    both = materialize(both.select(*keys, cast(x).alias("_x"), cast(y).alias("_y")), "pairs")
+    both = materialize(df.select(*keys, cast(x).alias("_x"), cast(y).alias("_y")), "pairs").where("_x IS NOT NULL AND _y IS NOT NULL")
     sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("v")) for i, c in enumerate(("_x", "_y"))]))
     counts = both.select(*keys, sides.alias("_s")).groupBy(*keys, F.col("_s.side").alias("_side"), F.col("_s.v").alias("_v")).agg(F.count("*").alias("_n"))
     ranks = average_ranks(counts, [*keys, "_side"], "_v", "_rank")

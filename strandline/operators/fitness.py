@@ -76,7 +76,7 @@ def per_assay_summary(df: DataFrame) -> DataFrame:
 
 def depth_baseline(df: DataFrame) -> DataFrame:
     """assay, n, spearman of minus the number of mutations and the score; null with one depth."""
-    d = df.withColumn("_depth", -M.mutation_depth(M.parse_mutations(F.col("mutant"))))
+    d = df.withColumn("_depth", -M.mutation_count(F.col("mutant")))
     return stats.spearman(d, ["assay"], "_depth", "dms_score")
 
 

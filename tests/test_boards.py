@@ -8,6 +8,8 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.functions import mutations as M
+from strandline.functions import stats
 from strandline.operators import boards, geometry, monitor, profiles, splits
 from strandline.streaming import watch
 
@@ -109,3 +111,24 @@ def test_time_alone_reports_a_silent_run(spark, tmp_path):
         wait(lambda r: {("a", "back", 2), ("a", "resumed", 2)} <= set(r))
     finally:
         query.stop()
+
+
+def test_mutation_count_is_the_depth_of_parsed_mutations(spark):
+    texts = ["C15G", "C15G,A78U", " c1g , a2u,G3A ", "", ",", "C15G,", "C15", "15G", "C15G;A7U", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "mutant string")
+    got = rows.select(M.mutation_count(F.col("mutant")).alias("n"), M.mutation_depth(M.parse_mutations(F.col("mutant"))).alias("m")).collect()
+    assert [r.n for r in got] == [r.m for r in got] == [1, 2, 3, *[None] * 7]
+
+
+def test_spearman_makes_its_columns_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def half(v):
+        made.add(1)
+        return None if v == 7 else v % 5 / 2
+
+    rows = spark.range(40).withColumns({"k": F.lit("a"), "y": F.col("id").cast("double")}).withColumn("x", half("id"))
+    (got,) = stats.spearman(rows, ["k"], "x", "y").collect()
+    assert got.n == 39 and 0 < got.spearman < 1
+    assert made.value == 40
