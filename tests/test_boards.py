@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions import mutations as M
 from strandline.functions import stats
 from strandline.operators import boards, geometry, monitor, profiles, splits
+from strandline.plans import fixtures
 from strandline.streaming import watch
 
 
@@ -132,3 +133,14 @@ def test_spearman_makes_its_columns_once(spark):
     (got,) = stats.spearman(rows, ["k"], "x", "y").collect()
     assert got.n == 39 and 0 < got.spearman < 1
     assert made.value == 40
+
+
+def test_signatures_are_cut_without_lists(spark, tmp_path):
+    letters = lambda n: "".join("abcdefghij"[i % 10] for i in range(n))
+    texts = [None, "", "12 é", "One two", " ".join(letters(8)), " ".join(w + "x" for w in letters(11)), "É" + ", ".join(letters(9)) + "ß9"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(str(tmp_path / "documents.parquet"))
+    motifs = fixtures.motif(spark, str(tmp_path))
+    got = {i: [r.signature for r in motifs.where(F.col("motif_id") == i).collect()] for i in range(len(texts))}
+    windows = lambda n: ["-".join(letters(n)[i : i + 8]) for i in range(n - 7)]
+    assert got == {0: [None], 1: [""], 2: [""], 3: ["o-t"], 4: windows(8), 5: windows(11), 6: windows(9)}
+    assert "lambda" not in motifs._jdf.queryExecution().optimizedPlan().toString()
