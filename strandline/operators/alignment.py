@@ -21,6 +21,9 @@ SYMBOLS = 5
 BLOCK_ROWS = 512
 #: Columns of a matrix of marks that are compared at once.
 MARKS = 8192
+#: Distinct marks up to which a set is stored as bits. Blocks of queries and of rows into which a family is cut at most, unless
+#: a block's sets would then be more bytes than this.
+DENSE, QUERY_BLOCKS, ROW_BLOCKS, BLOCK_BYTES = 1 << 16, 8, 64, 1 << 24
 #: Columns of a tile, rows of a product of two tiles, products that are summed at once.
 TILE, CHUNK_ROWS, SUMMED = 48, 8192, 16
 
@@ -303,10 +306,28 @@ def kmer_hashes(sequence: str, k: int) -> np.ndarray:
     return np.unique(x.view(np.int64))
 
 
-def sized_blocks(df: DataFrame, ident: str) -> DataFrame:
-    """The rows, stored, with `block`: rows of a family in the order of their sets' sizes, BLOCK_ROWS to a block."""
-    placed = places(df.withColumn("_size", F.size("marks")), ["family"], [F.col("_size"), F.col(ident)], "_place", total="")
-    return materialize(placed.withColumn("block", F.floor(F.col("_place") / BLOCK_ROWS).cast("int")).drop("_place"), "sized")
+def sized_blocks(df: DataFrame, ident: str, most: int) -> DataFrame:
+    """The rows, stored, with `block`: rows of a family in the order of their sets' sizes, BLOCK_ROWS to a block, or so many times
+    that in a large family that it has `most` blocks, as far as BLOCK_BYTES allows."""
+    placed = places(df, ["family"], [F.col("_size"), F.col(ident)], "_place", total="")
+    times = F.least(F.ceil(F.count("*") / (BLOCK_ROWS * most)), F.floor(F.lit(BLOCK_BYTES) / (F.max(F.octet_length("marks")) * BLOCK_ROWS)))
+    wide = df.groupBy(F.col("family").alias("_family")).agg((F.greatest(F.lit(1), times) * BLOCK_ROWS).alias("_wide"))
+    placed = placed.join(F.broadcast(wide), F.col("family").eqNullSafe(F.col("_family")))
+    return materialize(placed.withColumn("block", F.floor(F.col("_place") / F.col("_wide")).cast("int")).drop("_place", "_wide", "_family"), "sized")
+
+
+def _shared_bits(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """(rows of one, rows of two): how many bits two rows of bytes share."""
+    out = np.zeros((len(one), len(two)), dtype=np.float64)
+    for lo in range(0, one.shape[1], MARKS // 8):
+        a, b = (np.unpackbits(x[:, lo : lo + MARKS // 8], axis=1).astype(np.float32) for x in (one, two))
+        out += a @ b.T
+    return out
+
+
+def _highest(one: np.ndarray, two: np.ndarray) -> float:
+    """What no Jaccard similarity of sets of these sizes exceeds."""
+    return float(min(1.0, one.max() / two.min(), two.max() / one.min()))
 
 
 def block_bounds(queries: DataFrame, rows: DataFrame, ratio: float, least: float) -> DataFrame:
@@ -324,42 +345,84 @@ def best_rows(queries: DataFrame, rows: DataFrame, k: int = 5, ratio: float = 0.
     sets, among rows whose length is within the ratio; ties to the first row, none under `least`. With `own`, queries
     are rows too, and none is its own answer.
 
-    Rows are stored once as sets of k-mer hashes, in blocks of sets of like sizes. Blocks of queries first meet the blocks of rows
+    Rows are stored once as sets of k-mers, in blocks of sets of like sizes. Blocks of queries first meet the blocks of rows
     whose sizes overlap theirs; then only those whose bound on the similarity reaches the least best of the queries so far.
-    Every two blocks meet in a task of their own, which keeps one row for each query. Nothing is joined on a k-mer, of
-    which there are so few that almost all rows share them.
+    Every two blocks meet in a task of their own, BLOCK_ROWS rows of each at a time, which keeps one row for each query. Nothing
+    is joined on a k-mer, of which there are so few that almost all rows share them.
+
+    Where there are at most DENSE k-mers, a set is a bit for each, else its hashes. A row is sent to each block of queries of its
+    family and a query to each of rows; these are QUERY_BLOCKS and ROW_BLOCKS at most, as blocks grow with the family (up to
+    BLOCK_BYTES), so what is shuffled grows as the rows do.
     """
     @F.pandas_udf("array<long>")
     def hashes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for p in parts:
             yield p.map(lambda x: kmer_hashes(x or "", k))
 
-    def sets(df: DataFrame, ident: str, label: str) -> DataFrame:
-        return sized_blocks(materialize(df.select("family", ident, F.length("sequence").alias("length"), hashes("sequence").alias("marks")), label).where(F.size("marks") > 0), ident)
+    def hashed(df: DataFrame, ident: str, label: str) -> DataFrame:
+        return materialize(df.select("family", ident, F.length("sequence").alias("length"), hashes("sequence").alias("marks")), label).where(F.size("marks") > 0)
 
-    q, r = sets(queries, "query", "query_sets"), sets(rows, "row_no", "row_sets")
+    one, two = hashed(queries, "query", "query_sets"), hashed(rows, "row_no", "row_sets")
+    # One more than DENSE tells that there are too many for bits.
+    kmers = one.select(F.explode("marks").alias("m")).unionByName(two.select(F.explode("marks").alias("m"))).distinct().limit(DENSE + 1).toArrow()["m"].to_numpy()
+    known = np.sort(kmers) if len(kmers) <= DENSE else None
+
+    @F.pandas_udf("binary")
+    def packed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def bits(x: np.ndarray) -> bytes:
+            if known is None:
+                return np.asarray(x, dtype=np.int64).tobytes()
+            row = np.zeros(len(known), dtype=np.uint8)
+            row[np.searchsorted(known, x)] = 1
+            return np.packbits(row).tobytes()
+
+        for p in parts:
+            yield p.map(bits)
+
+    def sets(df: DataFrame, ident: str, most: int) -> DataFrame:
+        return sized_blocks(materialize(df.select("family", ident, "length", F.size("marks").alias("_size"), packed("marks").alias("marks")), "packed"), ident, most)
+
+    q, r = sets(one, "query", QUERY_BLOCKS), sets(two, "row_no", ROW_BLOCKS)
     kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *rows.schema]}
+    dense, step = known is not None, BLOCK_ROWS
 
     def run(key, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"query": one["query"], "family": [key[0]] * len(one), "row_no": [None] * len(one), "similarity": np.zeros(len(one))})
         if not len(one) or not len(two):
             return out.iloc[:0]
-        two = two.sort_values("row_no").reset_index(drop=True)
-        a, b = list(one["marks"]), list(two["marks"])
-        both = _agreement(a, b)
-        union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both
-        la, lb = one["length"].to_numpy()[:, None], two["length"].to_numpy()[None, :]
-        near = np.minimum(la, lb) >= ratio * np.maximum(la, lb)
-        if own:
-            near &= one["query"].to_numpy()[:, None] != two["row_no"].to_numpy()[None, :]
-        similarity = np.where(near & (union > 0), both / np.maximum(union, 1), -1.0)
-        best = similarity.argmax(axis=1)
-        out["row_no"], out["similarity"] = two["row_no"].to_numpy()[best], similarity[np.arange(len(one)), best]
-        return out[out["similarity"] >= least]
+
+        def slices(df: pd.DataFrame, ident: str) -> list[tuple]:
+            made = []
+            df = df.sort_values(["_size", ident])
+            for at in range(0, len(df), step):
+                some = df.iloc[at : at + step].sort_values(ident)
+                marks = [np.frombuffer(x, np.uint8 if dense else np.int64) for x in some["marks"]]
+                made.append((some[ident].to_numpy(), some["_size"].to_numpy(), some["length"].to_numpy(), np.stack(marks) if dense else marks))
+            return made
+
+        found, theirs = [], slices(two, "row_no")
+        for query, size, length, marks in slices(one, "query"):
+            best, row = np.full(len(query), -1.0), np.full(len(query), theirs[0][0][0])
+            bounds = [_highest(size, s) for _, s, _, _ in theirs]
+            for at in np.argsort(bounds, kind="stable")[::-1]:
+                number, sizes, lengths, other = theirs[at]
+                if bounds[at] < max(least, best.min()) or length.max() < ratio * lengths.min() or lengths.max() < ratio * length.min():
+                    continue
+                both = _shared_bits(marks, other) if dense else _agreement(marks, other)
+                near = np.minimum(length[:, None], lengths[None, :]) >= ratio * np.maximum(length[:, None], lengths[None, :])
+                if own:
+                    near &= query[:, None] != number[None, :]
+                similarity = np.where(near, both / (size[:, None] + sizes[None, :] - both), -1.0)
+                first = similarity.argmax(axis=1)
+                value = similarity[np.arange(len(query)), first]
+                better = (value > best) | ((value == best) & (number[first] < row))
+                best, row = np.where(better, value, best), np.where(better, number[first], row)
+            found.append(pd.DataFrame({"query": query, "family": [key[0]] * len(query), "row_no": row, "similarity": best})[best >= least])
+        return pd.concat(found)
 
     def met(pairs: DataFrame, label: str) -> DataFrame:
-        left = q.join(pairs.select("family", "block", "other"), ["family", "block"]).select("family", "block", "other", "query", "length", "marks")
-        right = r.withColumnRenamed("block", "other").join(pairs.select("family", "block", "other"), ["family", "other"]).select("family", "block", "other", "row_no", "length", "marks")
+        left = q.join(pairs.select("family", "block", "other"), ["family", "block"]).select("family", "block", "other", "query", "length", "_size", "marks")
+        right = r.withColumnRenamed("block", "other").join(pairs.select("family", "block", "other"), ["family", "other"]).select("family", "block", "other", "row_no", "length", "_size", "marks")
         right = right.select(*[F.col(c).alias(c) for c in right.columns])
         keys = ["family", "block", "other"]
         return materialize(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"query {kind['query']}, family {kind['family']}, row_no {kind['row_no']}, similarity double"), label)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import mutations as M
 from strandline.functions import stats
-from strandline.operators import boards, geometry, monitor, profiles, splits
+from strandline.operators import alignment, boards, geometry, monitor, profiles, splits
 from strandline.plans import fixtures
 from strandline.streaming import watch
 
@@ -144,3 +144,23 @@ def test_signatures_are_cut_without_lists(spark, tmp_path):
     windows = lambda n: ["-".join(letters(n)[i : i + 8]) for i in range(n - 7)]
     assert got == {0: [None], 1: [""], 2: [""], 3: ["o-t"], 4: windows(8), 5: windows(11), 6: windows(9)}
     assert "lambda" not in motifs._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("dense", [1 << 16, 3])
+def test_large_families_have_few_blocks_and_lose_no_row(spark, monkeypatch, dense):
+    for name, value in (("BLOCK_ROWS", 4), ("QUERY_BLOCKS", 2), ("ROW_BLOCKS", 3), ("DENSE", dense)):
+        monkeypatch.setattr(alignment, name, value)
+    rnd = random.Random(3)
+    seqs = [(i, "f", "".join(rnd.choices("ACGU", k=rnd.randint(3, 60)))) for i in range(60)] + [(60, "f", "ACGUACGUAC"), (62, "f", "ACGUACGUAC")]
+    df = spark.createDataFrame(seqs, "row_no long, family string, sequence string")
+    sets = {i: {s[k : k + 5] for k in range(len(s) - 4)} for i, _, s in seqs}
+    expect = {}
+    for q, _, s in (x for x in seqs if x[0] % 2 == 0):
+        best = max(((len(sets[q] & sets[r]) / len(sets[q] | sets[r]), -r) for r, _, t in seqs if r != q and sets[q] | sets[r] and min(len(s), len(t)) >= 0.5 * max(len(s), len(t))), default=(0, 0))
+        if best[0] >= 0.1:
+            expect[q] = (-best[1], best[0])
+    counted, bounds = [], alignment.block_bounds
+    monkeypatch.setattr(alignment, "block_bounds", lambda *a: counted.append(bounds(*a)) or counted[-1])
+    found = alignment.best_rows(df.where("row_no % 2 = 0").withColumnRenamed("row_no", "query"), df, own=True).collect()
+    assert {r["query"]: (r.row_no, r.similarity) for r in found} == expect and expect
+    assert counted[0].count() <= 6
