@@ -312,7 +312,7 @@ def sized_blocks(df: DataFrame, ident: str, most: int) -> DataFrame:
     placed = places(df, ["family"], [F.col("_size"), F.col(ident)], "_place", total="")
     times = F.least(F.ceil(F.count("*") / (BLOCK_ROWS * most)), F.floor(F.lit(BLOCK_BYTES) / (F.max(F.octet_length("marks")) * BLOCK_ROWS)))
     wide = df.groupBy(F.col("family").alias("_family")).agg((F.greatest(F.lit(1), times) * BLOCK_ROWS).alias("_wide"))
-    placed = placed.join(F.broadcast(wide), F.col("family").eqNullSafe(F.col("_family")))
+    placed = placed.join(wide, F.col("family").eqNullSafe(F.col("_family")))
     return materialize(placed.withColumn("block", F.floor(F.col("_place") / F.col("_wide")).cast("int")).drop("_place", "_wide", "_family"), "sized")
 
 
