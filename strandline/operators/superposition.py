@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,12 @@ from ..session import materialize
 #: Distances of the global distance test.
 CUTOFFS = (1.0, 2.0, 4.0, 8.0)
 ROUNDS = 20
-#: Distances a task works out for its share of a model's fragments (times ROUNDS), and together.
-SHARE, TOGETHER = 4_000_000, 1_000_000
+#: Distances a task works out for its share of a model's fragments (times ROUNDS), and a model's shares at most, as each gets all its points.
+SHARE, SHARES = 50_000_000, 16
+#: Fits measured together, and distances held at a time.
+SEEDS, TOGETHER = 64, 1 << 15
+#: A score this near to the highest there can be is taken for it: the distances are no more exact.
+ROUNDING = 1e-12
 AXES = "xyz"
 
 
@@ -45,33 +50,61 @@ def _fits(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r, a - (r @ b[:, :, None])[:, :, 0]
 
 
-def grown(a: np.ndarray, b: np.ndarray, seeds: np.ndarray, score: Callable[[np.ndarray], np.ndarray], cut: float, widen: bool) -> float:
+def _measured(fits: tuple[np.ndarray, np.ndarray], features: np.ndarray, score: Callable[[np.ndarray], np.ndarray], cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each fit: its score, the points closer than its cut (as bits), and their moments.
+
+    A squared distance is linear in the points' features, so those of many fits and a tile of points are one product of
+    matrices; only a tile of distances is held at a time.
+    """
+    r, t = fits
+    weights = np.concatenate([(t * t).sum(axis=1)[:, None], 2 * (t[:, None, :] @ r)[:, 0], -2 * t, -2 * r.transpose(0, 2, 1).reshape(-1, 9), np.ones((len(t), 1))], axis=1)
+    n, moments = len(features), features.shape[1] - 1
+    total, sums, bits = np.zeros(len(t)), np.zeros((len(t), moments)), np.empty((len(t), (n + 7) // 8), dtype=np.uint8)
+    tile = max(8, TOGETHER // len(t) // 8 * 8)
+    for at in range(0, n, tile):
+        some = features[at : at + tile]
+        far = np.maximum(weights @ some.T, 0.0)
+        near = far < (cuts * cuts)[:, None]
+        bits[:, at // 8 : (at + len(some) + 7) // 8] = np.packbits(near, axis=1)
+        sums += near.astype(np.float64) @ some[:, :moments]
+        total += score(far)
+    return total, bits, sums
+
+
+def grown(a: np.ndarray, b: np.ndarray, seeds: np.ndarray, score: Callable[[np.ndarray], np.ndarray], top: int, cut: float, widen: bool) -> float:
     """The best score of the fits grown from the seeds: superpose a selection, keep what is closer than the cut, again.
 
-    The first fits come from running sums of the points' moments, so that a fragment of any length costs the same. Where fewer
-    than three points are kept, the cut widens by a half, or else the search of that seed ends.
+    `score` gives what some of the points add to each fit's score, from their squared distances. The first fits come from running
+    sums of the points' moments, so that a fragment of any length costs the same. Where fewer than three points are kept,
+    the cut widens by a half, or else the search of that seed ends. What follows from a selection does not depend on the
+    seed, so a selection that was met with as many rounds left is not grown again; nor is anything if the best is `top`,
+    which no fit can pass.
     """
-    features = np.concatenate([np.ones((len(a), 1)), b, a, (b[:, :, None] * a[:, None, :]).reshape(-1, 9)], axis=1)
-    running = np.concatenate([np.zeros((1, features.shape[1])), np.cumsum(features, axis=0)])
-    best, together = 0.0, max(1, TOGETHER // len(a))
+    features = np.concatenate([np.ones((len(a), 1)), b, a, (b[:, :, None] * a[:, None, :]).reshape(-1, 9), (a * a + b * b).sum(axis=1)[:, None]], axis=1)
+    running = np.concatenate([np.zeros((1, features.shape[1] - 1)), np.cumsum(features[:, :-1], axis=0)])
+    best, together, met = 0.0, min(SEEDS, max(1, TOGETHER // 8)), {}
     for at in range(0, len(seeds), together):
         some = seeds[at : at + together]
-        chosen = (np.arange(len(a)) >= some[:, :1]) & (np.arange(len(a)) < some.sum(axis=1)[:, None])
+        chosen = np.packbits((np.arange(len(a)) >= some[:, :1]) & (np.arange(len(a)) < some.sum(axis=1)[:, None]), axis=1)
         sums, cuts = running[some.sum(axis=1)] - running[some[:, 0]], np.full(len(some), cut)
-        for _ in range(ROUNDS):
+        for left in reversed(range(ROUNDS)):
             going = sums[:, 0] >= 3
             chosen, sums, cuts = chosen[going], sums[going], cuts[going]
             if not len(sums):
                 break
-            r, t = _fits(sums)
-            far = ((np.einsum("sij,nj->sni", r, b) + t[:, None, :] - a[None, :, :]) ** 2).sum(axis=2)
-            best = max(best, float(score(far).max()))
-            near = far < (cuts * cuts)[:, None]
-            few = near.sum(axis=1) < 3
+            scores, near, kept = _measured(_fits(sums), features, score, cuts)
+            best = max(best, float(scores.max()))
+            if best >= top * (1 - ROUNDING):
+                return best
+            few = kept[:, 0] < 3
             done = (near == chosen).all(axis=1) & ~few | (few & (not widen))
             cuts = cuts + 0.5 * few
-            chosen = np.where(few[:, None], chosen, near)[~done]
-            cuts, sums = cuts[~done], chosen.astype(np.float64) @ features
+            chosen, sums = np.where(few[:, None], chosen, near), np.where(few[:, None], sums, kept)
+            for i in np.flatnonzero(~done):
+                key = blake2b(chosen[i].tobytes() + cuts[i].tobytes(), digest_size=16).digest()
+                done[i] = met.get(key, 0) >= left
+                met[key] = max(met.get(key, 0), left)
+            chosen, sums, cuts = chosen[~done], sums[~done], cuts[~done]
     return best
 
 
@@ -79,9 +112,10 @@ def scores_from(a: np.ndarray, b: np.ndarray, full: int, seeds: np.ndarray) -> t
     """(tm, gdt_ts) of points b paired with a, the best of the seeds; TM is over the reference's full length."""
     middle = a.mean(axis=0)
     a, b, d0 = a - middle, b - b.mean(axis=0), scale_of(full)
-    tm = grown(a, b, seeds, lambda d2: (1 / (1 + d2 / (d0 * d0))).sum(axis=1) / full, d0 + 1.0, True)
-    gdt = grown(a, b, seeds, lambda d2: np.mean([(d2 < c * c).mean(axis=1) for c in CUTOFFS], axis=0), CUTOFFS[-1], False)
-    return tm, gdt
+    within = lambda d2, c: np.bitwise_count(np.packbits(d2 < c * c, axis=1)).sum(axis=1, dtype=np.int64)
+    tm = grown(a, b, seeds, lambda d2: np.reciprocal(1 + d2 / (d0 * d0)).sum(axis=1), len(a), d0 + 1.0, True)
+    gdt = grown(a, b, seeds, lambda d2: sum(within(d2, c) for c in CUTOFFS), len(CUTOFFS) * len(a), CUTOFFS[-1], False)
+    return tm / full, gdt / (len(CUTOFFS) * len(a))
 
 
 def _with_rmsd(sums: DataFrame, n: Column) -> DataFrame:
@@ -121,6 +155,15 @@ def submission_rmsd(paired: DataFrame, least: int = 10) -> DataFrame:
     return _with_rmsd(s, F.col("paired")).select("target", "submission", "paired", F.when(F.col("paired") >= least, F.col("_fit")).alias("rmsd"))
 
 
+def _dealt(points: DataFrame, columns: list[str]) -> DataFrame:
+    """Each model's points as arrays, once for each of its shares (part of parts), dealt to tasks."""
+    n, tasks = F.size("_c").cast("double"), 4 * points.sparkSession.sparkContext.defaultParallelism
+    parts = F.least(F.lit(SHARES), F.greatest(F.lit(1), F.ceil(2 * n * n / SHARE))).cast("int")
+    shares = points.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    shares = shares.select("target", "submission", "full", "part", "parts", *[F.col(f"_c.{c}").cast("array<double>").alias(c) for c in columns])
+    return shares.repartition(tasks, "target", "submission", "part")
+
+
 def score_submissions(reference: DataFrame, submissions: DataFrame, least: int = 10) -> DataFrame:
     """target, submission, paired, rmsd, tm, gdt_ts of every submission with a residue of the reference; under `least`
     paired residues the scores are null.
@@ -128,18 +171,16 @@ def score_submissions(reference: DataFrame, submissions: DataFrame, least: int =
     reference: target, idx, x, y, z; submissions the same with `submission`. TM is over the reference's full length, GDT over
     the paired residues, each the best of one superposition.
 
-    RMSD comes from moments alone. For TM and GDT a model's points are one row, and its fragments are dealt to as many tasks
-    as their work asks for (it grows with the square of the length), each of which gets the points and a share of the fragments.
+    RMSD comes from moments alone. For TM and GDT a model's points are one row, and its fragments are dealt to SHARES tasks at
+    most, each of which gets the points and a share of the fragments. So what is shuffled grows as the rows do, while the
+    distances (fragments times points) grow with the square of the length.
     """
     paired = materialize(paired_residues(reference, submissions), "paired")
     rmsd = submission_rmsd(paired, least)
     full = reference.groupBy("target").agg(F.count_distinct("idx").alias("full"))
     columns = [*AXES, *[f"r{c}" for c in AXES]]
     points = paired.groupBy("target", "submission").agg(F.array_sort(F.collect_list(F.struct("idx", *columns))).alias("_c")).where(F.size("_c") >= least)
-    n = F.size("_c").cast("double")
-    parts = F.greatest(F.lit(1), F.ceil(2 * n * n / SHARE)).cast("int")
-    dealt = points.join(full, "target").withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("target", "submission", "full", "part", "parts", *[F.col(f"_c.{c}").cast("array<double>").alias(c) for c in columns]).repartition("target", "submission", "part")
+    dealt = _dealt(points.join(full, "target"), columns)
     kind = {f.name: f.dataType.simpleString() for f in paired.schema}
 
     def run(batches):
