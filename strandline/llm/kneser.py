@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,6 +24,8 @@ UNBOUNDED = 1 << 60
 SMALL_TABLE = 1_000_000
 #: Powers of two: slots of n-grams that every task knows, and bits of the filter of all others (with its two probes).
 HOT, FILTER, PROBES = 20, 26, (0, 32)
+#: Parts in which trigrams are priced and rare n-grams are joined, one after the other, so that only a part's shuffles lie on disk.
+PARTS = 4
 _IDS = WordIds()
 
 
@@ -80,12 +84,8 @@ def _trigrams(texts: DataFrame) -> DataFrame:
     return texts.select("lang", "text", take.cast("long")).mapInArrow(run, "l long, u long, v long, w long")
 
 
-def _level(counts: DataFrame, history: list[str]) -> tuple[DataFrame, DataFrame]:
-    """From (l, history, w, c): the discounted share p of each n-gram beside its history's backoff mass g, and the
-    histories (g, all).
-
-    Three discounts per language from the counts of counts, as modified Kneser-Ney has them.
-    """
+def _discounts(counts: DataFrame) -> DataFrame:
+    """l, d1, d2, d3: three discounts per language from the counts of counts, as modified Kneser-Ney has them."""
     n = counts.groupBy("l").agg(*[F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
 
@@ -93,13 +93,22 @@ def _level(counts: DataFrame, history: list[str]) -> tuple[DataFrame, DataFrame]
         d = i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0))
         return F.least(F.greatest(d, F.lit(0.1)), F.lit(float(i) - 0.05)).alias(f"d{i}")
 
+    return materialize(n.select("l", discount(1), discount(2), discount(3)), "discounts")
+
+
+def _cut(counts: DataFrame, discounts: DataFrame) -> DataFrame:
+    """Adds cut, what each n-gram's count gives up."""
     c = F.col("c")
-    cut = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
-    priced = counts.join(n.select("l", discount(1), discount(2), discount(3)), "l").withColumn("cut", cut)
-    keys = ["l", *history]
-    totals = priced.groupBy(*keys).agg(F.sum("c").cast("double").alias("all"), F.sum("cut").alias("freed"), F.count("*").alias("kinds"))
-    totals = totals.select(*keys, "all", "kinds", (F.col("freed") / F.col("all")).alias("g"))
-    return priced.join(totals, keys).select(*keys, "w", "c", ((c - F.col("cut")) / F.col("all")).alias("p"), "g"), totals
+    priced = counts.join(F.broadcast(discounts), "l").withColumn("cut", F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3")))
+    return priced.drop("d1", "d2", "d3")
+
+
+def _shares(counts: DataFrame, discounts: DataFrame, history: list[str]) -> DataFrame:
+    """Adds to (l, history, w, c) the discounted share p of each n-gram, its history's backoff mass g and count all, and
+    first, which is true in one row of each history."""
+    h = Window.partitionBy("l", *history)
+    priced = _cut(counts, discounts).withColumns({"all": F.sum("c").over(h), "freed": F.sum("cut").over(h), "first": F.row_number().over(h.orderBy("w")) == 1})
+    return priced.withColumns({"p": (F.col("c") - F.col("cut")) / F.col("all"), "g": F.col("freed") / F.col("all")}).drop("cut", "freed")
 
 
 def _keyed(frame: DataFrame, words: list[str], x: Column) -> DataFrame:
@@ -113,6 +122,19 @@ def _keyed(frame: DataFrame, words: list[str], x: Column) -> DataFrame:
     return frame.select("l", *words, x.alias("x"), "c").mapInArrow(run, "key long, x double, c long")
 
 
+def _trigram_keys(frame: DataFrame) -> DataFrame:
+    """key, pair (its last two words) and, in one row of each history, past (its first two): numbers for l, u, v, w."""
+
+    def run(batches):
+        for batch in batches:
+            l, u, v, w = (batch.column(i).to_numpy() for i in range(4))  # noqa: E741
+            salt, others = l.view(np.uint64), ~batch.column(4).to_numpy(zero_copy_only=False)
+            keys = [pa.array(_key(salt, *x).view(np.int64), mask=mask) for x, mask in (((u, v, w), None), ((v, w), None), ((u, v), others))]
+            yield pa.RecordBatch.from_arrays([*keys, *(batch.column(i) for i in range(5, 9))], names=["key", "pair", "past", "c", "all", "p", "g"])
+
+    return frame.select("l", "u", "v", "w", "first", "c", "all", "p", "g").mapInArrow(run, "key long, pair long, past long, c long, all long, p double, g double")
+
+
 def train(texts: DataFrame) -> dict:
     """The model: `table` (key, x, c), `rest` (l, rest: what an unknown word gets in each language), and what of it
     goes to every task, of a fixed size: `hot`, the most frequent n-gram of each of 2^HOT slots, and `filter`,
@@ -126,23 +148,32 @@ def train(texts: DataFrame) -> dict:
     """
     c3 = materialize(_trigrams(texts).groupBy("l", "u", "v", "w").agg(F.count("*").alias("c")), "trigrams")
     c2 = materialize(c3.groupBy("l", "v", "w").agg(F.count("*").alias("c")), "pairs")
-    one, all1 = _level(c2.groupBy("l", "w").agg(F.count("*").alias("c")), [])
-    rest = materialize(all1.select("l", (F.col("g") / (F.col("kinds") + 1)).alias("rest")), "rest")
-    one = materialize(one.join(rest, "l").select("l", "w", "c", "rest", (F.col("p") + F.col("rest")).alias("p1")), "words")
-    two = _level(c2, ["v"])[0].join(one.select("l", "w", "p1"), ["l", "w"])
-    two = materialize(two.select("l", "v", "w", "c", "g", "p1", (F.col("p") + F.col("g") * F.col("p1")).alias("p2")), "pair_shares")
-    discard(c2)
-    three = _level(c3, ["u", "v"])[0].join(two.select("l", "v", "w", "p2"), ["l", "v", "w"])
-    three = materialize(three.select("l", "u", "v", "w", "c", "g", (F.ln(F.col("p") + F.col("g") * F.col("p2")) - F.ln("g") - F.ln("p2")).alias("x")), "trigram_shares")
+    c1 = materialize(c2.groupBy("l", "w").agg(F.count("*").alias("c")), "continuations")
+    one = _cut(c1, _discounts(c1))
+    all1 = one.groupBy("l").agg(F.sum("c").cast("double").alias("all"), F.sum("cut").alias("freed"), F.count("*").alias("kinds"))
+    rest = materialize(all1.select("l", "all", (F.col("freed") / F.col("all") / (F.col("kinds") + 1)).alias("rest")), "rest")
+    one = one.join(F.broadcast(rest), "l").select("l", "w", "c", "rest", ((F.col("c") - F.col("cut")) / F.col("all") + F.col("rest")).alias("p1"))
+    one = materialize(one, "words")
+    two = _shares(c2, _discounts(c2), ["v"]).join(one.select("l", "w", "p1"), ["l", "w"])
+    two = materialize(two.select("l", "v", "w", "c", "g", "all", "first", "p1", (F.col("p") + F.col("g") * F.col("p1")).alias("p2")), "pair_shares")
+    discard(c1, c2)
+    discounts, threes = _discounts(c3), []
+    x3 = F.ln(F.col("p") + F.col("g") * F.col("p2")) - F.ln("g") - F.ln("p2")
+    for i in range(PARTS):
+        # Both a trigram's history and the pair that it falls back to hold its middle word.
+        mine = F.pmod(F.xxhash64("l", "v"), F.lit(PARTS)) == i
+        p2 = _keyed(two.where(mine), ["v", "w"], F.col("p2")).select(F.col("key").alias("pair"), F.col("x").alias("p2"))
+        priced = _trigram_keys(_shares(c3.where(mine), discounts, ["u", "v"])).join(p2, "pair")
+        past = F.col("past").isNotNull()
+        threes.append(materialize(priced.select("key", x3.alias("x"), "c", "past", F.when(past, F.ln("g")).alias("past_x"), F.when(past, F.col("all")).alias("past_c")), "trigram_shares"))
     discard(c3)
-    g2, g3 = (f.groupBy("l", *h).agg(F.max("g").alias("g"), F.sum("c").alias("c")) for f, h in ((two, ["v"]), (three, ["u", "v"])))
-    parts = _keyed(one, ["w"], F.ln("p1") - F.ln("rest")).unionByName(_keyed(g2, ["v"], F.ln("g")))
-    parts = parts.unionByName(_keyed(two, ["v", "w"], F.ln("p2") - F.ln("g") - F.ln("p1"))).unionByName(_keyed(g3, ["u", "v"], F.ln("g")))
+    known_pasts = [t.where(F.col("past").isNotNull()).select(F.col("past").alias("key"), F.col("past_x").alias("x"), F.col("past_c").alias("c")) for t in threes]
+    parts = _keyed(one, ["w"], F.ln("p1") - F.ln("rest")).unionByName(_keyed(two.where("first").select("l", "v", "g", F.col("all").alias("c")), ["v"], F.ln("g")))
+    parts = reduce(DataFrame.unionByName, known_pasts, parts.unionByName(_keyed(two, ["v", "w"], F.ln("p2") - F.ln("g") - F.ln("p1"))))
     # Trigrams are in one part alone, so only words and pairs have to be summed.
-    shorter = parts.groupBy("key").agg(F.sum("x").alias("x"), F.max("c").alias("c"))
-    table = materialize(shorter.unionByName(_keyed(three, ["u", "v", "w"], F.col("x"))), "model")
-    for made in (one, two, three):
-        discard(made)
+    shorter = materialize(parts.groupBy("key").agg(F.sum("x").alias("x"), F.max("c").alias("c")), "model")
+    discard(one, two)
+    table = reduce(DataFrame.unionByName, [t.select("key", "x", "c") for t in threes], shorter)
     best = table.groupBy(F.shiftrightunsigned("key", 64 - HOT).alias("slot")).agg(F.max(F.struct("c", "key", "x")).alias("m")).select("slot", "m.key", "m.x").toArrow()
     hot = np.zeros(1 << HOT, dtype=np.int64), np.zeros(1 << HOT)
     slot = best["slot"].to_numpy()
@@ -166,7 +197,7 @@ def _possible(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def ngram_counts(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], known: np.ndarray) -> DataFrame:
     """row, doc_id, lang, l, n_tokens (words and the end) of every row; x, what its hot n-grams add; and its other
-    n-grams that may be in the model as keys and their counts (arrays)."""
+    n-grams that may be in the model as keys and their counts (arrays; the keys of each remainder by PARTS apart)."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, known))
 
     def run(batches):
@@ -199,27 +230,35 @@ def ngram_counts(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], known: np.
                 k, d = k[order], d[order]
                 at = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))) if len(k) else np.empty(0, np.int64)
                 count = np.diff(np.append(at, len(k))).astype(np.int32)
-                ends = pa.array(np.searchsorted(d[at], np.arange(hi - lo + 1)).astype(np.int32))
+                k, d, lists = k[at], d[at], []
+                for part in range(PARTS):
+                    of_part = np.flatnonzero(k % PARTS == part)
+                    ends = pa.array(np.searchsorted(d[of_part], np.arange(hi - lo + 1)).astype(np.int32))
+                    lists += [pa.ListArray.from_arrays(ends, pa.array(k[of_part])), pa.ListArray.from_arrays(ends, pa.array(count[of_part]))]
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(i).slice(lo, hi - lo) for i in range(3)], pa.array(salts[lo:hi].view(np.int64)), pa.array(n, pa.int64()), pa.array(x), pa.ListArray.from_arrays(ends, pa.array(k[at])), pa.ListArray.from_arrays(ends, pa.array(count))],
-                    names=["row", "doc_id", "lang", "l", "n_tokens", "x", "keys", "counts"],
+                    [*[batch.column(i).slice(lo, hi - lo) for i in range(3)], pa.array(salts[lo:hi].view(np.int64)), pa.array(n, pa.int64()), pa.array(x), *lists],
+                    names=["row", "doc_id", "lang", "l", "n_tokens", "x", *[f"{c}{part}" for part in range(PARTS) for c in ("keys", "counts")]],
                 )
                 lo = hi
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text")
-    return rows.mapInArrow(run, "row long, doc_id long, lang string, l long, n_tokens long, x double, keys array<long>, counts array<int>")
+    return rows.mapInArrow(run, "row long, doc_id long, lang string, l long, n_tokens long, x double, " + ", ".join(f"keys{i} array<long>, counts{i} array<int>" for i in range(PARTS)))
 
 
 def perplexities(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang, n_tokens (words and the end), perplexity (null where the language has no model or the text no words).
 
     Each row's n-grams are counted in its task. The most frequent ones of the model are priced there; the others are
-    dealt by n-gram and joined to the model's table, and what they add is summed by row.
+    dealt by n-gram and joined to the model's table, part by part, and what they add is summed by row.
     """
     counted = materialize(ngram_counts(docs, model["hot"], model["filter"]), "ngrams")
-    cold = counted.select("row", F.explode(F.arrays_zip("keys", "counts")).alias("z")).select("row", F.col("z.keys").alias("key"), F.col("z.counts").alias("n"))
-    extra = cold.join(model["table"].select("key", F.col("x").alias("y")), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("y")).alias("extra"))
-    out = counted.drop("keys", "counts").join(extra, "row", "left").join(model["rest"], "l", "left")
+    extras = []
+    for i in range(PARTS):
+        cold = counted.select("row", F.explode(F.arrays_zip(f"keys{i}", f"counts{i}")).alias("z")).select("row", F.col(f"z.keys{i}").alias("key"), F.col(f"z.counts{i}").alias("n"))
+        known = model["table"].where(F.pmod("key", F.lit(PARTS)) == i).select("key", F.col("x").alias("y"))
+        extras.append(materialize(cold.join(known, "key").groupBy("row").agg(F.sum(F.col("n") * F.col("y")).alias("extra")), "extra"))
+    extra = reduce(DataFrame.unionByName, extras).groupBy("row").agg(F.sum("extra").alias("extra"))
+    out = counted.select("row", "doc_id", "lang", "l", "n_tokens", "x").join(extra, "row", "left").join(F.broadcast(model["rest"].select("l", "rest")), "l", "left")
     log = F.col("n_tokens") * F.ln("rest") + F.col("x") + F.coalesce("extra", F.lit(0.0))
     perplexity = F.when((F.col("n_tokens") > 1) & F.col("rest").isNotNull(), F.exp(F.least(F.lit(700.0), -log / F.col("n_tokens"))))
     return out.select("doc_id", "lang", "n_tokens", perplexity.alias("perplexity"))
@@ -239,8 +278,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame, max_docs: int | None =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     good, texts = trusted_sample(rows, labels, max_docs, max_words)
     texts = materialize(texts, "trusted")
-    scored = materialize(perplexities(rows, train(texts)), "perplexity")
-    used = texts.select("doc_id").distinct().withColumn("_used", F.lit(True))
+    used = materialize(texts.select("doc_id").distinct(), "used").withColumn("_used", F.lit(True))
+    model = train(texts)
+    discard(texts)
+    scored = materialize(perplexities(rows, model), "perplexity")
     trusted = scored.join(good, "doc_id").join(used, "doc_id", "left")
     cut = trusted.groupBy("lang").agg(F.percentile_approx(F.when(F.col("_used").isNull(), F.col("perplexity")), quantile, 10_000).alias("a"), F.percentile_approx("perplexity", quantile, 10_000).alias("b"))
     cut = cut.select(F.col("lang").alias("_lang"), (F.coalesce("a", "b") * slack).alias("threshold"))

@@ -191,6 +191,22 @@ def test_ngrams_are_joined_in_shards(spark, monkeypatch):
         assert [got[i] for i in range(k, 80, 2)] == pytest.approx(brute_kneser(texts[k:50:2], texts[k::2]), rel=1e-9)
 
 
+def test_trigrams_and_rare_ngrams_are_joined_part_by_part(spark, monkeypatch):
+    """Each part's shuffles are gone before the next; the parts together give the perplexities."""
+    made, store = [], kneser.materialize
+    monkeypatch.setattr(kneser, "materialize", lambda df, label: made.append((label, store(df, label))) or made[-1][1])
+    monkeypatch.setattr(kneser, "PARTS", 3)
+    monkeypatch.setattr(kneser, "HOT", 1)
+    texts = sentences(1, 80)
+    table = docs(spark, texts)
+    model = kneser.train(table.where("doc_id < 50"))
+    got = {r.doc_id: r.perplexity for r in kneser.perplexities(table.select("doc_id", "lang", "text"), model).collect()}
+    assert [got[i] for i in range(80)] == pytest.approx(brute_kneser(texts[:50], texts), rel=1e-9)
+    sizes = {label: [t.count() for x, t in made if x == label] for label in ("trigram_shares", "extra")}
+    assert [len(x) for x in sizes.values()] == [3, 3] and 0 < max(sizes["trigram_shares"]) < sum(sizes["trigram_shares"])
+    assert sum(sizes["trigram_shares"]) == len({x for t in texts[:50] for x in zip(*[["<s>", "<s>", *words(t), "</s>"][i:] for i in range(3)], strict=False)})
+
+
 # --- 3: Katz
 
 def brute_katz(texts, ids, modulus):
