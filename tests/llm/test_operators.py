@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -13,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import components, katz, kneser, langid, linedup, minhash, mixing, rules, sharding, skew, topk
-from strandline.session import materialize
+from strandline.llm.words import column_words
+from strandline.session import materialize, scratch_root
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 #: Clashing names that the operators use inside.
@@ -207,6 +209,35 @@ def test_trigrams_and_rare_ngrams_are_joined_part_by_part(spark, monkeypatch):
     assert sum(sizes["trigram_shares"]) == len({x for t in texts[:50] for x in zip(*[["<s>", "<s>", *words(t), "</s>"][i:] for i in range(3)], strict=False)})
 
 
+def test_one_part_of_the_model_lies_on_disk_at_a_time(spark, monkeypatch):
+    """When a part's texts are answered, no other part's table is there any more, and the shares of pairs are all that is kept besides."""
+    left, store = [], kneser.materialize
+
+    def watch(df, label):
+        out = store(df, label)
+        if label == "extra":
+            root = pathlib.Path(out._strandline_path.removeprefix("file:")).parent
+            left.append({x: len([*root.glob(f"strandline-{x}-*")]) - before.get(x, 0) for x in ("pairs", "part_shares")})
+        return out
+
+    root = pathlib.Path(scratch_root(spark).removeprefix("file:"))
+    before = {x: len([*root.glob(f"strandline-{x}-*")]) for x in ("pairs", "part_shares")}
+    monkeypatch.setattr(kneser, "materialize", watch)
+    monkeypatch.setattr(kneser, "PARTS", 3)
+    table = docs(spark, sentences(2, 60))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert kneser.classify_quality(table, labels).count() == 60
+    assert left == [{"pairs": 0, "part_shares": 1}] * 3
+
+
+def test_word_hashes_of_a_column(spark):
+    texts = [None, "", "a b", "c", " Ab\tabcdefghij ", "abcdefgh abcdefghi abcdefghij", "b\x0bc\x1fd", "\u00e9 \u00c9"]
+    hashes, sizes = column_words(pa.array(texts))
+    split = [w for t in texts for w in (t or "").encode().lower().split()]
+    assert sizes.tolist() == [len((t or "").encode().split()) for t in texts]
+    assert len(hashes) == len(split) and len(set(hashes.tolist())) == len(set(zip(split, hashes.tolist(), strict=True))) == len(set(split))
+
+
 # --- 3: Katz
 
 def brute_katz(texts, ids, modulus):
